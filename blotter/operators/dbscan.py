@@ -19,7 +19,7 @@ Plan, with its scale properties:
    straddling the eps boundary, for cell pairs not yet linked, compare rows.
 4. Connected components of the cell graph by min-label propagation; the
    cell graph is bounded by the area over eps^2, not by the number of rows.
-   Each round is checkpointed to the shared checkpoint folder.
+   Each round is written as a table to the shared checkpoint folder.
 5. Border rows join their (already kept) core neighbours.
 """
 
@@ -30,10 +30,16 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blotter.session import materialize
+
 SUB = 4
 BROADCAST_CELLS = 2_000_000
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    return materialize(df, "dbscan")
+
+
 def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_CELLS else df
 
@@ -57,10 +63,10 @@ def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02
 
     cells = (pts.groupBy("cx", "cy").agg(F.count("*").alias("n"))
              .withColumn("ns", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(salt_rows))).cast("int"))
-             .checkpoint())
+             .transform(_cut))
     n_cells = cells.count()
     cells_b = _maybe_broadcast(cells, n_cells)
-    pts = pts.join(cells_b, ["cx", "cy"]).checkpoint()
+    pts = pts.join(cells_b, ["cx", "cy"]).transform(_cut)
 
     # 2. neighbour counts of rows in sparse cells
     offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
@@ -81,12 +87,12 @@ def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02
     sparse_core = near_counts.where(F.col("k") >= min_samples).select(F.col("pid").alias("id"))
     # neighbour lists of non-core sparse rows: fewer than min_samples each
     border_pairs = (near.join(near_counts.where(F.col("k") < min_samples).select("pid"), "pid")
-                    .checkpoint())
+                    .transform(_cut))
 
     core = (pts.where(F.col("n") >= min_samples).select("id")
             .unionByName(sparse_core)
             .join(pts.select("id", "ord", "x", "y", "sx", "sy", "cx", "cy"), "id")
-            .checkpoint())
+            .transform(_cut))
 
     # 3. link core cells
     sub = (core.groupBy("sx", "sy")
@@ -112,7 +118,7 @@ def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02
     gx, gy = gap("a_x0", "a_x1", "b_x0", "b_x1"), gap("a_y0", "a_y1", "b_y0", "b_y1")
     sx_, sy_ = span("a_x0", "a_x1", "b_x0", "b_x1"), span("a_y0", "a_y1", "b_y0", "b_y1")
     pairs = pairs.withColumn("mind2", gx * gx + gy * gy).withColumn("maxd2", sx_ * sx_ + sy_ * sy_) \
-        .where(F.col("mind2") <= F.lit(eps2)).checkpoint()
+        .where(F.col("mind2") <= F.lit(eps2)).transform(_cut)
     cell_pair = ["a_cx", "a_cy", "b_cx", "b_cy"]
     sure = pairs.where(F.col("maxd2") <= F.lit(eps2)).select(*cell_pair).distinct()
     amb = pairs.where(F.col("maxd2") > F.lit(eps2)).join(sure, cell_pair, "left_anti") \
@@ -125,22 +131,22 @@ def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02
           (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
     checked = (amb.join(ca, ["a_sx", "a_sy"]).join(cb, ["b_sx", "b_sy"]).where(pd2 <= F.lit(eps2))
                .select(*cell_pair).distinct())
-    edges = sure.unionByName(checked).distinct().checkpoint()
+    edges = sure.unionByName(checked).distinct().transform(_cut)
 
     # 4. components of the cell graph: label = smallest core order key reachable
-    labels = core.groupBy("cx", "cy").agg(F.min("ord").alias("lab")).checkpoint()
+    labels = core.groupBy("cx", "cy").agg(F.min("ord").alias("lab")).transform(_cut)
     both = edges.select(F.col("a_cx").alias("cx"), F.col("a_cy").alias("cy"),
                         F.col("b_cx").alias("ncx"), F.col("b_cy").alias("ncy")) \
         .unionByName(edges.select(F.col("b_cx").alias("cx"), F.col("b_cy").alias("cy"),
-                                  F.col("a_cx").alias("ncx"), F.col("a_cy").alias("ncy"))).checkpoint()
+                                  F.col("a_cx").alias("ncx"), F.col("a_cy").alias("ncy"))).transform(_cut)
     for _ in range(max_rounds):
         incoming = (both.join(labels.select(F.col("cx").alias("ncx"), F.col("cy").alias("ncy"),
                                             F.col("lab").alias("nlab")), ["ncx", "ncy"])
                     .groupBy("cx", "cy").agg(F.min("nlab").alias("nlab")))
         updated = (labels.join(incoming, ["cx", "cy"], "left")
                    .select("cx", "cy", F.least("lab", F.coalesce("nlab", "lab")).alias("lab"),
-                           (F.coalesce(F.col("nlab") < F.col("lab"), F.lit(False))).alias("chg"))
-                   .checkpoint())
+                           (F.coalesce(F.col("nlab") < F.col("lab"), F.lit(False))).alias("chg")))
+        updated = materialize(updated, "dbscan")
         changed = updated.where("chg").count()
         labels = updated.drop("chg")
         if changed == 0:

@@ -9,41 +9,65 @@ makes the globally cheapest pair always mutual: every round merges).
 Like the reference, Ward runs on a bounded seeded sample (``max_points``,
 20,000 by default): the live cluster table is checked against that bound and
 broadcast each round, tasks search nearest neighbours for their share of the
-clusters with numpy, and the merge bookkeeping is DataFrame joins.  Rounds
-are checkpointed to the shared checkpoint folder.  Cutting at k undoes the
+clusters with numpy, and the merge bookkeeping is DataFrame joins.  Each round
+is written as a table to the shared checkpoint folder.  Cutting at k undoes the
 k - 1 most expensive merges; clusters are numbered by their smallest id.
 """
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blotter.functions import fixed
 from blotter.operators.sampling import sample_exact
+from blotter.session import materialize
 
 
-def _nn_task(bc):
+def _round_task(bc, parts: int):
+    """One merge round for a slice of the live clusters.
+
+    Task p takes the p-th slice of the (broadcast, bounded) live table: each
+    cluster finds its nearest neighbour under Ward cost; a mutual pair is
+    merged into the smaller id (merge record + merged cluster), the larger id
+    disappears, every other cluster is passed on unchanged.
+    """
+    def nearest(i, sizes, mat):
+        diff = mat - mat[i]
+        d2 = np.einsum("ij,ij->i", diff, diff)
+        cost = sizes * sizes[i] / (sizes + sizes[i]) * d2
+        cost[i] = np.inf
+        j = int(np.argmin(cost))  # first minimum = smallest id on ties (ids sorted)
+        return j, float(cost[j])
+
     def run(batches):
         import pandas as pd
 
         cids, sizes, mat = bc.value
+        m = len(cids)
         for pdf in batches:
-            if pdf.empty:
-                continue
-            out_c, out_n, out_cost = [], [], []
-            for cid in pdf["cid"].to_numpy():
-                i = int(np.searchsorted(cids, cid))
-                diff = mat - mat[i]
-                d2 = np.einsum("ij,ij->i", diff, diff)
-                cost = sizes * sizes[i] / (sizes + sizes[i]) * d2
-                cost[i] = np.inf
-                j = int(np.argmin(cost))  # first minimum = smallest id on ties (cids sorted)
-                out_c.append(int(cid))
-                out_n.append(int(cids[j]))
-                out_cost.append(float(cost[j]))
-            yield pd.DataFrame({"cid": out_c, "nn": out_n, "cost": out_cost})
+            kind, cid, other, costs, size, cent = [], [], [], [], [], []
+            for p in pdf["id"].to_numpy():
+                for i in range(int(p) * m // parts, (int(p) + 1) * m // parts):
+                    j, cost = nearest(i, sizes, mat)
+                    mutual = nearest(j, sizes, mat)[0] == i
+                    if mutual and cids[i] > cids[j]:
+                        continue  # absorbed by the smaller id
+                    if mutual:
+                        tot = sizes[i] + sizes[j]
+                        kind.append(1); cid.append(int(cids[i])); other.append(int(cids[j]))
+                        costs.append(cost); size.append(None); cent.append(None)
+                        kind.append(0); cid.append(int(cids[i])); other.append(None); costs.append(None)
+                        size.append(float(tot)); cent.append(((mat[i] * sizes[i] + mat[j] * sizes[j]) / tot).tolist())
+                    else:
+                        kind.append(0); cid.append(int(cids[i])); other.append(None); costs.append(None)
+                        size.append(float(sizes[i])); cent.append(mat[i].tolist())
+            if kind:
+                yield pd.DataFrame({"kind": kind, "cid": cid, "b": pd.array(other, dtype="Int64"),
+                                    "cost": pd.array(costs, dtype="Float64"),
+                                    "size": pd.array(size, dtype="Float64"), "c": cent})
     return run
 
 
@@ -51,42 +75,36 @@ def ward_tree(points: DataFrame, max_points: int = fixed.GEO_SAMPLE, max_rounds:
     """All merges (a absorbs b, cost, round) of the Ward tree of (id, v) rows."""
     spark = points.sparkSession
     live = points.select(F.col("id").cast("long").alias("cid"), F.lit(1.0).alias("size"),
-                         F.col("v").cast("array<double>").alias("c")).checkpoint()
+                         F.col("v").cast("array<double>").alias("c"))
     m = live.count()
     if m > max_points:
         raise ValueError(f"ward: {m} rows exceed the bound {max_points}; sample first")
     parts = max(1, spark.sparkContext.defaultParallelism)
-    merges = []
+    schema = "kind int, cid long, b long, cost double, size double, c array<double>"
+    merges, held = [], []
+    snap = live.orderBy("cid").toPandas()  # at most max_points rows, checked above
     rnd = 0
-    while m > 1 and rnd < max_rounds:
-        snap = live.orderBy("cid").toPandas()
-        cids = snap["cid"].to_numpy()
-        bc = spark.sparkContext.broadcast((cids, snap["size"].to_numpy(), np.vstack(snap["c"].to_numpy())))
-        nn = live.select("cid").repartition(parts).mapInPandas(_nn_task(bc), "cid long, nn long, cost double")
-        nn = nn.checkpoint()
-        p, q = nn.alias("p"), nn.alias("q")
-        mutual = (p.join(q, (F.col("p.nn") == F.col("q.cid")) & (F.col("q.nn") == F.col("p.cid"))
-                         & (F.col("p.cid") < F.col("q.cid")))
-                  .select(F.col("p.cid").alias("a"), F.col("q.cid").alias("b"), F.col("p.cost").alias("cost"))
-                  .withColumn("round", F.lit(rnd)).checkpoint())
-        la = live.select(F.col("cid").alias("a"), F.col("size").alias("sa"), F.col("c").alias("ca"))
-        lb = live.select(F.col("cid").alias("b"), F.col("size").alias("sb"), F.col("c").alias("cb"))
-        merged = (mutual.join(la, "a").join(lb, "b")
-                  .select(F.col("a").alias("cid"), (F.col("sa") + F.col("sb")).alias("size"),
-                          F.zip_with("ca", "cb", lambda x, y: (x * F.col("sa") + y * F.col("sb"))
-                                     / (F.col("sa") + F.col("sb"))).alias("c")))
-        gone = mutual.select(F.col("a").alias("cid")).unionByName(mutual.select(F.col("b").alias("cid")))
-        live = live.join(gone, "cid", "left_anti").unionByName(merged).checkpoint()
-        merges.append(mutual)
-        bc.unpersist()
-        m = live.count()
+    while len(snap) > 1 and rnd < max_rounds:
+        bc = spark.sparkContext.broadcast((snap["cid"].to_numpy(), snap["size"].to_numpy().astype(float),
+                                           np.vstack(snap["c"].to_numpy())))
+        # lineage of a round is range -> task(broadcast): it never grows, and a lost
+        # partition is recomputed from the (kept) broadcast snapshot
+        step = (spark.range(0, parts, 1, parts).mapInPandas(_round_task(bc, parts), schema)
+                .withColumn("round", F.lit(rnd)).persist(StorageLevel.MEMORY_AND_DISK))
+        held.append((step, bc))
+        snap = step.where("kind = 0").select("cid", "size", "c").orderBy("cid").toPandas()
+        merges.append(step.where("kind = 1").select(F.col("cid").alias("a"), "b", "cost", "round"))
         rnd += 1
     if not merges:
         return spark.createDataFrame([], "a long, b long, cost double, round int")
     out = merges[0]
     for mm in merges[1:]:
         out = out.unionByName(mm)
-    return out.checkpoint()
+    out = materialize(out.coalesce(max(1, parts)), "ward")
+    for step, bc in held:
+        step.unpersist()
+        bc.unpersist()
+    return out
 
 
 def cut_tree(points: DataFrame, tree: DataFrame, k: int) -> DataFrame:
@@ -96,11 +114,13 @@ def cut_tree(points: DataFrame, tree: DataFrame, k: int) -> DataFrame:
     kept = tree.withColumn("r", F.row_number().over(w)).where(F.col("r") >= k).select("a", "b")
     parent = points.select(F.col("id").cast("long").alias("node")).join(
         kept.select(F.col("b").alias("node"), F.col("a").alias("parent")), "node", "left") \
-        .select("node", F.coalesce("parent", "node").alias("parent")).checkpoint()
+        .select("node", F.coalesce("parent", "node").alias("parent"))
+    parent = materialize(parent, "ward")
     while True:
         up = parent.alias("x").join(parent.alias("y"), F.col("x.parent") == F.col("y.node"), "left") \
             .select(F.col("x.node").alias("node"), F.coalesce(F.col("y.parent"), F.col("x.parent")).alias("parent"),
-                    (F.col("y.parent") != F.col("x.parent")).alias("chg")).checkpoint()
+                    (F.col("y.parent") != F.col("x.parent")).alias("chg"))
+        up = materialize(up, "ward")
         changed = up.where(F.coalesce("chg", F.lit(False))).count()
         parent = up.drop("chg")
         if changed == 0:
@@ -114,6 +134,6 @@ def ward(df: DataFrame, id_col: str, vec_col: str, k: int, max_points: int = fix
          seed: int = fixed.RANDOM_STATE) -> DataFrame:
     """Ward clusters of a (sampled, at most ``max_points``) row set: (id, cluster)."""
     pts = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    pts = sample_exact(pts, max_points, "id", seed).checkpoint()
+    pts = materialize(sample_exact(pts, max_points, "id", seed), "ward")
     tree = ward_tree(pts, max_points)
     return cut_tree(pts, tree, k).withColumnRenamed("id", id_col)

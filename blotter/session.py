@@ -65,3 +65,15 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     if path.startswith("file:"):
         os.makedirs(path[len("file:"):], exist_ok=True)
     return path
+
+
+def materialize(df, name: str = "step"):
+    """Cut lineage by writing ``df`` as a parquet table in the shared folder.
+
+    Unlike ``checkpoint()``, the table read back carries statistics of the
+    written files, so iterative joins do not compound their size estimates.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
