@@ -140,6 +140,8 @@ def _refine(df: DataFrame, slices: list[_Slice], buckets: int, accuracy: int,
         cuts = sorted({float(x) for x in (cut_row[f"c{i}"] or []) if x is not None and not math.isnan(x)})
         lo = -math.inf if s.lo is None else s.lo
         cuts = [c for c in cuts if c > lo and (s.hi is None or c < s.hi)]
+        if not cuts:  # the slice is dominated by its lowest value: split that value off
+            cuts = [math.nextafter(lo, math.inf) if s.lo is not None else 0.0]
         splits_array.append([-math.inf] + cuts + [math.inf])
         v = _values(df, s.col)
         scan = scan.withColumn(f"__in{i}", F.when(v.isNotNull() & ~F.isnan(v) & s.cond(v), v))
