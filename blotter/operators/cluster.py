@@ -1,17 +1,15 @@
 """K-Means fits and sweeps.
 
-Fits are Spark ML ``KMeans`` on every row (distributed Lloyd iterations with
-k-means|| seeding).  The reference restarts each fit ``n_init`` times and keeps
-the least inertia; restarts and the k sweep are independent Spark jobs, so
-they are submitted concurrently from a small driver thread pool, which keeps
-a large cluster busy while each single fit is short.  The inputs are cached
-once for all fits.
+Fits use every row.  The reference restarts each fit ``n_init`` times and
+keeps the least inertia, for every k of a sweep; :mod:`kmeans_batch` advances
+all those restarts in the same passes over the data (one scan per Lloyd
+iteration for the whole sweep).  A single Spark ML ``KMeans`` fit is kept for
+users who need a persistable ML model.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
+import numpy as np
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -19,6 +17,7 @@ from pyspark.sql import functions as F
 
 from blotter.functions import fixed
 from blotter.operators import metrics
+from blotter.operators.kmeans_batch import assign, fit_many
 
 
 def as_vectors(df: DataFrame, id_col: str, cols: list[str] | None = None, array_col: str | None = None) -> DataFrame:
@@ -36,44 +35,50 @@ def _fit(vec: DataFrame, k: int, seed: int, max_iter: int, tol: float) -> KMeans
 
 
 def fit_best(vec: DataFrame, k: int, n_init: int = 10, seed: int = fixed.RANDOM_STATE,
-             max_iter: int = 300, tol: float = 1e-4, workers: int = 4) -> KMeansModel:
-    """Least-inertia model over ``n_init`` seeded restarts (K1)."""
-    seeds = [seed + i for i in range(n_init)]
-    with ThreadPoolExecutor(max_workers=max(1, min(workers, n_init))) as pool:
-        models = list(pool.map(lambda s: _fit(vec, k, s, max_iter, tol), seeds))
-    costs = [m.summary.trainingCost for m in models]
-    return models[costs.index(min(costs))]
+             max_iter: int = 300, tol: float = 1e-4):
+    """Least-inertia centres over ``n_init`` seeded restarts, all restarts in
+    the same passes (K1).  Returns (centres, inertia)."""
+    fits = fit_many(vec.select("id", "v"), [(k, seed + i) for i in range(n_init)], max_iter, tol)
+    centres, inertia, _ = min(fits.values(), key=lambda f: f[1])
+    return centres, inertia
+
+
+def fit_spark_model(vec: DataFrame, k: int, seed: int = fixed.RANDOM_STATE, max_iter: int = 300,
+                    tol: float = 1e-4) -> KMeansModel:
+    """A single Spark ML K-Means fit, for persistence as an ML model."""
+    return _fit(vec, k, seed, max_iter, tol)
 
 
-def kmeans_labels(vec: DataFrame, model: KMeansModel) -> DataFrame:
-    return model.transform(vec).select("id", "v", F.col("cluster").cast("long").alias("cluster"))
+def kmeans_labels(vec: DataFrame, centres) -> DataFrame:
+    return assign(vec.select("id", "v"), centres, "cluster")
 
 
 def kmeans_sweep(vec: DataFrame, ks: list[int], n_init: int = 10, seed: int = fixed.RANDOM_STATE,
-                 sample_size: int = fixed.SILHOUETTE_SAMPLE, workers: int = 4) -> tuple[DataFrame, dict]:
-    """Table (k, inertia, silhouette) over ``ks`` and the fitted models (K2, K3)."""
+                 sample_size: int = fixed.SILHOUETTE_SAMPLE, max_iter: int = 300,
+                 tol: float = 1e-4) -> tuple[DataFrame, dict]:
+    """Table (k, inertia, silhouette) over ``ks`` and the best centres per k (K2, K3).
+
+    All k x n_init fits share their passes over the data; the silhouettes of
+    all k use one seeded sample (as the reference: same random state for
+    every k) and one Spark job.
+    """
     spark = vec.sparkSession
-    vec = vec.cache()
-    vec.count()
-    try:
-        jobs = [(k, seed + i) for k in ks for i in range(n_init)]
-        with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
-            fitted = list(pool.map(lambda js: (js[0], _fit(vec, js[0], js[1], 300, 1e-4)), jobs))
-        best: dict[int, KMeansModel] = {}
-        for k, m in fitted:
-            if k not in best or m.summary.trainingCost < best[k].summary.trainingCost:
-                best[k] = m
-        rows = []
-        for k in ks:
-            labels = kmeans_labels(vec, best[k])
-            sil = metrics.silhouette(labels, "id", "v", "cluster", sample_size, seed, None)
-            rows.append((k, float(best[k].summary.trainingCost), sil))
-    finally:
-        vec.unpersist()
+    pts = vec.select("id", "v")
+    fits = fit_many(pts, [(k, seed + i) for k in ks for i in range(n_init)], max_iter, tol)
+    best = {}
+    for (k, _), (centres, inertia, _) in fits.items():
+        if k not in best or inertia < best[k][1]:
+            best[k] = (centres, inertia)
+    sample = metrics.bounded_sample(pts, sample_size, seed, max(sample_size, 1))
+    X = np.vstack(sample["v"].to_numpy())
+    labellings = {k: ((X[:, None, :] - best[k][0][None, :, :]) ** 2).sum(axis=2).argmin(axis=1) for k in ks}
+    usable = {k: lab for k, lab in labellings.items() if len(np.unique(lab)) >= 2}
+    sils = metrics.silhouette_many(spark, X, usable) if usable else {}
+    rows = [(k, float(best[k][1]), sils.get(k)) for k in ks]
     table = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
-    return table, best
+    return table, {k: best[k][0] for k in ks}
 
 
-def best_k(table: DataFrame, strict_first: bool = True) -> int:
+def best_k(table: DataFrame) -> int:
     """k with the largest silhouette, the smaller k on ties."""
     return metrics.best_candidate(table, "silhouette", "k").collect()[0]["k"]

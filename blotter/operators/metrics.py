@@ -36,69 +36,82 @@ def _sq_dist(a, b):
 # --- silhouette ---------------------------------------------------------------------
 
 
-def silhouette_sample_scores(pts: DataFrame, max_points: int) -> DataFrame:
-    """Per-row silhouette of a bounded point set (id, v, label)."""
-    spark = pts.sparkSession
-    n = pts.count()
-    if n > max_points:
-        raise ValueError(f"silhouette: {n} rows exceed the bound {max_points}")
-    ref = pts.orderBy("id").toPandas()
-    labels = ref["label"].to_numpy()
-    mat = np.vstack(ref["v"].to_numpy()) if n else np.zeros((0, 0))
-    uniq, inv = np.unique(labels, return_inverse=True)
-    sizes = np.bincount(inv, minlength=len(uniq)).astype(float)
-    bc = spark.sparkContext.broadcast((mat, inv, sizes, uniq))
+def silhouette_many(spark, X: np.ndarray, labellings: dict[str, np.ndarray], parts: int | None = None) -> dict:
+    """Mean Euclidean silhouette of one bounded point set under several
+    labellings, in one Spark job.
+
+    The points (a checked, bounded sample) are broadcast once; task p takes
+    the p-th slice of query rows and, per labelling, sums distances per
+    cluster with numpy.  Singletons score 0, as do rows with a = b = 0.
+    """
+    names = list(labellings)
+    codes = []
+    for nm in names:
+        _, inv = np.unique(labellings[nm], return_inverse=True)
+        codes.append(inv)
+    parts = parts or max(1, spark.sparkContext.defaultParallelism)
+    bc = spark.sparkContext.broadcast((np.asarray(X, dtype=float), codes))
+    n = len(X)
 
     def run(batches):
         import pandas as pd
 
-        rmat, rinv, rsizes, runiq = bc.value
-        pos = {lab: i for i, lab in enumerate(runiq)}
+        mat, cds = bc.value
         for pdf in batches:
-            if pdf.empty:
-                continue
-            q = np.vstack(pdf["v"].to_numpy())
-            own = np.array([pos[x] for x in pdf["label"].to_numpy()])
-            out = np.zeros(len(pdf))
-            budget = 4_000_000
-            step = max(1, budget // max(1, rmat.shape[0] * rmat.shape[1]))
-            for s in range(0, len(q), step):
-                diff = q[s:s + step, None, :] - rmat[None, :, :]
-                dist = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-                sums = np.zeros((dist.shape[0], len(rsizes)))
-                for c in range(len(rsizes)):
-                    sums[:, c] = dist[:, rinv == c].sum(axis=1)
-                for i in range(dist.shape[0]):
-                    o = own[s + i]
-                    if rsizes[o] <= 1:
-                        out[s + i] = 0.0
-                        continue
-                    a = sums[i, o] / (rsizes[o] - 1)
-                    others = [sums[i, c] / rsizes[c] for c in range(len(rsizes)) if c != o]
-                    b = min(others) if others else np.nan
-                    den = max(a, b)
-                    out[s + i] = 0.0 if not np.isfinite(b) or den == 0 else (b - a) / den
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "label": pdf["label"].to_numpy(), "s": out})
-
-    parts = max(1, spark.sparkContext.defaultParallelism)
-    return pts.repartition(parts, "id").mapInPandas(run, "id long, label long, s double")
+            tot = np.zeros(len(cds))
+            for p in pdf["id"].to_numpy():
+                lo, hi = int(p) * n // parts, (int(p) + 1) * n // parts
+                budget = 4_000_000
+                step = max(1, budget // max(1, n * mat.shape[1]))
+                for s in range(lo, hi, step):
+                    e = min(hi, s + step)
+                    diff = mat[s:e, None, :] - mat[None, :, :]
+                    dist = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+                    for li, inv in enumerate(cds):
+                        sizes = np.bincount(inv).astype(float)
+                        sums = np.zeros((e - s, len(sizes)))
+                        for c in range(len(sizes)):
+                            sums[:, c] = dist[:, inv == c].sum(axis=1)
+                        own = inv[s:e]
+                        rows = np.arange(e - s)
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            a = sums[rows, own] / (sizes[own] - 1)
+                            mean_other = sums / sizes[None, :]
+                        mean_other[rows, own] = np.inf
+                        b = mean_other.min(axis=1)
+                        den = np.maximum(a, b)
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            sv = (b - a) / den
+                        sv[(sizes[own] <= 1) | ~np.isfinite(sv)] = 0.0
+                        tot[li] += sv.sum()
+            yield pd.DataFrame({"li": np.arange(len(cds)), "s": tot})
+
+    res = (spark.range(0, parts, 1, parts).mapInPandas(run, "li long, s double")
+           .groupBy("li").agg(F.sum("s").alias("s")).collect())
+    bc.unpersist()
+    return {names[r["li"]]: (r["s"] / n if n else None) for r in res}
+
+
+def bounded_sample(pts: DataFrame, sample_size: int | None, seed: int, bound: int):
+    """Exact seeded sample of (id, v, ...) rows, checked against ``bound`` and
+    brought to the driver as pandas (the sample, never the table)."""
+    if sample_size:
+        pts = sample_exact(pts, sample_size, "id", seed)
+    pdf = pts.orderBy("id").toPandas()
+    if len(pdf) > bound:
+        raise ValueError(f"silhouette: {len(pdf)} rows exceed the bound {bound}")
+    return pdf
 
 
 def silhouette(df: DataFrame, id_col: str, vec_col: str, label_col: str,
                sample_size: int | None = fixed.SILHOUETTE_SAMPLE, seed: int = fixed.RANDOM_STATE,
-               decimals: int | None = 6) -> float | None:
+               decimals: int | None = 6, bound: int = fixed.GEO_SAMPLE) -> float | None:
     """Mean Euclidean silhouette of non-noise rows on a seeded exact sample (K7)."""
     pts = _points(df, id_col, vec_col, label_col).where(F.col("label") != -1)
-    bound = sample_size if sample_size else fixed.GEO_SAMPLE
-    if sample_size:
-        pts = sample_exact(pts, sample_size, "id", seed)
-    pts = pts.cache()
-    try:
-        if pts.select("label").distinct().limit(2).count() < 2:
-            return None
-        val = silhouette_sample_scores(pts, bound).agg(F.avg("s")).collect()[0][0]
-    finally:
-        pts.unpersist()
+    pdf = bounded_sample(pts, sample_size, seed, bound)
+    if pdf["label"].nunique() < 2:
+        return None
+    val = silhouette_many(df.sparkSession, np.vstack(pdf["v"].to_numpy()), {"s": pdf["label"].to_numpy()})["s"]
     return None if val is None else (round(val, decimals) if decimals is not None else val)
 
 

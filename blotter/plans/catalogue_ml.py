@@ -262,9 +262,9 @@ def _plane_vectors(spark, sf):
 
 @query("kmeans_geo")
 def kmeans_geo(spark, sf):
-    vec = _plane_vectors(spark, sf).cache()
-    model = cl.fit_best(vec, 4, n_init=10)
-    labels = cl.kmeans_labels(vec, model)
+    vec = _plane_vectors(spark, sf)
+    centres, _ = cl.fit_best(vec, 4, n_init=10)
+    labels = cl.kmeans_labels(vec, centres).cache()
     return me.evaluate(labels, "id", "v", "cluster", "KMeans")
 
 
@@ -292,7 +292,7 @@ def kmeans_temporal_sweep(spark, sf):
 @query("model_roundtrip")
 def model_roundtrip(spark, sf):
     vec = _plane_vectors(spark, sf)
-    model = cl.fit_best(vec, 4, n_init=2)
+    model = cl.fit_spark_model(vec, 4)
     path = scratch_dir(spark, "model")
     io.save_model(model, path)
     back = KMeansModel.load(path)
