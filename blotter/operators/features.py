@@ -31,20 +31,30 @@ def encode_temporal(df: DataFrame, day_col: str = "Day_of_Week", season_col: str
 def label_encode(df: DataFrame, cols: list[str], suffix: str = "_Enc", return_models: bool = False):
     """Codes 0..n-1 by sorted class name; missing is the class "nan" (E2).
 
-    ``StringIndexer`` collects only the distinct labels; the transform is a
-    JVM-side lookup.  The fitted models are returned for persistence (S10).
+    One ``StringIndexer`` fit covers all columns in a single pass and
+    collects only the distinct labels; the transform is a JVM-side lookup.
+    The fitted model is returned for persistence (S10).
     """
+    texts = [f"__txt_{i}" for i in range(len(cols))]
+    idx = [f"__idx_{i}" for i in range(len(cols))]
     out = df
-    models = {}
-    for c in cols:
-        text = f"__txt_{c}"
-        out = out.withColumn(text, F.coalesce(_c(c).cast("string"), F.lit("nan")))
-        model = StringIndexer(inputCol=text, outputCol=f"__idx_{c}",
-                              stringOrderType="alphabetAsc").fit(out)
-        out = model.transform(out).withColumn(f"{c}{suffix}", F.col(f"__idx_{c}").cast("int")) \
-            .drop(text, f"__idx_{c}")
-        models[c] = model
-    return (out, models) if return_models else out
+    for c, t in zip(cols, texts):
+        out = out.withColumn(t, F.coalesce(_c(c).cast("string"), F.lit("nan")))
+    model = StringIndexer(inputCols=texts, outputCols=idx, stringOrderType="alphabetAsc").fit(out)
+    out = model.transform(out)
+    for c, i in zip(cols, idx):
+        out = out.withColumn(f"{c}{suffix}", F.col(i).cast("int"))
+    out = out.drop(*texts, *idx)
+    return (out, model) if return_models else out
+
+
+def min_max(df: DataFrame, cols: list[str]) -> dict[str, tuple[float | None, float | None]]:
+    """min and max of several columns in one aggregate pass."""
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.min(_c(c).cast("double")).alias(f"mn{i}"), F.max(_c(c).cast("double")).alias(f"mx{i}")]
+    r = df.agg(*aggs).collect()[0]
+    return {c: (r[f"mn{i}"], r[f"mx{i}"]) for i, c in enumerate(cols)}
 
 
 def cut_edges(mn: float | None, mx: float | None, bins: int) -> list[float] | None:
@@ -71,15 +81,12 @@ def bin_expr(col, edges: list[float] | None) -> Column:
 
 
 def equal_width_bins(df: DataFrame, cols: dict[str, str], bins: int = fixed.GRID_BINS,
-                     fill: int | None = 0) -> DataFrame:
+                     fill: int | None = 0, stats: dict | None = None) -> DataFrame:
     """Equal-width binning of several columns (E3); ``cols`` maps input -> output."""
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.min(_c(c).cast("double")).alias(f"mn{i}"), F.max(_c(c).cast("double")).alias(f"mx{i}")]
-    r = df.agg(*aggs).collect()[0]
+    stats = min_max(df, list(cols)) if stats is None else stats
     out = df
-    for i, (c, name) in enumerate(cols.items()):
-        e = bin_expr(c, cut_edges(r[f"mn{i}"], r[f"mx{i}"], bins))
+    for c, name in cols.items():
+        e = bin_expr(c, cut_edges(stats[c][0], stats[c][1], bins))
         out = out.withColumn(name, F.coalesce(e, F.lit(fill)) if fill is not None else e)
     return out
 
@@ -89,15 +96,12 @@ def grid_id(lat_bin: str, lon_bin: str, lon_bins: int = fixed.GRID_BINS) -> Colu
     return _c(lat_bin) * F.lit(lon_bins) + _c(lon_bin)
 
 
-def minmax_scale(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+def minmax_scale(df: DataFrame, cols: dict[str, str], stats: dict | None = None) -> DataFrame:
     """(x - min) / (max - min); a constant column scales to 0 (E5)."""
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.min(_c(c).cast("double")).alias(f"mn{i}"), F.max(_c(c).cast("double")).alias(f"mx{i}")]
-    r = df.agg(*aggs).collect()[0]
+    stats = min_max(df, list(cols)) if stats is None else stats
     out = df
-    for i, (c, name) in enumerate(cols.items()):
-        mn, mx = r[f"mn{i}"], r[f"mx{i}"]
+    for c, name in cols.items():
+        mn, mx = stats[c]
         x = _c(c).cast("double")
         if mn is None:
             out = out.withColumn(name, F.lit(None).cast("double"))
@@ -148,12 +152,17 @@ META_COLS = [
 
 def engineer(cleaned: DataFrame, lat: str = "Latitude", lon: str = "Longitude",
              categoricals=("Primary Type", "Location Description"), bins: int = fixed.GRID_BINS) -> DataFrame:
-    """Stage 3 derived columns on the cleaned table."""
+    """Stage 3 derived columns on the cleaned table.
+
+    Two fitting passes: one aggregate for the coordinate ranges (shared by
+    binning and scaling) and one multi-column label index.
+    """
     out = encode_temporal(cleaned)
     out = label_encode(out, [c for c in categoricals if c in out.columns])
-    out = equal_width_bins(out, {lat: "Lat_Bin", lon: "Lon_Bin"}, bins)
+    stats = min_max(cleaned, [lat, lon])
+    out = equal_width_bins(out, {lat: "Lat_Bin", lon: "Lon_Bin"}, bins, stats=stats)
     out = out.withColumn("Grid_ID", grid_id("Lat_Bin", "Lon_Bin", bins))
-    return minmax_scale(out, {lat: "Lat_Scaled", lon: "Lon_Scaled"})
+    return minmax_scale(out, {lat: "Lat_Scaled", lon: "Lon_Scaled"}, stats=stats)
 
 
 def feature_matrix(engineered: DataFrame, feature_cols: list[str] | None = None,

@@ -11,7 +11,7 @@ from blotter.operators import prepare, quality
 from blotter.plans import sqlparts as sq
 from blotter.plans import tables as T
 from blotter.plans.registry import query
-from blotter.session import scratch_dir
+from blotter.session import materialize, scratch_dir
 from blotter.sources import io, runs
 
 # --- S1 / S2 / S5 / S6 / S3 / S7 / J5 ------------------------------------------------
@@ -237,6 +237,9 @@ def engineered_incidents(spark, sf):
     inc = T.incidents(spark, sf)
     cleaned = quality.clean_incidents(inc)
     cleaned = prepare.add_severity(prepare.add_temporal_features(cleaned, "Date", parse_text=False))
+    # stage boundary: the cleaned table is written once (as the stage-1 output),
+    # so the fitting passes of stage 3 do not repeat the dedup shuffle
+    cleaned = materialize(cleaned, "cleaned")
     eng = fe.engineer(cleaned)
     return io.with_row_key(eng, "ID")
 
