@@ -79,6 +79,18 @@ def kmeans_sweep(vec: DataFrame, ks: list[int], n_init: int = 10, seed: int = fi
     return table, {k: best[k][0] for k in ks}
 
 
+def cluster_positions(vec: DataFrame, k: int, n: int, seed: int = fixed.RANDOM_STATE, n_init: int = 10,
+                      silhouette_n: int = 2_000) -> DataFrame:
+    """Seeded exact sample of n rows, K-Means with restarts, evaluation with
+    a silhouette sample of ``silhouette_n`` rows (K4)."""
+    from blotter.operators.sampling import sample_exact
+
+    pts = sample_exact(vec.select("id", "v"), n, "id", seed)
+    centres, _ = fit_best(pts, k, n_init, seed)
+    labels = kmeans_labels(pts, centres).cache()
+    return metrics.evaluate(labels, "id", "v", "cluster", f"KMeans_k{k}", sample_size=silhouette_n, seed=seed)
+
+
 def best_k(table: DataFrame) -> int:
     """k with the largest silhouette, the smaller k on ties."""
     return metrics.best_candidate(table, "silhouette", "k").collect()[0]["k"]

@@ -353,3 +353,42 @@ def pca_project(spark, sf):
     wide = X.join(meta.select("row_key", F.col("Primary Type").alias("Primary_Type"), "Season"), "row_key")
     fit = rd.PcaFit(wide, fe.FEATURE_COLS, k=3)
     return fit.project(["row_key", "Primary_Type", "Crime_Severity_Score", "Season"], "PC", 3)
+
+
+@query("geo_result_roundtrip", _dbscan_sql(0.1, 10).replace(
+    "SELECT p.id AS vec_id, CAST(COALESCE(corel.cl, border.cl, -1) AS INTEGER) AS cluster",
+    ", lab AS (SELECT p.id AS vec_id, CAST(COALESCE(corel.cl, border.cl, -1) AS INTEGER) AS cluster") .replace(
+    "FROM p LEFT JOIN corel ON p.id = corel.id LEFT JOIN border ON p.id = border.id",
+    """FROM p LEFT JOIN corel ON p.id = corel.id LEFT JOIN border ON p.id = border.id)
+SELECT l.cluster, count(*) AS size, CAST(min(e.label) AS INTEGER) AS min_label, CAST(max(e.label) AS INTEGER) AS max_label
+FROM lab l JOIN embeddings e ON e.vec_id = l.vec_id GROUP BY l.cluster"""))
+def geo_result_roundtrip(spark, sf):
+    """Label table sink (S8, J5): cluster labels attached to the metadata,
+    written partitioned by cluster, read back and profiled."""
+    labels = dbscan(_scaled_plane(spark, sf), "vec_id", "x_scaled", "y_scaled", 0.1, 10)
+    meta = T.table(spark, sf, "embeddings").select("vec_id", "label")
+    path = scratch_dir(spark, "geo_result")
+    io.write_table(meta.join(labels, "vec_id"), path, partition_by=["cluster"])
+    back = io.read_table(spark, path)
+    return back.groupBy("cluster").agg(F.count("*").alias("size"), F.min("label").alias("min_label"),
+                                       F.max("label").alias("max_label"))
+
+
+@query("kmeans_positions")
+def kmeans_positions(spark, sf):
+    """Parameterised K-Means of the page (K4): seeded sample of n rows, fit,
+    silhouette on 2,000 rows and the Davies-Bouldin index."""
+    vec = _plane_vectors(spark, sf)
+    return cl.cluster_positions(vec, k=5, n=5_000, silhouette_n=2_000)
+
+
+@query("pca_reduce10")
+def pca_reduce10(spark, sf):
+    """10-component pre-reduction with the variance it retains."""
+    emb = T.embedding_vectors(spark, sf)
+    fit = rd.PcaFit(emb, array_col="features", k=10)
+    proj = fit.project(["vec_id", "label"], "PC", 10)
+    path = scratch_dir(spark, "pca10")
+    io.write_table(proj, path)
+    retained = float(sum(fit.ratio))
+    return io.read_table(spark, path).withColumn("retained_variance", F.lit(round(retained, 6)))

@@ -371,3 +371,33 @@ FROM r WHERE experiment = 'convert'""")
 def run_metric_compare(spark, sf):
     flat = runs.flatten_runs(_logged_runs(spark, sf))
     return runs.metric_compare(flat, "metric_big_share")
+
+
+@query("scan_raw_csv_index", "SELECT * FROM orders")
+def scan_raw_csv_index(spark, sf):
+    """Raw-CSV scan (S1): a pandas-style file whose first, unnamed column is a
+    row index; the scan drops it and casts the text fields with try_cast."""
+    orders = T.table(spark, sf, "orders")
+    path = scratch_dir(spark, "rawcsv")
+    io.write_csv(orders.select(F.col("o_orderkey").alias(""), *orders.columns), path)
+    back = io.read_raw_csv(spark, path, types=_ORDER_TYPES, drop_index=True)
+    return back.select(*orders.columns)
+
+
+@query("season_weekend_checks", f"""
+SELECT list_sort(list_distinct(list({sq.season_case('month(ts)')}))) AS seasons,
+       count(*) FILTER (WHERE isodow(ts) >= 6) AS weekend_rows,
+       CAST(min(hour(ts)) AS INTEGER) AS min_hour, CAST(max(hour(ts)) AS INTEGER) AS max_hour,
+       CAST(min(month(ts)) AS INTEGER) AS min_month, CAST(max(month(ts)) AS INTEGER) AS max_month,
+       min(CAST(ts AS DATE)) AS first_date, max(CAST(ts AS DATE)) AS last_date
+FROM events""")
+def season_weekend_checks(spark, sf):
+    """Stage-1 sanity values in one pass (A12): seasons present, weekend
+    rows, hour / month ranges and the date range."""
+    ev = T.table(spark, sf, "events")
+    t = prepare.add_temporal_features(ev.select("ts"), "ts", parse_text=False)
+    return t.agg(F.array_sort(F.collect_set("Season")).alias("seasons"),
+                 F.count_if("Is_Weekend").alias("weekend_rows"),
+                 F.min("Hour").alias("min_hour"), F.max("Hour").alias("max_hour"),
+                 F.min("Month").alias("min_month"), F.max("Month").alias("max_month"),
+                 F.min(F.to_date("ts")).alias("first_date"), F.max(F.to_date("ts")).alias("last_date"))
