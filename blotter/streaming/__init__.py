@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference reads every input whole and has no watermark, window, state or
+late-data handling, so there is no streaming operator to rebuild.  All
+operators of this package are batch DataFrame functions; they can be applied
+per micro-batch through ``foreachBatch`` by a caller that needs it.
+"""
