@@ -134,3 +134,27 @@ def test_evaluate_sentinels(spark):
     r = me.evaluate(spark.createDataFrame(pdf), "id", "v", "label", "x").collect()[0]
     assert (r["n_clusters"], r["silhouette"], r["davies_bouldin"], r["calinski_harabasz"], r["noise_pct"]) == \
         (1, -1.0, 99.0, 0.0, 50.0)
+
+
+def test_batched_kmeans_recovers_blobs_and_reports_inertia(spark):
+    from blotter.operators.cluster import kmeans_sweep
+    from blotter.operators.kmeans_batch import fit_many
+
+    rng = np.random.default_rng(11)
+    centres = np.array([[0.2, 0.2], [0.8, 0.3], [0.5, 0.85]])
+    X = np.vstack([c + rng.normal(scale=0.02, size=(80, 2)) for c in centres])
+    pdf = pd.DataFrame({"id": np.arange(len(X))})
+    pdf["v"] = list(X)
+    df = spark.createDataFrame(pdf)
+    fits = fit_many(df, [(3, 42 + i) for i in range(4)])
+    C, inertia, _ = min(fits.values(), key=lambda f: f[1])
+    lab = ((X[:, None] - C[None]) ** 2).sum(-1).argmin(1)
+    truth = np.repeat(np.arange(3), 80)
+    assert {frozenset(np.nonzero(lab == j)[0]) for j in range(3)} == \
+        {frozenset(np.nonzero(truth == j)[0]) for j in range(3)}
+    assert abs(inertia - ((X - C[lab]) ** 2).sum()) < 1e-9
+    for j in range(3):  # Lloyd fixed point
+        assert np.allclose(C[j], X[lab == j].mean(0))
+    table, _ = kmeans_sweep(df.selectExpr("id", "v"), [2, 3, 4], n_init=2)
+    rows = {r["k"]: r for r in table.collect()}
+    assert max(rows, key=lambda k: rows[k]["silhouette"]) == 3
