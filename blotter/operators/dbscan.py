@@ -20,7 +20,9 @@ Plan, with its scale properties:
 4. Connected components of the cell graph by min-label propagation; the
    cell graph is bounded by the area over eps^2, not by the number of rows.
    Each round is written as a table to the shared checkpoint folder.
-5. Border rows join their (already kept) core neighbours.
+5. Rows of dense cells take their cell's cluster through a broadcast of the
+   (bounded) cell table; only rows of sparse cells are matched by id with
+   their core flag and their kept neighbour lists (border rows).
 """
 
 from __future__ import annotations
@@ -78,8 +80,11 @@ def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02
                       (F.col("cy") + F.col("o.dy")).alias("cy")))
     probes = (probes.join(cells_b.select("cx", "cy", "ns"), ["cx", "cy"])
               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("ns") - 1))).drop("ns"))
-    targets = pts.select("cx", "cy", F.col("id").alias("nid"), F.col("x").alias("nx"), F.col("y").alias("ny"),
-                         F.pmod(F.xxhash64("id"), F.col("ns")).cast("int").alias("salt"))
+    # only rows of cells next to a sparse cell take part (cell keys: bounded by area / eps^2)
+    needed = probes.select("cx", "cy").distinct()
+    targets = (pts.join(_maybe_broadcast(needed, n_cells), ["cx", "cy"], "left_semi")
+               .select("cx", "cy", F.col("id").alias("nid"), F.col("x").alias("nx"), F.col("y").alias("ny"),
+                       F.pmod(F.xxhash64("id"), F.col("ns")).cast("int").alias("salt")))
     d2 = (F.col("px") - F.col("nx")) * (F.col("px") - F.col("nx")) + \
          (F.col("py") - F.col("ny")) * (F.col("py") - F.col("ny"))
     near = probes.join(targets, ["cx", "cy", "salt"]).where(d2 <= F.lit(eps2)).select("pid", "nid")
@@ -89,9 +94,10 @@ def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02
     border_pairs = (near.join(near_counts.where(F.col("k") < min_samples).select("pid"), "pid")
                     .transform(_cut))
 
-    core = (pts.where(F.col("n") >= min_samples).select("id")
-            .unionByName(sparse_core)
-            .join(pts.select("id", "ord", "x", "y", "sx", "sy", "cx", "cy"), "id")
+    keep = ["id", "ord", "x", "y", "sx", "sy", "cx", "cy"]
+    # dense-cell rows are core as they are; only sparse-cell rows are matched by id
+    core = (pts.where(F.col("n") >= min_samples).select(*keep)
+            .unionByName(pts.where(F.col("n") < min_samples).join(sparse_core, "id", "left_semi").select(*keep))
             .transform(_cut))
 
     # 3. link core cells
@@ -156,10 +162,18 @@ def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02
     # one row per component: the numbering window spans components, not rows
     comp = labels.select("lab").distinct().withColumn(
         "cluster", (F.dense_rank().over(Window.orderBy("lab")) - 1).cast("int"))
-    cell_cluster = labels.join(comp, "lab").select("cx", "cy", "cluster")
-    core_lab = core.join(cell_cluster, ["cx", "cy"]).select("id", "cluster")
-    border = (border_pairs.join(core_lab.select(F.col("id").alias("nid"), "cluster"), "nid")
+    cell_cluster = labels.join(comp, "lab").select("cx", "cy", "cluster").transform(_cut)
+    cc = _maybe_broadcast(cell_cluster, n_cells)
+    # dense cells: every row is core and takes its cell's cluster (no shuffle of the rows)
+    dense = pts.where(F.col("n") >= min_samples).join(cc, ["cx", "cy"]).select("id", "cluster")
+    # sparse cells: core rows take their cell's cluster, others the smallest adjacent core cluster
+    core_lab = (pts.where(F.col("n") < min_samples).join(sparse_core, "id", "left_semi")
+                .join(cc, ["cx", "cy"]).select("id", "cluster"))
+    border = (border_pairs.join(core.select(F.col("id").alias("nid"), "cx", "cy"), "nid")
+              .join(cc, ["cx", "cy"])
               .groupBy(F.col("pid").alias("id")).agg(F.min("cluster").alias("bcluster")))
-    return (pts.select("id").join(core_lab, "id", "left").join(border, "id", "left")
-            .select(F.col("id").alias(id_col),
-                    F.coalesce("cluster", "bcluster", F.lit(-1)).cast("int").alias("cluster")))
+    sparse = (pts.where(F.col("n") < min_samples).select("id")
+              .join(core_lab, "id", "left").join(border, "id", "left")
+              .select("id", F.coalesce("cluster", "bcluster", F.lit(-1)).cast("int").alias("cluster")))
+    return dense.select("id", F.col("cluster").cast("int").alias("cluster")).unionByName(sparse) \
+        .withColumnRenamed("id", id_col)

@@ -158,3 +158,12 @@ def test_batched_kmeans_recovers_blobs_and_reports_inertia(spark):
     table, _ = kmeans_sweep(df.selectExpr("id", "v"), [2, 3, 4], n_init=2)
     rows = {r["k"]: r for r in table.collect()}
     assert max(rows, key=lambda k: rows[k]["silhouette"]) == 3
+
+
+def test_dbscan_hot_cell_is_salted_and_exact(spark):
+    rng = np.random.default_rng(21)
+    hot = np.full((120, 2), 0.5) + rng.normal(scale=1e-4, size=(120, 2))  # a third of the rows in one cell
+    rest = np.vstack([blobs(9, 200), rng.uniform(0.45, 0.55, size=(40, 2))])
+    X = np.vstack([hot, rest])[rng.permutation(360)]
+    got = dbscan(frame(spark, X), "id", "x", "y", 0.03, 8, salt_rows=16).orderBy("id").toPandas()["cluster"]
+    assert (got.to_numpy() == brute_dbscan(X, 0.03, 8)).all()
