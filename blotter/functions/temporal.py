@@ -72,7 +72,7 @@ def ordinal_of(col, order: list[str], default: int = 0) -> Column:
     return lookup_or_default(col, {name: i for i, name in enumerate(order)}, default).cast("int")
 
 
-def period_label(mean_hour_col, decimals: int = 1) -> Column:
+def period_label(mean_hour_col, decimals: int = 2) -> Column:
     """Day-part of a mean hour, judged on the value rounded first."""
     h = F.bround(_c(mean_hour_col), decimals)
     expr = None

@@ -172,18 +172,20 @@ def dow_counts_complete(df: DataFrame, day_col: str) -> DataFrame:
 def group_profile(df: DataFrame, group: str, type_col: str, flag: str,
                   score: str | None = None, hour: str | None = None,
                   decimals: int = 2) -> DataFrame:
-    """Cluster profile: size, dominant type, flag rate %, mean score / hour."""
-    aggs = [F.count("*").alias("size"),
+    """Cluster profile (A15, A16): size (rows with a type), dominant type, flag
+    rate %, mean score / hour, all rounded to ``decimals``; the day-part label
+    is judged on the rounded mean hour."""
+    aggs = [F.count(_c(type_col)).alias("size"),
             F.bround(F.avg(_c(flag).cast("double")) * 100.0, decimals).alias(f"{flag}_rate")]
     if score:
         aggs.append(F.bround(F.avg(_c(score)), decimals).alias(f"mean_{score}"))
     if hour:
-        aggs.append(F.bround(F.avg(_c(hour)), 1).alias("mean_hour"))
+        aggs.append(F.bround(F.avg(_c(hour)), decimals).alias("mean_hour"))
     prof = df.groupBy(_c(group).alias(group)).agg(*aggs)
     dom = mode_per_group(df, group, type_col)
     out = prof.join(dom.select(group, F.col(f"mode_{type_col}").alias("dominant_type")), group, "left")
     if hour:
-        out = out.withColumn("period", tf.period_label(F.col("mean_hour")))
+        out = out.withColumn("period", tf.period_label(F.col("mean_hour"), decimals))
     return out.orderBy(group)
 
 

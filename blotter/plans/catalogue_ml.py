@@ -30,11 +30,11 @@ def _period_sql(expr):
 
 
 @query("period_label", f"""
-WITH m AS (SELECT event_type, round_even(avg(CAST(hour(ts) AS DOUBLE)), 1) AS mean_hour FROM events GROUP BY 1)
+WITH m AS (SELECT event_type, round_even(avg(CAST(hour(ts) AS DOUBLE)), 2) AS mean_hour FROM events GROUP BY 1)
 SELECT event_type, mean_hour, {_period_sql('mean_hour')} AS period FROM m""")
 def period_label(spark, sf):
     ev = T.table(spark, sf, "events")
-    m = ev.groupBy("event_type").agg(F.bround(F.avg(tf.hour_of("ts")), 1).alias("mean_hour"))
+    m = ev.groupBy("event_type").agg(F.bround(F.avg(tf.hour_of("ts")), 2).alias("mean_hour"))
     return m.withColumn("period", tf.period_label("mean_hour"))
 
 
@@ -42,8 +42,8 @@ def period_label(spark, sf):
 WITH {sq.INCIDENTS.strip()},
 t AS (SELECT {sq.weekday('"Date"')} AS cluster, CAST(hour("Date") AS INTEGER) AS hour, "Primary Type" AS pt,
              "Arrest" AS arrest FROM incidents),
-prof AS (SELECT cluster, count(*) AS size, round_even(avg(CAST(arrest AS DOUBLE)) * 100.0, 2) AS "Arrest_rate",
-                round_even(avg(CAST(hour AS DOUBLE)), 1) AS mean_hour FROM t GROUP BY cluster),
+prof AS (SELECT cluster, count(pt) AS size, round_even(avg(CAST(arrest AS DOUBLE)) * 100.0, 2) AS "Arrest_rate",
+                round_even(avg(CAST(hour AS DOUBLE)), 2) AS mean_hour FROM t GROUP BY cluster),
 c AS (SELECT cluster, pt, count(*) AS n FROM t WHERE cluster IS NOT NULL AND pt IS NOT NULL GROUP BY ALL),
 d AS (SELECT cluster, pt AS dominant_type FROM
        (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, pt) AS rn FROM c) WHERE rn = 1)
@@ -64,7 +64,7 @@ def cluster_hour_counts(spark, sf):
 
 @query("geo_cluster_profile", """
 WITH t AS (SELECT l_linenumber AS cluster, l_returnflag AS rf, (l_linestatus = 'F') AS flag, l_quantity FROM lineitem),
-prof AS (SELECT cluster, count(*) AS size, round_even(avg(CAST(flag AS DOUBLE)) * 100.0, 2) AS flag_rate,
+prof AS (SELECT cluster, count(rf) AS size, round_even(avg(CAST(flag AS DOUBLE)) * 100.0, 2) AS flag_rate,
                 round_even(avg(l_quantity), 2) AS mean_l_quantity FROM t GROUP BY cluster),
 c AS (SELECT cluster, rf, count(*) AS n FROM t WHERE cluster IS NOT NULL AND rf IS NOT NULL GROUP BY ALL),
 d AS (SELECT cluster, rf AS dominant_type FROM

@@ -26,9 +26,9 @@ def test_severity_lookup_is_exact_and_defaults(spark):
 
 
 def test_period_label_rounds_first(spark):
-    df = spark.createDataFrame([(5.96,), (5.94,), (11.99,), (16.9,), (17.0,)], "h double")
+    df = spark.createDataFrame([(5.996,), (5.994,), (11.999,), (16.9,), (17.0,)], "h double")
     got = [r[0] for r in df.select(tf.period_label("h")).collect()]
-    # 5.96 rounds to 6.0 -> Morning; 11.99 -> 12.0 -> Afternoon
+    # 5.996 rounds to 6.00 -> Morning; 11.999 -> 12.00 -> Afternoon
     assert got == ["Morning", "Late Night", "Afternoon", "Afternoon", "Evening"]
 
 
