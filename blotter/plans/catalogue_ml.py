@@ -392,3 +392,28 @@ def pca_reduce10(spark, sf):
     io.write_table(proj, path)
     retained = float(sum(fit.ratio))
     return io.read_table(spark, path).withColumn("retained_variance", F.lit(round(retained, 6)))
+
+
+# --- whole clustering stage (K11 with S11 / S12) ---------------------------------------------
+
+
+@query("geographic_clustering_stage")
+def geographic_clustering_stage(spark, sf):
+    from blotter.plans.stages import geographic_clustering
+    from blotter.sources import runs as rn
+    log = scratch_dir(spark, "runlog")
+    comparison, _, _ = geographic_clustering(_scaled_plane(spark, sf), "vec_id", "x_scaled", "y_scaled",
+                                             eps=0.1, min_samples=10, run_log=log)
+    comparison.collect()
+    return rn.flatten_runs(rn.read_runs(spark, log))
+
+
+@query("temporal_clustering_stage")
+def temporal_clustering_stage(spark, sf):
+    from blotter.operators import prepare
+    from blotter.plans.stages import temporal_clustering
+    inc = T.incidents(spark, sf)
+    t = fe.encode_temporal(prepare.add_temporal_features(inc, "Date", parse_text=False))
+    profile, _, _ = temporal_clustering(t, "ID", ["Hour", "DayOfWeek_Num", "Month", "Season_Num", "Is_Weekend_Num"],
+                                        "Hour", "Primary Type", "Arrest")
+    return profile
