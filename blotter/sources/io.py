@@ -124,3 +124,13 @@ def with_row_key(df: DataFrame, id_col: str | None = None, name: str = ROW_KEY)
 def save_model(model, path: str) -> None:
     """Persist a fitted Spark ML model or pipeline."""
     model.write().overwrite().save(path)
+
+
+def cached_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Scan kept in executor memory / disk for repeated interactive queries.
+
+    Only the listed columns are cached; a lost block is re-read from the scan.
+    """
+    from pyspark import StorageLevel
+
+    return read_table(spark, path, columns).persist(StorageLevel.MEMORY_AND_DISK)
