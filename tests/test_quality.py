@@ -49,3 +49,28 @@ def test_clean_incidents_order_of_steps(spark):
     assert [r["ID"] for r in out] == [1, 2, 4]
     assert out[1]["District"] == 10.0
     assert out[0]["Location Description"] == "UNKNOWN"
+
+
+def test_raw_csv_stage1_end_to_end(spark, tmp_path):
+    from blotter.operators.prepare import preprocess
+    from blotter.sources.io import read_raw_csv
+
+    text = (",ID,Date,Primary Type,Description,Location Description,Arrest,Domestic,Beat,District,Ward,"
+            "Community Area,Year,Latitude,Longitude\n"
+            "0,1,01/05/2020 11:30:00 PM,THEFT,x,STREET,True,False,111,1.0,2.0,3.0,2020,41.8,-87.6\n"
+            "1,2,07/04/2021 12:00:00 AM,HOMICIDE,y,NA,False,True,112,,4.0,N/A,2021,41.9,-87.7\n"
+            "2,3,bad,battery,z,,False,False,113,3.0,,5.0,2021,41.7,-87.5\n"
+            "3,4,1/5/2020 1:30:00 PM,THEFT,x,STREET,True,False,111,1.0,2.0,3.0,2020,,-87.6\n"
+            "4,1,01/05/2020 11:30:00 PM,THEFT,x,STREET,True,False,111,1.0,2.0,3.0,2020,41.8,-87.6\n")
+    p = tmp_path / "raw.csv"
+    p.write_text(text)
+    raw = read_raw_csv(spark, str(p))
+    assert "_c0" not in raw.columns and raw.schema["Latitude"].dataType.simpleString() == "double"
+    out = {r["ID"]: r for r in preprocess(raw).collect()}
+    assert sorted(out) == [1, 2, 3]  # no coordinates -> dropped; exact copy -> deduplicated
+    # medians are taken before dedup, so the exact copy counts: District [1, 3, 1] -> 1
+    assert out[2]["Location Description"] == "UNKNOWN" and out[2]["District"] == 1.0
+    assert out[2]["Community Area"] == 3.0 and out[3]["Ward"] == 2.0
+    assert out[1]["Crime_Severity_Score"] == 5.0 and out[2]["Crime_Severity_Score"] == 10.0
+    assert out[3]["Crime_Severity_Score"] == 2.0  # lower-case type is not in the map
+    assert out[3]["Date"] is None and out[3]["Is_Weekend"] is False and out[3]["Season"] is None
