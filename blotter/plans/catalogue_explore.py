@@ -200,6 +200,8 @@ c AS (SELECT dayname(ts) AS day_of_week, count(*) AS count FROM events
 SELECT dim.day_of_week, c.count FROM dim LEFT JOIN c ON dim.day_of_week = c.day_of_week
 ORDER BY dim.position""")
 def dow_counts_complete(spark, sf):
+    """The page's multiselect filter (P8, here on weekdays) followed by the
+    week completion (J3): days without rows come back with a NULL count."""
     ev = T.table(spark, sf, "events").withColumn("day_of_week", tf.day_name("ts"))
     return ex.dow_counts_complete(ex.filter_isin(ev, "day_of_week", ["Monday", "Wednesday"]), "day_of_week")
 
