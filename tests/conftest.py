@@ -24,5 +24,7 @@ def spark():
     spark.sparkContext.setLogLevel("ERROR")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="blotter-test-ckpt-"))
+    from blotter.session import ship_package
+    ship_package(spark)
     yield spark
     spark.stop()
