@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T_
 
 from blotter.functions import fixed
 from blotter.operators import features as fe
