@@ -167,3 +167,14 @@ def test_dbscan_hot_cell_is_salted_and_exact(spark):
     X = np.vstack([hot, rest])[rng.permutation(360)]
     got = dbscan(frame(spark, X), "id", "x", "y", 0.03, 8, salt_rows=16).orderBy("id").toPandas()["cluster"]
     assert (got.to_numpy() == brute_dbscan(X, 0.03, 8)).all()
+
+
+@pytest.mark.parametrize("ms", [3, 5])
+def test_dbscan_lattice_duplicates_and_negative_coordinates(spark, ms):
+    eps = 0.05
+    g = np.array([(i * eps - 0.3, j * eps - 0.2) for i in range(8) for j in range(5)])
+    dup = g[::7]  # exact copies
+    far = np.array([[3.0, 3.0], [3.0 + eps, 3.0], [-2.0, -2.0]])
+    X = np.vstack([g, dup, far])
+    got = dbscan(frame(spark, X), "id", "x", "y", eps, ms).orderBy("id").toPandas()["cluster"].to_numpy()
+    assert (got == brute_dbscan(X, eps, ms)).all()
