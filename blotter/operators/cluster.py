@@ -34,11 +34,20 @@ def _fit(vec: DataFrame, k: int, seed: int, max_iter: int, tol: float) -> KMeans
                   predictionCol="cluster").fit(vec)
 
 
+def _fit_input(vec: DataFrame, sample_size: int | None, seed: int) -> DataFrame:
+    """All rows by default; optionally the reference's seeded exact sample
+    (20,000 rows in its geographic and temporal stages)."""
+    from blotter.operators.sampling import sample_exact
+
+    pts = vec.select("id", "v")
+    return sample_exact(pts, sample_size, "id", seed) if sample_size else pts
+
+
 def fit_best(vec: DataFrame, k: int, n_init: int = 10, seed: int = fixed.RANDOM_STATE,
-             max_iter: int = 300, tol: float = 1e-4):
+             max_iter: int = 300, tol: float = 1e-4, sample_size: int | None = None):
     """Least-inertia centres over ``n_init`` seeded restarts, all restarts in
     the same passes (K1).  Returns (centres, inertia)."""
-    fits = fit_many(vec.select("id", "v"), [(k, seed + i) for i in range(n_init)], max_iter, tol)
+    fits = fit_many(_fit_input(vec, sample_size, seed), [(k, seed + i) for i in range(n_init)], max_iter, tol)
     centres, inertia, _ = min(fits.values(), key=lambda f: f[1])
     return centres, inertia
 
@@ -55,15 +64,16 @@ def kmeans_labels(vec: DataFrame, centres) -> DataFrame:
 
 def kmeans_sweep(vec: DataFrame, ks: list[int], n_init: int = 10, seed: int = fixed.RANDOM_STATE,
                  sample_size: int = fixed.SILHOUETTE_SAMPLE, max_iter: int = 300,
-                 tol: float = 1e-4) -> tuple[DataFrame, dict]:
+                 tol: float = 1e-4, fit_sample: int | None = None) -> tuple[DataFrame, dict]:
     """Table (k, inertia, silhouette) over ``ks`` and the best centres per k (K2, K3).
 
     All k x n_init fits share their passes over the data; the silhouettes of
     all k use one seeded sample (as the reference: same random state for
-    every k) and one Spark job.
+    every k) and one Spark job.  ``fit_sample`` fits on a seeded exact sample
+    of that many rows instead of all rows.
     """
     spark = vec.sparkSession
-    pts = vec.select("id", "v")
+    pts = _fit_input(vec, fit_sample, seed)
     fits = fit_many(pts, [(k, seed + i) for k in ks for i in range(n_init)], max_iter, tol)
     best = {}
     for (k, _), (centres, inertia, _) in fits.items():
