@@ -63,16 +63,23 @@ def rate_by_group(df: DataFrame, group: str, flag: str, n: int = 15,
     return out.limit(n) if n else out
 
 
-def describe_columns(df: DataFrame, cols: list[str], decimals: int = 3) -> DataFrame:
-    """count, mean, sample sd, min, exact quartiles, max per column (A10)."""
+def describe_columns(df: DataFrame, cols: list[str], decimals: int = 3, approx: bool = False) -> DataFrame:
+    """count, mean, sample sd, min, quartiles, max per column (A10).
+
+    Quartiles are exact (pandas' linear interpolation) unless ``approx``, which
+    takes them from ``percentile_approx`` in the same single pass."""
     spark = df.sparkSession
     aggs = []
     for i, c in enumerate(cols):
         x = _c(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    if approx:
+        aggs += [F.percentile_approx(_c(c).cast("double"), [0.25, 0.5, 0.75]).alias(f"q{i}")
+                 for i, c in enumerate(cols)]
     basic = df.agg(*aggs).collect()[0]
-    quart = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    quart = ({c: list(basic[f"q{i}"] or [None] * 3) for i, c in enumerate(cols)} if approx
+             else exact_quantiles(df, cols, [0.25, 0.5, 0.75]))
     rows = []
     for i, c in enumerate(cols):
         q = quart.get(c, [None, None, None])

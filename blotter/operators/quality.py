@@ -67,11 +67,16 @@ def dropped_rows(df: DataFrame) -> DataFrame:
                   F.count_if(any_null).alias("rows_dropped"))
 
 
-def fill_median(df: DataFrame, cols: list[str], medians: dict | None = None) -> DataFrame:
+def fill_median(df: DataFrame, cols: list[str], medians: dict | None = None, approx: bool = False) -> DataFrame:
     """Fill missing values with each column's exact median.
 
-    Filled columns become double, since a median may end in .5.
+    Filled columns become double, since a median may end in .5.  ``approx``
+    takes ``percentile_approx`` medians in one pass instead.
     """
+    if medians is None and approx:
+        row = df.agg(*[F.percentile_approx(F.col(_q(c)).cast("double"), 0.5).alias(f"m{i}")
+                       for i, c in enumerate(cols)]).collect()[0]
+        medians = {c: row[f"m{i}"] for i, c in enumerate(cols)}
     medians = median_of(df, cols) if medians is None else medians
     out = df
     for c in cols:

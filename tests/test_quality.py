@@ -74,3 +74,18 @@ def test_raw_csv_stage1_end_to_end(spark, tmp_path):
     assert out[1]["Crime_Severity_Score"] == 5.0 and out[2]["Crime_Severity_Score"] == 10.0
     assert out[3]["Crime_Severity_Score"] == 2.0  # lower-case type is not in the map
     assert out[3]["Date"] is None and out[3]["Is_Weekend"] is False and out[3]["Season"] is None
+
+
+def test_approx_options_close_to_exact(spark):
+    from blotter.operators.explore import describe_columns
+
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"x": rng.normal(size=5000)})
+    df = spark.createDataFrame(pdf)
+    ex_ = describe_columns(df, ["x"]).collect()[0]
+    ap = describe_columns(df, ["x"], approx=True).collect()[0]
+    for q in ["q25", "q50", "q75"]:
+        assert abs(ex_[q] - ap[q]) < 0.01
+    assert abs(ex_["q50"] - round(float(np.median(pdf.x)), 3)) < 1e-9
+    filled = quality.fill_median(df.union(spark.createDataFrame([(None,)], "x double")), ["x"], approx=True)
+    assert filled.where("x IS NULL").count() == 0
