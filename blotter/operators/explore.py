@@ -200,3 +200,9 @@ def cluster_hour_counts(df: DataFrame, cluster: str, hour) -> DataFrame:
     """Counts per (cluster, hour) in key order."""
     return (df.groupBy(_c(cluster).alias("cluster"), _c(hour).alias("hour")).agg(F.count("*").alias("count"))
             .orderBy("cluster", "hour"))
+
+
+def schema_listing(df: DataFrame) -> DataFrame:
+    """Column names and Spark types in table order (P14, the ``dtypes`` listing)."""
+    rows = [(i, name, dtype) for i, (name, dtype) in enumerate(df.dtypes)]
+    return df.sparkSession.createDataFrame(rows, "position int, column string, type string")

@@ -351,3 +351,8 @@ def align_semi(spark, sf):
     ev = T.table(spark, sf, "events")
     keys = sampling.sample_exact(ev.select("event_id"), fixed.SILHOUETTE_SAMPLE, "event_id")
     return sampling.align_semi(ev.select("event_id", "ts", "user_id"), keys, "event_id", keys_bounded=True)
+
+
+@query("schema_listing")
+def schema_listing(spark, sf):
+    return ex.schema_listing(T.table(spark, sf, "orders"))
