@@ -15,8 +15,11 @@ Plan, with its scale properties:
    so a hot cell is spread over several tasks.
 3. Core cells are linked when some core pair across them is within eps.
    Sub-cell bounding boxes decide most cell pairs without distances (box
-   pair fully within eps -> linked, fully beyond -> not); only boxes
-   straddling the eps boundary, for cell pairs not yet linked, compare rows.
+   pair fully within eps -> linked, fully beyond -> not).  Box pairs
+   straddling the eps boundary, for cell pairs not yet linked, compare rows
+   when the exact count of such row pairs is within ``pair_budget``; above
+   it they are first refined through up to three finer levels of boxes
+   (each halving the side), which decides most of them without rows.
 4. Connected components of the cell graph by min-label propagation; the
    cell graph is bounded by the area over eps^2, not by the number of rows.
    Each round is written as a table to the shared checkpoint folder.
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 from blotter.session import materialize
 
 SUB = 4
+REFINE_LEVELS = 3
 BROADCAST_CELLS = 2_000_000
 
 
@@ -47,7 +51,8 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 
 
 def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02, min_samples: int = 20,
-           order_col: str | None = None, salt_rows: int = 200_000, max_rounds: int = 10_000) -> DataFrame:
+           order_col: str | None = None, salt_rows: int = 200_000, max_rounds: int = 10_000,
+           pair_budget: int = 50_000_000) -> DataFrame:
     spark = df.sparkSession
     eps = float(eps)
     eps2 = eps * eps
@@ -103,7 +108,8 @@ def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02
     # 3. link core cells
     sub = (core.groupBy("sx", "sy")
            .agg(F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.min("x").alias("x0"),
-                F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")))
+                F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
+                F.count("*").alias("n")))
     reach = int(math.ceil(eps / t)) + 1
     sub_offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
                          for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1)])
@@ -127,15 +133,44 @@ def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02
         .where(F.col("mind2") <= F.lit(eps2)).transform(_cut)
     cell_pair = ["a_cx", "a_cy", "b_cx", "b_cy"]
     sure = pairs.where(F.col("maxd2") <= F.lit(eps2)).select(*cell_pair).distinct()
-    amb = pairs.where(F.col("maxd2") > F.lit(eps2)).join(sure, cell_pair, "left_anti") \
-        .select("a_sx", "a_sy", "b_sx", "b_sy", *cell_pair)
-    ca = core.select(F.col("sx").alias("a_sx"), F.col("sy").alias("a_sy"), F.col("x").alias("ax"),
-                     F.col("y").alias("ay"))
-    cb = core.select(F.col("sx").alias("b_sx"), F.col("sy").alias("b_sy"), F.col("x").alias("bx"),
-                     F.col("y").alias("by"))
+    amb = (pairs.where(F.col("maxd2") > F.lit(eps2)).join(sure, cell_pair, "left_anti")
+           .select(F.col("a_sx").alias("a_kx"), F.col("a_sy").alias("a_ky"),
+                   F.col("b_sx").alias("b_kx"), F.col("b_sy").alias("b_ky"), "a_n", "b_n", *cell_pair))
+    # Straddling box pairs: the exact number of row pairs they would compare is
+    # sum(a_n * b_n).  While it exceeds the budget, refine the boxes one level
+    # (each halves the side): most pairs are then decided from boxes alone.
+    core_lv = core.withColumn("k0x", F.col("sx")).withColumn("k0y", F.col("sy"))
+    level = 0
+    for lv in range(1, REFINE_LEVELS + 1):
+        work = amb.agg(F.sum(F.col("a_n") * F.col("b_n"))).collect()[0][0] or 0
+        if work <= pair_budget:
+            break
+        step = t / (2 ** lv)
+        core_lv = (core_lv.withColumn(f"k{lv}x", F.floor(F.col("x") / F.lit(step)).cast("long"))
+                   .withColumn(f"k{lv}y", F.floor(F.col("y") / F.lit(step)).cast("long"))).transform(_cut)
+        boxes = (core_lv.groupBy(F.col(f"k{lv - 1}x").alias("px"), F.col(f"k{lv - 1}y").alias("py"),
+                                 F.col(f"k{lv}x").alias("kx"), F.col(f"k{lv}y").alias("ky"))
+                 .agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"),
+                      F.max("y").alias("y1"), F.count("*").alias("n")))
+        ba = boxes.select(*[F.col(c).alias(f"a_{c}") for c in boxes.columns])
+        bb = boxes.select(*[F.col(c).alias(f"b_{c}") for c in boxes.columns])
+        kids = (amb.drop("a_n", "b_n").withColumnRenamed("a_kx", "a_px").withColumnRenamed("a_ky", "a_py")
+                .withColumnRenamed("b_kx", "b_px").withColumnRenamed("b_ky", "b_py")
+                .join(ba, ["a_px", "a_py"]).join(bb, ["b_px", "b_py"]))
+        kids = (kids.withColumn("mind2", gx * gx + gy * gy).withColumn("maxd2", sx_ * sx_ + sy_ * sy_)
+                .where(F.col("mind2") <= F.lit(eps2)).transform(_cut))
+        sure = sure.unionByName(kids.where(F.col("maxd2") <= F.lit(eps2)).select(*cell_pair)).distinct() \
+            .transform(_cut)
+        amb = (kids.where(F.col("maxd2") > F.lit(eps2)).join(sure, cell_pair, "left_anti")
+               .select("a_kx", "a_ky", "b_kx", "b_ky", "a_n", "b_n", *cell_pair))
+        level = lv
+    ca = core_lv.select(F.col(f"k{level}x").alias("a_kx"), F.col(f"k{level}y").alias("a_ky"),
+                        F.col("x").alias("ax"), F.col("y").alias("ay"))
+    cb = core_lv.select(F.col(f"k{level}x").alias("b_kx"), F.col(f"k{level}y").alias("b_ky"),
+                        F.col("x").alias("bx"), F.col("y").alias("by"))
     pd2 = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + \
           (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
-    checked = (amb.join(ca, ["a_sx", "a_sy"]).join(cb, ["b_sx", "b_sy"]).where(pd2 <= F.lit(eps2))
+    checked = (amb.join(ca, ["a_kx", "a_ky"]).join(cb, ["b_kx", "b_ky"]).where(pd2 <= F.lit(eps2))
                .select(*cell_pair).distinct())
     edges = sure.unionByName(checked).distinct().transform(_cut)
 

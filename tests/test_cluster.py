@@ -47,10 +47,12 @@ def frame(spark, X, labels=None):
     return spark.createDataFrame(pdf)
 
 
-@pytest.mark.parametrize("seed,eps,ms", [(0, 0.05, 5), (1, 0.04, 6), (2, 0.08, 12), (3, 0.02, 3)])
-def test_dbscan_equals_brute_force(spark, seed, eps, ms):
+@pytest.mark.parametrize("seed,eps,ms,budget", [(0, 0.05, 5, 50_000_000), (1, 0.04, 6, 0), (2, 0.08, 12, 0),
+                                                (3, 0.02, 3, 50_000_000)])
+def test_dbscan_equals_brute_force(spark, seed, eps, ms, budget):
     X = blobs(seed)
-    got = dbscan(frame(spark, X), "id", "x", "y", eps, ms).orderBy("id").toPandas()["cluster"].to_numpy()
+    got = dbscan(frame(spark, X), "id", "x", "y", eps, ms, pair_budget=budget).orderBy("id").toPandas()["cluster"]
+    got = got.to_numpy()
     assert (got == brute_dbscan(X, eps, ms)).all()
 
 
@@ -176,5 +178,6 @@ def test_dbscan_lattice_duplicates_and_negative_coordinates(spark, ms):
     dup = g[::7]  # exact copies
     far = np.array([[3.0, 3.0], [3.0 + eps, 3.0], [-2.0, -2.0]])
     X = np.vstack([g, dup, far])
-    got = dbscan(frame(spark, X), "id", "x", "y", eps, ms).orderBy("id").toPandas()["cluster"].to_numpy()
+    got = dbscan(frame(spark, X), "id", "x", "y", eps, ms, pair_budget=0).orderBy("id").toPandas()["cluster"]
+    got = got.to_numpy()
     assert (got == brute_dbscan(X, eps, ms)).all()
