@@ -42,15 +42,17 @@ def geographic_clustering(points: DataFrame, id_col: str, x_col: str, y_col: str
         "Hierarchical": ward(plane.select("id", "v"), "id", "v", k, ward_points),
     }
     records = []
-    for name, lab in labels.items():
+    for order_no, (name, lab) in enumerate(labels.items()):
         lab = lab.join(vec, "id").cache()
-        records.append(me.evaluate(lab, "id", "v", "cluster", name))
+        records.append(me.evaluate(lab, "id", "v", "cluster", name).withColumn("order_no", F.lit(order_no)))
         labels[name] = lab
     comparison = records[0]
     for r in records[1:]:
         comparison = comparison.unionByName(r)
     comparison = comparison.cache()
-    best = me.best_candidate(comparison, "silhouette", "algorithm").collect()[0]["algorithm"]
+    # ties go to the earlier algorithm, as an arg-max over the algorithms in order
+    best = me.best_candidate(comparison, "silhouette", "order_no").collect()[0]["algorithm"]
+    comparison = comparison.drop("order_no")
     if run_log:
         params = {"algorithm": F.col("algorithm"),
                   "k": F.when(F.col("algorithm") != "DBSCAN", F.lit(str(k))),
