@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -56,7 +57,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
     if not n:
         return
     col = batch.column(batch.schema.get_field_index(column))
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
     cut = np.cumsum(sizes) // size
     edges = np.flatnonzero(np.diff(cut)) + 1
     begin = 0

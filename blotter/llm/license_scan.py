@@ -62,7 +62,8 @@ TEXTS = (
     ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-COPYRIGHT_LINE = r"(?:^|\n)[ \t#*/;-]*(?:copyright|\(c\)|©)[^\n]*"
+#: A line that names a holder or year; "copyright notice" or "copyright holders" at the start of a wrapped line is text.
+COPYRIGHT_LINE = r"(?:^|\n)[ \t#*/;-]*(?:copyright[ \t]*(?:\(c\)|©|by |:|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©)[^\n]*"
 
 
 def canonical(text: Column) -> Column:

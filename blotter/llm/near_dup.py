@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from blotter.llm.common import binary_of, docs_of, drop_ids, list_of, map_slices, runs, step
 from blotter.operators.components import connected_components
+from blotter.operators.grouped import map_groups
 
 WORDS = 5
 PERCENT = 75
@@ -197,8 +198,6 @@ def rest_pairs(members: DataFrame, classes: DataFrame, components: DataFrame) ->
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
             .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component"))
     rows = rows.join(classes.select("rep", "n", "sig"), "rep")
-    dealt = rows.select("bucket", "i", "j", "own", "rep", "component", "n", "sig").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-
     def pairs_of(group: pa.Table):
         own, rep, comp, n = (np.asarray(group.column(c)) for c in ("own", "rep", "component", "n"))
         sig = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in group.column("sig")])
@@ -211,27 +210,10 @@ def rest_pairs(members: DataFrame, classes: DataFrame, components: DataFrame) ->
                 other = other[signatures_allow(sig[other], sig[k], np.minimum(n[other], n[k]))]
                 src.append(np.minimum(rep[k], rep[other]))
                 dst.append(np.maximum(rep[k], rep[other]))
-        return (np.concatenate(src), np.concatenate(dst)) if src else (np.zeros(0, np.int64),) * 2
+        return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst)}) if src else None
 
-    def run(batches):
-        held = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            keys = np.stack([np.asarray(held.column(c)) for c in ("bucket", "i", "j")])
-            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            yield from emit(held, [0, *edges.tolist()])
-            held = held.slice(int(edges[-1])) if len(edges) else held
-        if held is not None and held.num_rows:
-            yield from emit(held, [0, held.num_rows])
-
-    def emit(table, edges):
-        out = [pairs_of(table.slice(a, b - a)) for a, b in zip(edges, edges[1:], strict=False) if b - a > 1]
-        if out:
-            src, dst = (np.concatenate([o[i] for o in out]) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
-
-    return dealt.mapInArrow(run, "src long, dst long").distinct()
+    dealt = rows.select("bucket", "i", "j", "own", "rep", "component", "n", "sig")
+    return map_groups(dealt, ["bucket", "i", "j"], pairs_of, "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

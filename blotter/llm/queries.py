@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from blotter.llm import (bpe, exact_dedup, license_scan, near_dup, packing, quality_rules, secret_scan, token_orc,
                          toxicity, url_filter)
 from blotter.llm.common import read
+from blotter.llm.sql import ORACLE  # noqa: F401
 from blotter.session import scratch_dir
 
 
@@ -57,4 +58,3 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_license_scan, op3_quality_rules, op4_best_fit_packing, op5_exact_dedup,
     op6_secret_scan, op7_token_orc, op8_bpe_round_trip, op9_toxicity, op10_url_filter)}
-ORACLE: dict[str, str] = {}

@@ -3,13 +3,14 @@
 Terms are lower-cased letter runs and their prefixes.  From the labelled rows
 that may be learned from, Spark counts how many documents of each label hold a
 term; terms that toxic documents hold significantly more often form the
-vocabulary.  Labelled documents become unit TF-IDF vectors over it and an
-inverted index: postings by term, cut into blocks of ``BLOCK`` examples, with
+vocabulary, and all other words count as one common term, so that a vector also
+tells how dense the telling terms are.  Labelled documents become unit TF-IDF
+vectors over it and an inverted index: postings by term, cut into blocks of ``BLOCK`` examples, with
 each block's largest weight.  A query bounds every block by the sum of its block
 maxima, reads blocks in falling order of the bound and stops when the bound
 falls below the k-th best score, so its neighbours are exact.  Neighbours vote
 with weight 1 / (distance + ``SOFT``), shrunk towards the share of toxic
-documents among those without any term; an isotonic fit on the examples
+documents among examples without a telling term; an isotonic fit on the examples
 themselves (each left out of its own neighbours) makes the vote a probability.
 Neighbours are returned as evidence.
 
@@ -69,14 +70,15 @@ class BlockMaxIndex:
         self.top = self.top.reshape(n_terms, self.blocks)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k best (score, example) with a positive score, ties by example; ``without`` is passed over."""
+        """The k best (score, example) with a positive score; of equal scores at the end some are left out.
+        ``without`` is passed over."""
         if not len(terms) or not self.blocks:
             return []
         bound = weights @ self.top[terms]
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable").tolist():
-            # bounds and scores are sums in different order, hence the margin
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-9:
+            # no better score can come; bounds and scores are sums in different order, hence the margin
+            if bound[b] <= 0 or len(best) == k and bound[b] <= -best[-1][0] + 1e-12:
                 break
             score = np.zeros(BLOCK)
             for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
@@ -114,16 +116,21 @@ class Model:
     index: BlockMaxIndex
     doc_id: np.ndarray
     toxic: np.ndarray
-    base: float  # share of toxic documents among examples without a term
+    base: float  # share of toxic documents among examples without a telling term
     curve: tuple[np.ndarray, np.ndarray]
 
     def vector(self, words: Counter, memo: dict) -> tuple[np.ndarray, np.ndarray]:
         count: dict[int, int] = {}
+        other = 0
         for w, n in words.items():
             if (known := memo.get(w)) is None:
                 known = memo[w] = tuple(i for t in terms_of(w) if (i := self.terms.get(t)) is not None)
             for t in known:
                 count[t] = count.get(t, 0) + n
+            if not known:
+                other += n
+        if other:
+            count[len(self.terms)] = other  # the common term of all other words
         return unit(count, self.idf)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
@@ -139,8 +146,8 @@ class Model:
         x, y = self.curve
         if vote < 0 or not len(x):
             return self.base if vote < 0 else vote
-        # half vote, half what the examples with such votes were: the vote keeps its order between equal steps
-        return float(np.clip((vote + np.interp(vote, x, y)) / 2, 0.0, 1.0))
+        # what the examples with such votes were; a share of the vote itself keeps its order within equal steps
+        return float(np.clip(0.2 * vote + 0.8 * np.interp(vote, x, y), 0.0, 1.0))
 
 
 def unit(count: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
     chosen = (t.withColumn("ratio", ratio).filter(more & (F.col("ratio") >= LEAST_RATIO))
               .orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term", "df").collect())
     terms = {r["term"]: i for i, r in enumerate(chosen)}
-    idf = np.log((n1 + n0 + 1) / (np.array([r["df"] for r in chosen], float) + 1)) + 1 if chosen else np.zeros(0)
+    idf = np.log((n1 + n0 + 1) / (np.array([*(r["df"] for r in chosen), n1 + n0], float) + 1)) + 1
 
     def vectors(batches):
         for b in batches:
@@ -219,26 +226,42 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
 
     # at most `most` short vectors
     got = rows.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, weights array<double>").collect()
-    bare = [r["toxic"] for r in got if not r["terms"]]
+    bare = [r["toxic"] for r in got if not any(t < len(terms) for t in r["terms"])]
     base = (sum(bare) + (n1 + 1) / (n1 + n0 + 2)) / (len(bare) + 1)
     # examples with the same strongest terms lie together, which makes block maxima tight
     found = sorted((r for r in got if r["terms"]),
                    key=lambda r: ([t for _, t in sorted(zip(r["weights"], r["terms"], strict=True), key=lambda x: (-x[0], x[1]))][:3], r["doc_id"]))
-    index = BlockMaxIndex([list(zip(r["terms"], r["weights"], strict=True)) for r in found], len(terms))
+    index = BlockMaxIndex([list(zip(r["terms"], r["weights"], strict=True)) for r in found], len(idf))
     model = Model(terms, idf, index, np.array([r["doc_id"] for r in found], np.int64), np.array([r["toxic"] for r in found], float), base, ((), ()))
-    votes = np.array([model.vote(index.search(np.array(r["terms"]), np.array(r["weights"]), NEIGHBOURS, i)) for i, r in enumerate(found)])
-    some = votes >= 0
-    model.curve = isotonic(votes[some], model.toxic[some]) if some.any() else ((), ())
+    model.curve = isotonic(*_votes(rows, model)) if found else ((), ())
     return model
 
 
+def _votes(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Votes and labels of the examples, each left out of its own neighbours; at most MAX_EXAMPLES."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m, memo, place = shared.value, {}, {d: i for i, d in enumerate(shared.value.doc_id.tolist())}
+        for b in batches:
+            votes = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                v = m.vector(Counter(LETTERS.findall(text.lower())), memo)
+                votes.append(m.vote(m.index.search(*v, NEIGHBOURS, place.get(doc, -1))))
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column(2)], ["vote", "toxic"])
+
+    got = np.array([(r["vote"], r["toxic"]) for r in rows.mapInArrow(run, "vote double, toxic int").collect() if r["vote"] >= 0]).reshape(-1, 2)
+    return got[:, 0], got[:, 1]
+
+
 # ---------------------------------------------------------------- score
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> DataFrame:
     """doc_id, score, evidence array<struct<doc_id, similarity, toxic>> (nearest first); a row per input row.
 
-    Texts without any known term, empty and null ones too, get the share of toxic labels among such examples.
+    Texts without a letter, empty and null ones too, have no neighbours and get the share of toxic labels among
+    examples without a telling term.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most))
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))

@@ -97,10 +97,10 @@ def templates(labelled: DataFrame) -> DataFrame:
         branch = here.groupBy("host", "above", "seg").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"))
         # a branch is compared with all labelled ones beside it, so no two branches are ever paired
         node = branch.groupBy("host", "above").agg(
-            F.count("*").alias("children"), F.max("n").alias("largest"), F.sum("n").alias("all"),
+            F.count("*").alias("children"), F.count_if(F.col("l") >= LEAST_LABELS).alias("known"), F.max("n").alias("largest"), F.sum("n").alias("all"),
             F.sum(F.when(F.col("l") >= LEAST_LABELS, F.col("l"))).alias("nl"), F.sum(F.when(F.col("l") >= LEAST_LABELS, F.col("b"))).alias("nb"))
         p = F.col("nb") / F.col("nl")
-        like = (F.col("l") >= LEAST_LABELS) & (F.abs(F.col("b") / F.col("l") - p) <= LIKE * F.sqrt(p * (1 - p) / F.col("l")))
+        like = (F.col("l") >= LEAST_LABELS) & (F.col("known") > 1) & (F.abs(F.col("b") / F.col("l") - p) <= LIKE * F.sqrt(p * (1 - p) / F.col("l")))
         variable = (F.col("children") >= FAN_OUT) & (F.col("largest") <= SHARE * F.col("all"))
         named = branch.join(node, ["host", "above"]).select(
             "host", "above", "seg", F.when(variable, F.lit("{*}")).when(like, F.lit("{~}")).otherwise(F.col("seg")).alias("now"))
