@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from blotter.functions import fixed
 from blotter.operators import metrics
-from blotter.operators.kmeans_batch import assign, fit_many
+from blotter.operators.kmeans_batch import assign, fit_many, lloyd  # noqa: F401
 
 
 def as_vectors(df: DataFrame, id_col: str, cols: list[str] | None = None, array_col: str | None = None) -> DataFrame:
@@ -48,7 +48,7 @@ def fit_best(vec: DataFrame, k: int, n_init: int = 10, seed: int = fixed.RANDOM_
     """Least-inertia centres over ``n_init`` seeded restarts, all restarts in
     the same passes (K1).  Returns (centres, inertia)."""
     fits = fit_many(_fit_input(vec, sample_size, seed), [(k, seed + i) for i in range(n_init)], max_iter, tol)
-    centres, inertia, _ = min(fits.values(), key=lambda f: f[1])
+    centres, inertia, _, _ = min(fits.values(), key=lambda f: f[1])
     return centres, inertia
 
 
@@ -59,7 +59,8 @@ def fit_spark_model(vec: DataFrame, k: int, seed: int = fixed.RANDOM_STATE, max_
 
 
 def kmeans_labels(vec: DataFrame, centres) -> DataFrame:
-    return assign(vec.select("id", "v"), centres, "cluster")
+    """``vec`` with all its columns and ``cluster``."""
+    return assign(vec, centres, "cluster")
 
 
 def kmeans_sweep(vec: DataFrame, ks: list[int], n_init: int = 10, seed: int = fixed.RANDOM_STATE,
@@ -76,7 +77,7 @@ def kmeans_sweep(vec: DataFrame, ks: list[int], n_init: int = 10, seed: int = fi
     pts = _fit_input(vec, fit_sample, seed)
     fits = fit_many(pts, [(k, seed + i) for k in ks for i in range(n_init)], max_iter, tol)
     best = {}
-    for (k, _), (centres, inertia, _) in fits.items():
+    for (k, _), (centres, inertia, _, _) in fits.items():
         if k not in best or inertia < best[k][1]:
             best[k] = (centres, inertia)
     sample = metrics.bounded_sample(pts, sample_size, seed, max(sample_size, 1))
@@ -97,7 +98,7 @@ def cluster_positions(vec: DataFrame, k: int, n: int, seed: int = fixed.RANDOM_S
 
     pts = sample_exact(vec.select("id", "v"), n, "id", seed)
     centres, _ = fit_best(pts, k, n_init, seed)
-    labels = kmeans_labels(pts, centres).cache()
+    labels = kmeans_labels(pts, centres)
     return metrics.evaluate(labels, "id", "v", "cluster", f"KMeans_k{k}", sample_size=silhouette_n, seed=seed)
 
 

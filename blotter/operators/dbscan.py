@@ -14,15 +14,16 @@ Plan, with its scale properties:
    fewer than min_samples per cell; target cells holding many rows are salted
    so a hot cell is spread over several tasks.
 3. Core cells are linked when some core pair across them is within eps.
-   Sub-cell bounding boxes decide most cell pairs without distances (box
-   pair fully within eps -> linked, fully beyond -> not).  Box pairs
-   straddling the eps boundary, for cell pairs not yet linked, compare rows
-   when the exact count of such row pairs is within ``pair_budget``; above
-   it they are first refined through up to three finer levels of boxes
-   (each halving the side), which decides most of them without rows.
-4. Connected components of the cell graph by min-label propagation; the
-   cell graph is bounded by the area over eps^2, not by the number of rows.
-   Each round is written as a table to the shared checkpoint folder.
+   Rows at the same place are one point here.  Sub-cell bounding boxes decide
+   most cell pairs without distances (box pair fully within eps -> linked,
+   fully beyond -> not).  Box pairs straddling the eps boundary, for cell
+   pairs not yet linked, compare points when the exact count of such point
+   pairs is within ``pair_budget``; above it the boxes are halved again and
+   again, which decides most of them, until the count is within the budget
+   or no box holds two points any more.
+4. Connected components of the cell graph by star contraction; the cell
+   graph is bounded by the area over eps^2, not by the number of rows, and
+   the rounds grow with the logarithm of its size.
 5. Rows of dense cells take their cell's cluster through a broadcast of the
    (bounded) cell table; only rows of sparse cells are matched by id with
    their core flag and their kept neighbour lists (border rows).
@@ -35,10 +36,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blotter.operators.components import connected_components
+from blotter.operators.ranking import number_sorted
 from blotter.session import materialize
 
 SUB = 4
-REFINE_LEVELS = 3
 BROADCAST_CELLS = 2_000_000
 
 
@@ -51,18 +53,19 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 
 
 def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02, min_samples: int = 20,
-           order_col: str | None = None, salt_rows: int = 200_000, max_rounds: int = 10_000,
+           order_col: str | None = None, salt_rows: int = 200_000,
            pair_budget: int = 50_000_000) -> DataFrame:
-    spark = df.sparkSession
+    """(id_col, cluster) of every row; rows without coordinates are noise."""
     eps = float(eps)
     eps2 = eps * eps
     side = eps / math.sqrt(2.0) * (1.0 - 1e-12)
     t = side / SUB
     order_col = order_col or id_col
 
-    pts = (df.select(F.col(id_col).alias("id"), F.col(order_col).alias("ord"),
+    rows = df.select(F.col(id_col).alias("id"), F.col(order_col).alias("ord"),
                      F.col(x_col).cast("double").alias("x"), F.col(y_col).cast("double").alias("y"))
-           .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    nowhere = F.col("x").isNull() | F.col("y").isNull()
+    pts = (rows.where(~nowhere)
            .withColumn("sx", F.floor(F.col("x") / F.lit(t)).cast("long"))
            .withColumn("sy", F.floor(F.col("y") / F.lit(t)).cast("long"))
            .withColumn("cx", F.floor(F.col("sx") / F.lit(SUB)).cast("long"))
@@ -92,7 +95,8 @@ def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02
                        F.pmod(F.xxhash64("id"), F.col("ns")).cast("int").alias("salt")))
     d2 = (F.col("px") - F.col("nx")) * (F.col("px") - F.col("nx")) + \
          (F.col("py") - F.col("ny")) * (F.col("py") - F.col("ny"))
-    near = probes.join(targets, ["cx", "cy", "salt"]).where(d2 <= F.lit(eps2)).select("pid", "nid")
+    # used four times below: written once
+    near = probes.join(targets, ["cx", "cy", "salt"]).where(d2 <= F.lit(eps2)).select("pid", "nid").transform(_cut)
     near_counts = near.groupBy("pid").agg(F.count("*").alias("k"))
     sparse_core = near_counts.where(F.col("k") >= min_samples).select(F.col("pid").alias("id"))
     # neighbour lists of non-core sparse rows: fewer than min_samples each
@@ -106,7 +110,8 @@ def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02
             .transform(_cut))
 
     # 3. link core cells
-    sub = (core.groupBy("sx", "sy")
+    places = core.select("x", "y", "sx", "sy", "cx", "cy").distinct().transform(_cut)
+    sub = (places.groupBy("sx", "sy")
            .agg(F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.min("x").alias("x0"),
                 F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
                 F.count("*").alias("n")))
@@ -136,15 +141,16 @@ def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02
     amb = (pairs.where(F.col("maxd2") > F.lit(eps2)).join(sure, cell_pair, "left_anti")
            .select(F.col("a_sx").alias("a_kx"), F.col("a_sy").alias("a_ky"),
                    F.col("b_sx").alias("b_kx"), F.col("b_sy").alias("b_ky"), "a_n", "b_n", *cell_pair))
-    # Straddling box pairs: the exact number of row pairs they would compare is
+    # Straddling box pairs: the exact number of point pairs they would compare is
     # sum(a_n * b_n).  While it exceeds the budget, refine the boxes one level
     # (each halves the side): most pairs are then decided from boxes alone.
-    core_lv = core.withColumn("k0x", F.col("sx")).withColumn("k0y", F.col("sy"))
+    core_lv = places.withColumn("k0x", F.col("sx")).withColumn("k0y", F.col("sy"))
     level = 0
-    for lv in range(1, REFINE_LEVELS + 1):
-        work = amb.agg(F.sum(F.col("a_n") * F.col("b_n"))).collect()[0][0] or 0
-        if work <= pair_budget:
+    while True:
+        left = amb.agg(F.sum(F.col("a_n") * F.col("b_n")).alias("work"), F.max(F.greatest("a_n", "b_n")).alias("most")).first()
+        if (left["work"] or 0) <= pair_budget or left["most"] == 1:
             break
+        lv = level + 1
         step = t / (2 ** lv)
         core_lv = (core_lv.withColumn(f"k{lv}x", F.floor(F.col("x") / F.lit(step)).cast("long"))
                    .withColumn(f"k{lv}y", F.floor(F.col("y") / F.lit(step)).cast("long"))).transform(_cut)
@@ -174,29 +180,15 @@ def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02
                .select(*cell_pair).distinct())
     edges = sure.unionByName(checked).distinct().transform(_cut)
 
-    # 4. components of the cell graph: label = smallest core order key reachable
-    labels = core.groupBy("cx", "cy").agg(F.min("ord").alias("lab")).transform(_cut)
-    both = edges.select(F.col("a_cx").alias("cx"), F.col("a_cy").alias("cy"),
-                        F.col("b_cx").alias("ncx"), F.col("b_cy").alias("ncy")) \
-        .unionByName(edges.select(F.col("b_cx").alias("cx"), F.col("b_cy").alias("cy"),
-                                  F.col("a_cx").alias("ncx"), F.col("a_cy").alias("ncy"))).transform(_cut)
-    for _ in range(max_rounds):
-        incoming = (both.join(labels.select(F.col("cx").alias("ncx"), F.col("cy").alias("ncy"),
-                                            F.col("lab").alias("nlab")), ["ncx", "ncy"])
-                    .groupBy("cx", "cy").agg(F.min("nlab").alias("nlab")))
-        updated = (labels.join(incoming, ["cx", "cy"], "left")
-                   .select("cx", "cy", F.least("lab", F.coalesce("nlab", "lab")).alias("lab"),
-                           (F.coalesce(F.col("nlab") < F.col("lab"), F.lit(False))).alias("chg")))
-        updated = materialize(updated, "dbscan")
-        changed = updated.where("chg").count()
-        labels = updated.drop("chg")
-        if changed == 0:
-            break
+    # 4. components of the cell graph: label = smallest core order key in the component
+    def key(cx, cy):  # one number per cell
+        return F.shiftleft(F.col(cx), 32) + F.col(cy).bitwiseAND((1 << 32) - 1)
 
-    from pyspark.sql import Window
-    # one row per component: the numbering window spans components, not rows
-    comp = labels.select("lab").distinct().withColumn(
-        "cluster", (F.dense_rank().over(Window.orderBy("lab")) - 1).cast("int"))
+    components = connected_components(edges.select(key("a_cx", "a_cy").alias("src"), key("b_cx", "b_cy").alias("dst")))
+    of_cell = (core.groupBy("cx", "cy").agg(F.min("ord").alias("ord")).withColumn("id", key("cx", "cy"))
+               .join(components, "id", "left").withColumn("component", F.coalesce("component", "id")).transform(_cut))
+    labels = of_cell.join(of_cell.groupBy("component").agg(F.min("ord").alias("lab")), "component").select("cx", "cy", "lab")
+    comp = number_sorted(labels, "lab", "cluster").withColumn("cluster", F.col("cluster").cast("int"))
     cell_cluster = labels.join(comp, "lab").select("cx", "cy", "cluster").transform(_cut)
     cc = _maybe_broadcast(cell_cluster, n_cells)
     # dense cells: every row is core and takes its cell's cluster (no shuffle of the rows)
@@ -211,4 +203,4 @@ def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02
               .join(core_lab, "id", "left").join(border, "id", "left")
               .select("id", F.coalesce("cluster", "bcluster", F.lit(-1)).cast("int").alias("cluster")))
     return dense.select("id", F.col("cluster").cast("int").alias("cluster")).unionByName(sparse) \
-        .withColumnRenamed("id", id_col)
+        .unionByName(rows.where(nowhere).select("id", F.lit(-1).alias("cluster"))).withColumnRenamed("id", id_col)

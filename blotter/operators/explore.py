@@ -8,7 +8,6 @@ of the rows is combined map-side before it is shuffled.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from blotter.functions import fixed
@@ -35,10 +34,9 @@ def counts_by(df: DataFrame, key, name: str = "key", count_name: str = "count")
 
 
 def share_of_total(df: DataFrame, col: str, decimals: int = 1) -> DataFrame:
-    """Count and % of total per value (A7).  The window runs over the
-    already-aggregated keys only."""
+    """Count and % of total per value (A7).  The total is one aggregate, joined as a single row."""
     counts = frequency(df, col)
-    total = F.sum("count").over(Window.partitionBy())
+    total = F.lit(df.where(_c(col).isNotNull()).count())
     return counts.withColumn("pct", tf.percent(F.col("count"), total, decimals)).orderBy(F.desc("count"), col)
 
 

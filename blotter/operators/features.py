@@ -8,11 +8,11 @@ transform is a narrow map over the table: no join, no shuffle.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blotter.functions import fixed
+from blotter.operators.ranking import number_sorted
 from blotter.functions import temporal as tf
 
 
@@ -28,24 +28,24 @@ def encode_temporal(df: DataFrame, day_col: str = "Day_of_Week", season_col: str
             .withColumn("Is_Weekend_Num", _c(weekend_col).cast("int")))
 
 
+def label_codes(df: DataFrame, col: str) -> DataFrame:
+    """(value, code): distinct values as text, missing as "nan", numbered in ascending order."""
+    return number_sorted(df.select(F.coalesce(_c(col).cast("string"), F.lit("nan")).alias("value")), "value", "code")
+
+
 def label_encode(df: DataFrame, cols: list[str], suffix: str = "_Enc", return_models: bool = False):
     """Codes 0..n-1 by sorted class name; missing is the class "nan" (E2).
 
-    One ``StringIndexer`` fit covers all columns in a single pass and
-    collects only the distinct labels; the transform is a JVM-side lookup.
-    The fitted model is returned for persistence (S10).
+    The distinct labels of a column are sorted and numbered in ranges on the executors and joined back: a column
+    with as many labels as rows is a shuffle, not a list on the driver; Spark broadcasts a small code table by its
+    size.  ``return_models`` also gives {column: (value, code) table} for persistence (S10).
     """
-    texts = [f"__txt_{i}" for i in range(len(cols))]
-    idx = [f"__idx_{i}" for i in range(len(cols))]
-    out = df
-    for c, t in zip(cols, texts):
-        out = out.withColumn(t, F.coalesce(_c(c).cast("string"), F.lit("nan")))
-    model = StringIndexer(inputCols=texts, outputCols=idx, stringOrderType="alphabetAsc").fit(out)
-    out = model.transform(out)
-    for c, i in zip(cols, idx):
-        out = out.withColumn(f"{c}{suffix}", F.col(i).cast("int"))
-    out = out.drop(*texts, *idx)
-    return (out, model) if return_models else out
+    out, models = df, {}
+    for i, c in enumerate(cols):
+        codes = models[c] = label_codes(df, c)
+        side = codes.select(F.col("value").alias(f"__v{i}"), F.col("code").cast("int").alias(f"{c}{suffix}"))
+        out = out.withColumn(f"__t{i}", F.coalesce(_c(c).cast("string"), F.lit("nan"))).join(side, F.col(f"__t{i}") == F.col(f"__v{i}"), "left").drop(f"__t{i}", f"__v{i}")
+    return (out, models) if return_models else out
 
 
 def min_max(df: DataFrame, cols: list[str]) -> dict[str, tuple[float | None, float | None]]:
@@ -188,3 +188,14 @@ def feature_matrix(engineered: DataFrame, feature_cols: list[str] | None = None,
     X = kept.select(key, *[F.col(f"`__f_{c}`").alias(c) for c in feature_cols])
     meta = kept.select(key, *[F.col(f"`__m_{m}`").alias(m) for m in meta_cols])
     return X, meta
+
+
+def feature_rows(engineered: DataFrame, extra=("Primary Type", "Season"), feature_cols: list[str] | None = None,
+                 key: str = "row_key", bool_cols=("Arrest", "Domestic")) -> DataFrame:
+    """The rows of :func:`feature_matrix` with some metadata beside the features, from one scan."""
+    names = FEATURE_COLS if feature_cols is None else feature_cols
+    cols = [(_c(c).cast("int") if c in bool_cols else _c(c)).alias(c) for c in names]
+    some_null = F.lit(False)
+    for c in names:
+        some_null = some_null | _c(c).isNull()
+    return engineered.where(~some_null).select(_c(key), *cols, *[_c(m) for m in extra])

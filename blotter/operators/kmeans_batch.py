@@ -20,10 +20,11 @@ The points are cached once (MEMORY_AND_DISK) for all passes.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,8 +35,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(par) if df.rdd.getNumPartitions() < par else df
 
 
-def _stack(pdf):
-    return np.vstack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, 0))
+def _stack(column) -> np.ndarray:
+    """A list column's own buffer as a matrix."""
+    return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
 def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
@@ -54,15 +56,13 @@ def _seed_step(pts: DataFrame, specs, centres, step: int):
     bc = spark.sparkContext.broadcast((specs, centres, step))
 
     def run(batches):
-        import pandas as pd
-
         sp, cs, st = bc.value
         best = {}
-        for pdf in batches:
-            if pdf.empty:
+        for b in batches:
+            if not b.num_rows:
                 continue
-            X = _stack(pdf)
-            ids = pdf["id"].to_numpy()
+            X = _stack(b.column(1))
+            ids = np.asarray(b.column(0))
             for r, (k, seed) in enumerate(sp):
                 if k <= st:
                     continue
@@ -78,10 +78,12 @@ def _seed_step(pts: DataFrame, specs, centres, step: int):
                 if np.isfinite(key[i]) and (r not in best or key[i] > best[r][0]):
                     best[r] = (float(key[i]), int(ids[i]), X[i].tolist())
         if best:
-            yield pd.DataFrame({"r": list(best), "key": [b[0] for b in best.values()],
-                                "id": [b[1] for b in best.values()], "v": [b[2] for b in best.values()]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(best), pa.int32()), *(pa.array([b[i] for b in best.values()], t)
+                                                     for i, t in enumerate((pa.float64(), pa.int64(), pa.list_(pa.float64()))))],
+                ["r", "key", "id", "v"])
 
-    picks = (pts.mapInPandas(run, "r int, key double, id long, v array<double>")
+    picks = (pts.mapInArrow(run, "r int, key double, id long, v array<double>")
              .groupBy("r").agg(F.max_by(F.struct("id", "v"), F.struct("key", F.col("id"))).alias("p"))
              .select("r", "p.v").collect())
     bc.unpersist()
@@ -93,33 +95,29 @@ def _lloyd_pass(pts: DataFrame, centres, active):
     bc = spark.sparkContext.broadcast((centres, active))
 
     def run(batches):
-        import pandas as pd
-
         cs, act = bc.value
-        acc = {}
-        for pdf in batches:
-            if pdf.empty:
+        stacked = np.vstack([cs[r] for r in act])  # all restarts' centres: one matrix product per batch
+        ends = np.cumsum([0] + [len(cs[r]) for r in act])
+        half = (stacked ** 2).sum(axis=1) / 2
+        acc = {r: [np.zeros(len(cs[r])), np.zeros_like(cs[r]), 0.0] for r in act}
+        for b in batches:
+            if not b.num_rows:
                 continue
-            X = _stack(pdf)
-            for r in act:
-                C = cs[r]
-                d2 = ((X[:, None, :] - C[None, :, :]) ** 2).sum(axis=2)
-                lab = d2.argmin(axis=1)
-                cnt = np.bincount(lab, minlength=len(C)).astype(float)
-                sums = np.zeros_like(C)
-                np.add.at(sums, lab, X)
-                inertia = float(d2[np.arange(len(X)), lab].sum())
-                if r in acc:
-                    a = acc[r]
-                    acc[r] = (a[0] + cnt, a[1] + sums, a[2] + inertia)
-                else:
-                    acc[r] = (cnt, sums, inertia)
+            X = _stack(b.column(1))
+            near = X @ stacked.T - half  # largest where the distance is least
+            for a, r in enumerate(act):
+                lab = near[:, ends[a]:ends[a + 1]].argmax(axis=1)
+                one = np.zeros((len(X), len(cs[r])))
+                one[np.arange(len(X)), lab] = 1.0
+                acc[r][0] += one.sum(axis=0)
+                acc[r][1] += one.T @ X
+                acc[r][2] += float(((X - cs[r][lab]) ** 2).sum())
         rows = [(r, j, float(c[0][j]), c[1][j].tolist(), c[2] if j == 0 else 0.0)
                 for r, c in acc.items() for j in range(len(c[0]))]
-        if rows:
-            yield pd.DataFrame(rows, columns=["r", "j", "n", "s", "inertia"])
+        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], ["r", "j", "n", "s", "inertia"])
 
-    agg = (pts.mapInPandas(run, "r int, j int, n double, s array<double>, inertia double")
+    agg = (pts.mapInArrow(run, "r int, j int, n double, s array<double>, inertia double")
            .withColumn("sv", array_to_vector("s"))
            .groupBy("r", "j")
            .agg(F.sum("n").alias("n"), F.sum("inertia").alias("inertia"),
@@ -132,10 +130,22 @@ def _lloyd_pass(pts: DataFrame, centres, active):
     return out
 
 
+def lloyd(points: DataFrame, centres: np.ndarray, iterations: int) -> np.ndarray:
+    """Centres after so many Lloyd iterations from given ones; an empty cluster keeps its centre."""
+    pts = points.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    centres = np.array(centres, dtype=float)
+    for _ in range(iterations):
+        for j, (n, s, _) in _lloyd_pass(pts, [centres], [0]).get(0, {}).items():
+            if n > 0:
+                centres[j] = s / n
+    return centres
+
+
 def fit_many(points: DataFrame, specs: list[tuple[int, int]], max_iter: int = 300, tol: float = 1e-4):
     """Fit K-Means for every (k, seed) in ``specs`` over (id, v) points.
 
-    Returns {(k, seed): (centres ndarray k x d, inertia, iterations)}.
+    Returns {(k, seed): (centres ndarray k x d, inertia, iterations, converged)}; a fit that still moves after
+    ``max_iter`` iterations is not converged, as the reference's would not be.
     """
     pts = spread(points.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))) \
         .persist(StorageLevel.MEMORY_AND_DISK)
@@ -173,26 +183,22 @@ def fit_many(points: DataFrame, specs: list[tuple[int, int]], max_iter: int = 30
         out = {}
         for r, spec in enumerate(specs):
             inertia = sum(v[2] for v in final.get(r, {}).values())
-            out[spec] = (centres[r], float(inertia), iters[r])
+            out[spec] = (centres[r], float(inertia), iters[r], r not in active)
         return out
     finally:
         pts.unpersist()
 
 
-def assign(points: DataFrame, centres: np.ndarray, out_col: str = "cluster") -> DataFrame:
-    """Label every (id, v) row with its nearest centre (ties: lower index)."""
-    spark = points.sparkSession
-    bc = spark.sparkContext.broadcast(np.asarray(centres, dtype=float))
+def nearest_centre(vector: Column, centres: np.ndarray) -> Column:
+    """Number of the nearest centre (ties: lower index) as an expression over an array column."""
+    def distance(c):
+        return F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in c]), lambda a, b: (a - b) * (a - b)),
+                           F.lit(0.0), lambda acc, d: acc + d)
+
+    d = F.array(*[distance(c) for c in np.asarray(centres, dtype=float)])
+    return (F.array_position(d, F.array_min(d)) - 1).cast("long")
 
-    def run(batches):
-        C = bc.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            X = _stack(pdf)
-            lab = ((X[:, None, :] - C[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
-            yield pdf.assign(**{out_col: lab.astype("int64")})
 
-    schema = f"id long, v array<double>, {out_col} long"
-    return points.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")) \
-        .mapInPandas(run, schema)
+def assign(points: DataFrame, centres: np.ndarray, out_col: str = "cluster", vec_col: str = "v") -> DataFrame:
+    """``points`` with all columns and the number of the nearest centre; no shuffle, no Python."""
+    return points.withColumn(out_col, nearest_centre(F.col(vec_col).cast("array<double>"), centres))

@@ -142,12 +142,14 @@ def davies_bouldin_from(rows) -> float:
         return fixed.SENTINEL_DAVIES_BOULDIN
     c = np.array([r["c"] for r in rows], dtype=float)
     s = np.array([r["mean_dist"] for r in rows], dtype=float)
-    dist = np.sqrt(((c[:, None, :] - c[None, :, :]) ** 2).sum(axis=2))
-    if np.allclose(s, 0) or np.allclose(dist, 0):
-        return 0.0
-    dist[dist == 0] = np.inf
-    ratio = (s[:, None] + s[None, :]) / dist
-    return float(np.mean(np.max(ratio, axis=1)))
+    worst, apart = np.zeros(len(c)), False
+    block = max(1, 4_000_000 // c.size)  # a few rows of the k x k comparison at once
+    for i in range(0, len(c), block):
+        dist = np.sqrt(((c[i:i + block, None, :] - c[None, :, :]) ** 2).sum(axis=2))
+        apart |= not np.allclose(dist, 0)
+        dist[dist == 0] = np.inf
+        worst[i:i + block] = np.max((s[i:i + block, None] + s[None, :]) / dist, axis=1)
+    return float(np.mean(worst)) if apart and not np.allclose(s, 0) else 0.0
 
 
 def calinski_harabasz_from(rows, grand) -> float:
@@ -193,11 +195,8 @@ def evaluate(df: DataFrame, id_col: str, vec_col: str, label_col: str, algorithm
 
 def cluster_sizes(df: DataFrame, label_col: str, decimals: int = 4) -> DataFrame:
     """Rows per cluster (noise = -1 included) and their share in %."""
-    from pyspark.sql import Window
-
     counts = df.groupBy(F.col(label_col).alias("cluster")).agg(F.count("*").alias("size"))
-    # the window spans the (few) cluster rows only
-    total = F.sum("size").over(Window.partitionBy())
+    total = F.lit(df.count())
     return counts.withColumn("pct", F.bround(F.col("size").cast("double") * 100.0 / total, decimals)) \
         .orderBy("cluster")
 

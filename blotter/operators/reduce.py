@@ -1,23 +1,23 @@
 """Dimensionality reduction and ranking helpers.
 
-PCA is Spark ML's: the d x d covariance is a distributed tree aggregate over
-all rows, only the small eigen-problem runs on the driver.  Inputs are
-standardised with the population sd (reference semantics); Spark's
-StandardScaler uses the sample sd, which differs by the constant factor
-sqrt(n / (n - 1)) that is applied to the projections.
+PCA of standardised inputs is the eigen-decomposition of their correlation
+matrix: one distributed pass sums the outer products, only the features x
+features problem runs on the driver, and projections are column expressions.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blotter.functions import fixed
+from blotter.operators.grouped import map_groups
+from blotter.operators.sampling import sample_exact
+from blotter.session import materialize
 
 
 def _c(c) -> Column:
@@ -61,40 +61,97 @@ def top_k_per_group(df: DataFrame, group: str, order: list, k: int, rank_col: st
 # --- PCA --------------------------------------------------------------------------
 
 
-def _vectorise(df: DataFrame, feature_cols: list[str] | None, array_col: str | None) -> DataFrame:
-    if array_col is not None:
-        return df.withColumn("__vec", array_to_vector(F.col(array_col)))
-    return VectorAssembler(inputCols=feature_cols, outputCol="__vec", handleInvalid="skip").transform(df)
+def moments(df: DataFrame, array: Column, dim: int):
+    """(n, mean, covariance) of a numeric array column, population form, in one pass over the rows.
+
+    Every task sums its rows' outer products around a fixed row of the data (so large offsets do not cancel) and
+    Spark adds the tasks' sums up; the driver sees one row of dim + dim^2 numbers.  A null array or element raises.
+    """
+    values = df.select(array.cast("array<double>").alias("v"))
+    first = values.filter(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())).first()
+    around = np.zeros(dim) if first is None else np.array(first["v"], float)
+
+    def run(batches):
+        n, bad, s, g = 0, 0, np.zeros(dim), np.zeros((dim, dim))
+        for b in batches:
+            col = b.column(0)
+            flat = col.flatten()
+            if col.null_count or flat.null_count:
+                bad += col.null_count + flat.null_count
+                continue
+            x = np.asarray(flat).reshape(-1, dim) - around
+            n += len(x)
+            s += x.sum(axis=0)
+            g += x.T @ x
+        yield pa.RecordBatch.from_pydict({"n": [n], "bad": [bad], "s": [[*s.tolist(), *g.ravel().tolist()]]})
+
+    rows = values.mapInArrow(run, "n long, bad long, s array<double>")
+    total = rows.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"),
+                     vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s")).first()
+    if total["bad"]:
+        raise ValueError(f"PCA input holds {total['bad']} nulls; drop or fill them first")
+    n = total["n"] or 0
+    if not n:
+        return 0, np.zeros(dim), np.zeros((dim, dim))
+    s = np.array(total["s"])
+    shift = s[:dim] / n
+    return n, around + shift, s[dim:].reshape(dim, dim) / n - np.outer(shift, shift)
+
+
+def correlation(covariance: np.ndarray) -> np.ndarray:
+    """Correlation matrix; a constant column correlates with nothing, itself included."""
+    sd = np.sqrt(np.clip(np.diag(covariance), 0, None))
+    scale = np.divide(1.0, sd, out=np.zeros_like(sd), where=sd > 0)
+    return covariance * np.outer(scale, scale)
 
 
 class PcaFit:
-    """Fitted PCA on population-standardised inputs."""
+    """Fitted PCA on population-standardised inputs: the eigenvectors of the correlation matrix.
+
+    One pass over the data; the eigen-problem (features x features) is the driver's.  Signs: the largest absolute
+    loading of a component is positive.
+    """
 
     def __init__(self, df: DataFrame, feature_cols: list[str] | None = None, array_col: str | None = None,
                  k: int | None = None):
-        vec = _vectorise(df, feature_cols, array_col)
-        self.scaler = StandardScaler(inputCol="__vec", outputCol="__std", withMean=True, withStd=True).fit(vec)
-        std = self.scaler.transform(vec)
-        self.n = std.count()
-        dim = len(self.scaler.mean)
+        if array_col is not None:
+            head = df.select(F.size(array_col).alias("d")).first()
+            dim = head["d"] if head else 0
+            self._array = F.col(array_col).cast("array<double>")
+        else:
+            dim = len(feature_cols)
+            self._array = F.array(*[_c(c).cast("double") for c in feature_cols])
+        self._df = df
         self.names = feature_cols if feature_cols else [f"f{i}" for i in range(dim)]
+        self.n, self.mean, covariance = moments(df, self._array, dim)
+        sd = np.sqrt(np.clip(np.diag(covariance), 0, None))
+        self.scale = np.divide(1.0, sd, out=np.zeros_like(sd), where=sd > 0)
+        self.correlation = correlation(covariance)
+        values, vectors = np.linalg.eigh(self.correlation)
+        order = np.argsort(-values, kind="stable")
         self.k = dim if k is None else k
-        self.model = PCA(k=self.k, inputCol="__std", outputCol="__pca").fit(std)
-        pc = self.model.pc.toArray()  # dim x k, small
-        signs = np.sign(pc[np.argmax(np.abs(pc), axis=0), np.arange(pc.shape[1])])
+        values, vectors = np.clip(values[order], 0, None), vectors[:, order][:, : self.k]
+        signs = np.sign(vectors[np.argmax(np.abs(vectors), axis=0), np.arange(vectors.shape[1])]) if dim else np.zeros(0)
         signs[signs == 0] = 1.0
-        self.signs = signs
-        self.components = pc * signs  # largest absolute loading positive
-        self.ratio = list(self.model.explainedVariance.toArray())
-        self.factor = math.sqrt(self.n / (self.n - 1)) if self.n > 1 else 1.0
-        self._vec = vec
+        self.components = vectors * signs
+        self.ratio = (values / values.sum() if values.sum() else values)[: self.k].tolist()
 
     def project(self, keep: list[str], prefix: str = "PC", n_components: int | None = None) -> DataFrame:
+        """Scores as column expressions; every row and the kept columns stay."""
         m = self.k if n_components is None else n_components
-        out = self.model.transform(self.scaler.transform(self._vec))
-        arr = vector_to_array(F.col("__pca"))
-        cols = [(arr[j] * F.lit(float(self.signs[j] * self.factor))).alias(f"{prefix}{j + 1}") for j in range(m)]
-        return out.select(*[_c(c) for c in keep], *cols)
+        cols = []
+        for j in range(m):
+            weight = self.scale * self.components[:, j]
+            terms = F.zip_with(self._array, F.array(*[F.lit(float(w)) for w in weight]), lambda x, w: x * w)
+            cols.append((F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) - F.lit(float(self.mean @ weight))).alias(f"{prefix}{j + 1}"))
+        return self._df.select(*[_c(c) for c in keep], *cols)
+
+
+def correlation_table(spark, fit: PcaFit, decimals: int = 6) -> DataFrame:
+    """(feature_i, feature_j, corr) of all pairs."""
+    d = len(fit.names)
+    rows = [(i, j, float(fit.correlation[i, j])) for i in range(d) for j in range(d)]
+    return spark.createDataFrame(rows, "i int, j int, corr double").withColumn("corr", F.bround("corr", decimals))
 
 
 def pca_scree(spark, fit: PcaFit, thresholds=(0.7, 0.8), decimals: int = 6) -> DataFrame:
@@ -131,64 +188,100 @@ def pca_top_loadings(loadings: DataFrame, k: int = 5) -> DataFrame:
     return top_k_per_group(long, "component", [F.desc("abs_loading"), "feature"], k).orderBy("component", "rank")
 
 
-# --- R5: exact k-nearest-neighbour graph on a bounded sample ----------------------
+# --- R5: exact k-nearest-neighbour graph --------------------------------------------
 
 
-def _pairwise_block(q: np.ndarray, ref: np.ndarray, budget: int = 4_000_000):
-    """Exact Euclidean distances q x ref, computed in memory-bounded blocks."""
-    step = max(1, budget // max(1, ref.shape[0] * ref.shape[1]))
-    for s in range(0, q.shape[0], step):
-        diff = q[s:s + step, None, :] - ref[None, :, :]
-        yield s, np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+def _distances(q: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """Exact Euclidean distances q x ref, in memory-bounded blocks."""
+    out = np.empty((len(q), len(ref)))
+    rows = max(1, 4_000_000 // max(1, ref.size))
+    for s in range(0, len(q), rows):
+        diff = q[s:s + rows, None, :] - ref[None, :, :]
+        out[s:s + rows] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    return out
 
 
-def knn_graph(points: DataFrame, id_col: str, vec_col: str, k: int = fixed.KNN_NEIGHBOURS,
-              max_points: int = fixed.REDUCE_SAMPLE, query_partitions: int | None = None) -> DataFrame:
-    """Exact k nearest neighbours of every point of a bounded point set.
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten()).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
-    The reference builds this graph on an 8,000-row sample; the point set
-    is checked against ``max_points`` and broadcast once, the query side
-    stays partitioned, and every task answers its own rows with numpy.
-    Ties go to the smaller neighbour id.
-    """
-    spark = points.sparkSession
-    pts = points.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    n = pts.count()
-    if n > max_points:
-        raise ValueError(f"knn_graph: {n} points exceed the bound {max_points}; sample first")
-    ref = pts.orderBy("id").toPandas()
-    ids = ref["id"].to_numpy()
-    mat = np.vstack(ref["v"].to_numpy()) if n else np.zeros((0, 0))
-    bc = spark.sparkContext.broadcast((ids, mat))
-    kk = int(k)
 
-    def run(batches):
-        import pandas as pd
+def knn_graph(points: DataFrame, id_col: str, vec_col: str, k: int = fixed.KNN_NEIGHBOURS, pivots: int = 32,
+              block: int = 1_024, seed: int = fixed.RANDOM_STATE) -> DataFrame:
+    """Exact k nearest neighbours of every row among all rows: (src, dst, distance, rank); ties go to the smaller id.
 
-        rid, rmat = bc.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            q = np.vstack(pdf["v"].to_numpy())
-            qid = pdf["id"].to_numpy()
-            out_src, out_dst, out_d, out_r = [], [], [], []
-            for s, dist in _pairwise_block(q, rmat):
-                for i in range(dist.shape[0]):
-                    src = qid[s + i]
-                    d = dist[i].copy()
-                    d[rid == src] = np.inf  # a point is not its own neighbour
-                    m = min(kk, len(rid) - 1)
-                    if m <= 0:
-                        continue
-                    cut = np.partition(d, m - 1)[m - 1]
-                    cand = np.nonzero(d <= cut)[0]
-                    order = cand[np.lexsort((rid[cand], d[cand]))][:m]
-                    out_src.extend([src] * len(order))
-                    out_dst.extend(rid[order].tolist())
-                    out_d.extend(d[order].tolist())
-                    out_r.extend(range(1, len(order) + 1))
-            yield pd.DataFrame({"src": out_src, "dst": out_dst, "distance": out_d, "rank": out_r})
-
-    parts = query_partitions or max(1, spark.sparkContext.defaultParallelism)
+    Rows belong to the nearest of ``pivots`` sampled rows.  The triangle inequality bounds the distance to the k-th
+    neighbour for a whole cell from the cells' radii and their k + 1 rows nearest to the pivot, and thereby which
+    rows a cell can need at all; only those are sent to it.  Cells and what they need are dealt in blocks of about
+    ``block`` rows, two blocks meet in one task, a task passes on k rows per query row, and those are merged by a
+    grouped top-k.  The driver sees the pivots and k + 1 numbers per pivot.  Rows without a vector have no neighbours.
+    """
+    spark = points.sparkSession
+    pts = materialize(points.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+                      .filter("v is not null"), "knn")
+    chosen = sample_exact(pts, pivots, "id", seed).orderBy("id").collect()
     schema = "src long, dst long, distance double, rank int"
-    return pts.repartition(parts, "id").mapInPandas(run, schema)
+    if not chosen:
+        return spark.createDataFrame([], schema)
+    P = np.array([r["v"] for r in chosen], float)
+    bc = spark.sparkContext.broadcast(P)
+
+    def assign(batches):
+        for b in batches:
+            d = _distances(_matrix(b.column(1)), bc.value) if b.num_rows else np.zeros((0, len(bc.value)))
+            cell = d.argmin(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell), pa.array(d[np.arange(len(d)), cell])], ["id", "cell", "own"])
+
+    own = materialize(pts.mapInArrow(assign, "id long, cell int, own double"), "knn-cells")
+    radius = np.zeros(len(P))
+    for r in own.groupBy("cell").agg(F.max("own").alias("r")).collect():
+        radius[r["cell"]] = r["r"]
+    nearest = [(r["cell"], r["own"]) for r in top_k_per_group(own, "cell", ["own", "id"], k + 1).collect()]
+    across = _distances(P, P)
+    reach = np.full(len(P), np.inf)
+    for q in range(len(P)):
+        far = sorted(across[q, j] + d for j, d in nearest)
+        if len(far) > k:  # every row of q has k others within radius + far[k]; a needed row is one more radius away
+            reach[q] = (2 * radius[q] + far[k]) * (1 + 1e-9)
+    own_of = spark.sparkContext.broadcast((P, reach))
+
+    def needed(batches):
+        pv, lim = own_of.value
+        for b in batches:
+            if b.num_rows:
+                d = _distances(_matrix(b.column(1)), pv)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d.argmin(axis=1).astype(np.int32)), b.column(1),
+                                                  pa.array([np.flatnonzero(x <= lim).astype(np.int32).tolist() for x in d], pa.list_(pa.int32()))],
+                                                 ["id", "home", "v", "cells"])
+
+    sent = materialize(pts.mapInArrow(needed, "id long, home int, v array<double>, cells array<int>"), "knn-sent")
+    blocks = lambda c: F.ceil(F.count("*") / block).cast("int").alias(c)
+    queries = sent.groupBy(F.col("home").alias("cell")).agg(blocks("nq"))
+    wanted = sent.select(F.explode("cells").alias("cell")).groupBy("cell").agg(blocks("nc"))
+    sizes = F.broadcast(queries.join(wanted, "cell"))  # at most one row per pivot
+    at = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    ask = (sent.select("id", "v", F.col("home").alias("cell")).join(sizes, "cell")
+           .select("cell", at("nq", 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("cb"), F.lit(0).alias("role"), "id", "v"))
+    give = (sent.select("id", "v", F.explode("cells").alias("cell")).join(sizes, "cell")
+            .select("cell", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), at("nc", 2).alias("cb"), F.lit(1).alias("role"), "id", "v"))
+
+    def meet(group: pa.Table):
+        role, ids, v = np.asarray(group.column("role")), np.asarray(group.column("id")), _matrix(group.column("v"))
+        q, c = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        if not len(q) or not len(c):
+            return None
+        d = _distances(v[q], v[c])
+        d[ids[q][:, None] == ids[c][None, :]] = np.inf  # a row is not its own neighbour
+        src, dst, dist = [], [], []
+        for i in range(len(q)):
+            m = min(k, len(c))
+            near = np.flatnonzero(d[i] <= np.partition(d[i], m - 1)[m - 1])
+            near = near[np.isfinite(d[i][near])]
+            near = near[np.lexsort((ids[c][near], d[i][near]))][:m]
+            src.append(np.full(len(near), ids[q[i]]))
+            dst.append(ids[c][near])
+            dist.append(d[i][near])
+        return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst), "distance": np.concatenate(dist)})
+
+    pairs = map_groups(ask.unionByName(give), ["cell", "qb", "cb"], meet, "src long, dst long, distance double")
+    return top_k_per_group(pairs, "src", ["distance", "dst"], k).select("src", "dst", "distance", F.col("rank").cast("int").alias("rank"))

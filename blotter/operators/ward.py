@@ -1,139 +1,92 @@
-"""Ward agglomerative clustering by rounds of mutual-nearest-neighbour merges (K6).
-
-Ward's merge cost |A||B| / (|A| + |B|) * ||cA - cB||^2 needs only (size,
-centroid) per cluster, and Ward linkage is reducible, so merging every pair
-of mutual nearest neighbours in a round yields the same tree as the
-sequential algorithm (nearest-neighbour ties go to the smaller id, which
-makes the globally cheapest pair always mutual: every round merges).
-
-Like the reference, Ward runs on a bounded seeded sample (``max_points``,
-20,000 by default): the live cluster table is checked against that bound and
-broadcast each round, tasks search nearest neighbours for their share of the
-clusters with numpy, and the merge bookkeeping is DataFrame joins.  Each round
-is written as a table to the shared checkpoint folder.  Cutting at k undoes the
-k - 1 most expensive merges; clusters are numbered by their smallest id.
+"""Ward agglomerative clustering of all rows through grid cells (K6).
+
+Ward's merge cost |A||B| / (|A| + |B|) * ||cA - cB||^2 needs only the size and
+the centroid of each cluster.  All rows are first summed up in the cells of a
+``bins`` x ``bins`` grid over the plane's range: one partial + final aggregate,
+whose result has at most bins^2 rows whatever the input.  Those micro-clusters
+are merged by one task, always the cheapest pair, until k clusters are left;
+every row takes its cell's cluster through a join with the cell table, which is
+small by construction and therefore broadcast.  With one row per cell the result
+is Ward's on the rows themselves; otherwise rows of a cell stay together.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blotter.functions import fixed
-from blotter.operators.sampling import sample_exact
 from blotter.session import materialize
 
+GRID = 48
 
-def _round_task(bc, parts: int):
-    """One merge round for a slice of the live clusters.
 
-    Task p takes the p-th slice of the (broadcast, bounded) live table: each
-    cluster finds its nearest neighbour under Ward cost; a mutual pair is
-    merged into the smaller id (merge record + merged cluster), the larger id
-    disappears, every other cluster is passed on unchanged.
+def merge_cells(n: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Cluster of each cell (named by its first cell) after merging the cheapest pair until ``k`` are left.
+
+    Ties go to the pair with the smaller first cell, then the smaller second one.
+    """
+    m = len(n)
+    n, x, y = (a.astype(float).copy() for a in (n, x, y))  # sizes and centroids
+    owner, live = np.arange(m), np.ones(m, bool)
+
+    def costs(i):
+        c = n * n[i] / (n + n[i]) * ((x - x[i]) ** 2 + (y - y[i]) ** 2)
+        c[~live] = np.inf
+        c[: i + 1] = np.inf  # each pair once, at its first cell
+        return c
+
+    best = np.full(m, np.inf)
+    near = np.zeros(m, int)
+    for i in range(m):
+        c = costs(i)
+        near[i], best[i] = c.argmin(), c.min()
+    for _ in range(m - max(1, k)):
+        a = int(best.argmin())
+        b = int(near[a])
+        x[a], y[a] = ((n[a] * z[a] + n[b] * z[b]) / (n[a] + n[b]) for z in (x, y))
+        n[a] += n[b]
+        live[b], best[b] = False, np.inf
+        owner[owner == b] = a
+        for i in np.flatnonzero(live & ((near == a) | (near == b))).tolist() + [a]:
+            c = costs(i)
+            near[i], best[i] = c.argmin(), c.min()
+        # earlier clusters may have come closer to the merged one
+        first = np.flatnonzero(live[:a])
+        d = n[first] * n[a] / (n[first] + n[a]) * ((x[first] - x[a]) ** 2 + (y[first] - y[a]) ** 2)
+        closer = first[(d < best[first]) | ((d == best[first]) & (a < near[first]))]
+        best[closer], near[closer] = d[np.searchsorted(first, closer)], a
+    return owner
+
+
+def ward(df: DataFrame, id_col: str, x_col: str, y_col: str, k: int, bins: int = GRID) -> DataFrame:
+    """(id, cluster) for every row; clusters are numbered by their smallest id.
+
+    Rows without coordinates have no cluster (null).  k above the number of occupied cells gives a cluster per cell.
     """
-    def nearest(i, sizes, mat):
-        diff = mat - mat[i]
-        d2 = np.einsum("ij,ij->i", diff, diff)
-        cost = sizes * sizes[i] / (sizes + sizes[i]) * d2
-        cost[i] = np.inf
-        j = int(np.argmin(cost))  # first minimum = smallest id on ties (ids sorted)
-        return j, float(cost[j])
+    pts = df.select(F.col(id_col).alias("id"), F.col(x_col).cast("double").alias("x"), F.col(y_col).cast("double").alias("y"))
+    r = pts.agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).first()
+
+    def cell(c):
+        lo, hi = r[f"lo_{c}"], r[f"hi_{c}"]
+        if lo is None or hi == lo:
+            return F.when(F.col(c).isNotNull(), F.lit(0))
+        place = F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(bins - 1)).cast("int")
+        return F.when(F.col(c).isNotNull(), place)
+
+    pts = pts.withColumn("cx", cell("x")).withColumn("cy", cell("y"))
+    cells = pts.filter("cx is not null and cy is not null").groupBy("cx", "cy").agg(
+        F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.min("id").alias("first"))
 
     def run(batches):
-        import pandas as pd
-
-        cids, sizes, mat = bc.value
-        m = len(cids)
-        for pdf in batches:
-            kind, cid, other, costs, size, cent = [], [], [], [], [], []
-            for p in pdf["id"].to_numpy():
-                for i in range(int(p) * m // parts, (int(p) + 1) * m // parts):
-                    j, cost = nearest(i, sizes, mat)
-                    mutual = nearest(j, sizes, mat)[0] == i
-                    if mutual and cids[i] > cids[j]:
-                        continue  # absorbed by the smaller id
-                    if mutual:
-                        tot = sizes[i] + sizes[j]
-                        kind.append(1); cid.append(int(cids[i])); other.append(int(cids[j]))
-                        costs.append(cost); size.append(None); cent.append(None)
-                        kind.append(0); cid.append(int(cids[i])); other.append(None); costs.append(None)
-                        size.append(float(tot)); cent.append(((mat[i] * sizes[i] + mat[j] * sizes[j]) / tot).tolist())
-                    else:
-                        kind.append(0); cid.append(int(cids[i])); other.append(None); costs.append(None)
-                        size.append(float(sizes[i])); cent.append(mat[i].tolist())
-            if kind:
-                yield pd.DataFrame({"kind": kind, "cid": cid, "b": pd.array(other, dtype="Int64"),
-                                    "cost": pd.array(costs, dtype="Float64"),
-                                    "size": pd.array(size, dtype="Float64"), "c": cent})
-    return run
-
-
-def ward_tree(points: DataFrame, max_points: int = fixed.GEO_SAMPLE, max_rounds: int = 100_000) -> DataFrame:
-    """All merges (a absorbs b, cost, round) of the Ward tree of (id, v) rows."""
-    spark = points.sparkSession
-    live = points.select(F.col("id").cast("long").alias("cid"), F.lit(1.0).alias("size"),
-                         F.col("v").cast("array<double>").alias("c"))
-    m = live.count()
-    if m > max_points:
-        raise ValueError(f"ward: {m} rows exceed the bound {max_points}; sample first")
-    parts = max(1, spark.sparkContext.defaultParallelism)
-    schema = "kind int, cid long, b long, cost double, size double, c array<double>"
-    merges, held = [], []
-    snap = live.orderBy("cid").toPandas()  # at most max_points rows, checked above
-    rnd = 0
-    while len(snap) > 1 and rnd < max_rounds:
-        bc = spark.sparkContext.broadcast((snap["cid"].to_numpy(), snap["size"].to_numpy().astype(float),
-                                           np.vstack(snap["c"].to_numpy())))
-        # lineage of a round is range -> task(broadcast): it never grows, and a lost
-        # partition is recomputed from the (kept) broadcast snapshot
-        step = (spark.range(0, parts, 1, parts).mapInPandas(_round_task(bc, parts), schema)
-                .withColumn("round", F.lit(rnd)).persist(StorageLevel.MEMORY_AND_DISK))
-        held.append((step, bc))
-        snap = step.where("kind = 0").select("cid", "size", "c").orderBy("cid").toPandas()
-        merges.append(step.where("kind = 1").select(F.col("cid").alias("a"), "b", "cost", "round"))
-        rnd += 1
-    if not merges:
-        return spark.createDataFrame([], "a long, b long, cost double, round int")
-    out = merges[0]
-    for mm in merges[1:]:
-        out = out.unionByName(mm)
-    out = materialize(out.coalesce(max(1, parts)), "ward")
-    for step, bc in held:
-        step.unpersist()
-        bc.unpersist()
-    return out
-
-
-def cut_tree(points: DataFrame, tree: DataFrame, k: int) -> DataFrame:
-    """Labels after undoing the k - 1 most expensive merges; numbered by smallest id."""
-    w = Window.orderBy(F.desc("cost"), F.desc("round"), F.desc("b"))
-    # ranking the merge table: at most max_points - 1 rows
-    kept = tree.withColumn("r", F.row_number().over(w)).where(F.col("r") >= k).select("a", "b")
-    parent = points.select(F.col("id").cast("long").alias("node")).join(
-        kept.select(F.col("b").alias("node"), F.col("a").alias("parent")), "node", "left") \
-        .select("node", F.coalesce("parent", "node").alias("parent"))
-    parent = materialize(parent, "ward")
-    while True:
-        up = parent.alias("x").join(parent.alias("y"), F.col("x.parent") == F.col("y.node"), "left") \
-            .select(F.col("x.node").alias("node"), F.coalesce(F.col("y.parent"), F.col("x.parent")).alias("parent"),
-                    (F.col("y.parent") != F.col("x.parent")).alias("chg"))
-        up = materialize(up, "ward")
-        changed = up.where(F.coalesce("chg", F.lit(False))).count()
-        parent = up.drop("chg")
-        if changed == 0:
-            break
-    roots = parent.select("parent").distinct().withColumn(
-        "cluster", (F.dense_rank().over(Window.orderBy("parent")) - 1).cast("int"))
-    return parent.join(roots, "parent").select(F.col("node").alias("id"), "cluster")
-
-
-def ward(df: DataFrame, id_col: str, vec_col: str, k: int, max_points: int = fixed.GEO_SAMPLE,
-         seed: int = fixed.RANDOM_STATE) -> DataFrame:
-    """Ward clusters of a (sampled, at most ``max_points``) row set: (id, cluster)."""
-    pts = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    pts = materialize(sample_exact(pts, max_points, "id", seed), "ward")
-    tree = ward_tree(pts, max_points)
-    return cut_tree(pts, tree, k).withColumnRenamed("id", id_col)
+        t = pa.Table.from_batches(list(batches))  # at most bins * bins rows
+        if not t.num_rows:
+            return
+        t = t.sort_by("first")
+        owner = merge_cells(*(np.asarray(t.column(c)) for c in "nxy"), k)
+        number = np.unique(owner, return_inverse=True)[1].astype(np.int32)
+        yield from t.select(["cx", "cy"]).append_column("cluster", pa.array(number)).to_batches()
+
+    labels = materialize(cells.coalesce(1).mapInArrow(run, "cx int, cy int, cluster int"), "ward")
+    return pts.join(F.broadcast(labels), ["cx", "cy"], "left").select(F.col("id").alias(id_col), "cluster")

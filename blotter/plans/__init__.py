@@ -1,15 +1,6 @@
 """Query catalogue over the driver's test tables (keys of SURVEY §7.3)."""
 
-from blotter.plans import catalogue_explore  # noqa: F401
+from blotter.plans import catalogue_explore, catalogue_ml, catalogue_quality  # noqa: F401  (register on import)
 from blotter.plans.registry import ORACLE, QUERIES
 
-try:  # later catalogue parts register on import
-    from blotter.plans import catalogue_quality  # noqa: F401
-except ImportError:  # pragma: no cover
-    pass
-try:
-    from blotter.plans import catalogue_ml  # noqa: F401
-except ImportError:  # pragma: no cover
-    pass
-
 __all__ = ["QUERIES", "ORACLE"]

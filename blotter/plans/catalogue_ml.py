@@ -13,7 +13,6 @@ from blotter.operators import features as fe
 from blotter.operators import metrics as me
 from blotter.operators import reduce as rd
 from blotter.operators.dbscan import dbscan
-from blotter.operators.sampling import sample_exact
 from blotter.operators.ward import ward
 from blotter.plans import sqlparts as sq
 from blotter.plans import tables as T
@@ -240,16 +239,13 @@ def dbscan_geo_wide(spark, sf):
 
 
 @query("knn_graph", f"""
-WITH p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-s AS (SELECT * FROM p ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id LIMIT {fixed.REDUCE_SAMPLE}),
+WITH s AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 d AS (SELECT a.id AS src, b.id AS dst, list_distance(a.v, b.v) AS distance FROM s a JOIN s b ON a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM d)
 SELECT src, dst, round_even(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM r
 WHERE rank <= {fixed.KNN_NEIGHBOURS}""")
 def knn_graph(spark, sf):
-    emb = T.embedding_vectors(spark, sf)
-    s = sample_exact(emb, fixed.REDUCE_SAMPLE, "vec_id")
-    g = rd.knn_graph(s, "vec_id", "features", fixed.KNN_NEIGHBOURS, fixed.REDUCE_SAMPLE)
+    g = rd.knn_graph(T.embedding_vectors(spark, sf), "vec_id", "features", fixed.KNN_NEIGHBOURS)
     return g.withColumn("distance", F.bround("distance", 6))
 
 
@@ -264,7 +260,7 @@ def _plane_vectors(spark, sf):
 def kmeans_geo(spark, sf):
     vec = _plane_vectors(spark, sf)
     centres, _ = cl.fit_best(vec, 4, n_init=10)
-    labels = cl.kmeans_labels(vec, centres).cache()
+    labels = cl.kmeans_labels(vec, centres)
     return me.evaluate(labels, "id", "v", "cluster", "KMeans")
 
 
@@ -299,10 +295,53 @@ def model_roundtrip(spark, sf):
     return back.transform(vec).groupBy(F.col("cluster").alias("cluster")).agg(F.count("*").alias("size"))
 
 
-@query("ward_zones")
+_WARD_BINS, _WARD_K = 12, 4
+
+
+@query("ward_zones", f"""
+WITH RECURSIVE pl AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+st AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pl),
+p AS (SELECT vec_id, (x - x0) / (x1 - x0) AS x, (y - y0) / (y1 - y0) AS y FROM pl, st),
+c AS (SELECT *, least(floor(x * {_WARD_BINS}), {_WARD_BINS - 1}) AS cx, least(floor(y * {_WARD_BINS}), {_WARD_BINS - 1}) AS cy FROM p),
+g AS (SELECT cx, cy, row_number() OVER (ORDER BY min(vec_id)) AS cell, count(*)::DOUBLE AS n, avg(x) AS x, avg(y) AS y, min(vec_id) AS first
+      FROM c GROUP BY cx, cy),
+w(step, cell, cid, n, x, y) AS (
+  SELECT 0, cell, cell, n, x, y FROM g
+  UNION ALL
+  SELECT w.step + 1, w.cell, CASE WHEN w.cid = m.b THEN m.a ELSE w.cid END,
+         CASE WHEN w.cid IN (m.a, m.b) THEN m.n ELSE w.n END, CASE WHEN w.cid IN (m.a, m.b) THEN m.x ELSE w.x END,
+         CASE WHEN w.cid IN (m.a, m.b) THEN m.y ELSE w.y END
+  FROM w, (SELECT a.cid AS a, b.cid AS b, a.n + b.n AS n, (a.n * a.x + b.n * b.x) / (a.n + b.n) AS x, (a.n * a.y + b.n * b.y) / (a.n + b.n) AS y
+           FROM (SELECT DISTINCT cid, n, x, y FROM w) a JOIN (SELECT DISTINCT cid, n, x, y FROM w) b ON a.cid < b.cid
+           ORDER BY a.n * b.n / (a.n + b.n) * ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), a.cid, b.cid LIMIT 1) m
+  WHERE (SELECT count(DISTINCT cid) FROM w) > {_WARD_K}),
+l AS (SELECT cell, cid FROM w WHERE step = (SELECT max(step) FROM w)),
+num AS (SELECT cid, dense_rank() OVER (ORDER BY cid) - 1 AS cluster FROM (SELECT DISTINCT cid FROM l))
+SELECT c.vec_id, CAST(num.cluster AS INTEGER) AS cluster
+FROM c JOIN g ON g.cx = c.cx AND g.cy = c.cy JOIN l ON l.cell = g.cell JOIN num ON num.cid = l.cid""")
 def ward_zones(spark, sf):
-    return ward(_scaled_plane(spark, sf).select("vec_id", F.array("x_scaled", "y_scaled").alias("v")),
-                "vec_id", "v", 4)
+    return ward(_scaled_plane(spark, sf), "vec_id", "x_scaled", "y_scaled", _WARD_K, _WARD_BINS)
+
+
+@query("kmeans_fixed_start", """
+WITH RECURSIVE pl AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+st AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pl),
+p AS (SELECT vec_id, (x - x0) / (x1 - x0) AS x, (y - y0) / (y1 - y0) AS y FROM pl, st),
+c(it, j, x, y) AS (
+  SELECT 0, row_number() OVER (ORDER BY vec_id) - 1, x, y FROM (SELECT * FROM p ORDER BY vec_id LIMIT 4)
+  UNION ALL
+  SELECT it + 1, j, avg(x), avg(y) FROM (
+    SELECT c.it, p.x, p.y, c.j, row_number() OVER (PARTITION BY p.vec_id ORDER BY (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y), c.j) AS r
+    FROM p, c WHERE c.it < 8) WHERE r = 1 GROUP BY it, j),
+last AS (SELECT * FROM c WHERE it = 8),
+l AS (SELECT p.vec_id, last.j, row_number() OVER (PARTITION BY p.vec_id
+        ORDER BY (p.x - last.x) * (p.x - last.x) + (p.y - last.y) * (p.y - last.y), last.j) AS r FROM p, last)
+SELECT vec_id, j AS cluster FROM l WHERE r = 1""")
+def kmeans_fixed_start(spark, sf):
+    """Eight Lloyd iterations from the first four rows (K1): deterministic, so SQL can follow it."""
+    vec = _plane_vectors(spark, sf).select("id", "v")
+    start = [r["v"] for r in vec.orderBy("id").limit(4).collect()]
+    return cl.assign(vec, cl.lloyd(vec, start, 8)).select(F.col("id").alias("vec_id"), "cluster")
 
 
 @query("hierarchical_zones")
@@ -333,6 +372,16 @@ def pca_scree_embeddings(spark, sf):
     return rd.pca_scree(spark, fit)
 
 
+@query("embedding_correlation", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, unnest(range(0, len(v))) AS i, unnest(v) AS x FROM e)
+SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round_even(corr(a.x, b.x), 6) AS corr
+FROM u a JOIN u b ON a.vec_id = b.vec_id GROUP BY a.i, b.i""")
+def embedding_correlation(spark, sf):
+    """The matrix whose eigenvectors are the principal components."""
+    return rd.correlation_table(spark, rd.PcaFit(T.embedding_vectors(spark, sf), array_col="features"))
+
+
 @query("pca_loadings")
 def pca_loadings(spark, sf):
     fit, _, _ = _incident_pca(spark, sf)
@@ -349,8 +398,7 @@ def pca_top_loadings(spark, sf):
 def pca_project(spark, sf):
     from blotter.plans.catalogue_quality import engineered_incidents
     eng = engineered_incidents(spark, sf)
-    X, meta = fe.feature_matrix(eng)
-    wide = X.join(meta.select("row_key", F.col("Primary Type").alias("Primary_Type"), "Season"), "row_key")
+    wide = fe.feature_rows(eng).withColumn("Primary_Type", F.col("Primary Type"))
     fit = rd.PcaFit(wide, fe.FEATURE_COLS, k=3)
     return fit.project(["row_key", "Primary_Type", "Crime_Severity_Score", "Season"], "PC", 3)
 
@@ -417,3 +465,26 @@ def temporal_clustering_stage(spark, sf):
     profile, _, _ = temporal_clustering(t, "ID", ["Hour", "DayOfWeek_Num", "Month", "Season_Num", "Is_Weekend_Num"],
                                         "Hour", "Primary Type", "Arrest")
     return profile
+
+
+@query("reduction_stage")
+def reduction_stage(spark, sf):
+    """The reduction stage's run record, read back from its log."""
+    from blotter.plans.catalogue_quality import engineered_incidents
+    from blotter.plans.stages import dimension_reduction
+    from blotter.sources import runs as rn
+    log, out = scratch_dir(spark, "runlog"), scratch_dir(spark, "reduction")
+    rows = fe.feature_rows(engineered_incidents(spark, sf))
+    dimension_reduction(rows, fe.FEATURE_COLS, ["row_key", "Primary Type", "Season"], 3, log, output=out)
+    return rn.flatten_runs(rn.read_runs(spark, log))
+
+
+@query("temporal_cluster_hours")
+def temporal_cluster_hours(spark, sf):
+    """Rows per temporal cluster and hour, from the stage's written result."""
+    from blotter.operators import prepare
+    from blotter.plans.stages import temporal_clustering
+    t = fe.encode_temporal(prepare.add_temporal_features(T.incidents(spark, sf), "Date", parse_text=False))
+    out = scratch_dir(spark, "temporal")
+    temporal_clustering(t, "ID", ["Hour", "DayOfWeek_Num", "Month", "Season_Num", "Is_Weekend_Num"], "Hour", "Primary Type", "Arrest", output=out)
+    return io.read_table(spark, f"{out}/cluster_hours")

@@ -400,3 +400,79 @@ def season_weekend_checks(spark, sf):
                  F.min("Hour").alias("min_hour"), F.max("Hour").alias("max_hour"),
                  F.min("Month").alias("min_month"), F.max("Month").alias("max_month"),
                  F.min(F.to_date("ts")).alias("first_date"), F.max(F.to_date("ts")).alias("last_date"))
+
+
+# --- S1 + stage 1: raw text to the cleaned table -----------------------------------------
+
+#: Incident types given to order priorities: listed severities, and one that is not.
+_TYPE_OF = {"1-URGENT": "HOMICIDE", "2-HIGH": "ROBBERY", "3-MEDIUM": "THEFT", "4-NOT SPECIFIED": 'OTHER, "MIXED"'}
+_TYPE_ELSE = "NARCOTICS"
+
+
+def write_incident_csv(spark, sf, path):
+    """``orders`` as a raw incident file: an unnamed index, text dates of all seasons, quotes and commas within
+    fields, integers with gaps (``111.0``), missing coordinates and districts, and repeated rows."""
+    o, key = T.table(spark, sf, "orders"), F.col("o_orderkey")
+    kind = F.lit(_TYPE_ELSE)
+    for priority, name in _TYPE_OF.items():
+        kind = F.when(F.col("o_orderpriority") == priority, F.lit(name)).otherwise(kind)
+    when = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(hours=(key % 24).cast("int"))
+    raw = o.select(
+        key.alias("ID"), F.date_format(when, "MM/dd/yyyy hh:mm:ss a").alias("Date"), kind.alias("Primary Type"),
+        F.concat(F.lit('status "'), F.col("o_orderstatus"), F.lit('", order')).alias("Description"),
+        F.when(key % 5 != 0, F.concat(F.lit("ZONE, "), (key % 4).cast("string"))).alias("Location Description"),
+        (key % 3 == 0).alias("Arrest"), (key % 4 == 0).alias("Domestic"),
+        F.when(key % 17 != 0, F.concat((key % 300).cast("string"), F.lit(".0"))).alias("Beat"),
+        F.when(key % 7 != 0, (key % 25).cast("double")).alias("District"), F.when(key % 6 != 0, (key % 50).cast("double")).alias("Ward"),
+        F.when(key % 9 != 0, (key % 77).cast("double")).alias("Community Area"), F.year("o_orderdate").alias("Year"),
+        F.when(key % 11 != 0, F.col("o_totalprice")).alias("Latitude"), (key % 1000).cast("double").alias("Longitude"))
+    raw = raw.unionByName(raw.filter("ID % 13 = 0"))
+    io.write_csv(raw.select(F.col("ID").alias(""), *raw.columns), path)
+
+
+_CASES = " ".join(f"WHEN o_orderpriority = '{k}' THEN '{v}'" for k, v in _TYPE_OF.items())
+
+
+@query("stage1_from_csv", f"""
+WITH r AS (
+  SELECT o_orderkey AS "ID", CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS "Date",
+         CASE {_CASES} ELSE '{_TYPE_ELSE}' END AS "Primary Type", 'status "' || o_orderstatus || '", order' AS "Description",
+         COALESCE(CASE WHEN o_orderkey % 5 <> 0 THEN 'ZONE, ' || CAST(o_orderkey % 4 AS VARCHAR) END, 'UNKNOWN') AS "Location Description",
+         o_orderkey % 3 = 0 AS "Arrest", o_orderkey % 4 = 0 AS "Domestic",
+         CAST(CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey % 300 END AS INTEGER) AS "Beat",
+         CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey % 25 AS DOUBLE) END AS d,
+         CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderkey % 50 AS DOUBLE) END AS w,
+         CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_orderkey % 77 AS DOUBLE) END AS c,
+         CAST(year(o_orderdate) AS INTEGER) AS "Year", CAST(o_totalprice AS DOUBLE) AS "Latitude", CAST(o_orderkey % 1000 AS DOUBLE) AS "Longitude"
+  FROM orders WHERE o_orderkey % 11 <> 0),
+copies AS (SELECT * FROM r UNION ALL SELECT * FROM r WHERE "ID" % 13 = 0),
+m AS (SELECT quantile_cont(d, 0.5) AS d, quantile_cont(w, 0.5) AS w, quantile_cont(c, 0.5) AS c FROM copies)
+SELECT r."ID", "Date", "Primary Type", "Description", "Location Description", "Arrest", "Domestic", "Beat", COALESCE(r.d, m.d) AS "District",
+       COALESCE(r.w, m.w) AS "Ward", COALESCE(r.c, m.c) AS "Community Area", "Year", "Latitude", "Longitude",
+       CAST(hour("Date") AS INTEGER) AS "Hour", dayname("Date") AS "Day_of_Week", CAST(month("Date") AS INTEGER) AS "Month",
+       isodow("Date") >= 6 AS "Is_Weekend", {sq.season_case('month("Date")')} AS "Season", {sq.severity_case('"Primary Type"')} AS "Crime_Severity_Score"
+FROM r, m""")
+def stage1_from_csv(spark, sf):
+    """Raw CSV text through the whole of stage 1."""
+    path = scratch_dir(spark, "incidents-csv")
+    write_incident_csv(spark, sf, path)
+    return prepare.preprocess(io.read_raw_csv(spark, path))
+
+
+@query("cached_scan", "SELECT o_orderstatus, count(*) AS orders, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
+def cached_scan(spark, sf):
+    """Two questions over one cached scan."""
+    o = io.cached_table(spark, f"{sf}/orders.parquet", ["o_orderstatus", "o_custkey"])
+    n = o.groupBy("o_orderstatus").agg(F.count("*").alias("orders"))
+    return n.join(o.groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("customers")), "o_orderstatus")
+
+
+_MONTH_CASE = "CASE " + " ".join(f"WHEN month(o_orderdate) = {i + 1} THEN '{n}'" for i, n in enumerate(fixed.MONTH_NAMES)) + " END"
+
+
+@query("monthly_names", f"SELECT CAST(month(o_orderdate) AS INTEGER) AS month, {_MONTH_CASE} AS month_name, count(*) AS count FROM orders GROUP BY 1, 2")
+def monthly_names(spark, sf):
+    """Counts per month with its short name."""
+    o = T.table(spark, sf, "orders").groupBy(F.month("o_orderdate").alias("month")).agg(F.count("*").alias("count"))
+    names = F.create_map(*[x for i, n in enumerate(fixed.MONTH_NAMES) for x in (F.lit(i + 1), F.lit(n))])
+    return o.select("month", names[F.col("month")].alias("month_name"), "count")

@@ -1,12 +1,15 @@
 """Session defaults and shared scratch locations.
 
-On a cluster the shared folder comes from ``spark.checkpoint.dir``; we only
-create one under the local temp area when nothing is configured (tests,
-single-node benchmarks).
+On a cluster the shared folder comes from ``spark.checkpoint.dir``.  Only a
+session whose executors are threads of the driver (``local[...]``) gets a
+folder of its own in the temp area when nothing is configured; any other master
+raises, since executors would each write to their own disk.
 """
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
@@ -68,31 +71,50 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+def _is_local(master: str) -> bool:
+    """Executors are threads of the driver: ``local``, ``local[4]``, ``local[*, 2]``; not ``local-cluster``."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """Return the shared checkpoint folder, setting a local one only if unset and the master is local."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        try:
-            configured = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # noqa: BLE001 - conf lookup raises when unset
-            configured = None
+    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not _is_local(sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set; master {sc.master} needs a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="blotter-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
-    """A fresh, unique folder below the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/blotter-{name}-{uuid.uuid4().hex}"
-    if path.startswith("file:"):
-        os.makedirs(path[len("file:"):], exist_ok=True)
-    return path
+    """A fresh, unique path below the shared checkpoint folder; Spark's writer creates it."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/blotter-{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables materialised inside are deleted at the end: write or collect the result before.
+
+    >>> with scratch(spark):
+    ...     dbscan(points, "id", "x", "y").write.parquet(path)
+    """
+    token = _MADE.set([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _MADE.get():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(hadoop).delete(where, True)
+        _MADE.reset(token)
+
+
+_MADE: contextvars.ContextVar = contextvars.ContextVar("blotter_scratch", default=None)
 
 
 def materialize(df, name: str = "step"):
@@ -103,5 +125,7 @@ def materialize(df, name: str = "step"):
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
+    if _MADE.get() is not None:
+        _MADE.get().append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -6,10 +6,10 @@ raw input and for users who ask for it.  Nothing infers a schema.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from blotter.functions import fixed
 
@@ -35,20 +35,45 @@ ROW_KEY = "row_key"
 _NULL_SENTINEL = "\u0000<null>"
 
 
+#: The dialect that pandas and most tools write: quotes within a quoted field are doubled, no escape character.
+CSV_DIALECT = {"quote": '"', "escape": '"'}
+
+
+def cast_text(text: Column, kind: str) -> Column:
+    """Text to a type, NULL if malformed.
+
+    A column of integers with gaps is written as ``111.0`` by pandas, so whole decimal numbers are integers too.
+    """
+    if kind not in ("int", "bigint"):
+        return text.try_cast(kind)
+    number = text.try_cast("decimal(38,6)")
+    return F.coalesce(text.try_cast(kind), F.when(number == F.floor(number), F.floor(number).try_cast(kind)))
+
+
 def read_raw_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None,
-                 drop_index: bool = True, missing_tokens: list[str] | None = None) -> DataFrame:
+                 drop_index: bool = True, missing_tokens: list[str] | None = None, multi_line: bool = False) -> DataFrame:
     """Scan raw CSV text.
 
     Every field is read as text, the pandas-style missing tokens become NULL,
-    and known columns are cast with ``try_cast`` so malformed values give NULL.
-    The unnamed leading index column (``_c0``) is dropped.
+    and known columns are cast so that malformed values give NULL.
+    The unnamed leading index column (``_c0``) is dropped.  Quoted fields may
+    hold commas and doubled quotes.  Line breaks within fields need
+    ``multi_line``; such a file is read by one task, so it is off by default.
     """
     types = RAW_TYPES if types is None else types
     tokens = fixed.MISSING_TOKENS if missing_tokens is None else missing_tokens
-    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-           .option("inferSchema", False).option("nullValue", None)
-           .option("emptyValue", "").csv(path))
+    reader = (spark.read.options(**CSV_DIALECT).option("mode", "PERMISSIVE").option("inferSchema", False)
+              .option("nullValue", None).option("emptyValue", ""))
+    raw = reader.option("header", True).csv(path)
     cols = raw.columns
+    if multi_line:  # Spark's header check fails on an unnamed column here, so header rows are left out by their content
+        named = [None if c == f"_c{i}" else c for i, c in enumerate(cols)]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
+        raw = reader.schema(schema).option("header", False).option("multiLine", True).csv(path)
+        header = F.lit(True)
+        for c, name in zip(cols, named, strict=True):
+            header = header & F.col(f"`{c}`").eqNullSafe(F.lit(name))
+        raw = raw.filter(~header)
     if drop_index and cols and (cols[0] == "_c0" or cols[0] == ""):
         cols = cols[1:]
     out = []
@@ -56,20 +81,20 @@ def read_raw_csv(spark: SparkSession, path: str, types: dict[str, str] | None =
         text = F.col(f"`{c}`")
         cleaned = F.when(text.isin(*tokens), F.lit(None)).otherwise(text)
         t = types.get(c, "string")
-        out.append((cleaned if t == "string" else cleaned.try_cast(t)).alias(c))
+        out.append((cleaned if t == "string" else cast_text(cleaned, t)).alias(c))
     return raw.select(*out)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write a table as CSV with a header and no index column."""
-    (df.write.mode(mode).option("header", True).option("nullValue", "")
+    (df.write.mode(mode).options(**CSV_DIALECT).option("header", True).option("nullValue", "")
      .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
      .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path))
 
 
-def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """Read a CSV written by :func:`write_csv` back with a fixed schema."""
-    return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+    return (spark.read.schema(schema).options(**CSV_DIALECT).option("multiLine", multi_line).option("header", True).option("mode", "PERMISSIVE")
             .option("nullValue", "")
             .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
             .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path))
@@ -85,7 +110,9 @@ def load_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     """Scan a table that may be absent (S5): absent -> empty table of ``schema``."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

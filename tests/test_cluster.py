@@ -86,8 +86,7 @@ def brute_ward(X, k):
 @pytest.mark.parametrize("seed,k", [(0, 4), (4, 3)])
 def test_ward_equals_sequential(spark, seed, k):
     X = blobs(seed, 60)
-    df = frame(spark, X).select("id", F.array("x", "y").alias("v"))
-    got = ward(df, "id", "v", k).toPandas()
+    got = ward(frame(spark, X), "id", "x", "y", k, bins=100_000).toPandas()  # a row per cell
     parts = {frozenset(g["id"].tolist()) for _, g in got.groupby("cluster")}
     assert parts == brute_ward(X, k)
     assert sorted(got["cluster"].unique()) == list(range(k))
@@ -149,7 +148,8 @@ def test_batched_kmeans_recovers_blobs_and_reports_inertia(spark):
     pdf["v"] = list(X)
     df = spark.createDataFrame(pdf)
     fits = fit_many(df, [(3, 42 + i) for i in range(4)])
-    C, inertia, _ = min(fits.values(), key=lambda f: f[1])
+    C, inertia, _, converged = min(fits.values(), key=lambda f: f[1])
+    assert converged
     lab = ((X[:, None] - C[None]) ** 2).sum(-1).argmin(1)
     truth = np.repeat(np.arange(3), 80)
     assert {frozenset(np.nonzero(lab == j)[0]) for j in range(3)} == \
