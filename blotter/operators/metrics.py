@@ -115,6 +115,20 @@ def silhouette(df: DataFrame, id_col: str, vec_col: str, label_col: str,
     return None if val is None else (round(val, decimals) if decimals is not None else val)
 
 
+def silhouette_all_rows(df: DataFrame, vec_col: str, label_col: str) -> DataFrame:
+    """(silhouette, rows): squared-distance silhouette of all rows that are no noise, from cluster sums (K7).
+
+    Linear in the rows, so no sample is needed; null below two clusters.
+    """
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    rows = df.where(F.col(label_col) != -1).select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"),
+                                                   F.col(label_col).cast("double").alias("prediction"))
+    seen = rows.agg(F.count("*").alias("n"), F.count_distinct("prediction").alias("k")).first()
+    value = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(rows) if seen["k"] > 1 else None
+    return df.sparkSession.createDataFrame([(value, seen["n"])], "silhouette double, rows long")
+
+
 # --- Davies-Bouldin / Calinski-Harabasz --------------------------------------------------
 
 
@@ -170,13 +184,15 @@ def evaluate(df: DataFrame, id_col: str, vec_col: str, label_col: str, algorithm
              sample_size: int | None = fixed.SILHOUETTE_SAMPLE, seed: int = fixed.RANDOM_STATE,
              decimals: int = 6) -> DataFrame:
     """One evaluation record (K10): n_clusters, silhouette, Davies-Bouldin,
-    Calinski-Harabasz, noise %; fewer than two clusters gives the sentinels."""
+    Calinski-Harabasz, noise % and the rows that the silhouette was taken on;
+    fewer than two clusters gives the sentinels."""
     spark = df.sparkSession
     lab = F.col(label_col)
     counts = df.agg(F.count("*").alias("n"), F.count_if(lab == -1).alias("noise"),
                     F.count_distinct(F.when(lab != -1, lab)).alias("k")).collect()[0]
     n, noise, k = counts["n"], counts["noise"], counts["k"]
     noise_pct = float(noise) * 100.0 / n if n else 0.0
+    rows_used = 0 if k < 2 else min(n - noise, sample_size or n - noise)
     if k < 2:
         sil, db, ch = fixed.SENTINEL_SILHOUETTE, fixed.SENTINEL_DAVIES_BOULDIN, fixed.SENTINEL_CALINSKI_HARABASZ
     else:
@@ -185,12 +201,12 @@ def evaluate(df: DataFrame, id_col: str, vec_col: str, label_col: str, algorithm
         ch = calinski_harabasz_from(rows, grand)
         s = silhouette(df, id_col, vec_col, label_col, sample_size, seed, None)
         sil = s if s is not None else fixed.SENTINEL_SILHOUETTE
-    rec = [(algorithm, int(k), float(sil), float(db), float(ch), float(noise_pct))]
+    rec = [(algorithm, int(k), float(sil), float(db), float(ch), float(noise_pct), int(rows_used))]
     out = spark.createDataFrame(rec, "algorithm string, n_clusters int, silhouette double, davies_bouldin double, "
-                                     "calinski_harabasz double, noise_pct double")
+                                     "calinski_harabasz double, noise_pct double, silhouette_rows long")
     return out.select("algorithm", "n_clusters",
                       *[F.bround(c, decimals).alias(c) for c in
-                        ["silhouette", "davies_bouldin", "calinski_harabasz", "noise_pct"]])
+                        ["silhouette", "davies_bouldin", "calinski_harabasz", "noise_pct"]], "silhouette_rows")
 
 
 def cluster_sizes(df: DataFrame, label_col: str, decimals: int = 4) -> DataFrame:

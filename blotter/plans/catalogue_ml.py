@@ -17,7 +17,7 @@ from blotter.operators.ward import ward
 from blotter.plans import sqlparts as sq
 from blotter.plans import tables as T
 from blotter.plans.registry import query
-from blotter.session import scratch_dir
+from blotter.session import materialize, scratch_dir
 from blotter.sources import io
 
 # --- C9 / A15-A18 ----------------------------------------------------------------
@@ -90,13 +90,15 @@ def cluster_sizes(spark, sf):
 _LABELLINGS = {
     "given": ("label", "CAST(label AS BIGINT)"),
     "coarse": ("coarse", "CAST(label // 2 AS BIGINT)"),
+    "noisy": ("noisy", "CAST(CASE WHEN vec_id % 7 = 0 THEN -1 ELSE label END AS BIGINT)"),
     "sign2d": ("sign2d", "CAST(2 * CAST(embedding[1] > 0 AS INTEGER) + CAST(embedding[2] > 0 AS INTEGER) AS BIGINT)"),
 }
 
 
 def _labelled(spark, sf):
     emb = T.embedding_vectors(spark, sf)
-    return (emb.withColumn("coarse", F.floor(F.col("label") / 2).cast("long"))
+    return (emb.withColumn("noisy", F.when(F.col("vec_id") % 7 == 0, F.lit(-1)).otherwise(F.col("label")).cast("long"))
+            .withColumn("coarse", F.floor(F.col("label") / 2).cast("long"))
             .withColumn("sign2d", (2 * (F.col("features")[0] > 0).cast("int")
                                    + (F.col("features")[1] > 0).cast("int")).cast("long")))
 
@@ -142,7 +144,7 @@ def _eval_sql(name):
 SELECT '{name}' AS algorithm, CAST(kk.k AS INTEGER) AS n_clusters, round_even(sil.silhouette, 6) AS silhouette,
        round_even(db.davies_bouldin, 6) AS davies_bouldin, round_even(ch.calinski_harabasz, 6) AS calinski_harabasz,
        round_even((SELECT CAST(count(*) FILTER (WHERE label = -1) AS DOUBLE) * 100.0 / count(*) FROM p), 6)
-         AS noise_pct
+         AS noise_pct, (SELECT count(*) FROM s) AS silhouette_rows
 FROM sil, db, ch, kk)"""
 
 
@@ -154,6 +156,19 @@ def silhouette_exact(spark, sf):
     return spark.createDataFrame([(s,)], "silhouette double")
 
 
+@query("silhouette_all_rows", f"""
+WITH {_points_sql(_LABELLINGS['noisy'][1])},
+n AS (SELECT label, count(*) AS n FROM q GROUP BY label),
+pr AS (SELECT a.id, a.label AS la, b.label AS lb, sum(list_distance(a.v, b.v) * list_distance(a.v, b.v)) AS sd
+       FROM q a JOIN q b ON a.id <> b.id GROUP BY ALL),
+per AS (SELECT pr.id, max(CASE WHEN lb = la THEN sd / (n.n - 1) END) AS a, min(CASE WHEN lb <> la THEN sd / n.n END) AS b
+        FROM pr JOIN n ON n.label = pr.lb GROUP BY pr.id)
+SELECT round_even(avg((b - a) / greatest(a, b)), 6) AS silhouette, count(*) AS rows FROM per""")
+def silhouette_all_rows(spark, sf):
+    """Silhouette of squared distances over every row that is no noise, linear in the rows (K7, P10)."""
+    return me.silhouette_all_rows(_labelled(spark, sf), "features", "noisy").withColumn("silhouette", F.bround("silhouette", 6))
+
+
 @query("davies_bouldin", f"""
 WITH {_points_sql('CAST(label AS BIGINT)')}, {_CENT_SQL}
 SELECT round_even(davies_bouldin, 6) AS davies_bouldin FROM db""")
@@ -176,7 +191,7 @@ def cluster_evaluate(spark, sf):
 
 
 def _compare(spark, sf):
-    lab = _labelled(spark, sf).cache()
+    lab = materialize(_labelled(spark, sf), "labelled")
     frames = [me.evaluate(lab, "vec_id", "features", col, name) for name, (col, _) in _LABELLINGS.items()]
     out = frames[0]
     for f in frames[1:]:
