@@ -13,9 +13,10 @@ confirmed on full shingle sets, and joined into components.
 
 A star can miss a link between two members that are both unlike its centre.  So
 buckets that still hold several components are gone through again: members are
-dealt into blocks of ``BLOCK``, every two blocks meet in one task, and pairs from
-different components whose sizes and signatures allow the limit are confirmed as
-well.  Only such pairs are emitted; a bucket of any size is split over tasks.
+dealt into blocks of ``BLOCK``, every two blocks meet in one task with half-width
+shingle sets, and a pair from different components that reaches the limit there
+is confirmed as well.  Only such pairs, links but for chance, are emitted, and a
+bucket of any size is split over tasks.
 
 Shingle hashes have 64 bits; the chance that two different shingles of a pair of
 documents agree is below 1e-12 for texts of a million words.
@@ -188,31 +189,60 @@ def star_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("src", "dst", "ss", "sd", "ns", "nd").mapInArrow(run, "src long, dst long").distinct()
 
 
-def rest_pairs(members: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs of a bucket from different components whose sizes and signatures allow the limit."""
+def rest_pairs(members: DataFrame, classes: DataFrame, components: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of a bucket from different components that reach the limit on 32-bit shingle hashes.
+
+    A pair is looked at in the first bucket that both are in.  Equal low halves of different hashes can only add
+    to an intersection and equal ones within a set take at most a handful from it (``slack``), so no link is lost;
+    what is passed on is confirmed on full sets.
+    """
     comp = components.select(F.col("id").alias("rep"), "component")
     labelled = step(members.select("bucket", "rep").join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
     open_ = (labelled.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
              .filter("lo <> hi").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("g")))
-    rows = (labelled.join(open_, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-            .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component"))
-    rows = rows.join(classes.select("rep", "n", "sig"), "rep")
+    rows = step(labelled.join(open_, "bucket"), "open")
+
+    def make():
+        def work(batch):
+            half = [np.unique((s & _U(0xFFFFFFFF)).astype(np.uint32)) for s in shingle_hashes(batch.column(1))]
+            return {"rep": batch.column(0), "half": [h.tobytes() for h in half]}
+        return work
+
+    ids = step(rows.select(F.col("rep").alias("doc_id")).distinct(), "open-ids")
+    halves = map_slices(docs_of(docs).join(ids, "doc_id", "left_semi"), make, "rep long, half binary")
+    facts = step(classes.select("rep", "n", "bands").join(halves, "rep"), "halves")
+    dealt = (rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+             .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
+             .join(facts, "rep").select("bucket", "i", "j", "own", "rep", "component", "n", "bands", "half"))
+
     def pairs_of(group: pa.Table):
         own, rep, comp, n = (np.asarray(group.column(c)) for c in ("own", "rep", "component", "n"))
-        sig = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in group.column("sig")])
+        bands = np.asarray(group.column("bands").combine_chunks().flatten()).reshape(len(n), BANDS)
+        band = int(np.flatnonzero(bands[0] == group.column("bucket")[0].as_py())[0])
         same_block = group.column("i")[0] == group.column("j")[0]
+        sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("half")]
+        starts = runs(np.fromiter(map(len, sets), np.int64, len(sets)))
+        code = None
         src, dst = [], []
         for k in range(len(rep) - 1):
-            other = np.flatnonzero((comp[k + 1:] != comp[k]) & (same_block | (own[k + 1:] != own[k]))
-                                   & (100 * np.minimum(n[k + 1:], n[k]) >= PERCENT * np.maximum(n[k + 1:], n[k]))) + k + 1
-            if len(other):
-                other = other[signatures_allow(sig[other], sig[k], np.minimum(n[other], n[k]))]
-                src.append(np.minimum(rep[k], rep[other]))
-                dst.append(np.maximum(rep[k], rep[other]))
+            rest = slice(k + 1, None)
+            other = np.flatnonzero((comp[rest] != comp[k]) & (same_block | (own[rest] != own[k]))
+                                   & (100 * np.minimum(n[rest], n[k]) >= PERCENT * np.maximum(n[rest], n[k]))
+                                   & ~(bands[rest, :band] == bands[k, :band]).any(axis=1)) + k + 1
+            if not len(other):
+                continue
+            if code is None:
+                values, code = np.unique(np.concatenate(sets), return_inverse=True)
+            mark = np.zeros(len(values), bool)
+            mark[code[starts[k]:starts[k + 1]]] = True
+            slack = 2 + n[k] // 10_000
+            common = np.fromiter((np.count_nonzero(mark[code[starts[o]:starts[o + 1]]]) for o in other.tolist()), np.int64, len(other)) + slack
+            near = other[100 * common >= PERCENT * (n[k] + n[other] - common)]
+            src.append(np.minimum(rep[k], rep[near]))
+            dst.append(np.maximum(rep[k], rep[near]))
         return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst)}) if src else None
 
-    dealt = rows.select("bucket", "i", "j", "own", "rep", "component", "n", "sig")
     return map_groups(dealt, ["bucket", "i", "j"], pairs_of, "src long, dst long").distinct()
 
 
@@ -233,7 +263,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = step(star_pairs(members, classes), "stars")
     links = step(confirm(pairs, docs), "links")
     components = step(connected_components(links), "components")
-    rest = step(rest_pairs(members, classes, components).join(pairs, ["src", "dst"], "left_anti"), "rest")
+    rest = step(rest_pairs(members, classes, components, docs).join(pairs, ["src", "dst"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = links.unionByName(step(confirm(rest, docs), "links"))
         components = step(connected_components(links), "components")
