@@ -69,24 +69,43 @@ class BlockMaxIndex:
         np.maximum.at(self.top, cell, self.weight)
         self.top = self.top.reshape(n_terms, self.blocks)
 
+    def scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Scores of all examples of the given blocks, in order; only their postings are read."""
+        cell = (terms[:, None] * self.blocks + blocks[None, :]).ravel()
+        begin = self.at[cell]
+        size = self.at[cell + 1] - begin
+        ends = np.cumsum(size)
+        posting = np.repeat(begin - (ends - size), size) + np.arange(ends[-1])
+        place = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(terms)), size) + self.example[posting] % BLOCK
+        return np.bincount(place, np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[posting], len(blocks) * BLOCK)
+
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k best (score, example) with a positive score; of equal scores at the end some are left out.
+        """The k best (score, example) with a positive score, best first; of equal scores at the end some are left out.
         ``without`` is passed over."""
         if not len(terms) or not self.blocks:
             return []
         bound = weights @ self.top[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            # no better score can come; bounds and scores are sums in different order, hence the margin
-            if bound[b] <= 0 or len(best) == k and bound[b] <= -best[-1][0] + 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                i, j = self.at[t * self.blocks + b], self.at[t * self.blocks + b + 1]
-                score[self.example[i:j] - b * BLOCK] += w * self.weight[i:j]
-            hit = np.flatnonzero(score > 0)
-            best = sorted([*best, *((-float(score[x]), b * BLOCK + x) for x in hit.tolist() if b * BLOCK + x != without)])[:k]
-        return [(min(1.0, -s), i) for s, i in best]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        best, who, done, step_ = np.zeros(0), np.zeros(0, np.int64), 0, 8
+        while done < len(order):
+            blocks = order[done:done + step_]
+            if len(best) == k:  # no better score can come; bounds and scores are sums in different order, hence the margin
+                blocks = blocks[bound[blocks] > best[-1] + 1e-12]
+                if not len(blocks):
+                    break
+            got = self.scores(terms, weights, blocks)
+            ids = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            hit = np.flatnonzero((got > 0) & (ids != without))
+            best, who = np.concatenate([best, got[hit]]), np.concatenate([who, ids[hit]])
+            if len(best) > k:
+                top = np.argpartition(-best, k - 1)[:k]
+                best, who = best[top], who[top]
+            first = np.lexsort((who, -best))
+            best, who = best[first], who[first]
+            done += step_
+            step_ *= 4
+        return list(zip(np.minimum(best, 1.0).tolist(), who.tolist(), strict=True))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
