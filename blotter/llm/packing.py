@@ -263,8 +263,8 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = C
 def place(pieces: DataFrame, capacity: int = CAPACITY, digest=None) -> DataFrame:
     """Written pieces -> doc_id, piece, start, length, (digest columns,) sequence_id, offset.
 
-    ``digest`` maps the pieces to the columns that are to be carried; by default the ids are left behind in
-    the pieces table, to be joined by (doc_id, piece) or by (part, length, nth).
+    ``digest`` maps the pieces to the columns that are to be carried; by default the ids stay behind in the
+    pieces table.
     """
     spark = pieces.sparkSession
     by_task = step(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
@@ -301,13 +301,11 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
-    """sequence_id, ids (binary): the packed sequences, each at most ``capacity`` ids."""
-    parts = placed.select("doc_id", "piece", "sequence_id", "offset", "ids_crc32").join(
-        with_ids(pieces), ["doc_id", "piece", "ids_crc32"])
-    return parts.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p")).select(
-        "sequence_id", F.expr("aggregate(p, cast('' as binary), (a, x) -> a || x.ids)").alias("ids"))
-
+def sequences(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """sequence_id, ids (binary, little-endian uint32): written pieces put together, at most ``capacity`` ids each.
 
-def with_ids(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "piece", F.crc32("ids").alias("ids_crc32"), "ids")
+    Here the ids are moved, once, to their sequences; a sequence is a bounded group.
+    """
+    placed = place(pieces, capacity, lambda p: p)
+    return placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p")).select(
+        "sequence_id", F.expr("aggregate(p, cast('' as binary), (a, x) -> a || x.ids)").alias("ids"))
