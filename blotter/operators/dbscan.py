@@ -100,8 +100,7 @@ def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02
     near_counts = near.groupBy("pid").agg(F.count("*").alias("k"))
     sparse_core = near_counts.where(F.col("k") >= min_samples).select(F.col("pid").alias("id"))
     # neighbour lists of non-core sparse rows: fewer than min_samples each
-    border_pairs = (near.join(near_counts.where(F.col("k") < min_samples).select("pid"), "pid")
-                    .transform(_cut))
+    border_pairs = near.join(near_counts.where(F.col("k") < min_samples).select("pid"), "pid")
 
     keep = ["id", "ord", "x", "y", "sx", "sy", "cx", "cy"]
     # dense-cell rows are core as they are; only sparse-cell rows are matched by id
@@ -178,7 +177,7 @@ def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02
           (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
     checked = (amb.join(ca, ["a_kx", "a_ky"]).join(cb, ["b_kx", "b_ky"]).where(pd2 <= F.lit(eps2))
                .select(*cell_pair).distinct())
-    edges = sure.unionByName(checked).distinct().transform(_cut)
+    edges = sure.unionByName(checked)
 
     # 4. components of the cell graph: label = smallest core order key in the component
     def key(cx, cy):  # one number per cell
