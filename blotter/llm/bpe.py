@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from blotter.llm.common import docs_of, gather, list_of, map_slices, runs
-from blotter.llm.tokens import CACHE_WORDS, IdTable, byte_alphabet, default_vocabulary, joined
+from blotter.llm.tokens import CACHE_PARTS, IdTable, byte_alphabet, default_vocabulary, joined
 
 #: Bytes of a word up to which it is a row of a rank array.
 LONG = 48
@@ -160,7 +160,7 @@ class RankArrayBpe:
 
     def new_words(self, words: list[str]) -> list[list[int]]:
         """Ids of stretches of text that no piece crosses."""
-        if len(self.cores) > CACHE_WORDS:
+        if len(self.cores) > CACHE_PARTS:
             self.cores.clear()
         split = [self.pieces(w) for w in words]
         known = self.cores

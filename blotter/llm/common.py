@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from blotter.session import materialize
 
 #: Text bytes handled at once inside a task; bounds the working set of a worker.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -76,6 +76,13 @@ def map_slices(df: DataFrame, make: Callable, schema: str, column: str = "text")
 
     def run(batches):
         work = make()
+        try:
+            yield from rows(work, batches)
+        finally:
+            del work
+            release()
+
+    def rows(work, batches):
         for batch in batches:
             for part in slices(batch, column):
                 out = work(part)
@@ -88,6 +95,18 @@ def map_slices(df: DataFrame, make: Callable, schema: str, column: str = "text")
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker process lives on after its task, beside the executor's heap."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def list_of(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list array from flat values and n + 1 offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, type=kind))

@@ -27,7 +27,7 @@ from blotter.llm.common import docs_of, drop_ids, map_slices, runs, step
 LEAST, SPREAD, LARGEST = 512, 2048, 16384
 WINDOW = 32
 #: Chunk bytes that a task remembers as written.
-SEEN_BYTES = 24 << 20
+SEEN_BYTES = 12 << 20
 _BLANKS = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
 _MANY = re.compile(b"  +")
 

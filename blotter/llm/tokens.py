@@ -19,7 +19,8 @@ import pyarrow.compute as pc
 
 from blotter.llm.common import runs
 
-CACHE_WORDS = 400_000
+#: Words in a worker's table of ids (Arrow, some 30 bytes each) and parts of words in its dictionary (some 250 bytes each).
+CACHE_WORDS, CACHE_PARTS = 400_000, 150_000
 
 
 def default_vocabulary(name: str) -> str:
@@ -97,7 +98,7 @@ class WordEncoder:
     def new_words(self, words: list[str]) -> list[list[int]]:
         """A run of Latin letters is split from the punctuation after it: the vocabulary's pattern never joins
         the two, and both recur far more often than the whole word.  All else goes through the whole library."""
-        if len(self.cores) > CACHE_WORDS:
+        if len(self.cores) > CACHE_PARTS:
             self.cores.clear()
         get, split, wanted = self.cores, [], {}
         for w in words:
