@@ -1,13 +1,19 @@
-"""Ward agglomerative clustering of all rows through grid cells (K6).
+"""Ward agglomerative clustering of all rows through adaptive cells (K6).
 
 Ward's merge cost |A||B| / (|A| + |B|) * ||cA - cB||^2 needs only the size and
-the centroid of each cluster.  All rows are first summed up in the cells of a
-``bins`` x ``bins`` grid over the plane's range: one partial + final aggregate,
-whose result has at most bins^2 rows whatever the input.  Those micro-clusters
-are merged by one task, always the cheapest pair, until k clusters are left;
-every row takes its cell's cluster through a join with the cell table, which is
-small by construction and therefore broadcast.  With one row per cell the result
+the centroid of each cluster.  All rows are first summed up in at most ``CELLS``
+cells: round by round, the cells with the largest sums of squares about their
+centroids, which is what Ward's costs are made of, are halved on the longer side
+of the box around their rows, with grouped statistics in Spark.  Far rows thus
+part from the others in a round, and no range fixes the size of the cells.
+Those micro-clusters are merged by one task, always the cheapest pair, until k
+clusters are left; every row takes its cell's cluster through a join with the
+cell table, which is small by construction and therefore broadcast.  A table with
+at most ``CELLS`` distinct places ends with one place per cell, so that the result
 is Ward's on the rows themselves; otherwise rows of a cell stay together.
+
+With ``bins`` the cells are those of a fixed ``bins`` x ``bins`` grid over the
+plane's range instead, which SQL can follow; a few far rows then make it coarse.
 """
 
 from __future__ import annotations
@@ -19,7 +25,8 @@ from pyspark.sql import functions as F
 
 from blotter.session import materialize
 
-GRID = 48
+#: Most cells.
+CELLS = 48 * 48
 
 
 def merge_cells(n: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
@@ -60,12 +67,8 @@ def merge_cells(n: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> np.ndarr
     return owner
 
 
-def ward(df: DataFrame, id_col: str, x_col: str, y_col: str, k: int, bins: int = GRID) -> DataFrame:
-    """(id, cluster) for every row; clusters are numbered by their smallest id.
-
-    Rows without coordinates have no cluster (null).  k above the number of occupied cells gives a cluster per cell.
-    """
-    pts = df.select(F.col(id_col).alias("id"), F.col(x_col).cast("double").alias("x"), F.col(y_col).cast("double").alias("y"))
+def grid_cells(pts: DataFrame, bins: int) -> DataFrame:
+    """``pts`` and cell, the number of a cell of a fixed grid over the range, else null."""
     r = pts.agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).first()
 
     def cell(c):
@@ -75,18 +78,86 @@ def ward(df: DataFrame, id_col: str, x_col: str, y_col: str, k: int, bins: int =
         place = F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(bins - 1)).cast("int")
         return F.when(F.col(c).isNotNull(), place)
 
-    pts = pts.withColumn("cx", cell("x")).withColumn("cy", cell("y"))
-    cells = pts.filter("cx is not null and cy is not null").groupBy("cx", "cy").agg(
+    return pts.withColumn("cell", cell("x").cast("long") * bins + cell("y"))
+
+
+class Halves:
+    """Binary tree of halved cells; a node that was not halved is a cell and is named by its number."""
+
+    def __init__(self):
+        self.axis, self.at, self.left = [-1], [0.0], [0]
+
+    def halve(self, node: int, axis: int, at: float) -> None:
+        self.axis[node], self.at[node], self.left[node] = axis, at, len(self.axis)
+        self.axis += [-1, -1]
+        self.at += [0.0, 0.0]
+        self.left += [0, 0]
+
+    def cells(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        axis, at, left = np.array(self.axis), np.array(self.at), np.array(self.left)
+        node = np.zeros(len(x), np.int64)
+        open_ = np.flatnonzero(axis[node] >= 0)
+        while len(open_):
+            here = node[open_]
+            v = np.where(axis[here] == 0, x[open_], y[open_])
+            node[open_] = left[here] + (v > at[here])
+            open_ = open_[axis[node[open_]] >= 0]
+        return node
+
+
+def _with_cells(pts: DataFrame, tree: Halves) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            x, y = (b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2))  # null as nan
+            cell = pa.array(tree.cells(x, y), mask=~(np.isfinite(x) & np.isfinite(y)))
+            yield pa.RecordBatch.from_arrays([*b.columns, cell], [*b.schema.names, "cell"])
+
+    kind = pts.schema["id"].dataType.simpleString()
+    return pts.select("id", "x", "y").mapInArrow(run, f"id {kind}, x double, y double, cell long")
+
+
+def adaptive_cells(pts: DataFrame, most: int = CELLS) -> DataFrame:
+    """``pts`` and cell; null without two finite coordinates.
+
+    A round halves every cell whose sum of squares is at least half the mean one, the largest first, until there are
+    ``most`` cells or each holds a single place.
+    """
+    pts, tree = materialize(pts, "ward-rows"), Halves()
+    while True:
+        # at most `most` rows
+        got = _with_cells(pts, tree).filter("cell is not null").groupBy("cell").agg(
+            F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max), ("var", F.var_pop))]).collect()
+        rows = [(r["n"] * (r["var_x"] + r["var_y"]), r) for r in got]
+        least = sum(s for s, _ in rows) / (2 * len(rows)) if rows else 0.0
+        wide = sorted((-s, r["cell"], r) for s, r in rows if s >= least and (r["hi_x"] > r["lo_x"] or r["hi_y"] > r["lo_y"]))
+        if not wide or len(rows) >= most:
+            return _with_cells(pts, tree)
+        for _, cell, r in wide[:most - len(rows)]:
+            axis = int(r["hi_y"] - r["lo_y"] > r["hi_x"] - r["lo_x"])
+            lo, hi = r[f"lo_{'xy'[axis]}"], r[f"hi_{'xy'[axis]}"]
+            middle = lo / 2 + hi / 2
+            tree.halve(cell, axis, middle if lo <= middle < hi else lo)
+
+
+def ward(df: DataFrame, id_col: str, x_col: str, y_col: str, k: int, bins: int | None = None) -> DataFrame:
+    """(id, cluster) for every row; clusters are numbered by their smallest id.
+
+    Cells are adaptive, or those of a grid if ``bins`` is given.  Rows without coordinates have no cluster (null).
+    k above the number of occupied cells gives a cluster per cell.
+    """
+    pts = df.select(F.col(id_col).alias("id"), F.col(x_col).cast("double").alias("x"), F.col(y_col).cast("double").alias("y"))
+    pts = adaptive_cells(pts) if bins is None else grid_cells(pts, bins)
+    cells = pts.filter("cell is not null").groupBy("cell").agg(
         F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.min("id").alias("first"))
 
     def run(batches):
-        t = pa.Table.from_batches(list(batches))  # at most bins * bins rows
+        t = pa.Table.from_batches(list(batches))  # a row per cell
         if not t.num_rows:
             return
         t = t.sort_by("first")
         owner = merge_cells(*(np.asarray(t.column(c)) for c in "nxy"), k)
         number = np.unique(owner, return_inverse=True)[1].astype(np.int32)
-        yield from t.select(["cx", "cy"]).append_column("cluster", pa.array(number)).to_batches()
+        yield from t.select(["cell"]).append_column("cluster", pa.array(number)).to_batches()
 
-    labels = materialize(cells.coalesce(1).mapInArrow(run, "cx int, cy int, cluster int"), "ward")
-    return pts.join(F.broadcast(labels), ["cx", "cy"], "left").select(F.col("id").alias(id_col), "cluster")
+    labels = materialize(cells.coalesce(1).mapInArrow(run, "cell long, cluster int"), "ward")
+    return pts.join(F.broadcast(labels), "cell", "left").select(F.col("id").alias(id_col), "cluster")

@@ -335,9 +335,15 @@ num AS (SELECT cid, dense_rank() OVER (ORDER BY cid) - 1 AS cluster FROM (SELECT
 SELECT c.vec_id, CAST(num.cluster AS INTEGER) AS cluster
 FROM c JOIN g ON g.cx = c.cx AND g.cy = c.cy JOIN l ON l.cell = g.cell JOIN num ON num.cid = l.cid""")
 def ward_zones(spark, sf):
+    """The fixed-grid form, coarse so that SQL can follow its merges; ``ward_zones_adaptive`` is the production form."""
     return ward(_scaled_plane(spark, sf), "vec_id", "x_scaled", "y_scaled", _WARD_K, _WARD_BINS)
 
 
+@query("ward_zones_adaptive")
+def ward_zones_adaptive(spark, sf):
+    return ward(_scaled_plane(spark, sf), "vec_id", "x_scaled", "y_scaled", _WARD_K)
+
+
 @query("kmeans_fixed_start", """
 WITH RECURSIVE pl AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
 st AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pl),

@@ -22,14 +22,14 @@ from blotter.operators import metrics as me
 from blotter.operators import reduce as rd
 from blotter.operators.dbscan import dbscan
 from blotter.operators.kmeans_batch import nearest_centre
-from blotter.operators.ward import GRID, ward
+from blotter.operators.ward import ward
 from blotter.session import materialize
 from blotter.sources import io, runs
 
 
 def geographic_clustering(points: DataFrame, id_col: str, x_col: str, y_col: str,
                           ks=range(2, 11), n_init: int = 10, eps: float = fixed.DBSCAN_EPS,
-                          min_samples: int = fixed.DBSCAN_MIN_SAMPLES, ward_bins: int = GRID,
+                          min_samples: int = fixed.DBSCAN_MIN_SAMPLES, ward_bins: int | None = None,
                           run_log: str | None = None, experiment: str = "geographic_clustering",
                           output: str | None = None):
     """Returns (comparison, best_labels, sweep).

@@ -92,6 +92,20 @@ def test_ward_equals_sequential(spark, seed, k):
     assert sorted(got["cluster"].unique()) == list(range(k))
 
 
+@pytest.mark.parametrize("seed,k", [(0, 4), (4, 3)])
+def test_ward_adapts_to_far_rows(spark, seed, k):
+    X = np.concatenate([blobs(seed, 60), [[1000.0, 1000.0]]])  # one cell of a min-max grid would hold all other rows
+    got = ward(frame(spark, X), "id", "x", "y", k).toPandas()
+    assert {frozenset(g["id"].tolist()) for _, g in got.groupby("cluster")} == brute_ward(X, k)
+
+
+def test_ward_keeps_centres_when_cells_are_few(spark):
+    rng = np.random.default_rng(8)
+    X = np.concatenate([rng.normal(c, 0.01, size=(1500, 2)) for c in ((0, 0), (0, 1), (1, 0))] + [[[1000.0, 1000.0], [np.nan, 0.0]]])
+    got = ward(frame(spark, X), "id", "x", "y", 4).toPandas().sort_values("id")["cluster"].tolist()
+    assert got[:4501] == [0] * 1500 + [1] * 1500 + [2] * 1500 + [3] and np.isnan(got[4501])
+
+
 def np_silhouette(X, lab):
     D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
     out = []
