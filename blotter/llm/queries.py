@@ -19,6 +19,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op2_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_passages(read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -56,5 +60,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_minhash_near_dedup, op2_license_scan, op3_quality_rules, op4_best_fit_packing, op5_exact_dedup,
+    op1_minhash_near_dedup, op2_license_scan, op2_license_passages, op3_quality_rules, op4_best_fit_packing, op5_exact_dedup,
     op6_secret_scan, op7_token_orc, op8_bpe_round_trip, op9_toxicity, op10_url_filter)}

@@ -74,6 +74,33 @@ def test_licence_texts(spark):
     assert (got[4].notices, got[4].n_notices) == ("Apache-2.0,MIT", 2) and got[3].notices == ""
 
 
+def test_full_licence_texts_with_titles(spark):
+    by_id = {}
+    for i, t in license_scan.FULL:
+        by_id.setdefault(i, t)
+    mit, isc = (max((t for i, t in license_scan.NOTICES if i == n), key=len) for n in ("MIT", "ISC"))
+    apache = by_id["Apache-2.0"]
+    bsd = by_id["BSD-2-Clause"].replace("THIS SOFTWARE", f"3. {license_scan.THIRD}\n\nTHIS SOFTWARE", 1)
+    files = [(i, t) for i, t in license_scan.FULL] + [
+        ("MIT", f"MIT License\n\nCopyright (c) 2020 Some One\n\n{mit}"), ("MIT", f"The MIT License (MIT)\n\nCopyright (c) 2020 Some One\n\n{mit}"),
+        ("ISC", f"ISC License\n\nCopyright (c) 2020 Some One\n\n{isc}"),
+        ("BSD-3-Clause", f"BSD 3-Clause License\n\nCopyright (c) 2020, Some One\nAll rights reserved.\n\n{bsd}"), ("BSD-3-Clause", bsd),
+        ("Apache-2.0", apache[:apache.index("END OF TERMS")]), ("Apache-2.0", apache.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Some One")),
+        ("Unlicense", "The Unlicense\n\n" + by_id["Unlicense"])]
+    got = license_scan.scan_licenses(spark.createDataFrame([(n, t) for n, (_, t) in enumerate(files)], "doc_id long, text string"))
+    assert {r.doc_id: r.license for r in got.collect()} == {n: i for n, (i, _) in enumerate(files)}
+    assert all(any(k in t.lower() for k in license_scan.KEYS) for _, t in license_scan.TEXTS)
+
+
+def test_wrapped_notices(spark):
+    head = ("#!/usr/bin/env python\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in\n"
+            "# compliance with the License. You may obtain\n# a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\nimport os\n")
+    rows = [(1, head), (2, "words\n\nThis work is licensed under the GNU General\nPublic License, version 3.\n\nmore words"), (3, "Released under the MIT License."),
+            (4, None), (None, head), (None, "x")]
+    got = sorted((str(r.doc_id), r.passages, r.n_passages) for r in license_scan.scan_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("1", "Apache-2.0", 1), ("2", "GPL-3.0-only", 1), ("3", "", 0), ("4", "", 0), ("None", "Apache-2.0", 1), ("None", "", 0)])
+
+
 def test_licence_plan_has_no_python(spark):
     plan = license_scan.scan_licenses(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "Cartesian" not in plan
