@@ -5,9 +5,12 @@ the shape of a segment (numbers, hex strings, dates and file names become
 wildcards).  Then, level by level over counts per host and shape, a node with
 many children, none of them frequent, becomes one wildcard branch, and labelled
 branches whose share of bad labels does not differ significantly from their
-siblings' become one branch.  A template is rejected if its share of bad labels,
-shrunk towards its host's and the corpus's, is high; templates with hardly any
-labels are not judged.
+siblings' become one branch.  Out of the wildcard stay branches that a rule
+decides, beside others that none does, and branches whose share of bad labels
+differs significantly from their siblings': neither speaks for unlabelled ones.
+A template is rejected if its share of bad labels, shrunk towards its host's and
+the corpus's, is high; templates with hardly any labels, or merged ones whose
+labels cover a small share of their urls or branches, are not judged.
 
 All counting is by (host, shape), which tasks combine before they shuffle, so a
 host with a third of the urls is a few rows.  Only path and label counts move;
@@ -35,6 +38,8 @@ DEPTH = 8
 FAN_OUT, SHARE = 20, 0.2
 #: Standard deviations within which a branch is like its siblings; least labels for a template to be judged.
 LIKE, LEAST_LABELS = 2.0, 5
+#: Least share of a merged template's urls, and of its branches, that have labels for it to be judged.
+COVER = 0.05
 #: Weight of the prior in labels, and the shrunk share of bad labels above which a template is rejected.
 PRIOR, LIMIT = 4.0, 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,28 +92,38 @@ def labelled_pages(pages: DataFrame, rules=RULES, labels: DataFrame | None = Non
 
 
 def templates(labelled: DataFrame) -> DataFrame:
-    """host, shape, template, urls, labelled, bad: every shape of a host with its template and that template's counts."""
+    """host, shape, template, urls, labelled, bad, branches, known: every shape of a host with its template and that
+    template's counts, also of its shapes and of those with labels."""
     counts = step(labelled.groupBy("host", "shape").agg(
-        F.count("*").alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
+        F.count("*").alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"),
+        F.count("rule").alias("r"))
         .withColumn("template", F.col("shape")), "shapes")
     deepest = counts.agg(F.max(F.size("shape")).alias("d")).first()["d"] or 0
     for level in range(1, deepest + 1):
         here = counts.filter(F.size("template") >= level).withColumn("above", F.slice("template", 1, level - 1)).withColumn("seg", F.element_at("template", level))
-        branch = here.groupBy("host", "above", "seg").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"))
+        branch = here.groupBy("host", "above", "seg").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"),
+                                                          (2 * F.sum("r") >= F.sum("n")).alias("ruled"))
         # a branch is compared with all labelled ones beside it, so no two branches are ever paired
         node = branch.groupBy("host", "above").agg(
             F.count("*").alias("children"), F.count_if(F.col("l") >= LEAST_LABELS).alias("known"), F.max("n").alias("largest"), F.sum("n").alias("all"),
+            F.every("ruled").alias("all_ruled"), F.sum(F.when(~F.col("ruled"), F.col("l"))).alias("ul"), F.sum(F.when(~F.col("ruled"), F.col("b"))).alias("ub"),
             F.sum(F.when(F.col("l") >= LEAST_LABELS, F.col("l"))).alias("nl"), F.sum(F.when(F.col("l") >= LEAST_LABELS, F.col("b"))).alias("nb"))
         p = F.col("nb") / F.col("nl")
         like = (F.col("l") >= LEAST_LABELS) & (F.col("known") > 1) & (F.abs(F.col("b") / F.col("l") - p) <= LIKE * F.sqrt(p * (1 - p) / F.col("l")))
+        # against all labelled branches beside it that no rule decides; one without such branches beside it has nothing to be like
+        others, pooled = F.col("ul") - F.col("l"), F.col("ub") / F.col("ul")
+        unlike = (F.col("l") >= LEAST_LABELS) & ((others == 0) | (
+            F.abs(F.col("b") / F.col("l") - (F.col("ub") - F.col("b")) / F.nullif(others, F.lit(0))) > LIKE * F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / F.nullif(others, F.lit(0))))))
+        apart = F.when(F.col("all_ruled"), F.lit(False)).when(F.col("ruled"), F.lit(True)).otherwise(F.coalesce(unlike, F.lit(False)))
         variable = (F.col("children") >= FAN_OUT) & (F.col("largest") <= SHARE * F.col("all"))
         named = branch.join(node, ["host", "above"]).select(
-            "host", "above", "seg", F.when(variable, F.lit("{*}")).when(like, F.lit("{~}")).otherwise(F.col("seg")).alias("now"))
+            "host", "above", "seg", F.when(variable & ~apart, F.lit("{*}")).when(variable, F.col("seg")).when(like, F.lit("{~}")).otherwise(F.col("seg")).alias("now"))
         moved = here.join(named, ["host", "above", "seg"]).select(
-            "host", "shape", "n", "l", "b",
+            "host", "shape", "n", "l", "b", "r",
             F.concat("above", F.array("now"), F.slice("template", level + 1, DEPTH + 1)).alias("template"))
         counts = step(moved.unionByName(counts.filter(F.size("template") < level)), f"tree-{level}")
-    per = counts.groupBy("host", "template").agg(F.sum("n").alias("urls"), F.sum("l").alias("labelled"), F.sum("b").alias("bad"))
+    per = counts.groupBy("host", "template").agg(F.sum("n").alias("urls"), F.sum("l").alias("labelled"), F.sum("b").alias("bad"),
+                                               F.count("*").alias("branches"), F.count_if(F.col("l") > 0).alias("known"))
     return counts.select("host", "shape", "template").join(per, ["host", "template"])
 
 
@@ -119,8 +134,9 @@ def judged_templates(tree: DataFrame, limit: float = LIMIT) -> DataFrame:
     corpus = (whole["b"] or 0) / whole["l"] if whole["l"] else 0.0
     hosts = per.groupBy("host").agg(((F.sum("bad") + F.lit(PRIOR * corpus)) / (F.sum("labelled") + F.lit(PRIOR))).alias("host_share"))
     purity = (F.col("bad") + PRIOR * F.col("host_share")) / (F.col("labelled") + PRIOR)
+    covered = (F.col("branches") == 1) | ((F.col("labelled") >= COVER * F.col("urls")) & (F.col("known") >= COVER * F.col("branches")))
     return (tree.join(hosts, "host").withColumn("purity", purity)
-            .withColumn("rejected", (F.col("labelled") >= LEAST_LABELS) & (F.col("purity") > limit)))
+            .withColumn("rejected", (F.col("labelled") >= LEAST_LABELS) & covered & (F.col("purity") > limit)))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, limit: float = LIMIT) -> DataFrame:

@@ -55,6 +55,27 @@ def test_like_branches_become_one(spark):
     assert {tuple(r.template) for r in tree.collect()} == {("{~}", "{n}")}
 
 
+def test_ruled_branches_do_not_speak_for_others(spark):
+    langs = ["es", "fr", *(f"l{chr(97 + i)}" for i in range(23))]  # 25 first segments, none above a fifth
+    rows = [(i, f"http://big.net/{langs[i % 25]}/page{i}.html") for i in range(2_500)]
+    rows += [(10_000 + i, f"http://a.com/x{i}") for i in range(200)] + [(20_000 + i, f"http://example.com/en/{i}") for i in range(200)]
+    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert all(got[i].verdict == ("block" if i % 25 < 2 else "allow") for i in range(2_500))
+    # a branch with labels of its own does not decide its siblings either, nor do they decide it
+    labels = [(i, int(i % 25 == 2)) for i in range(2_500) if i % 25 in (2, 3, 4, 5, 6)]
+    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules=(("block", "no.org", "/"),),
+                                                        labels=spark.createDataFrame(labels, "page_id long, bad long")).collect()}
+    assert all(got[i].verdict == ("block" if i % 25 == 2 else "allow") for i in range(2_500))
+
+
+def test_few_labels_do_not_reject_a_merged_template(spark):
+    rows = [(i, f"http://h.org/x{i}-page") for i in range(1_000)]
+    for n, verdict in ((10, "allow"), (200, "block")):
+        labels = spark.createDataFrame([(i, 1) for i in range(n)], "page_id long, bad long")
+        got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), labels=labels)
+        assert {r.verdict for r in got.collect()} == {verdict}
+
+
 def test_bad_hosts_take_their_documents_along(spark):
     good = "this sentence has got quite enough different words to pass every single rule here"
     rows = [(i, good if i % 10 else "short", "good") for i in range(100)] + [(100 + i, "short" if i % 10 else good, "bad") for i in range(100)]
