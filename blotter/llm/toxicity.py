@@ -2,21 +2,23 @@
 
 Terms are lower-cased letter runs and their prefixes.  From the labelled rows
 that may be learned from, Spark counts how many documents of each label hold a
-term; terms that toxic documents hold significantly more often form the
-vocabulary, and all other words count as one common term, so that a vector also
-tells how dense the telling terms are.  Labelled documents become unit TF-IDF
-vectors over it and an inverted index: postings by term, cut into blocks of ``BLOCK`` examples, with
-each block's largest weight.  A query bounds every block by the sum of its block
-maxima, reads blocks in falling order of the bound and stops when the bound
-falls below the k-th best score, so its neighbours are exact.  Neighbours vote
-with weight 1 / (distance + ``SOFT``), shrunk towards the share of toxic
-documents among examples without a telling term; an isotonic fit on the examples
-themselves (each left out of its own neighbours) makes the vote a probability.
+term; terms that toxic documents hold significantly more often are telling ones.
+Labelled documents become unit TF-IDF vectors over all their words, to which the
+telling terms are added as coordinates of their own, so that these weigh more.
+Words that no example holds count in the length of a vector.  An inverted index
+holds postings by term, cut into blocks of ``BLOCK`` examples, with each block's
+largest weight.  A query bounds every block by the sum of its block maxima, reads
+blocks in falling order of the bound and stops when the bound falls below the
+k-th best score, so its neighbours are exact; all examples that tie with the k-th
+vote too.  Neighbours vote with weight 1 / (distance + ``SOFT``), shrunk towards
+the share of toxic documents among examples without a telling term; an isotonic
+fit on the examples themselves (each left out of its own neighbours) makes the
+vote a probability.
 Neighbours are returned as evidence.
 
 Bounds, all parameters of the fit: at most ``MAX_EXAMPLES`` labelled rows are
 learned from (those with the least hash of their id), at most ``MAX_TERMS``
-terms make the vocabulary.  Scoring covers every whole text.  Only the fitted
+terms are telling; words and postings are all those of the examples.  Scoring covers every whole text.  Only the fitted
 model, bounded by these, is broadcast.
 """
 
@@ -53,57 +55,69 @@ def terms_of(word: str) -> list[str]:
 # ---------------------------------------------------------------- index
 
 
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... of each range, one range after another."""
+    ends = np.cumsum(size, dtype=np.int32)
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+
+
 class BlockMaxIndex:
     """Exact top-k by dot product over sparse vectors with non-negative weights."""
 
-    def __init__(self, vectors: list[list[tuple[int, float]]], n_terms: int):
-        n = len(vectors)
-        self.blocks = -(-n // BLOCK)
-        rows = [(t, i, w) for i, v in enumerate(vectors) for t, w in v]
-        rows.sort()
-        term = np.array([r[0] for r in rows], np.int64)
-        self.example = np.array([r[1] for r in rows], np.int32)
-        self.weight = np.array([r[2] for r in rows], np.float64)
-        cell = term * self.blocks + self.example // BLOCK
-        self.at = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1)).astype(np.int32)
-        self.top = np.zeros(n_terms * self.blocks)
-        np.maximum.at(self.top, cell, self.weight)
-        self.top = self.top.reshape(n_terms, self.blocks)
-
-    def scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Scores of all examples of the given blocks, in order; only their postings are read."""
-        cell = (terms[:, None] * self.blocks + blocks[None, :]).ravel()
-        begin = self.at[cell]
-        size = self.at[cell + 1] - begin
-        ends = np.cumsum(size)
-        posting = np.repeat(begin - (ends - size), size) + np.arange(ends[-1])
-        place = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(terms)), size) + self.example[posting] % BLOCK
-        return np.bincount(place, np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[posting], len(blocks) * BLOCK)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k best (score, example) with a positive score, best first; of equal scores at the end some are left out.
-        ``without`` is passed over."""
+    def __init__(self, vectors: list, n_terms: int):
+        """``vectors`` are lists of (term, weight), or pairs of arrays."""
+        self.blocks = -(-len(vectors) // BLOCK)
+        pairs = [v if isinstance(v, tuple) else tuple(np.array(v).reshape(-1, 2).T) for v in vectors]
+        size = np.array([len(t) for t, _ in pairs], np.int64)
+        term = np.concatenate([np.zeros(0), *(t for t, _ in pairs)]).astype(np.int64)
+        weight = np.concatenate([w for _, w in pairs]) if pairs else np.zeros(0)
+        example = np.repeat(np.arange(len(vectors), dtype=np.int32), size)
+        order = np.lexsort((example, term))
+        example, self.weight, term = example[order], weight[order], term[order]
+        self.slot = (example % BLOCK).astype(np.uint8)
+        # only cells (term, block) with postings are kept
+        cell, begin = np.unique(term * max(1, self.blocks) + example // BLOCK, return_index=True)
+        self.at = np.append(begin, len(term)).astype(np.int32)
+        self.block = (cell % max(1, self.blocks)).astype(np.int16 if self.blocks < 2**15 else np.int32)
+        self.top = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0)
+        self.first = np.searchsorted(cell // max(1, self.blocks), np.arange(n_terms + 1)).astype(np.int32)
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1, ties: bool = False) -> list[tuple[float, int]]:
+        """The k best (score, example) with a positive score, best first; of equal scores at the end some are left out,
+        or with ``ties`` all are given.  ``without`` is passed over."""
         if not len(terms) or not self.blocks:
             return []
-        bound = weights @ self.top[terms]
+        size = self.first[terms + 1] - self.first[terms]
+        cells, weight = _ranges(self.first[terms], size), np.repeat(weights, size)
+        place = self.block[cells]
+        bound = np.bincount(place, weight * self.top[cells], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
+        # bounds and scores are sums in different order, hence the margins
+        beyond, same = (-1e-9, 1e-9) if ties else (1e-12, 0.0)
         best, who, done, step_ = np.zeros(0), np.zeros(0, np.int64), 0, 8
         while done < len(order):
             blocks = order[done:done + step_]
-            if len(best) == k:  # no better score can come; bounds and scores are sums in different order, hence the margin
-                blocks = blocks[bound[blocks] > best[-1] + 1e-12]
+            if len(best) >= k:  # no better score can come
+                blocks = blocks[bound[blocks] > best[k - 1] + beyond]
                 if not len(blocks):
                     break
-            got = self.scores(terms, weights, blocks)
+            number = np.full(self.blocks, -1)
+            number[blocks] = np.arange(len(blocks))
+            here = np.flatnonzero(number[place] >= 0)
+            begin = self.at[cells[here]]
+            size = self.at[cells[here] + 1] - begin
+            posting = _ranges(begin, size)
+            got = np.bincount(np.repeat(number[place[here]] * BLOCK, size) + self.slot[posting],
+                              np.repeat(weight[here], size) * self.weight[posting], len(blocks) * BLOCK)
             ids = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             hit = np.flatnonzero((got > 0) & (ids != without))
             best, who = np.concatenate([best, got[hit]]), np.concatenate([who, ids[hit]])
-            if len(best) > k:
-                top = np.argpartition(-best, k - 1)[:k]
-                best, who = best[top], who[top]
             first = np.lexsort((who, -best))
             best, who = best[first], who[first]
+            if len(best) > k:
+                most = int(np.searchsorted(-best, -(best[k - 1] - same), side="right")) if ties else k
+                best, who = best[:most], who[:most]
             done += step_
             step_ *= 4
         return list(zip(np.minimum(best, 1.0).tolist(), who.tolist(), strict=True))
@@ -129,29 +143,46 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """The fitted model; bounded by MAX_EXAMPLES and MAX_TERMS."""
+    """The fitted model; bounded by the texts of MAX_EXAMPLES examples and MAX_TERMS."""
 
-    terms: dict[str, int]
-    idf: np.ndarray
-    index: BlockMaxIndex
+    terms: dict[str, int]  # telling terms
+    words: dict[str, int]  # all words of the examples, numbered after them
+    idf: np.ndarray  # of terms, words, and at last of words that no example holds
+    index: BlockMaxIndex | None
     doc_id: np.ndarray
     toxic: np.ndarray
     base: float  # share of toxic documents among examples without a telling term
     curve: tuple[np.ndarray, np.ndarray]
+    shared: tuple = ()  # broadcasts of the vocabulary and of (index, doc_id, toxic)
+
+    def ship(self):
+        """A function that gives the model in a task; each part is broadcast once, whatever the number of stages."""
+        (blank, rest), base, curve = self.shared, self.base, self.curve
+
+        def get() -> Model:
+            v = blank.value
+            return Model(v.terms, v.words, v.idf, *rest.value, base, curve)
+        return get
 
     def vector(self, words: Counter, memo: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms in order and their TF-IDF weights; of length 1 together with unknown words."""
         count: dict[int, int] = {}
-        other = 0
+        unknown = []
         for w, n in words.items():
             if (known := memo.get(w)) is None:
-                known = memo[w] = tuple(i for t in terms_of(w) if (i := self.terms.get(t)) is not None)
-            for t in known:
+                known = memo[w] = (self.words.get(w, -1), tuple(i for t in terms_of(w) if (i := self.terms.get(t)) is not None))
+            if known[0] < 0:
+                unknown.append(n)
+            else:
+                count[known[0]] = n
+            for t in known[1]:
                 count[t] = count.get(t, 0) + n
-            if not known:
-                other += n
-        if other:
-            count[len(self.terms)] = other  # the common term of all other words
-        return unit(count, self.idf)
+        if not count:
+            return np.zeros(0, np.int64), np.zeros(0)
+        terms = np.array(sorted(count), np.int64)
+        w = (1 + np.log([count[t] for t in terms.tolist()])) * self.idf[terms]
+        other = (1 + np.log(np.array(unknown, float))) * self.idf[-1]
+        return terms, w / np.sqrt(w @ w + other @ other)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         if not near:
@@ -170,15 +201,6 @@ class Model:
         return float(np.clip(0.2 * vote + 0.8 * np.interp(vote, x, y), 0.0, 1.0))
 
 
-def unit(count: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms in order and their TF-IDF weights, of length 1."""
-    if not count:
-        return np.zeros(0, np.int64), np.zeros(0)
-    terms = np.array(sorted(count), np.int64)
-    w = (1 + np.log([count[t] for t in terms.tolist()])) * idf[terms]
-    return terms, w / np.sqrt(w @ w)
-
-
 # ---------------------------------------------------------------- fit
 
 
@@ -225,7 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
     def part(a, of_all, share):  # one cell of the log-likelihood ratio
         return F.when(a > 0, a * F.log(a / (of_all * share))).otherwise(0.0)
 
-    t = term_counts(rows).withColumn("df", F.col("n1") + F.col("n0")).filter(F.col("df") >= LEAST_DOCS)
+    counts = step(term_counts(rows).withColumn("df", F.col("n1") + F.col("n0")), "terms")
+    t = counts.filter(F.col("df") >= LEAST_DOCS)
     share = F.col("df") / F.lit(float(max(1, n1 + n0)))
     ratio = 2 * (part(F.col("n1"), F.lit(float(n1)), share) + part(F.col("n0"), F.lit(float(n0)), share)
                  + part(n1 - F.col("n1"), F.lit(float(n1)), 1 - share) + part(n0 - F.col("n0"), F.lit(float(n0)), 1 - share))
@@ -233,41 +256,46 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
     chosen = (t.withColumn("ratio", ratio).filter(more & (F.col("ratio") >= LEAST_RATIO))
               .orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term", "df").collect())
     terms = {r["term"]: i for i, r in enumerate(chosen)}
-    idf = np.log((n1 + n0 + 1) / (np.array([*(r["df"] for r in chosen), n1 + n0], float) + 1)) + 1
+    held = counts.filter(~F.endswith("term", F.lit("*"))).select("term", "df").toArrow().sort_by("term")  # bounded by the texts of the examples
+    words = {w: len(terms) + i for i, w in enumerate(held.column("term").to_pylist())}
+    idf = np.log((n1 + n0 + 1) / (np.concatenate([[r["df"] for r in chosen], held.column("df").to_numpy(), [0]]) + 1)) + 1
+    blank = rows.sparkSession.sparkContext.broadcast(Model(terms, words, idf, None, None, None, 0.0, None))
 
     def vectors(batches):
+        memo: dict = {}
         for b in batches:
-            memo: dict = {}
-            model = Model(terms, idf, None, None, None, 0.0, None)
-            got = [model.vector(Counter(LETTERS.findall(t.lower())), memo) for t in b.column(1).to_pylist()]
+            got = [blank.value.vector(Counter(LETTERS.findall(t.lower())), memo) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([g[0].tolist() for g in got], pa.list_(pa.int32())),
-                 pa.array([g[1].tolist() for g in got], pa.list_(pa.float64()))], ["doc_id", "toxic", "terms", "weights"])
+                [b.column(0), b.column(2), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())],
+                ["doc_id", "toxic", "terms", "weights"])
 
-    # at most `most` short vectors
-    got = rows.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, weights array<double>").collect()
-    bare = [r["toxic"] for r in got if not any(t < len(terms) for t in r["terms"])]
+    # at most `most` vectors
+    got = [(r["doc_id"], r["toxic"], np.frombuffer(r["terms"], np.int64), np.frombuffer(r["weights"])) for r in
+           rows.mapInArrow(vectors, "doc_id long, toxic int, terms binary, weights binary").collect()]
+    bare = [toxic for _, toxic, t, _ in got if not (t < len(terms)).any()]
     base = (sum(bare) + (n1 + 1) / (n1 + n0 + 2)) / (len(bare) + 1)
     # examples with the same strongest terms lie together, which makes block maxima tight
-    found = sorted((r for r in got if r["terms"]),
-                   key=lambda r: ([t for _, t in sorted(zip(r["weights"], r["terms"], strict=True), key=lambda x: (-x[0], x[1]))][:3], r["doc_id"]))
-    index = BlockMaxIndex([list(zip(r["terms"], r["weights"], strict=True)) for r in found], len(idf))
-    model = Model(terms, idf, index, np.array([r["doc_id"] for r in found], np.int64), np.array([r["toxic"] for r in found], float), base, ((), ()))
+    found = sorted((r for r in got if len(r[2])), key=lambda r: (r[2][np.argsort(-r[3], kind="stable")[:3]].tolist(), r[0]))
+    # single precision halves what is broadcast
+    index = BlockMaxIndex([(t, w.astype(np.float32)) for _, _, t, w in found], len(idf))
+    model = Model(terms, words, idf, index, np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], float), base, ((), ()))
+    model.shared = blank, rows.sparkSession.sparkContext.broadcast((index, model.doc_id, model.toxic))
     model.curve = isotonic(*_votes(rows, model)) if found else ((), ())
     return model
 
 
 def _votes(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Votes and labels of the examples, each left out of its own neighbours; at most MAX_EXAMPLES."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    get = model.ship()
 
     def run(batches):
-        m, memo, place = shared.value, {}, {d: i for i, d in enumerate(shared.value.doc_id.tolist())}
+        m, memo = get(), {}
+        place = {d: i for i, d in enumerate(m.doc_id.tolist())}
         for b in batches:
             votes = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 v = m.vector(Counter(LETTERS.findall(text.lower())), memo)
-                votes.append(m.vote(m.index.search(*v, NEIGHBOURS, place.get(doc, -1))))
+                votes.append(m.vote(m.index.search(*v, NEIGHBOURS, place.get(doc, -1), True)))
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column(2)], ["vote", "toxic"])
 
     got = np.array([(r["vote"], r["toxic"]) for r in rows.mapInArrow(run, "vote double, toxic int").collect() if r["vote"] >= 0]).reshape(-1, 2)
@@ -280,21 +308,21 @@ def _votes(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
 def score_documents(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> DataFrame:
     """doc_id, score, evidence array<struct<doc_id, similarity, toxic>> (nearest first); a row per input row.
 
-    Texts without a letter, empty and null ones too, have no neighbours and get the share of toxic labels among
+    Texts without a word of an example, empty and null ones too, have no neighbours and get the share of toxic labels among
     examples without a telling term.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most))
+    get = fit(docs, labels, most).ship()
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     def make():
-        m, memo = model.value, {}
+        m, memo = get(), {}
 
         def work(batch):
             if len(memo) > MEMO:
                 memo.clear()
             scores, evidence = [], []
             for text in batch.column(1).to_pylist():
-                near = m.index.search(*m.vector(Counter(LETTERS.findall(text.lower())), memo), NEIGHBOURS)
+                near = m.index.search(*m.vector(Counter(LETTERS.findall(text.lower())), memo), NEIGHBOURS, ties=True)
                 scores.append(m.score(near))
                 evidence.append([{"doc_id": int(m.doc_id[i]), "similarity": s, "toxic": int(m.toxic[i])} for s, i in near[:3]])
             return {"doc_id": batch.column(0), "score": scores, "evidence": pa.array(evidence, kind)}

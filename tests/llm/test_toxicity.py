@@ -63,6 +63,20 @@ def test_evidence_shares_the_verdict(judged):
     assert all(r.evidence for r in rows) and sum(e.toxic for e in shown) > 0.85 * len(shown)
 
 
+def test_copies_find_their_example_and_ties_vote_together(spark, judged):
+    # held-out copy of a labelled toxic example that holds no telling term
+    near = judged.filter("doc_id = 2514").first().evidence[0]
+    assert near.toxic == 1 and near.similarity > 1 - 1e-6
+    n = 3 * toxicity.NEIGHBOURS
+    texts = [(3 * i, "the very same plain words") for i in range(n)] + [(10_000, "quite another story"), (10_001, "the very same plain words")]
+    labels = [(3 * i, int(i % 3 == 0)) for i in range(n)] + [(10_000, 0)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    m = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = m.index.search(*m.vector(toxicity.Counter("the very same plain words".split()), {}), toxicity.NEIGHBOURS, ties=True)
+    same = int((abs(np.array([s for s, _ in got]) - 1) < 1e-6).sum())
+    assert same == len(got) == sum(d != 10_000 for d in m.doc_id.tolist()) > toxicity.NEIGHBOURS
+
+
 def test_odd_rows(spark, odd_docs):
     labels = spark.createDataFrame([(0, 1, 1), (0, 1, 1), (1, 0, 0), (2, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.judge(odd_docs, labels)
