@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blotter.llm import (bpe, exact_dedup, license_scan, near_dup, packing, quality_rules, secret_scan, token_orc,
-                         toxicity, url_filter)
+from blotter.llm import (bpe, exact_dedup, html_extract, license_scan, near_dup, packing, prefix_trie, quality_rules, secret_scan,
+                         token_orc, toxicity, url_filter, whitening)
 from blotter.llm.common import read
 from blotter.llm.sql import ORACLE  # noqa: F401
 from blotter.session import scratch_dir
@@ -59,6 +59,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(read(spark, sf_dir, "conversations"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_license_scan, op2_license_passages, op3_quality_rules, op4_best_fit_packing, op5_exact_dedup,
-    op6_secret_scan, op7_token_orc, op8_bpe_round_trip, op9_toxicity, op10_url_filter)}
+    op6_secret_scan, op7_token_orc, op8_bpe_round_trip, op9_toxicity, op10_url_filter, op11_prefix_trie, op12_embedding_whitening,
+    op13_html_extract)}

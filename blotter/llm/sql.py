@@ -1,7 +1,7 @@
 """DuckDB statements equal to the registered queries, where SQL can express them.
 
-Token ids (op4, op7, op8), span offsets (op6), nearest-neighbour scores (op9) and
-template trees (op10) have none; tests hold those against plain versions.
+Token ids (op4, op7, op8), span offsets (op6), nearest-neighbour scores (op9),
+template trees (op10), eigenvectors (op12) and page parsing (op13) have none; tests hold those against plain versions.
 """
 
 from __future__ import annotations
@@ -81,5 +81,30 @@ SELECT d.doc_id, sha256({_canonical('d.text')}) AS text_digest, known.license, c
 FROM d LEFT JOIN known ON known.digest = sha256({_canonical('d.text')}) LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-ORACLE = {"op1_minhash_near_dedup": NEAR_DUP, "op2_license_scan": LICENSES, "op3_quality_rules": QUALITY, "op5_exact_dedup": EXACT_DEDUP}
+#: crc32 of a decimal string, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)::BIGINT)))"""
+
+PREFIX_TRIE = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(sha256(length(role)::VARCHAR || ':' || role || text) ORDER BY turn NULLS FIRST, role, text) AS ds,
+             list(strlen(text) ORDER BY turn NULLS FIRST, role, text) AS bs FROM t GROUP BY conv_id),
+h AS (SELECT *, {_CRC} % 9 AS h FROM c),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.ds, [])[:h.h], h.ds[h.h + 1:]) AS ds, list_concat(coalesce(b.bs, [])[:h.h], h.bs[h.h + 1:]) AS bs
+      FROM h LEFT JOIN h b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, d, array_to_string(ds[:d], ',') AS k, CASE WHEN d > 0 THEN array_to_string(ds[:d - 1], ',') END AS up,
+             d = len(ds) AS ends, coalesce(bs[d], 0) AS bytes
+      FROM (SELECT *, unnest(range(0, len(ds) + 1)) AS d FROM r)),
+n AS (SELECT k, d, any_value(up) AS up, min(conv_id) AS first, count(*) AS n, any_value(bytes) AS bytes,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS hashed FROM p GROUP BY k, d),
+kids AS (SELECT up AS k, count(*) AS kids FROM n WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT p.k, sum(CASE WHEN kids.k IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n.n - 1) * n.bytes) AS saved
+          FROM n JOIN p ON p.conv_id = n.first AND p.d <= n.d LEFT JOIN kids ON kids.k = n.k GROUP BY p.k)
+SELECT n.first AS conv_id, n.d AS depth, u.first AS parent_conv_id, n.n AS n_convs, coalesce(kids.kids, 0)::BIGINT AS n_children,
+       below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, n.hashed AS ends_sha256
+FROM n LEFT JOIN n u ON u.k = n.up LEFT JOIN kids ON kids.k = n.k JOIN below ON below.k = n.k
+"""
+
+ORACLE = {"op1_minhash_near_dedup": NEAR_DUP, "op2_license_scan": LICENSES, "op3_quality_rules": QUALITY, "op5_exact_dedup": EXACT_DEDUP,
+          "op11_prefix_trie": PREFIX_TRIE}
 ORACLE = {k: v.strip() for k, v in ORACLE.items()}

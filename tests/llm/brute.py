@@ -1,9 +1,10 @@
 """Plain single-process versions of the operators, for comparison on small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -115,6 +116,29 @@ def url_rule(url):
     return (host, path, *(max(fits)[1:] if fits else (None, None)))
 
 
+def prefix_trie(rows, family=5, longest=9):
+    """rows (conv_id, turn, role, text) -> sorted result tuples."""
+    convs = defaultdict(list)
+    for c, t, r, x in rows:
+        if c is not None:
+            convs[c].append((t is not None, t or 0, r or "", x or ""))
+    turns = {c: [(r, x) for _, _, r, x in sorted(v)] for c, v in convs.items()}
+    member = defaultdict(list); ends = defaultdict(list); kids = defaultdict(set)
+    for c in turns:
+        h = zlib.crc32(str(c).encode()) % longest
+        seq = tuple(turns.get(c - int(math.fmod(c, family)), [])[:h] + turns[c][h:])
+        for d in range(len(seq) + 1):
+            member[seq[:d]].append(c)
+            if d: kids[seq[:d - 1]].add(seq[:d])
+        ends[seq].append(c)
+    leaves, saved = {}, {}
+    for p in sorted(member, key=len, reverse=True):
+        leaves[p] = sum(leaves[k] for k in kids[p]) or 1
+        saved[p] = sum(saved[k] for k in kids[p]) + ((len(member[p]) - 1) * len(p[-1][1].encode()) if p else 0)
+    return sorted((min(m), len(p), min(member[p[:-1]]) if p else None, len(m), len(kids[p]), leaves[p], saved[p],
+                   hashlib.sha256(",".join(map(str, sorted(ends.get(p, [])))).encode()).hexdigest()) for p, m in member.items())
+
+
 #: Texts that are unusual in one way or another.
 ODD = [
     None, "", " ", "\n\t ", "one", "One two three four", "one  two\nthree four", "one two three four five",
