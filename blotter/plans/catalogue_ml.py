@@ -13,7 +13,7 @@ from blotter.operators import features as fe
 from blotter.operators import metrics as me
 from blotter.operators import reduce as rd
 from blotter.operators.dbscan import dbscan
-from blotter.operators.ward import ward
+from blotter.operators.ward import CELLS, ward, ward_tree
 from blotter.plans import sqlparts as sq
 from blotter.plans import tables as T
 from blotter.plans.registry import query
@@ -313,13 +313,19 @@ def model_roundtrip(spark, sf):
 _WARD_BINS, _WARD_K = 12, 4
 
 
-@query("ward_zones", f"""
+def _ward_sql(cells: str, k: int = _WARD_K, result: str | None = None) -> str:
+    """The cheapest pair of clusters merges until k are left; ``cells`` groups the rows p into the first clusters c."""
+    result = result or """,
+l AS (SELECT cell, cid FROM w WHERE step = (SELECT max(step) FROM w)),
+num AS (SELECT cid, dense_rank() OVER (ORDER BY cid) - 1 AS cluster FROM (SELECT DISTINCT cid FROM l))
+SELECT c.vec_id, CAST(num.cluster AS INTEGER) AS cluster
+FROM c JOIN g ON g.cx = c.cx AND g.cy = c.cy JOIN l ON l.cell = g.cell JOIN num ON num.cid = l.cid"""
+    return f"""
 WITH RECURSIVE pl AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
 st AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pl),
 p AS (SELECT vec_id, (x - x0) / (x1 - x0) AS x, (y - y0) / (y1 - y0) AS y FROM pl, st),
-c AS (SELECT *, least(floor(x * {_WARD_BINS}), {_WARD_BINS - 1}) AS cx, least(floor(y * {_WARD_BINS}), {_WARD_BINS - 1}) AS cy FROM p),
-g AS (SELECT cx, cy, row_number() OVER (ORDER BY min(vec_id)) AS cell, count(*)::DOUBLE AS n, avg(x) AS x, avg(y) AS y, min(vec_id) AS first
-      FROM c GROUP BY cx, cy),
+{cells},
+g AS (SELECT cx, cy, row_number() OVER (ORDER BY min(vec_id)) AS cell, count(*)::DOUBLE AS n, avg(x) AS x, avg(y) AS y FROM c GROUP BY cx, cy),
 w(step, cell, cid, n, x, y) AS (
   SELECT 0, cell, cell, n, x, y FROM g
   UNION ALL
@@ -329,19 +335,43 @@ w(step, cell, cid, n, x, y) AS (
   FROM w, (SELECT a.cid AS a, b.cid AS b, a.n + b.n AS n, (a.n * a.x + b.n * b.x) / (a.n + b.n) AS x, (a.n * a.y + b.n * b.y) / (a.n + b.n) AS y
            FROM (SELECT DISTINCT cid, n, x, y FROM w) a JOIN (SELECT DISTINCT cid, n, x, y FROM w) b ON a.cid < b.cid
            ORDER BY a.n * b.n / (a.n + b.n) * ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), a.cid, b.cid LIMIT 1) m
-  WHERE (SELECT count(DISTINCT cid) FROM w) > {_WARD_K}),
-l AS (SELECT cell, cid FROM w WHERE step = (SELECT max(step) FROM w)),
-num AS (SELECT cid, dense_rank() OVER (ORDER BY cid) - 1 AS cluster FROM (SELECT DISTINCT cid FROM l))
-SELECT c.vec_id, CAST(num.cluster AS INTEGER) AS cluster
-FROM c JOIN g ON g.cx = c.cx AND g.cy = c.cy JOIN l ON l.cell = g.cell JOIN num ON num.cid = l.cid""")
+  WHERE (SELECT count(DISTINCT cid) FROM w) > {k}){result}"""
+
+
+_ROWS = "c AS (SELECT *, x AS cx, y AS cy FROM p)"
+
+
+@query("ward_zones", _ward_sql(_ROWS))
 def ward_zones(spark, sf):
-    """The fixed-grid form, coarse so that SQL can follow its merges; ``ward_zones_adaptive`` is the production form."""
-    return ward(_scaled_plane(spark, sf), "vec_id", "x_scaled", "y_scaled", _WARD_K, _WARD_BINS)
+    """Ward on the rows themselves."""
+    return ward(_scaled_plane(spark, sf), "vec_id", "x_scaled", "y_scaled", _WARD_K)
+
+
+@query("ward_merges", _ward_sql(_ROWS, 1, """,
+v AS (SELECT DISTINCT step, cid, n, x, y FROM w),
+m AS (SELECT DISTINCT o.step, o.cid AS b, k.cid AS a FROM w o JOIN w k ON k.step = o.step + 1 AND k.cell = o.cell WHERE k.cid <> o.cid),
+name AS (SELECT g.cell, min(c.vec_id) AS id FROM g JOIN c ON c.cx = g.cx AND c.cy = g.cy GROUP BY g.cell)
+SELECT nb.id AS absorbed, na.id AS survivor,
+       round_even(va.n * vb.n / (va.n + vb.n) * ((va.x - vb.x) * (va.x - vb.x) + (va.y - vb.y) * (va.y - vb.y)), 9) AS cost, CAST(va.n + vb.n AS BIGINT) AS size
+FROM m JOIN v va ON va.step = m.step AND va.cid = m.a JOIN v vb ON vb.step = m.step AND vb.cid = m.b
+JOIN name na ON na.cell = m.a JOIN name nb ON nb.cell = m.b"""))
+def ward_merges(spark, sf):
+    """The dendrogram behind ``ward_zones``: a row per merge."""
+    return ward_tree(_scaled_plane(spark, sf), "vec_id", "x_scaled", "y_scaled").select(
+        "absorbed", "survivor", F.bround("cost", 9).alias("cost"), F.col("size").cast("long").alias("size"))
 
 
 @query("ward_zones_adaptive")
 def ward_zones_adaptive(spark, sf):
-    return ward(_scaled_plane(spark, sf), "vec_id", "x_scaled", "y_scaled", _WARD_K)
+    """Rows summed up in adaptive cells first."""
+    return ward(_scaled_plane(spark, sf), "vec_id", "x_scaled", "y_scaled", _WARD_K, cells=CELLS)
+
+
+@query("ward_zones_grid", _ward_sql(
+    f"c AS (SELECT *, least(floor(x * {_WARD_BINS}), {_WARD_BINS - 1}) AS cx, least(floor(y * {_WARD_BINS}), {_WARD_BINS - 1}) AS cy FROM p)"))
+def ward_zones_grid(spark, sf):
+    """Rows summed up in a fixed grid first."""
+    return ward(_scaled_plane(spark, sf), "vec_id", "x_scaled", "y_scaled", _WARD_K, _WARD_BINS)
 
 
 @query("kmeans_fixed_start", """

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from blotter.operators import metrics as me
 from blotter.operators.dbscan import dbscan
-from blotter.operators.ward import ward
+from blotter.operators import ward as ward_module
+from blotter.operators.ward import ward, ward_tree
 
 
 def blobs(seed, n=240):
@@ -83,6 +84,77 @@ def brute_ward(X, k):
     return {frozenset(m) for _, _, m in clusters.values()}
 
 
+def sequential_ward(n, x, y):
+    """Always the cheapest pair (ties: smallest numbers): (absorbed, survivor, cost, size) in order."""
+    n, x, y = (np.array(a, float) for a in (n, x, y))
+    live, out = np.ones(len(n), bool), []
+    best, near = np.full(len(n), np.inf), np.zeros(len(n), int)
+
+    def search(i):
+        c = n * n[i] / (n + n[i]) * ((x - x[i]) ** 2 + (y - y[i]) ** 2)
+        c[~live] = np.inf
+        c[i] = np.inf
+        near[i], best[i] = c.argmin(), c.min()
+
+    for i in range(len(n)):
+        search(i)
+    for _ in range(len(n) - 1):
+        i = int(np.where(live, best, np.inf).argmin())
+        a, b = sorted((i, int(near[i])))
+        x[a], y[a] = ((n[a] * z[a] + n[b] * z[b]) / (n[a] + n[b]) for z in (x, y))
+        n[a] += n[b]
+        live[b] = False
+        out.append((b, a, float(best[i]), n[a]))
+        for j in np.flatnonzero(live & ((near == a) | (near == b))).tolist() + [a]:
+            search(j)
+    return out
+
+
+def test_ward_tree_equals_sequential_on_5000_places(spark):
+    X = np.concatenate([np.random.default_rng(2).normal(c, s, size=(1000, 2)) for c, s in (((0, 0), 1), ((9, 0), 0.1), ((0, 9), 3), ((9, 9), 1), ((500, 0), 50))])
+    got = sorted(tuple(r) for r in ward_tree(frame(spark, X), "id", "x", "y").drop("round").collect())
+    want = sorted(sequential_ward(np.ones(len(X)), *X.T))
+    assert [(a, b) for a, b, _, _ in got] == [(a, b) for a, b, _, _ in want]
+    assert np.allclose([r[2:] for r in got], [r[2:] for r in want], rtol=1e-6)
+
+
+def test_ward_rounds_over_tables(spark, monkeypatch):
+    """Blocks, boxes and probes, with repeated places, far rows and sizes that differ widely."""
+    monkeypatch.setattr(ward_module, "SMALL", 40)
+    monkeypatch.setattr(ward_module, "BLOCK", 32)
+    monkeypatch.setattr(ward_module, "PROBES", 16)
+    rng = np.random.default_rng(3)
+    X = np.concatenate([rng.normal(0, 1, (300, 2)), rng.normal(5, 0.05, (150, 2)), [[1e4, 1e4], [-1e3, 5.0], [1e4, -1e4]]])
+    heavy = np.concatenate([X, *[X[i:i + 1].repeat(9 + 7 * i, 0) for i in range(12)]])
+    got = sorted(tuple(r) for r in ward_tree(frame(spark, heavy), "id", "x", "y").drop("round").collect())
+    n = np.ones(len(X))
+    n[:12] += 9 + 7 * np.arange(12)
+    want = sorted(sequential_ward(n, *X.T))
+    assert [(a, b) for a, b, _, _ in got] == [(a, b) for a, b, _, _ in want]
+    assert np.allclose([r[2:] for r in got], [r[2:] for r in want], rtol=1e-6)
+    labels = ward(frame(spark, heavy), "id", "x", "y", 7).toPandas().set_index("id")["cluster"]
+    cut = {b: a for b, a, *_ in sorted(want, key=lambda r: r[2])[:-6]}
+
+    def top(i):
+        while i in cut:
+            i = cut[i]
+        return i
+    tops = [top(i) for i in range(len(X))]
+    names = sorted(set(tops))
+    assert [labels[i] for i in range(len(X))] == [names.index(t) for t in tops]
+
+
+def test_ward_search_by_tasks_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(ward_module, "PAIRS", 100)
+    lattice = np.array([[i, j] for i in range(9) for j in range(9)], float)
+    got = ward_tree(frame(spark, lattice), "id", "x", "y").collect()
+    assert len(got) == 80 and len({r.absorbed for r in got}) == 80 and all(r.survivor < r.absorbed for r in got)
+    one = ward(frame(spark, np.array([[1.0, 2.0], [1.0, 2.0], [np.nan, 1.0]])), "id", "x", "y", 3).toPandas().sort_values("id")["cluster"].tolist()
+    assert one[:2] == [0, 0] and np.isnan(one[2])
+    none = ward(frame(spark, np.zeros((1, 2))).limit(0), "id", "x", "y", 3)
+    assert none.collect() == [] and none.columns == ["id", "cluster"]
+
+
 @pytest.mark.parametrize("seed,k", [(0, 4), (4, 3)])
 def test_ward_equals_sequential(spark, seed, k):
     X = blobs(seed, 60)
@@ -95,14 +167,15 @@ def test_ward_equals_sequential(spark, seed, k):
 @pytest.mark.parametrize("seed,k", [(0, 4), (4, 3)])
 def test_ward_adapts_to_far_rows(spark, seed, k):
     X = np.concatenate([blobs(seed, 60), [[1000.0, 1000.0]]])  # one cell of a min-max grid would hold all other rows
-    got = ward(frame(spark, X), "id", "x", "y", k).toPandas()
-    assert {frozenset(g["id"].tolist()) for _, g in got.groupby("cluster")} == brute_ward(X, k)
+    for cells in (None, ward_module.CELLS):
+        got = ward(frame(spark, X), "id", "x", "y", k, cells=cells).toPandas()
+        assert {frozenset(g["id"].tolist()) for _, g in got.groupby("cluster")} == brute_ward(X, k)
 
 
 def test_ward_keeps_centres_when_cells_are_few(spark):
     rng = np.random.default_rng(8)
     X = np.concatenate([rng.normal(c, 0.01, size=(1500, 2)) for c in ((0, 0), (0, 1), (1, 0))] + [[[1000.0, 1000.0], [np.nan, 0.0]]])
-    got = ward(frame(spark, X), "id", "x", "y", 4).toPandas().sort_values("id")["cluster"].tolist()
+    got = ward(frame(spark, X), "id", "x", "y", 4, cells=ward_module.CELLS).toPandas().sort_values("id")["cluster"].tolist()
     assert got[:4501] == [0] * 1500 + [1] * 1500 + [2] * 1500 + [3] and np.isnan(got[4501])
 
 
