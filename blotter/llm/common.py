@@ -46,9 +46,31 @@ def step(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
-def drop_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``dropped`` (doc_id); rows without an id stay."""
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def text_digest(text: str | Column = "text", blank: bool = False) -> Column:
+    """SHA-256 of a text, null as empty; with ``blank`` every run of white space counts as one space."""
+    whole = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.sha2(F.regexp_replace(whole, r"[\x20\t-\r]+", " ") if blank else whole, 256)
+
+
+def keyed_docs(df: DataFrame) -> DataFrame:
+    """(doc_id, text, digest): what tells rows apart that share an id or have none."""
+    return docs_of(df).withColumn("digest", text_digest())
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, blank: bool = False, keep: bool = False) -> DataFrame:
+    """``docs`` without the rows whose (doc_id, text digest) is in ``dropped`` (doc_id, digest); with ``keep`` only those.
+
+    A row without an id goes by its text, a row that shares its id with a dropped one stays if its text is another.
+    Columns are handled by place, so names that differ in case only do no harm.
+    """
+    names = docs.columns
+    placed = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    mine = [F.col(f"_c{names.index('doc_id')}").cast("long"), text_digest(F.col(f"_c{names.index('text')}"), blank)]
+    keyed = placed.withColumns({"_id": mine[0], "_digest": mine[1]})
+    gone = dropped.select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_text")).distinct()
+    same = F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_digest") == F.col("_text"))
+    out = keyed.join(gone, same, "left_semi" if keep else "left_anti").drop("_id", "_digest")
+    return out.toDF(*names)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

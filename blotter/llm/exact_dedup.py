@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blotter.llm.common import docs_of, drop_ids, map_slices, runs, step
+from blotter.llm.common import docs_of, drop_rows, map_slices, runs, step, text_digest
 
 #: Chunk sizes in bytes: least, about the mean beyond the least (a power of two), largest.
 LEAST, SPREAD, LARGEST = 512, 2048, 16384
@@ -164,21 +164,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) that stay."""
-    rows = step(dedup(docs).select("doc_id", "text_sha256", "keep_id", "kept"), "verdicts")
-    out = drop_ids(docs, rows.groupBy("doc_id").agg(F.max("kept").alias("any")).filter("not any"))
-    # rows that share an id: some stay and some go, so they are told apart by text
-    mixed = step(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("all")).filter("n > 1 and not all"), "mixed")
-    if mixed.isEmpty():
+    """The rows of ``docs`` (all columns) that stay; one of repeated rows."""
+    rows = dedup(docs).select("doc_id", F.col("text_sha256").alias("digest"), "kept")
+    verdicts = step(rows.groupBy("doc_id", "digest").agg(F.max("kept").alias("stays"), F.count("*").alias("n")), "verdicts")
+    out = drop_rows(docs, verdicts.filter("not stays"), blank=True)
+    repeated = step(verdicts.filter("stays and n > 1").select("doc_id", "digest"), "repeated")
+    if repeated.isEmpty():
         return out
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\t-\r]+", " "), 256)
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    wanted = rows.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    ids = mixed.select(F.col("doc_id").alias("_id"))
-    rest = out.join(ids, same, "left_anti")
-    few = (out.join(ids, same, "left_semi").withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"])
-           .join(wanted.withColumnRenamed("_sha", "_sha2"), same & (F.col("_sha") == F.col("_sha2")), "left_semi").drop("_sha"))
-    return rest.unionByName(few)
+    names = docs.columns
+    few = drop_rows(docs, repeated, blank=True, keep=True).toDF(*[f"_c{i}" for i in range(len(names))])
+    few = few.withColumn("_digest", text_digest(F.col(f"_c{names.index('text')}"), True)).dropDuplicates([f"_c{names.index('doc_id')}", "_digest"])
+    return drop_rows(out, repeated, blank=True).union(few.drop("_digest").toDF(*names))
 
 
 def rebuild(cut: DataFrame) -> DataFrame:

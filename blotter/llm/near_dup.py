@@ -27,10 +27,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blotter.llm.common import binary_of, docs_of, drop_ids, list_of, map_slices, runs, step
+from blotter.llm.common import binary_of, docs_of, drop_rows, keyed_docs, list_of, map_slices, runs, step
 from blotter.operators.components import connected_components
 from blotter.operators.grouped import map_groups
 
@@ -109,7 +109,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key, sig (a byte per bin), bands; null keys where there is no shingle."""
+    """doc_id, digest (of the text), n_shingles, set_key, sig (a byte per bin), bands; null keys where there is no shingle."""
 
     def make():
         import xxhash
@@ -124,10 +124,10 @@ def features(docs: DataFrame) -> DataFrame:
             keys = pa.array([xxhash.xxh3_128_digest(s) if len(s) else None for s in sets], pa.binary())
             sig = binary_of((signature & _U(255)).astype(np.uint8).ravel(), np.arange(len(signature) + 1) * BINS)
             bands = list_of(band_keys(signature).ravel(), np.arange(len(signature) + 1) * BANDS, pa.int64())
-            return {"doc_id": batch.column(0), "n_shingles": n, "set_key": keys, "sig": sig.take(place), "bands": bands.take(place)}
+            return {"doc_id": batch.column(0), "digest": batch.column(2), "n_shingles": n, "set_key": keys, "sig": sig.take(place), "bands": bands.take(place)}
         return work
 
-    return map_slices(docs_of(docs), make, "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>")
+    return map_slices(keyed_docs(docs), make, "doc_id long, digest string, n_shingles long, set_key binary, sig binary, bands array<long>")
 
 
 def sizes_allow(a: str, b: str) -> F.Column:
@@ -189,12 +189,17 @@ def star_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("src", "dst", "ss", "sd", "ns", "nd").mapInArrow(run, "src long, dst long").distinct()
 
 
+def collisions(n: int) -> int:
+    """Equal 32-bit halves to expect among n hashes (about n^2 / 2^33 of them, doubled) and eight standard deviations."""
+    mean = n * n / 2**32
+    return int(mean + 8 * mean**0.5) + n // 10_000
+
+
 def rest_pairs(members: DataFrame, classes: DataFrame, components: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs of a bucket from different components that reach the limit on 32-bit shingle hashes.
 
     A pair is looked at in the first bucket that both are in.  Equal low halves of different hashes can only add
-    to an intersection and equal ones within a set take at most a handful from it (``slack``), so no link is lost;
-    what is passed on is confirmed on full sets.
+    to an intersection; equal ones within a set take from it, at most ``collisions`` but for chance; what is passed on is confirmed on full sets.
     """
     comp = components.select(F.col("id").alias("rep"), "component")
     labelled = step(members.select("bucket", "rep").join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
@@ -236,7 +241,7 @@ def rest_pairs(members: DataFrame, classes: DataFrame, components: DataFrame, do
                 values, code = np.unique(np.concatenate(sets), return_inverse=True)
             mark = np.zeros(len(values), bool)
             mark[code[starts[k]:starts[k + 1]]] = True
-            slack = 2 + n[k] // 10_000
+            slack = 2 + collisions(int(n[k]))
             common = np.fromiter((np.count_nonzero(mark[code[starts[o]:starts[o + 1]]]) for o in other.tolist()), np.int64, len(other)) + slack
             near = other[100 * common >= PERCENT * (n[k] + n[other] - common)]
             src.append(np.minimum(rep[k], rep[near]))
@@ -247,7 +252,12 @@ def rest_pairs(members: DataFrame, classes: DataFrame, components: DataFrame, do
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; a row per input row.
+    """doc_id, n_shingles, component_id, kept; a row per input row (see ``classified``)."""
+    return classified(docs).drop("digest")
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, n_shingles, component_id, kept; a row per input row.
 
     component_id is the least doc_id that links of similarity >= 0.75 reach.  Texts without words are linked
     with nothing.  Rows that share an id are judged by their own texts, under that id; a row without an id is
@@ -256,27 +266,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     feats = step(features(docs), "minhash")
     linked = feats.filter("doc_id is not null and set_key is not null")
     classes = step(linked.groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
+        F.min(F.struct("doc_id", "digest")).alias("own"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+        .select("set_key", F.col("own.doc_id").alias("rep"), "own", "n", "sig", "bands"), "classes")
+    texts, shared_ids = docs, not classes.groupBy("rep").count().filter("count > 1").isEmpty()
+    if shared_ids:  # texts that share their least id: all but one of their classes get numbers of their own
+        place = F.row_number().over(Window.partitionBy("rep").orderBy("set_key"))
+        number = F.lit(-2**62) - F.pmod(F.xxhash64("set_key"), F.lit(2**61))
+        classes = step(classes.withColumn("place", place).withColumn("rep", F.when(F.col("place") == 1, F.col("rep")).otherwise(number)).drop("place"), "classes")
+        named = classes.select(F.col("own.doc_id").alias("doc_id"), F.col("own.digest").alias("digest"), "rep")
+        texts = keyed_docs(docs).join(named, ["doc_id", "digest"]).select(F.col("rep").alias("doc_id"), "text")
     buckets = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre <> last").drop("last")
     members = step(buckets.join(shared, "bucket"), "buckets")
     pairs = step(star_pairs(members, classes), "stars")
-    links = step(confirm(pairs, docs), "links")
+    links = step(confirm(pairs, texts), "links")
     components = step(connected_components(links), "components")
-    rest = step(rest_pairs(members, classes, components, docs).join(pairs, ["src", "dst"], "left_anti"), "rest")
+    rest = step(rest_pairs(members, classes, components, texts).join(pairs, ["src", "dst"], "left_anti"), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(step(confirm(rest, docs), "links"))
+        links = links.unionByName(step(confirm(rest, texts), "links"))
         components = step(connected_components(links), "components")
     # every document: its class, the class's component
-    by_class = classes.select("set_key", "rep").join(components.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
-        "set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = feats.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
+    by_class = classes.select("set_key", "rep", "own.doc_id").join(components.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
+        "set_key", "doc_id", F.coalesce("component", "rep").alias("component_id"))
+    if shared_ids:
+        least = by_class.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+        by_class = by_class.join(least, "component_id").select("set_key", F.col("least").alias("component_id"))
+    by_class = by_class.select("set_key", "component_id")
+    out = feats.select("doc_id", "digest", "n_shingles", "set_key").join(by_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
+    return out.select("doc_id", "digest", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) that stay: the document with the least id of each group."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id")
-    return drop_ids(docs, step(gone, "near-copies"))
+    gone = classified(docs).filter("not kept").select("doc_id", "digest")
+    return drop_rows(docs, step(gone, "near-copies"))

@@ -5,12 +5,11 @@ that may be learned from, Spark counts how many documents of each label hold a
 term; terms that toxic documents hold significantly more often are telling ones.
 Labelled documents become unit TF-IDF vectors over all their words, to which the
 telling terms are added as coordinates of their own, so that these weigh more.
-Words that no example holds count in the length of a vector.  An inverted index
-holds postings by term, cut into blocks of ``BLOCK`` examples, with each block's
-largest weight.  A query bounds every block by the sum of its block maxima, reads
-blocks in falling order of the bound and stops when the bound falls below the
-k-th best score, so its neighbours are exact; all examples that tie with the k-th
-vote too.  Neighbours vote with weight 1 / (distance + ``SOFT``), shrunk towards
+Words that no example holds count in the length of a vector.  The index scores a chunk of texts
+at once: the ``HEAD`` most frequent terms by one dense product, all others by postings
+in blocks of ``BLOCK`` examples with each block's largest weight, of which only
+those blocks are read whose bound reaches the k-th best score.  Neighbours are exact, in double precision; all
+examples that tie with the k-th vote too.  Neighbours vote with weight 1 / (distance + ``SOFT``), shrunk towards
 the share of toxic documents among examples without a telling term; an isotonic
 fit on the examples themselves (each left out of its own neighbours) makes the
 vote a probability.
@@ -33,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blotter.llm.common import crc_mod3, docs_of, drop_ids, map_slices, pick, step
+from blotter.llm.common import crc_mod3, docs_of, drop_rows, keyed_docs, map_slices, pick, step
 
-MAX_EXAMPLES, MAX_TERMS = 12_000, 4_096
+MAX_EXAMPLES, MAX_TERMS = 6_000, 4_096
 #: Least documents with a term, and least log-likelihood ratio of its counts by label.
 LEAST_DOCS, LEAST_RATIO = 3, 15.0
 PREFIXES = (4, 5, 6)
-BLOCK = 64
+#: Examples of a block; terms of the dense part; queries scored at once; what single precision may be off by.
+BLOCK, HEAD, CHUNK, MARGIN = 16, 1024, 256, 1e-4
 NEIGHBOURS, SOFT, PRIOR_VOTES = 15, 0.1, 1.0
 LIMIT = 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -62,65 +62,103 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Exact top-k by dot product over sparse vectors with non-negative weights."""
+    """Exact top-k by dot product over sparse vectors with non-negative weights, for many queries at once.
+
+    The ``HEAD`` terms that most examples hold are columns of a dense matrix: one product scores all queries of a
+    chunk against all examples on them, in single precision.  All other terms have postings in blocks of ``BLOCK``
+    examples with the largest weight of each block.  A block is read for a query only if its best head score plus the
+    bound of its other terms can reach the k-th best head score; examples that can be among the k best are then scored
+    anew in double precision from their whole vectors.
+    """
 
     def __init__(self, vectors: list, n_terms: int):
         """``vectors`` are lists of (term, weight), or pairs of arrays."""
-        self.blocks = -(-len(vectors) // BLOCK)
         pairs = [v if isinstance(v, tuple) else tuple(np.array(v).reshape(-1, 2).T) for v in vectors]
         size = np.array([len(t) for t, _ in pairs], np.int64)
-        term = np.concatenate([np.zeros(0), *(t for t, _ in pairs)]).astype(np.int64)
-        weight = np.concatenate([w for _, w in pairs]) if pairs else np.zeros(0)
+        self.count, self.blocks = len(pairs), -(-len(pairs) // BLOCK)
+        self.n_terms = n_terms
+        # whole vectors, for exact scores
+        self.begin = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        self.term = np.concatenate([t for t, _ in pairs]).astype(np.int32) if pairs else np.zeros(0, np.int32)
+        self.exact = np.concatenate([w for _, w in pairs]).astype(float) if pairs else np.zeros(0)
         example = np.repeat(np.arange(len(vectors), dtype=np.int32), size)
+        held = np.bincount(self.term, minlength=n_terms)
+        frequent = np.sort(np.argsort(-held, kind="stable")[:HEAD])
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        column = self.column[self.term]
+        head = column >= 0
+        self.head = np.zeros((len(frequent), self.blocks * BLOCK), np.float32)
+        self.head[column[head], example[head]] = self.exact[head]
+        # postings of the other terms; only cells (term, block) with postings are kept
+        term, example, weight = self.term[~head].astype(np.int64), example[~head], self.exact[~head].astype(np.float32)
         order = np.lexsort((example, term))
         example, self.weight, term = example[order], weight[order], term[order]
         self.slot = (example % BLOCK).astype(np.uint8)
-        # only cells (term, block) with postings are kept
         cell, begin = np.unique(term * max(1, self.blocks) + example // BLOCK, return_index=True)
         self.at = np.append(begin, len(term)).astype(np.int32)
-        self.block = (cell % max(1, self.blocks)).astype(np.int16 if self.blocks < 2**15 else np.int32)
-        self.top = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0)
+        self.block = (cell % max(1, self.blocks)).astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0, np.float32)
         self.first = np.searchsorted(cell // max(1, self.blocks), np.arange(n_terms + 1)).astype(np.int32)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1, ties: bool = False) -> list[tuple[float, int]]:
-        """The k best (score, example) with a positive score, best first; of equal scores at the end some are left out,
-        or with ``ties`` all are given.  ``without`` is passed over."""
-        if not len(terms) or not self.blocks:
-            return []
-        size = self.first[terms + 1] - self.first[terms]
-        cells, weight = _ranges(self.first[terms], size), np.repeat(weights, size)
+        self.look = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"look": None}
+
+    def search(self, queries: list, k: int, without: list | None = None, ties: bool = False) -> list[list[tuple[float, int]]]:
+        """For each (terms, weights) the k best (score, example) with a positive score, best first; of equal scores at the end
+        some are left out, or with ``ties`` all are given.  ``without`` names an example per query that is passed over."""
+        out = []
+        for at in range(0, len(queries), CHUNK):
+            out += self._chunk(queries[at:at + CHUNK], k, without[at:at + CHUNK] if without else None, ties)
+        return out
+
+    def _chunk(self, queries, k, without, ties):
+        width = self.blocks * BLOCK
+        if not width:
+            return [[] for _ in queries]
+        dense = np.zeros((len(queries), len(self.head)), np.float32)
+        for r, (t, w) in enumerate(queries):
+            column = self.column[t]
+            dense[r, column[column >= 0]] = w[column >= 0]
+        scores = dense @ self.head
+        if without:
+            scores[np.arange(len(queries)), without] = -1.0
+        best = max(0, width - k)
+        least = np.partition(scores, best, axis=1)[:, best]
+        tops = scores.reshape(len(queries), self.blocks, BLOCK).max(axis=2)
+        return [self._finish(scores[r], tops[r], least[r], *queries[r], k, without[r] if without else -1, ties) for r in range(len(queries))]
+
+    def _finish(self, row, tops, least, terms, weights, k, without, ties):
+        rare = self.column[terms] < 0
+        size = self.first[terms[rare] + 1] - self.first[terms[rare]]
+        cells, weight = _ranges(self.first[terms[rare]], size), np.repeat(weights[rare], size)
         place = self.block[cells]
-        bound = np.bincount(place, weight * self.top[cells], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        # bounds and scores are sums in different order, hence the margins
-        beyond, same = (-1e-9, 1e-9) if ties else (1e-12, 0.0)
-        best, who, done, step_ = np.zeros(0), np.zeros(0, np.int64), 0, 8
-        while done < len(order):
-            blocks = order[done:done + step_]
-            if len(best) >= k:  # no better score can come
-                blocks = blocks[bound[blocks] > best[k - 1] + beyond]
-                if not len(blocks):
-                    break
-            number = np.full(self.blocks, -1)
-            number[blocks] = np.arange(len(blocks))
-            here = np.flatnonzero(number[place] >= 0)
-            begin = self.at[cells[here]]
-            size = self.at[cells[here] + 1] - begin
-            posting = _ranges(begin, size)
-            got = np.bincount(np.repeat(number[place[here]] * BLOCK, size) + self.slot[posting],
-                              np.repeat(weight[here], size) * self.weight[posting], len(blocks) * BLOCK)
-            ids = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            hit = np.flatnonzero((got > 0) & (ids != without))
-            best, who = np.concatenate([best, got[hit]]), np.concatenate([who, ids[hit]])
-            first = np.lexsort((who, -best))
-            best, who = best[first], who[first]
-            if len(best) > k:
-                most = int(np.searchsorted(-best, -(best[k - 1] - same), side="right")) if ties else k
-                best, who = best[:most], who[:most]
-            done += step_
-            step_ *= 4
-        return list(zip(np.minimum(best, 1.0).tolist(), who.tolist(), strict=True))
+        bound = tops + np.bincount(place, weight * self.top[cells], self.blocks)
+        live = np.flatnonzero((bound >= least - MARGIN)[place])  # no other block can hold one of the k best
+        begin, size = self.at[cells[live]], self.at[cells[live] + 1] - self.at[cells[live]]
+        posting = _ranges(begin, size)
+        row = row + np.bincount(np.repeat(place[live] * BLOCK, size) + self.slot[posting],
+                                np.repeat(weight[live], size) * self.weight[posting], len(row))
+        if without >= 0:
+            row[without] = -1.0
+        best = max(0, len(row) - k)
+        who = np.flatnonzero((row >= np.partition(row, best)[best] - MARGIN) & (row > 0))
+        if not len(who):
+            return []
+        if self.look is None:
+            self.look = np.zeros(self.n_terms)
+        self.look[terms] = weights
+        size = self.begin[who + 1] - self.begin[who]
+        at = _ranges(self.begin[who].astype(np.int32), size)
+        got = np.add.reduceat(self.look[self.term[at]] * self.exact[at], np.cumsum(size) - size)
+        self.look[terms] = 0.0
+        order = np.lexsort((who, -got))
+        order = order[got[order] > 0]
+        if len(order) > k:
+            most = int(np.searchsorted(-got[order], -(got[order[k - 1]] - 1e-9), side="right")) if ties else k
+            order = order[:most]
+        return list(zip(np.minimum(got[order], 1.0).tolist(), who[order].tolist(), strict=True))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,18 +304,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
         for b in batches:
             got = [blank.value.vector(Counter(LETTERS.findall(t.lower())), memo) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())],
+                [b.column(0), b.column(2), pa.array([g[0].astype(np.int32).tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())],
                 ["doc_id", "toxic", "terms", "weights"])
 
     # at most `most` vectors
-    got = [(r["doc_id"], r["toxic"], np.frombuffer(r["terms"], np.int64), np.frombuffer(r["weights"])) for r in
-           rows.mapInArrow(vectors, "doc_id long, toxic int, terms binary, weights binary").collect()]
+    sent = rows.mapInArrow(vectors, "doc_id long, toxic int, terms binary, weights binary").toArrow()
+    got = [(d, toxic, np.frombuffer(t.as_buffer(), np.int32), np.frombuffer(w.as_buffer())) for d, toxic, t, w in
+           zip(sent.column(0).to_pylist(), sent.column(1).to_pylist(), sent.column(2), sent.column(3), strict=True)]
     bare = [toxic for _, toxic, t, _ in got if not (t < len(terms)).any()]
     base = (sum(bare) + (n1 + 1) / (n1 + n0 + 2)) / (len(bare) + 1)
     # examples with the same strongest terms lie together, which makes block maxima tight
     found = sorted((r for r in got if len(r[2])), key=lambda r: (r[2][np.argsort(-r[3], kind="stable")[:3]].tolist(), r[0]))
-    # single precision halves what is broadcast
-    index = BlockMaxIndex([(t, w.astype(np.float32)) for _, _, t, w in found], len(idf))
+    index = BlockMaxIndex([(t, w) for _, _, t, w in found], len(idf))
     model = Model(terms, words, idf, index, np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], float), base, ((), ()))
     model.shared = blank, rows.sparkSession.sparkContext.broadcast((index, model.doc_id, model.toxic))
     model.curve = isotonic(*_votes(rows, model)) if found else ((), ())
@@ -292,10 +330,11 @@ def _votes(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
         m, memo = get(), {}
         place = {d: i for i, d in enumerate(m.doc_id.tolist())}
         for b in batches:
-            votes = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                v = m.vector(Counter(LETTERS.findall(text.lower())), memo)
-                votes.append(m.vote(m.index.search(*v, NEIGHBOURS, place.get(doc, -1), True)))
+            known = [i for i, d in enumerate(b.column(0).to_pylist()) if d in place]
+            ids, texts = (b.column(c).take(pa.array(known, pa.int64())).to_pylist() for c in (0, 1))
+            b = b.take(pa.array(known, pa.int64()))
+            near = m.index.search([m.vector(Counter(LETTERS.findall(t.lower())), memo) for t in texts], NEIGHBOURS, [place[d] for d in ids], True)
+            votes = [m.vote(n) for n in near]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column(2)], ["vote", "toxic"])
 
     got = np.array([(r["vote"], r["toxic"]) for r in rows.mapInArrow(run, "vote double, toxic int").collect() if r["vote"] >= 0]).reshape(-1, 2)
@@ -306,7 +345,7 @@ def _votes(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> DataFrame:
-    """doc_id, score, evidence array<struct<doc_id, similarity, toxic>> (nearest first); a row per input row.
+    """doc_id, digest (of the text), score, evidence array<struct<doc_id, similarity, toxic>> (nearest first); a row per input row.
 
     Texts without a word of an example, empty and null ones too, have no neighbours and get the share of toxic labels among
     examples without a telling term.
@@ -320,24 +359,25 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES
         def work(batch):
             if len(memo) > MEMO:
                 memo.clear()
-            scores, evidence = [], []
-            for text in batch.column(1).to_pylist():
-                near = m.index.search(*m.vector(Counter(LETTERS.findall(text.lower())), memo), NEIGHBOURS, ties=True)
-                scores.append(m.score(near))
-                evidence.append([{"doc_id": int(m.doc_id[i]), "similarity": s, "toxic": int(m.toxic[i])} for s, i in near[:3]])
-            return {"doc_id": batch.column(0), "score": scores, "evidence": pa.array(evidence, kind)}
+            if m.index is None or not m.index.count:
+                found = [[]] * batch.num_rows
+            else:
+                found = m.index.search([m.vector(Counter(LETTERS.findall(t.lower())), memo) for t in batch.column(1).to_pylist()], NEIGHBOURS, ties=True)
+            scores = [m.score(near) for near in found]
+            evidence = [[{"doc_id": int(m.doc_id[i]), "similarity": s, "toxic": int(m.toxic[i])} for s, i in near[:3]] for near in found]
+            return {"doc_id": batch.column(0), "digest": batch.column(2), "score": scores, "evidence": pa.array(evidence, kind)}
         return work
 
-    return map_slices(docs_of(docs), make, "doc_id long, score double, evidence array<struct<doc_id: long, similarity: double, toxic: int>>")
+    return map_slices(keyed_docs(docs), make, "doc_id long, digest string, score double, evidence array<struct<doc_id: long, similarity: double, toxic: int>>")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence."""
+    """doc_id, digest, held_out, score, predicted, evidence."""
     return score_documents(docs, labels).select(
-        "doc_id", F.coalesce(crc_mod3("doc_id") == 1, F.lit(False)).alias("held_out"), "score",
+        "doc_id", "digest", F.coalesce(crc_mod3("doc_id") == 1, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= LIMIT).cast("int").alias("predicted"), "evidence")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) that are not predicted toxic; copies of a toxic text share its score."""
-    return drop_ids(docs, step(judge(docs, labels).filter("predicted = 1").select("doc_id"), "toxic"))
+    return drop_rows(docs, step(judge(docs, labels).filter("predicted = 1").select("doc_id", "digest"), "toxic"))

@@ -192,7 +192,8 @@ def test_best_fit_equals_a_plain_one():
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = queries.QUERIES[name](spark, SF)
     cur = con.execute(ORACLE[name])
     names = [d[0] for d in cur.description]
@@ -228,3 +229,35 @@ def test_stages_on_odd_tables(spark, odd_docs):
         assert keep(docs.limit(0)).count() == 0
     once = exact_dedup.keep_distinct(docs)
     assert once.selectExpr("regexp_replace(coalesce(text, ''), '[ \\t-\\r]+', ' ') t").distinct().count() == once.count()
+
+
+def test_stages_tell_rows_apart_by_id_and_text(spark):
+    """Rows without an id or with a shared one are judged by their own text; a column that differs in case only does no harm."""
+    leak, toxic = "password = abcdefghijklmnop1", "idiot moron " * 6
+    plain = [" ".join(f"w{j}x{i}" for i in range(40)) for j in range(4)]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(3000, 3060)], "doc_id long, toxic int")
+    examples = [(i, f"{toxic if i % 2 else plain[i % 4]} extra{i}") for i in range(3000, 3060)]
+    rows = [(None, leak), (3, leak), (3, "clean one"), (None, "clean two"), (None, toxic), (4, toxic), (4, "clean three"),
+            (10, plain[0]), (11, plain[0] + " more"), (11, plain[1]), (None, plain[2]), (1, plain[2]), (1, plain[2])]
+    docs = spark.createDataFrame([(*r, "z", 1) for r in rows + examples], "doc_id long, text string, TEXT2 string, n int").toDF("doc_id", "text", "TEXT", "DOC_ID")
+
+    def left(out):
+        assert out.columns == docs.columns
+        return sorted(((r[0], r[1]) for r in out.collect() if r[0] is None or r[0] < 3000), key=repr)
+
+    want = lambda gone: sorted((r for r in rows if r not in gone), key=repr)
+    assert left(secret_scan.drop_leaking(docs)) == want([(None, leak), (3, leak)])
+    assert left(near_dup.keep_one_per_group(docs)) == want([(11, plain[0] + " more")])
+    assert left(exact_dedup.keep_distinct(docs)) == sorted(
+        [r for r in dict.fromkeys(rows) if r not in [(None, leak), (None, toxic), (None, plain[2])]], key=repr)
+    judged = {r.doc_id: r.predicted for r in toxicity.judge(docs, labels).filter("doc_id = 4").collect()}
+    gone = [(None, toxic), (4, toxic)]
+    assert 4 in judged and left(toxicity.drop_toxic(docs, labels)) == want(gone)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

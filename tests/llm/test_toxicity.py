@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 SF = "/root/testdata/sf0.1"
 
 
-def test_index_finds_the_exact_neighbours():
+@pytest.mark.parametrize("head", [1, 20, 60])
+def test_index_finds_the_exact_neighbours(head, monkeypatch):
     rng = np.random.default_rng(3)
     n, terms = 700, 60
     vectors = []
@@ -20,15 +21,20 @@ def test_index_finds_the_exact_neighbours():
     for i, v in enumerate(vectors):
         for t, w in v:
             dense[i, t] = w
+    monkeypatch.setattr(toxicity, "HEAD", head)
+    monkeypatch.setattr(toxicity, "CHUNK", 64)
     index = toxicity.BlockMaxIndex(vectors, terms)
-    for q in range(0, n, 7):
-        t = np.flatnonzero(dense[q])
-        got = index.search(t, dense[q, t], 10)
+    rows = list(range(0, n, 7))
+    queries = [(np.flatnonzero(dense[q]), dense[q, np.flatnonzero(dense[q])]) for q in rows]
+    others = index.search(queries, 10, rows)
+    tied = index.search(queries, 10, ties=True)
+    for j, (q, got) in enumerate(zip(rows, index.search(queries, 10), strict=True)):
         exact = dense @ dense[q]
         best = np.sort(exact[exact > 0])[::-1][:10]
         assert len(got) == len(best) and np.allclose([s for s, _ in got], np.minimum(best, 1.0))
         assert all(abs(min(exact[i], 1.0) - s) < 1e-9 for s, i in got)
-        assert q not in [i for _, i in index.search(t, dense[q, t], 10, q)]
+        assert q not in [i for _, i in others[j]]
+        assert sorted(i for _, i in tied[j]) == np.flatnonzero((exact > 0) & (exact >= best[-1] - 1e-9)).tolist()
 
 
 def test_isotonic_is_monotone_and_keeps_the_mean():
@@ -72,7 +78,7 @@ def test_copies_find_their_example_and_ties_vote_together(spark, judged):
     labels = [(3 * i, int(i % 3 == 0)) for i in range(n)] + [(10_000, 0)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     m = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
-    got = m.index.search(*m.vector(toxicity.Counter("the very same plain words".split()), {}), toxicity.NEIGHBOURS, ties=True)
+    got = m.index.search([m.vector(toxicity.Counter("the very same plain words".split()), {})], toxicity.NEIGHBOURS, ties=True)[0]
     same = int((abs(np.array([s for s, _ in got]) - 1) < 1e-6).sum())
     assert same == len(got) == sum(d != 10_000 for d in m.doc_id.tolist()) > toxicity.NEIGHBOURS
 

@@ -5,11 +5,9 @@ import random
 import re
 
 import brute
-import duckdb
 import numpy as np
 import pytest
 from blotter.llm import html_extract, prefix_trie, whitening
-from blotter.llm.sql import ORACLE
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -42,13 +40,6 @@ def test_trie_of_hot_prefix_and_copies(spark):
     assert trie_rows(spark.createDataFrame(rows, TURN).repartition(16)) == brute.prefix_trie(rows)
 
 
-def test_trie_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF}/conversations.parquet')")
-    want = sorted(con.execute(ORACLE["op11_prefix_trie"]).fetchall())
-    assert trie_rows(spark.read.parquet(f"{SF}/conversations.parquet")) == want
-
-
 def test_trie_of_nothing(spark):
     assert trie_rows(spark.createDataFrame([], TURN)) == []
     assert trie_rows(spark.createDataFrame([(None, 0, "a", "b")], TURN)) == []
