@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from blotter.functions import fixed
 from blotter.operators import metrics
-from blotter.operators.kmeans_batch import assign, fit_many, lloyd  # noqa: F401
+from blotter.operators.kmeans_batch import assign, fit_many, lloyd, usable  # noqa: F401
 
 
 def as_vectors(df: DataFrame, id_col: str, cols: list[str] | None = None, array_col: str | None = None) -> DataFrame:
@@ -80,11 +80,14 @@ def kmeans_sweep(vec: DataFrame, ks: list[int], n_init: int = 10, seed: int = fi
     for (k, _), (centres, inertia, _, _) in fits.items():
         if k not in best or inertia < best[k][1]:
             best[k] = (centres, inertia)
-    sample = metrics.bounded_sample(pts, sample_size, seed, max(sample_size, 1))
+    if not len(best[ks[0]][0]):  # no rows
+        return spark.createDataFrame([(k, 0.0, None) for k in ks], "k int, inertia double, silhouette double"), {k: b[0] for k, b in best.items()}
+    dim = best[ks[0]][0].shape[1]
+    sample = metrics.bounded_sample(usable(pts).filter(F.size("v") == dim), sample_size, seed, max(sample_size, 1))
     X = np.vstack(sample["v"].to_numpy())
     labellings = {k: ((X[:, None, :] - best[k][0][None, :, :]) ** 2).sum(axis=2).argmin(axis=1) for k in ks}
-    usable = {k: lab for k, lab in labellings.items() if len(np.unique(lab)) >= 2}
-    sils = metrics.silhouette_many(spark, X, usable) if usable else {}
+    parted = {k: lab for k, lab in labellings.items() if len(np.unique(lab)) >= 2}
+    sils = metrics.silhouette_many(spark, X, parted) if parted else {}
     rows = [(k, float(best[k][1]), sils.get(k)) for k in ks]
     table = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
     return table, {k: best[k][0] for k in ks}

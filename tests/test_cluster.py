@@ -3,9 +3,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from blotter.operators import cluster as cl
+from blotter.operators import kmeans_batch
 from blotter.operators import metrics as me
-from blotter.operators.dbscan import dbscan
 from blotter.operators import ward as ward_module
+from blotter.operators.dbscan import dbscan
 from blotter.operators.ward import ward, ward_tree
 
 
@@ -268,3 +270,71 @@ def test_dbscan_lattice_duplicates_and_negative_coordinates(spark, ms):
     got = dbscan(frame(spark, X), "id", "x", "y", eps, ms, pair_budget=0).orderBy("id").toPandas()["cluster"]
     got = got.to_numpy()
     assert (got == brute_dbscan(X, eps, ms)).all()
+
+
+def points_frame(spark, X, ids=None):
+    ids = range(len(X)) if ids is None else ids
+    return spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, X, strict=True)], "id long, v array<double>")
+
+
+def test_empty_centre_moves_to_the_farthest_row(spark):
+    X = np.array([[0, 0], [0.1, 0], [0, 0.2], [5, 5], [5.1, 5], [9, 0]], float)
+    centres = [np.array([[0, 0], [4, 4], [1e6, 1e6]]), np.array([[0, 0], [5, 5], [9, 0]], float), np.array([[3, 2], [1e6, 0], [1e6, 1], [1e6, 2]])]
+    sources = kmeans_batch.Rows(np.arange(6), X), kmeans_batch.Table(points_frame(spark, X).repartition(3))
+    for source in sources:
+        got = kmeans_batch.moved(source, centres, source.lloyd(centres, [0, 1, 2]))
+        # (9, 0) is farthest from its centre (4, 4) and leaves it
+        assert np.allclose(got[0], [[0.1 / 3, 0.2 / 3], [5.05, 5], [9, 0]])
+        assert np.allclose(got[1], [[0.1 / 3, 0.2 / 3], [5.05, 5], [9, 0]])
+        # three empty centres take the three farthest rows of the only other one
+        far = X[np.argsort(-((X - [3, 2]) ** 2).sum(1), kind="stable")]
+        assert np.allclose(got[2][1:], far[:3]) and np.allclose(got[2][0], far[3:].mean(axis=0))
+
+
+def test_fits_in_tasks_and_over_tables_agree(spark, monkeypatch):
+    X = np.concatenate([blobs(1, 150), blobs(2, 150) + 3])
+    specs = [(k, s) for k in (2, 5) for s in range(4)]
+    small = kmeans_batch.fit_many(points_frame(spark, X), specs)
+    monkeypatch.setattr(kmeans_batch, "SMALL_VALUES", 0)
+    for parts in (1, 5):
+        big = kmeans_batch.fit_many(points_frame(spark, X).repartition(parts), specs)
+        for spec in specs:
+            assert np.allclose(big[spec][0], small[spec][0]) and np.isclose(big[spec][1], small[spec][1]) and big[spec][2:] == small[spec][2:]
+
+
+def test_seeding_is_at_least_as_good_as_plain_draws():
+    """Oversampled seeding against k-means++ without trials, both followed by Lloyd, over 20 seeds."""
+    rng = np.random.default_rng(0)
+    X = np.concatenate([rng.normal(c, 0.3, size=(60, 2)) for c in rng.uniform(0, 20, size=(12, 2))])
+    rows = kmeans_batch.Rows(np.arange(len(X)), X)
+    mine = [kmeans_batch.fit_source(rows, [(12, s)], 2, 1e-6, 100)[12, s][1] for s in range(20)]
+
+    def plain(seed):
+        rng = np.random.default_rng(seed)
+        C = X[[rng.integers(len(X))]]
+        while len(C) < 12:
+            d2 = kmeans_batch._distances(X, C)[1]
+            C = np.vstack([C, X[[rng.choice(len(X), p=d2 / d2.sum())]]])
+        for _ in range(100):
+            C = kmeans_batch.moved(rows, [C], rows.lloyd([C], [0]))[0]
+        return rows.lloyd([C], [0])[0][2]
+    other = [plain(s) for s in range(20)]
+    assert np.mean(mine) <= np.mean(other) and min(mine) <= min(other) * (1 + 1e-9)
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_kmeans_odd_tables(spark, monkeypatch, limit):
+    monkeypatch.setattr(kmeans_batch, "SMALL_VALUES", limit)
+    schema = "id long, v array<double>"
+    none = spark.createDataFrame([(1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0])], schema)
+    for empty in (none, none.limit(0)):
+        fits = kmeans_batch.fit_many(empty, [(2, 1)])
+        assert fits[2, 1][0].size == 0 and fits[2, 1][1] == 0.0
+        table, centres = cl.kmeans_sweep(empty, [2, 3], n_init=2)
+        assert [tuple(r) for r in table.collect()] == [(2, 0.0, None), (3, 0.0, None)]
+        assert kmeans_batch.assign(empty, centres[2]).filter("cluster is not null").isEmpty()
+    few = none.unionByName(spark.createDataFrame([(5, [0.0, 0.0]), (6, [0.0, 0.0]), (7, [1.0, 1.0]), (8, [1.0])], schema))
+    centres, inertia, _, done = kmeans_batch.fit_many(few, [(3, 1)])[3, 1]  # fewer places than centres
+    assert done and inertia == 0.0 and {tuple(c) for c in centres.tolist()} == {(0.0, 0.0), (1.0, 1.0)}
+    table, _ = cl.kmeans_sweep(few, [2], n_init=2)
+    assert table.first()["inertia"] == 0.0
