@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 from blotter.session import materialize
 
+#: Rows to drop up to which their ids and digests (about 120 bytes a row) are broadcast instead of shuffling the texts.
+FEW_ROWS = 300_000
 #: Text bytes handled at once inside a task; bounds the working set of a worker.
 SLICE_BYTES = 6 << 20
 
@@ -68,6 +70,8 @@ def drop_rows(docs: DataFrame, dropped: DataFrame, blank: bool = False, keep: bo
     mine = [F.col(f"_c{names.index('doc_id')}").cast("long"), text_digest(F.col(f"_c{names.index('text')}"), blank)]
     keyed = placed.withColumns({"_id": mine[0], "_digest": mine[1]})
     gone = dropped.select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_text")).distinct()
+    if gone.limit(FEW_ROWS + 1).count() <= FEW_ROWS:  # else both sides are shuffled
+        gone = F.broadcast(gone)
     same = F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_digest") == F.col("_text"))
     out = keyed.join(gone, same, "left_semi" if keep else "left_anti").drop("_id", "_digest")
     return out.toDF(*names)
