@@ -8,6 +8,8 @@
   an exact seeded sample (3,000 rows by default).  The sample is checked
   against its bound and broadcast; tasks hold query rows and compute
   per-cluster distance sums with numpy: no cross join, no pair rows.
+* ``silhouette_rows`` takes it of every row: blocks of rows meet blocks of those clusters that centroids and mean
+  radii do not rule out, and pass on one sum per row and block.  No row reaches the driver and none is broadcast.
 """
 
 from __future__ import annotations
@@ -18,8 +20,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import pyarrow as pa
+
 from blotter.functions import fixed
+from blotter.operators.grouped import map_groups
 from blotter.operators.sampling import sample_exact
+from blotter.session import materialize
 
 MAX_CLUSTERS = 100_000
 
@@ -97,10 +103,11 @@ def bounded_sample(pts: DataFrame, sample_size: int | None, seed: int, bound: in
     brought to the driver as pandas (the sample, never the table)."""
     if sample_size:
         pts = sample_exact(pts, sample_size, "id", seed)
-    pdf = pts.orderBy("id").toPandas()
-    if len(pdf) > bound:
-        raise ValueError(f"silhouette: {len(pdf)} rows exceed the bound {bound}")
-    return pdf
+    if not sample_size or sample_size > bound:  # count before any row moves
+        n = pts.count()
+        if n > bound:
+            raise ValueError(f"silhouette: {n} rows exceed the bound {bound}")
+    return pts.orderBy("id").toPandas()
 
 
 def silhouette(df: DataFrame, id_col: str, vec_col: str, label_col: str,
@@ -115,6 +122,79 @@ def silhouette(df: DataFrame, id_col: str, vec_col: str, label_col: str,
     return None if val is None else (round(val, decimals) if decimals is not None else val)
 
 
+def silhouette_rows(df: DataFrame, id_col: str, vec_col: str, label_col: str, block: int = 1_024) -> DataFrame:
+    """(id, label, a, b, silhouette) of every row that is no noise, Euclidean and exact (K7); ids are unique.
+
+    a: mean distance to the other rows of the own cluster, b: least mean distance to another cluster.  The mean distance
+    to a cluster lies between the distance to its centroid and that plus the cluster's mean radius, so a row only meets
+    clusters whose lower bound is below the least upper bound.  Row blocks and cluster blocks of about ``block`` rows meet in one
+    task, which passes on a sum per row.  The work is that of all pairs that the bounds leave; the driver sees a row per cluster.
+    Singletons have silhouette 0; with fewer than two clusters b and the silhouette are null.
+    """
+    spark = df.sparkSession
+    pts = materialize(_points(df, id_col, vec_col, label_col).where(F.col("label").isNotNull() & (F.col("label") != -1) & F.col("v").isNotNull()), "silhouette")
+    clusters, _ = centroid_pass(pts, "id", "v", "label")  # at most MAX_CLUSTERS
+    schema = "id long, label long, a double, b double, silhouette double"
+    if not clusters:
+        return spark.createDataFrame([], schema)
+    shared = spark.sparkContext.broadcast((np.array([r["label"] for r in clusters]), np.array([r["c"] for r in clusters], float),
+                                           np.array([r["mean_dist"] for r in clusters], float), np.array([r["n"] for r in clusters])))
+
+    def wanted(batches):
+        names, c, radius, size = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            X = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
+            own = np.searchsorted(names, np.asarray(b.column(2)))
+            rows, targets = [], []
+            for s in range(0, len(X), max(1, 4_000_000 // c.size)):
+                part = slice(s, s + max(1, 4_000_000 // c.size))
+                d = np.sqrt(((X[part, None, :] - c[None, :, :]) ** 2).sum(axis=2))
+                mine = np.arange(len(d)), own[part]
+                upper = d + radius
+                upper[mine] = np.inf
+                hit = d <= upper.min(axis=1, keepdims=True) * (1 + 1e-9) if len(names) > 1 else np.zeros(d.shape, bool)
+                hit[mine] = size[own[part]] > 1
+                i, j = np.nonzero(hit)
+                rows.append(i + s)
+                targets.append(names[j])
+            at = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(targets)), b.column(0).take(at), b.column(1).take(at)], ["target", "id", "v"])
+
+    asked = materialize(pts.mapInArrow(wanted, "target long, id long, v array<double>"), "silhouette-asked")
+    blocks = lambda name: F.ceil(F.count("*") / block).cast("int").alias(name)
+    sizes = asked.groupBy("target").agg(blocks("nq")).join(pts.groupBy(F.col("label").alias("target")).agg(blocks("nm"), F.count("*").alias("n")), "target")
+    sizes = F.broadcast(materialize(sizes, "silhouette-sizes"))  # a row per cluster
+    at = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    ask = asked.join(sizes, "target").select("target", at("nq", 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"),
+                                             F.lit(0).alias("role"), "id", "v")
+    give = pts.withColumnRenamed("label", "target").join(sizes, "target").select(
+        "target", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), at("nm", 2).alias("mb"), F.lit(1).alias("role"), "id", "v")
+
+    def meet(group: pa.Table):
+        role, ids = np.asarray(group.column("role")), np.asarray(group.column("id"))
+        v = np.asarray(group.column("v").combine_chunks().flatten()).reshape(len(ids), -1)
+        q, m = v[role == 0], v[role == 1]
+        if not len(q) or not len(m):
+            return None
+        s = np.zeros(len(q))
+        step = max(1, 4_000_000 // m.size)
+        for i in range(0, len(q), step):
+            diff = q[i:i + step, None, :] - m[None, :, :]
+            s[i:i + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff)).sum(axis=1)
+        return pa.table({"target": np.full(len(q), group.column("target")[0].as_py()), "id": ids[role == 0], "s": s})
+
+    sums = map_groups(ask.unionByName(give), ["target", "qb", "mb"], meet, "target long, id long, s double")
+    per = sums.groupBy("id", "target").agg(F.sum("s").alias("s")).join(sizes.select("target", "n"), "target")
+    own = F.col("target") == F.col("label")
+    both = pts.select("id", "label").join(per, "id", "left").groupBy("id", "label").agg(
+        F.min(F.when(own, F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"))
+    wider = F.greatest("a", "b")
+    value = F.when(F.col("b").isNull(), F.lit(None)).when(F.col("a").isNull() | (wider == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / wider)
+    return both.select("id", "label", F.coalesce("a", F.lit(0.0)).alias("a"), "b", value.alias("silhouette"))
+
+
 def silhouette_all_rows(df: DataFrame, vec_col: str, label_col: str) -> DataFrame:
     """(silhouette, rows): squared-distance silhouette of all rows that are no noise, from cluster sums (K7).
 
@@ -140,6 +220,8 @@ def centroid_pass(df: DataFrame, id_col: str, vec_col: str, label_col: str):
     cents = (vec.groupBy("label")
              .agg(F.count("*").alias("n"), vector_to_array(Summarizer.mean(F.col("vv"))).alias("c")))
     k = cents.count()
+    if not k:
+        return [], None
     if k > MAX_CLUSTERS:
         raise ValueError(f"{k} clusters exceed the broadcast bound {MAX_CLUSTERS}")
     joined = pts.join(F.broadcast(cents.select("label", "c")), "label")

@@ -11,6 +11,7 @@ from blotter.operators import cluster as cl
 from blotter.operators import explore as ex
 from blotter.operators import features as fe
 from blotter.operators import metrics as me
+from blotter.operators import neighbours as nb
 from blotter.operators import reduce as rd
 from blotter.operators.dbscan import dbscan
 from blotter.operators.ward import CELLS, ward, ward_tree
@@ -156,6 +157,19 @@ def silhouette_exact(spark, sf):
     return spark.createDataFrame([(s,)], "silhouette double")
 
 
+@query("silhouette_rows", f"""
+WITH s AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS d, count(*) FILTER (a.id <> b.id) AS n FROM s a, s b GROUP BY 1, 2, 3),
+m AS (SELECT id, label, coalesce(max(CASE WHEN other = label AND n > 0 THEN d / n END), 0) AS a, min(CASE WHEN other <> label THEN d / n END) AS b,
+             max(CASE WHEN other = label THEN n END) AS mates FROM d GROUP BY 1, 2)
+SELECT id, CAST(label AS BIGINT) AS label, round_even(a, 6) AS a, round_even(b, 6) AS b,
+       round_even(CASE WHEN mates = 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM m""")
+def silhouette_rows(spark, sf):
+    """Euclidean silhouette of every row, no sample (K7)."""
+    got = me.silhouette_rows(T.embedding_vectors(spark, sf), "vec_id", "features", "label")
+    return got.select("id", "label", *[F.bround(c, 6).alias(c) for c in ("a", "b", "silhouette")])
+
+
 @query("silhouette_all_rows", f"""
 WITH {_points_sql(_LABELLINGS['noisy'][1])},
 n AS (SELECT label, count(*) AS n FROM q GROUP BY label),
@@ -264,6 +278,13 @@ def knn_graph(spark, sf):
     return g.withColumn("distance", F.bround("distance", 6))
 
 
+@query("knn_graph_descent")
+def knn_graph_descent(spark, sf):
+    """The approximate form of ``knn_graph`` for many rows; which neighbours it misses is not SQL."""
+    g = nb.knn_graph_descent(T.embedding_vectors(spark, sf), "vec_id", "features", fixed.KNN_NEIGHBOURS)
+    return g.withColumn("distance", F.bround("distance", 6))
+
+
 # --- K1-K4, K6, S10 (rows-only checks: seeds differ from any SQL formulation) --------------
 
 

@@ -152,9 +152,7 @@ UNION ALL SELECT 1, 'after_dropna', count(*) FROM s1
 UNION ALL SELECT 2, 'after_dedup', count(*) FROM s2""")
 def cleaning_audit(spark, sf):
     s0 = T.documents_labelled(spark, sf).select("lang", "source", "quality", "toxic")
-    s1 = quality.dropna_subset(s0, ["quality"])
-    s2 = quality.dedup_rows(s1)
-    return quality.cleaning_audit([("input", s0), ("after_dropna", s1), ("after_dedup", s2)])
+    return quality.cleaning_audit(s0, [("after_dropna", lambda d: quality.dropna_subset(d, ["quality"])), ("after_dedup", quality.dedup_rows)])
 
 
 # --- E2-E6 ---------------------------------------------------------------------------

@@ -338,3 +338,33 @@ def test_kmeans_odd_tables(spark, monkeypatch, limit):
     assert done and inertia == 0.0 and {tuple(c) for c in centres.tolist()} == {(0.0, 0.0), (1.0, 1.0)}
     table, _ = cl.kmeans_sweep(few, [2], n_init=2)
     assert table.first()["inertia"] == 0.0
+
+
+@pytest.mark.parametrize("block", [64, 1024])
+def test_silhouette_of_every_row(spark, block):
+    rng = np.random.default_rng(11)
+    X = np.concatenate([rng.normal(c, 1, size=(1300, 3)) for c in ((0, 0, 0), (6, 0, 0), (0, 9, 3))] + [[[50.0, 50, 50]], rng.normal(0, 8, size=(99, 3))])
+    lab = np.array([0] * 1300 + [1] * 1300 + [2] * 1300 + [7] + [-1] * 99)
+    frame_ = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(X)), "v": list(X), "c": lab}), "id long, v array<double>, c int")
+    got = me.silhouette_rows(frame_, "id", "v", "c", block).toPandas().set_index("id").sort_index()
+    keep = lab != -1
+    Y, l = X[keep], lab[keep]
+    s2 = (Y ** 2).sum(1)
+    D = np.sqrt(np.maximum(s2[:, None] + s2 - 2 * Y @ Y.T, 0))
+    np.fill_diagonal(D, 0)
+    mean = {c: D[:, l == c].sum(1) / (l == c).sum() for c in (0, 1, 2, 7)}
+    for i in range(0, len(Y), 7):
+        n = (l == l[i]).sum()
+        a = mean[l[i]][i] * n / (n - 1) if n > 1 else 0.0
+        b = min(m[i] for c, m in mean.items() if c != l[i])
+        want = 0.0 if n == 1 else (b - a) / max(a, b)
+        assert np.allclose([got.a[i], got.b[i], got.silhouette[i]], [a, b, want], atol=1e-6)
+    assert len(got) == len(Y) and got.silhouette[3900] == 0.0
+    one = me.silhouette_rows(frame_.filter("c = 1"), "id", "v", "c").toPandas()
+    assert one.silhouette.isna().all() and me.silhouette_rows(frame_.limit(0), "id", "v", "c").collect() == []
+
+
+def test_bounded_sample_counts_before_it_moves_rows(spark):
+    with pytest.raises(ValueError, match="exceed the bound"):
+        me.bounded_sample(points_frame(spark, np.zeros((50, 2))), None, 1, 49)
+    assert len(me.bounded_sample(points_frame(spark, np.zeros((50, 2))), 10, 1, 49)) == 10

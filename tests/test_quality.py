@@ -89,3 +89,27 @@ def test_approx_options_close_to_exact(spark):
     assert abs(ex_["q50"] - round(float(np.median(pdf.x)), 3)) < 1e-9
     filled = quality.fill_median(df.union(spark.createDataFrame([(None,)], "x double")), ["x"], approx=True)
     assert filled.where("x IS NULL").count() == 0
+
+
+def test_audit_counts_in_the_pass_that_cleans(spark, tmp_path):
+    from blotter.operators import quality
+
+    rows = [(i % 5, None if i % 4 == 0 else i % 3) for i in range(60)]
+    spark.createDataFrame(rows, "a int, b int").write.parquet(f"{tmp_path}/raw")
+    steps = [("dropna", lambda d: quality.dropna_subset(d, ["b"])), ("fill", lambda d: quality.fill_constant(d, {"a": 0})), ("dedup", quality.dedup_rows)]
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("audit", "audit")
+    clean, audit = quality.audited(spark.read.parquet(f"{tmp_path}/raw"), steps, f"{tmp_path}/clean")
+    jobs = tracker.getJobIdsForGroup("audit")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    kept = [r for r in rows if r[1] is not None]
+    assert [tuple(r) for r in audit.collect()] == [(0, "input", 60), (1, "dropna", len(kept)), (2, "fill", len(kept)), (3, "dedup", len(set(kept)))]
+    assert sorted(tuple(r) for r in clean.collect()) == sorted(set(kept))
+    assert len(jobs) <= 4, jobs  # two schema reads, the shuffle's map side and the write: no count per step
+
+
+def test_audit_of_nothing(spark):
+    from blotter.operators import quality
+
+    audit = quality.cleaning_audit(spark.createDataFrame([], "a int"), [("dropna", quality.dropna_any)])
+    assert [tuple(r) for r in audit.collect()] == [(0, "input", 0), (1, "dropna", 0)]
