@@ -129,3 +129,13 @@ def materialize(df, name: str = "step"):
         _MADE.get().append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def settle(spark: SparkSession, make, name: str = "settled"):
+    """Write the table that ``make()`` returns, then delete the tables materialised on the way to it."""
+    path = scratch_dir(spark, name)
+    if _MADE.get() is not None:
+        _MADE.get().append(path)
+    with scratch(spark):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
