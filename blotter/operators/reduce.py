@@ -30,21 +30,32 @@ def _c(c) -> Column:
 def cumulative_share(counts: DataFrame, key: str, value: str, thresholds=(0.7, 0.8),
                      decimals: int = 6) -> DataFrame:
     """Position by value (desc, key asc), share, cumulative share and the first
-    position reaching each threshold (W1).  Runs on an already-aggregated,
-    small table (components or category counts)."""
-    ordered = Window.orderBy(F.desc(value), F.asc(key))
-    whole = Window.partitionBy()
-    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = (counts.select(key, value)
-           .withColumn("position", F.row_number().over(ordered))
-           .withColumn("share", F.col(value).cast("double") / F.sum(F.col(value).cast("double")).over(whole)))
-    out = out.withColumn("cum", F.sum("share").over(running.orderBy("position")))
-    cols = [F.col("position").cast("int").alias("position"), key,
-            F.bround("share", decimals).alias("share"), F.bround("cum", decimals).alias("cum_share")]
-    for t in thresholds:
-        first = F.min(F.when(F.col("cum") >= t, F.col("position"))).over(whole).cast("int")
-        cols.append(first.alias(f"n{int(round(t * 100))}"))
-    return out.select(*cols).orderBy("position")
+    position reaching each threshold (W1).
+
+    Rows are sorted in ranges; each range counts and sums up for itself, and the ranges before it are added as one
+    number per range.  No task sees more than a range.  NULL values come last, without a share; a total of 0 gives none.
+    """
+    asked = counts.select(_c(key).alias("key"), _c(value).cast("double").alias("value"), _c(value).alias("_order"))
+    order = [F.desc("_order"), F.asc("key")]
+    placed = materialize(asked.repartitionByRange(*order).sortWithinPartitions(*order)
+                         .withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_at", 33)
+    ranges = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).orderBy("part").collect()
+    total = sum(r["total"] or 0.0 for r in ranges)
+    before, rows, seen = [], 0, 0.0
+    for r in ranges:
+        before.append((r["part"], rows, seen))
+        rows, seen = rows + r["n"], seen + (r["total"] or 0.0) / total if total else 0.0
+    offsets = F.map_from_entries(F.array(*[F.struct(F.lit(p), F.struct(F.lit(n).alias("n"), F.lit(s).alias("s"))) for p, n, s in before])) if before else None
+    within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = placed.withColumn("_part", part).withColumn("share", F.col("value") / F.lit(total) if total else F.lit(None).cast("double"))
+    start = F.element_at(offsets, F.col("_part")) if before else F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"))
+    out = out.withColumn("_start", start)
+    out = (out.withColumn("position", (F.col("_start.n") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("int"))
+           .withColumn("cum", F.coalesce(F.sum("share").over(within), F.lit(0.0)) + F.col("_start.s") if total else F.lit(None).cast("double")))
+    firsts = out.agg(*[F.min(F.when(F.col("cum") >= t, F.col("position"))).alias(f"t{i}") for i, t in enumerate(thresholds)]).first() if thresholds else ()
+    return out.select("position", F.col("key").alias(key), F.bround("share", decimals).alias("share"), F.bround("cum", decimals).alias("cum_share"),
+                      *[F.lit(n).cast("int").alias(f"n{int(round(t * 100))}") for n, t in zip(firsts, thresholds, strict=True)]).orderBy("position")
 
 
 def top_k_per_group(df: DataFrame, group: str, order: list, k: int, rank_col: str = "rank") -> DataFrame:

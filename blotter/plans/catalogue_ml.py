@@ -528,6 +528,22 @@ def geographic_clustering_stage(spark, sf):
     return rn.flatten_runs(rn.read_runs(spark, log))
 
 
+@query("geo_stage_outputs", """
+SELECT 'geo_result' AS name, count(*) AS count, count(DISTINCT vec_id) AS ids FROM embeddings
+UNION ALL SELECT 'row_ids', count(*), count(DISTINCT vec_id) FROM embeddings
+UNION ALL SELECT 'best_model', CAST(1 AS BIGINT), CAST(0 AS BIGINT)""")
+def geo_stage_outputs(spark, sf):
+    """The stage's published tables, read back: every row labelled, every id kept, one model."""
+    from blotter.plans.stages import geographic_clustering
+    from blotter.sources import publish
+    out = scratch_dir(spark, "geo-stage")
+    geographic_clustering(_scaled_plane(spark, sf), "vec_id", "x_scaled", "y_scaled", ks=range(3, 6), n_init=2, eps=0.1, min_samples=10, output=out)
+    parts = [publish.read_published(spark, out, t).agg(F.lit(t).alias("name"), F.count("*").alias("count"), ids.alias("ids"))
+             for t, ids in (("geo_result", F.count_distinct(F.when(F.col("Geo_Cluster").isNotNull(), F.col("vec_id")))),
+                            ("row_ids", F.count_distinct("vec_id")), ("best_model", F.lit(0).cast("long")))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("temporal_clustering_stage")
 def temporal_clustering_stage(spark, sf):
     from blotter.operators import prepare

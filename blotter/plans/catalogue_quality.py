@@ -11,7 +11,7 @@ from blotter.plans import sqlparts as sq
 from blotter.plans import tables as T
 from blotter.plans.registry import query
 from blotter.session import materialize, scratch_dir
-from blotter.sources import io, runs
+from blotter.sources import cache, io, publish, runs
 
 # --- S1 / S2 / S5 / S6 / S3 / S7 / J5 ------------------------------------------------
 
@@ -54,6 +54,40 @@ def features_meta_join(spark, sf):
     return meta.join(X, "row_key", "inner").select("row_key", "event_type", "Hour", "value")
 
 
+@query("published_pair", """
+SELECT CAST(event_id AS VARCHAR) AS row_key, event_type, CAST(hour(ts) AS INTEGER) AS "Hour", value
+FROM events""")
+def published_pair(spark, sf):
+    """Features and metadata as one version; a later writer that died after its first table changes nothing."""
+    ev = io.with_row_key(T.table(spark, sf, "events"), "event_id")
+    path = scratch_dir(spark, "published")
+    publish.publish({"features": ev.select("row_key", F.hour("ts").alias("Hour"), "value"),
+                     "metadata": ev.select("row_key", "event_type", "ts")}, path)
+    io.write_table(ev.select("row_key", F.lit(-1).alias("Hour"), "value"), f"{path}/v-unfinished/features")
+    X, meta = (publish.read_published(spark, path, t) for t in ("features", "metadata"))
+    return meta.join(X, "row_key", "inner").select("row_key", "event_type", "Hour", "value")
+
+
+@query("scan_rejects", """
+WITH o AS (SELECT o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 AS cut, o_orderkey % 19 = 0 AS odd, o_orderkey % 23 = 0 AS gap FROM orders)
+SELECT 'accepted' AS kind, CAST(NULL AS VARCHAR) AS "column", count(*) FILTER (WHERE NOT cut) AS count FROM o
+UNION ALL SELECT 'rejected', NULL, count(*) FILTER (WHERE cut) FROM o
+UNION ALL SELECT 'failed', 'o_orderkey', 0
+UNION ALL SELECT 'missing', 'o_orderkey', 0
+UNION ALL SELECT 'failed', 'o_totalprice', count(*) FILTER (WHERE NOT cut AND odd) FROM o
+UNION ALL SELECT 'missing', 'o_totalprice', count(*) FILTER (WHERE NOT cut AND gap AND NOT odd) FROM o""")
+def scan_rejects(spark, sf):
+    """Raw lines with a field too few or too many, and with prices that are no number, counted by the scan."""
+    key, path = F.col("o_orderkey"), scratch_dir(spark, "raw-lines")
+    price = F.when(key % 19 == 0, F.lit("twelve")).when(key % 23 == 0, F.lit("NaN")).otherwise(F.col("o_totalprice").cast("string"))
+    line = F.concat_ws(",", key.cast("string"), price, F.when(key % 13 != 0, F.lit("a")), F.when((key % 17 == 0), F.lit("b,c")))
+    line = F.when((key % 13 == 0) & (key % 17 == 0), F.concat_ws(",", key.cast("string"), price)).otherwise(line)
+    lines = T.table(spark, sf, "orders").select(line.alias("o_orderkey,o_totalprice,note"))
+    lines.write.option("header", True).option("quote", "").option("sep", "\u0001").csv(path)
+    _, _, report = io.scan_with_rejects(spark, path, {"o_orderkey": "bigint", "o_totalprice": "double"}, drop_index=False)
+    return report
+
+
 # --- A1 / A2 / A3 / P2-P6 / A19 (documents LEFT JOIN labels) ---------------------------
 
 _DOCS = sq.DOCS_LABELLED.strip()
@@ -230,14 +264,17 @@ def standard_scale(spark, sf):
 # --- E7: whole stage 1 + stage 3 on the incident-shaped events table --------------------
 
 
-def engineered_incidents(spark, sf):
+def cleaned_incidents(spark, sf):
     inc = T.incidents(spark, sf)
     cleaned = quality.clean_incidents(inc)
     cleaned = prepare.add_severity(prepare.add_temporal_features(cleaned, "Date", parse_text=False))
     # stage boundary: the cleaned table is written once (as the stage-1 output),
     # so the fitting passes of stage 3 do not repeat the dedup shuffle
-    cleaned = materialize(cleaned, "cleaned")
-    eng = fe.engineer(cleaned)
+    return materialize(cleaned, "cleaned")
+
+
+def engineered_incidents(spark, sf):
+    eng = fe.engineer(cleaned_incidents(spark, sf))
     return io.with_row_key(eng, "ID")
 
 
@@ -286,6 +323,16 @@ def feature_matrix(spark, sf):
     return X
 
 
+@query("feature_pipeline_saved", _feature_matrix_sql())
+def feature_pipeline_saved(spark, sf):
+    """The feature matrix by a pipeline that was fitted, saved and loaded again."""
+    from blotter.operators import feature_pipeline as fp
+    path, cleaned = scratch_dir(spark, "pipeline"), cleaned_incidents(spark, sf)
+    io.save_model(fp.fit_features(cleaned), path)
+    X, _ = fe.feature_matrix(io.with_row_key(fp.load_features(spark, path).transform(cleaned), "ID"))
+    return X
+
+
 @query("feature_metadata", f"""
 WITH {sq.INCIDENTS.strip()}
 SELECT CAST("ID" AS VARCHAR) AS row_key, "ID", "Primary Type", "Latitude", "Longitude", "Year",
@@ -344,6 +391,23 @@ def run_log_flatten(spark, sf):
     return runs.flatten_runs(_logged_runs(spark, sf))
 
 
+@query("run_log_repeated", f"""
+WITH {_RUNS_SQL.strip()}
+SELECT experiment, event_type AS run_name, 'plots/' || experiment AS artifact, CAST(1 AS BIGINT) AS times, CAST(users AS VARCHAR) AS users
+FROM r""")
+def run_log_repeated(spark, sf):
+    """Runs with artifacts, appended twice, compacted and appended again, are one run each."""
+    path, recs = scratch_dir(spark, "runs"), materialize(_event_runs(spark, sf), "run-records")
+    for again in range(3):
+        for exp in ("browse", "convert"):
+            runs.log_runs(recs.where(F.col("experiment") == exp).withColumn("artifacts", F.array(F.lit(f"plots/{exp}"))), path)
+        if again:
+            runs.compact_runs(spark, path)
+    logged = runs.read_runs(spark, path)
+    named = logged.select("experiment", "run_name", F.explode("artifacts").alias("artifact"), F.col("params")["users"].alias("users"))
+    return named.groupBy("experiment", "run_name", "artifact", "users").agg(F.count("*").alias("times"))
+
+
 @query("union_ragged", f"""
 WITH {_RUNS_SQL.strip()}
 SELECT experiment, event_type AS run_name, 'FINISHED' AS status,
@@ -460,7 +524,7 @@ def stage1_from_csv(spark, sf):
 @query("cached_scan", "SELECT o_orderstatus, count(*) AS orders, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
 def cached_scan(spark, sf):
     """Two questions over one cached scan."""
-    o = io.cached_table(spark, f"{sf}/orders.parquet", ["o_orderstatus", "o_custkey"])
+    o = cache.cached_table(spark, f"{sf}/orders.parquet", ["o_orderstatus", "o_custkey"])
     n = o.groupBy("o_orderstatus").agg(F.count("*").alias("orders"))
     return n.join(o.groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("customers")), "o_orderstatus")
 

@@ -12,6 +12,8 @@ type, flag rate, day-part).
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from blotter.operators.dbscan import dbscan
 from blotter.operators.kmeans_batch import nearest_centre
 from blotter.operators.ward import ward
 from blotter.session import materialize
-from blotter.sources import io, runs
+from blotter.sources import io, publish, runs
 
 
 def geographic_clustering(points: DataFrame, id_col: str, x_col: str, y_col: str,
@@ -34,9 +36,11 @@ def geographic_clustering(points: DataFrame, id_col: str, x_col: str, y_col: str
                           output: str | None = None):
     """Returns (comparison, best_labels, sweep).
 
-    With ``output`` the stage leaves its tables there: ``geo_result`` (all columns of ``points`` and Geo_Cluster),
-    ``best_model`` (the algorithm, its parameters and, for K-Means, the centres) and ``row_ids`` (the rows used).
+    With ``output`` the stage publishes its tables there as one version: ``geo_result`` (all columns of ``points`` and
+    Geo_Cluster), ``best_model`` (the algorithm, its parameters and, for K-Means, the centres) and ``row_ids`` (the rows
+    used).  The run record names them.
     """
+    started = dt.datetime.now(dt.timezone.utc)
     plane = points.select(F.col(id_col).alias("id"), F.array(F.col(x_col).cast("double"),
                                                               F.col(y_col).cast("double")).alias("v"),
                           F.col(x_col).alias("x"), F.col(y_col).alias("y"))
@@ -72,15 +76,15 @@ def geographic_clustering(points: DataFrame, id_col: str, x_col: str, y_col: str
         metrics = {m: F.col(m) for m in ["silhouette", "davies_bouldin", "calinski_harabasz", "noise_pct",
                                          "n_clusters"]}
         name = F.concat(F.col("algorithm"), F.lit("_geo"), F.when(~is_("DBSCAN"), F.lit(f"_k{k}")).otherwise(F.lit("")))
-        runs.log_runs(runs.make_runs(comparison, F.lit(experiment), name, params, metrics), run_log)
+        made = [f"{output}#geo_result", f"{output}#row_ids"] if output else None
+        runs.log_runs(runs.make_runs(comparison, F.lit(experiment), name, params, metrics, artifacts=made, started=started,
+                                     model=f"{output}#best_model" if output else None), run_log)
     if output:
         spark = points.sparkSession
-        io.write_table(points.join(labels[best].select(F.col("id").alias(id_col), F.col("cluster").alias("Geo_Cluster")), id_col),
-                       f"{output}/geo_result")
+        result = (points.join(labels[best].select(F.col("id").alias(id_col), F.col("cluster").alias("Geo_Cluster")), id_col))
         model = spark.createDataFrame([(best, k, eps, min_samples, centres[k].tolist() if best == "KMeans" else None)],
                                       "algorithm string, k int, eps double, min_samples int, centres array<array<double>>")
-        io.write_table(model, f"{output}/best_model")
-        io.write_table(points.select(id_col), f"{output}/row_ids")
+        publish.publish({"geo_result": result, "best_model": model, "row_ids": points.select(id_col)}, output)
     return comparison, labels[best].select(F.col("id").alias(id_col), F.col("cluster").alias("Geo_Cluster")), sweep
 
 
@@ -94,6 +98,7 @@ def temporal_clustering(df: DataFrame, id_col: str, feature_cols: list[str], hou
     """
     from blotter.operators import features as fe
 
+    started = dt.datetime.now(dt.timezone.utc)
     z = fe.standard_scale(df, {c: f"__z{i}" for i, c in enumerate(feature_cols)})
     scaled = [f"__z{i}" for i in range(len(feature_cols))]
     vec = cl.as_vectors(z, id_col, scaled).select("id", "v")
@@ -110,7 +115,8 @@ def temporal_clustering(df: DataFrame, id_col: str, feature_cols: list[str], hou
     if run_log:
         runs.log_runs(runs.make_runs(sweep, F.lit(experiment), F.concat(F.lit("KMeans_temporal_k"), F.col("k")),
                                      {"algorithm": F.lit("KMeans_temporal"), "k": F.col("k")},
-                                     {"silhouette": F.col("silhouette"), "inertia": F.col("inertia")}), run_log)
+                                     {"silhouette": F.col("silhouette"), "inertia": F.col("inertia")}, started=started,
+                                     artifacts=[f"{output}/temporal_result", f"{output}/cluster_hours"] if output else None), run_log)
     return profile, joined, sweep
 
 
@@ -121,7 +127,7 @@ def dimension_reduction(X: DataFrame, feature_cols: list[str], keep: list[str],
     The run record holds the components' variances and how many reach 70 and 80 %; with ``output`` the projection is
     written to ``pca_result``.
     """
-    spark = X.sparkSession
+    spark, started = X.sparkSession, dt.datetime.now(dt.timezone.utc)
     fit = rd.PcaFit(X, feature_cols)
     scree = rd.pca_scree(spark, fit)
     projection = fit.project(keep, "PC", n_components)
@@ -134,5 +140,6 @@ def dimension_reduction(X: DataFrame, feature_cols: list[str], keep: list[str],
             *[F.max(F.when(F.col("component") == i + 1, F.col("variance_ratio"))).alias(f"variance_pc{i + 1}") for i in range(n_components)])
         metrics = {c: F.col(c).cast("double") for c in first.columns}
         runs.log_runs(runs.make_runs(first, F.lit(experiment), F.lit("PCA"), {"method": F.lit("PCA"), "n_components": F.lit(str(n_components)),
-                                                                              "sample_size": F.lit(str(fit.n))}, metrics), run_log)
+                                                                              "sample_size": F.lit(str(fit.n))}, metrics,
+                                     started=started, artifacts=[f"{output}/pca_result"] if output else None), run_log)
     return scree, rd.pca_loadings(spark, fit, n_components), projection

@@ -85,6 +85,54 @@ def read_raw_csv(spark: SparkSession, path: str, types: dict[str, str] | None =
     return raw.select(*out)
 
 
+def scan_with_rejects(spark: SparkSession, path: str, types: dict[str, str] | None = None, drop_index: bool = True,
+                      missing_tokens: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, rejects, report) of raw CSV text (S1): what :func:`read_raw_csv` would pad or blank in silence is told.
+
+    A line with too few or too many fields is rejected: ``rejects`` holds it as text.  ``rows`` are the others, cast
+    as usual, with ``_failed``, the names of the columns whose text did not fit their type (NULL there).  ``report``
+    has (kind, column, count): lines ``accepted`` and ``rejected``, which add up to the input, and per typed column
+    the values that ``failed`` or were ``missing``, over accepted lines.
+    """
+    types = RAW_TYPES if types is None else types
+    tokens = fixed.MISSING_TOKENS if missing_tokens is None else missing_tokens
+    reader = spark.read.options(**CSV_DIALECT).option("inferSchema", False).option("nullValue", None).option("emptyValue", "")
+    cols = reader.option("header", True).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cols, "_line"]])
+    # no pruning: a pruned parse fills up short lines; header rows go by content: Spark's check fails on an unnamed column
+    raw = (reader.schema(schema).option("header", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line")
+           .option("columnPruning", False).csv(path))
+    header = F.lit(True)
+    for i, c in enumerate(cols):
+        header = header & F.col(f"`{c}`").eqNullSafe(F.lit(None if c == f"_c{i}" else c))
+    raw = raw.filter(~header)
+    wanted = cols[1:] if drop_index and cols and cols[0] in ("_c0", "") else cols
+    out, failed = [], []
+    for c in wanted:
+        text = F.col(f"`{c}`")
+        clean = F.when(text.isin(*tokens), F.lit(None)).otherwise(text)
+        kind = types.get(c, "string")
+        value = clean if kind == "string" else cast_text(clean, kind)
+        out.append(value.alias(c))
+        if kind != "string":
+            failed.append(F.when(clean.isNotNull() & value.isNull(), F.lit(c)))
+    bad = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
+    both = raw.select(*out, bad.alias("_failed"), "_line")
+    rows = both.filter(F.col("_line").isNull()).drop("_line")
+    rejects = both.filter(F.col("_line").isNotNull()).select(F.col("_line").alias("line"))
+    typed = [c for c in wanted if types.get(c, "string") != "string"]
+    taken = F.col("_line").isNull()
+    counts = [F.count_if(taken).alias("n0"), F.count_if(~taken).alias("n1")]
+    parts = ["'accepted', cast(null as string), n0", "'rejected', cast(null as string), n1"]
+    for i, c in enumerate(typed):
+        broken = F.array_contains("_failed", c)
+        counts += [F.count_if(taken & broken).alias(f"f{i}"), F.count_if(taken & ~broken & F.col(f"`{c}`").isNull()).alias(f"m{i}")]
+        name = "'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        parts += [f"'failed', {name}, f{i}", f"'missing', {name}, m{i}"]
+    report = both.agg(*counts).selectExpr(f"stack({len(parts)}, {', '.join(parts)}) as (kind, column, count)")
+    return rows, rejects, report
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write a table as CSV with a header and no index column."""
     (df.write.mode(mode).options(**CSV_DIALECT).option("header", True).option("nullValue", "")
@@ -152,12 +200,3 @@ def save_model(model, path: str) -> None:
     """Persist a fitted Spark ML model or pipeline."""
     model.write().overwrite().save(path)
 
-
-def cached_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Scan kept in executor memory / disk for repeated interactive queries.
-
-    Only the listed columns are cached; a lost block is re-read from the scan.
-    """
-    from pyspark import StorageLevel
-
-    return read_table(spark, path, columns).persist(StorageLevel.MEMORY_AND_DISK)
