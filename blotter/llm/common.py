@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from blotter.session import materialize
+from blotter.session import materialize, settle
 
-#: Rows to drop up to which their ids and digests (about 120 bytes a row) are broadcast instead of shuffling the texts.
-FEW_ROWS = 300_000
+#: 64-bit words (a power of two) of the Bloom filter that tells which rows might go; it bounds what is broadcast.
+BLOOM_WORDS = 1 << 20
 #: Text bytes handled at once inside a task; bounds the working set of a worker.
 SLICE_BYTES = 6 << 20
 
@@ -48,6 +48,11 @@ def step(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
+def verdict(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make()`` decides, written; the tables it wrote on the way are deleted, for nothing reads them any more."""
+    return settle(spark, make, f"llm-{name}")
+
+
 def text_digest(text: str | Column = "text", blank: bool = False) -> Column:
     """SHA-256 of a text, null as empty; with ``blank`` every run of white space counts as one space."""
     whole = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -59,22 +64,39 @@ def keyed_docs(df: DataFrame) -> DataFrame:
     return docs_of(df).withColumn("digest", text_digest())
 
 
+def bloom_place(doc_id: str, digest: str) -> tuple[Column, Column]:
+    """(word, bits) of a row in a blocked Bloom filter: four bits of one 64-bit word, all from one hash."""
+    h = F.xxhash64(doc_id, digest)
+    bits = F.lit(0).cast("long")
+    for at in (40, 46, 52, 58):
+        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63).cast("long")).cast("int")))
+    return h.bitwiseAND(F.lit(BLOOM_WORDS - 1).cast("long")), bits
+
+
 def drop_rows(docs: DataFrame, dropped: DataFrame, blank: bool = False, keep: bool = False) -> DataFrame:
     """``docs`` without the rows whose (doc_id, text digest) is in ``dropped`` (doc_id, digest); with ``keep`` only those.
 
+    ``dropped`` should be a written table, as it is read twice.  A Bloom filter over it, at most ``BLOOM_WORDS`` rows
+    whatever its size, is broadcast; rows that miss it stay where they are, only the others (those to drop and a few
+    more) are moved and compared with ``dropped`` itself, so the result is exact however full the filter is.
+
     A row without an id goes by its text, a row that shares its id with a dropped one stays if its text is another.
     Columns are handled by place, so names that differ in case only do no harm.
     """
     names = docs.columns
     placed = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     mine = [F.col(f"_c{names.index('doc_id')}").cast("long"), text_digest(F.col(f"_c{names.index('text')}"), blank)]
-    keyed = placed.withColumns({"_id": mine[0], "_digest": mine[1]})
     gone = dropped.select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_text")).distinct()
-    if gone.limit(FEW_ROWS + 1).count() <= FEW_ROWS:  # else both sides are shuffled
-        gone = F.broadcast(gone)
+    word, bits = bloom_place("_gone", "_text")
+    words = gone.select(word.alias("_word"), bits.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    word, bits = bloom_place("_id", "_digest")
+    keyed = (placed.withColumns({"_id": mine[0], "_digest": mine[1]}).withColumn("_word", word)
+             .join(F.broadcast(words), "_word", "left"))
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(bits) == bits, F.lit(False))
     same = F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_digest") == F.col("_text"))
-    out = keyed.join(gone, same, "left_semi" if keep else "left_anti").drop("_id", "_digest")
-    return out.toDF(*names)
+    met = keyed.filter(maybe).join(gone, same, "left_semi" if keep else "left_anti")
+    out = met if keep else keyed.filter(~maybe).unionAll(met)
+    return out.select(*placed.columns).toDF(*names)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

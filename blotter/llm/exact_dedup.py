@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blotter.llm.common import docs_of, drop_rows, map_slices, runs, step, text_digest
+from blotter.llm.common import docs_of, drop_rows, map_slices, runs, step, text_digest, verdict
 
 #: Chunk sizes in bytes: least, about the mean beyond the least (a power of two), largest.
 LEAST, SPREAD, LARGEST = 512, 2048, 16384
@@ -165,8 +165,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) that stay; one of repeated rows."""
-    rows = dedup(docs).select("doc_id", F.col("text_sha256").alias("digest"), "kept")
-    verdicts = step(rows.groupBy("doc_id", "digest").agg(F.max("kept").alias("stays"), F.count("*").alias("n")), "verdicts")
+    def judged():
+        rows = dedup(docs).select("doc_id", F.col("text_sha256").alias("digest"), "kept")
+        return rows.groupBy("doc_id", "digest").agg(F.max("kept").alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1")
+
+    verdicts = verdict(docs.sparkSession, judged, "verdicts")
     out = drop_rows(docs, verdicts.filter("not stays"), blank=True)
     repeated = step(verdicts.filter("stays and n > 1").select("doc_id", "digest"), "repeated")
     if repeated.isEmpty():

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blotter.llm.common import binary_of, docs_of, drop_rows, keyed_docs, list_of, map_slices, runs, step
+from blotter.llm.common import binary_of, docs_of, drop_rows, keyed_docs, list_of, map_slices, runs, step, verdict
 from blotter.operators.components import connected_components
 from blotter.operators.grouped import map_groups
 
@@ -300,5 +300,4 @@ def classified(docs: DataFrame) -> DataFrame:
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) that stay: the document with the least id of each group."""
-    gone = classified(docs).filter("not kept").select("doc_id", "digest")
-    return drop_rows(docs, step(gone, "near-copies"))
+    return drop_rows(docs, verdict(docs.sparkSession, lambda: classified(docs).filter("not kept").select("doc_id", "digest"), "near-copies"))

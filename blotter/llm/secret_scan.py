@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blotter.llm.common import docs_of, drop_rows, map_slices, step
+from blotter.llm.common import docs_of, drop_rows, map_slices, step, verdict
 from blotter.session import scratch_dir
 
 
@@ -159,5 +159,8 @@ def drop_leaking(docs: DataFrame, ledger: Ledger | None = None, kinds: tuple[str
 
     A lone hex run is no proof of a secret (digests, numbers), so that kind is reported but drops nothing.
     """
-    rows = scan_secrets(docs, ledger).filter(F.exists("findings", lambda f: f["kind"].isin(list(kinds)))).select("doc_id", F.col("blob").alias("digest"))
-    return drop_rows(docs, step(rows, "leaking"))
+    def leaking():
+        found = scan_secrets(docs, ledger).filter(F.exists("findings", lambda f: f["kind"].isin(list(kinds))))
+        return found.select("doc_id", F.col("blob").alias("digest"))
+
+    return drop_rows(docs, verdict(docs.sparkSession, leaking, "leaking"))

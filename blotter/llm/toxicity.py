@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blotter.llm.common import crc_mod3, docs_of, drop_rows, keyed_docs, map_slices, pick, step
+from blotter.llm.common import crc_mod3, docs_of, drop_rows, keyed_docs, map_slices, pick, step, verdict
 
 MAX_EXAMPLES, MAX_TERMS = 6_000, 4_096
 #: Least documents with a term, and least log-likelihood ratio of its counts by label.
@@ -380,4 +380,4 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) that are not predicted toxic; copies of a toxic text share its score."""
-    return drop_rows(docs, step(judge(docs, labels).filter("predicted = 1").select("doc_id", "digest"), "toxic"))
+    return drop_rows(docs, verdict(docs.sparkSession, lambda: judge(docs, labels).filter("predicted = 1").select("doc_id", "digest"), "toxic"))

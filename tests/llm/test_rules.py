@@ -255,6 +255,40 @@ def test_stages_tell_rows_apart_by_id_and_text(spark):
     assert 4 in judged and left(toxicity.drop_toxic(docs, labels)) == want(gone)
 
 
+@pytest.mark.parametrize("words", [1, 64, 1 << 20])
+def test_rows_are_dropped_alike_however_full_the_filter(spark, monkeypatch, words):
+    from blotter.llm import common
+
+    monkeypatch.setattr(common, "BLOOM_WORDS", words)
+    docs = spark.range(3000).selectExpr("if(id % 50 = 7, null, id div 2) doc_id", "concat('text ', id % 1000) text", "id n")
+    gone = common.keyed_docs(docs.filter("n % 3 = 0")).select("doc_id", "digest")
+    keys = {(r.doc_id, r.text) for r in docs.filter("n % 3 = 0").collect()}
+    want = {r.n for r in docs.collect() if (r.doc_id, r.text) not in keys}
+    assert {r.n for r in common.drop_rows(docs, gone).collect()} == want
+    assert {r.n for r in common.drop_rows(docs, gone, keep=True).collect()} == set(range(3000)) - want
+    assert common.drop_rows(docs, gone.limit(0)).count() == 3000
+
+
+def test_a_verdict_leaves_only_its_own_table(spark, tmp_path):
+    from blotter.llm import common
+    from blotter.session import scratch
+
+    made = []
+
+    def make():
+        made.append(common.step(spark.range(5).toDF("n"), "way"))
+        return made[0].filter("n > 2")
+
+    with scratch(spark):
+        out = common.verdict(spark, make, "end")
+        files = out.inputFiles()
+        assert sorted(r.n for r in out.collect()) == [3, 4]
+        with pytest.raises(Exception, match="(?i)path_not_found|not exist|no such"):
+            spark.read.parquet("/".join(made[0].inputFiles()[0].split("/")[:-1]))
+    with pytest.raises(Exception, match="(?i)path_not_found|not exist|no such"):
+        spark.read.parquet("/".join(files[0].split("/")[:-1]))
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline
 
