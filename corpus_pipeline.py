@@ -7,10 +7,12 @@ All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from blotter.llm import exact_dedup, near_dup, packing, secret_scan, toxicity
-from blotter.llm.common import read, step
+from blotter.llm.common import read, verdict
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +43,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage wrote on the way is deleted once its own table is written."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = step(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs = verdict(spark, partial(stage, spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return docs
