@@ -12,11 +12,13 @@ the share of equal signature bytes (six standard deviations below the limit), th
 confirmed on full shingle sets, and joined into components.
 
 A star can miss a link between two members that are both unlike its centre.  So
-buckets that still hold several components are gone through again: members are
-dealt into blocks of ``BLOCK``, every two blocks meet in one task with half-width
-shingle sets, and a pair from different components that reaches the limit there
-is confirmed as well.  Only such pairs, links but for chance, are emitted, and a
-bucket of any size is split over tasks.
+buckets that still hold several components get new centres for ``RESTARS`` rounds,
+and what is still open goes through an exact prefix filter: shingles that occur in
+one component only come first, then the others by rising frequency, and two
+documents from different components can reach the limit only if they share one of
+the first quarter of their shingles, with enough shingles behind it in both.
+Members of a bucket that merely share boilerplate have rarer shingles in front, so
+they never meet, and a frequent shingle's group is split over tasks in blocks.
 
 Shingle hashes have 64 bits; the chance that two different shingles of a pair of
 documents agree is below 1e-12 for texts of a million words.
@@ -38,7 +40,8 @@ WORDS = 5
 PERCENT = 75
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-BLOCK = 512
+#: Rows of a shingle's group that meet in one task at once; rounds of new centres for buckets that are still open.
+BLOCK, RESTARS = 512, 2
 _U = np.uint64
 #: Multipliers by place of a word in its shingle (odd, from the golden ratio's fraction).
 PLACE = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 2**64) for i in range(WORDS)], np.uint64)
@@ -173,9 +176,13 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def star_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Distinct (centre, member) pairs whose sizes and signatures allow the limit."""
+    return likely(members.filter("rep <> centre").select(F.least("centre", "rep").alias("src"), F.greatest("centre", "rep").alias("dst")).distinct(), classes)
+
+
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of distinct (src, dst) whose sizes and signatures allow the limit."""
     light = classes.select("rep", "n", "sig")
-    stars = members.filter("rep <> centre").select(F.col("centre").alias("src"), F.col("rep").alias("dst")).distinct()
-    both = (stars.join(light.select(F.col("rep").alias("src"), F.col("n").alias("ns"), F.col("sig").alias("ss")), "src")
+    both = (pairs.join(light.select(F.col("rep").alias("src"), F.col("n").alias("ns"), F.col("sig").alias("ss")), "src")
             .join(light.select(F.col("rep").alias("dst"), F.col("n").alias("nd"), F.col("sig").alias("sd")), "dst")
             .filter(sizes_allow("ns", "nd")))
 
@@ -189,66 +196,76 @@ def star_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("src", "dst", "ss", "sd", "ns", "nd").mapInArrow(run, "src long, dst long").distinct()
 
 
-def collisions(n: int) -> int:
-    """Equal 32-bit halves to expect among n hashes (about n^2 / 2^33 of them, doubled) and eight standard deviations."""
-    mean = n * n / 2**32
-    return int(mean + 8 * mean**0.5) + n // 10_000
+def open_members(members: DataFrame, components: DataFrame) -> DataFrame:
+    """(bucket, rep, component) of the buckets that hold several components."""
+    comp = components.select(F.col("id").alias("rep"), "component")
+    labelled = step(members.select("bucket", "rep").join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
+    several = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+    return step(labelled.join(several, "bucket"), "open")
 
 
-def rest_pairs(members: DataFrame, classes: DataFrame, components: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs of a bucket from different components that reach the limit on 32-bit shingle hashes.
+def new_stars(rows: DataFrame, turn: int) -> DataFrame:
+    """(rep, centre) of open members and a new centre of their bucket, another one each turn; members of its component need no edge."""
+    centres = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "component")).alias("c"))
+    return rows.join(centres, "bucket").filter("component <> c.component").select("rep", F.col("c.rep").alias("centre"))
 
-    A pair is looked at in the first bucket that both are in.  Equal low halves of different hashes can only add
-    to an intersection; equal ones within a set take from it, at most ``collisions`` but for chance; what is passed on is confirmed on full sets.
+
+def prefixes(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(shingle, rep, component, n, after): the shingles by which an open document can meet another component's.
+
+    after: how many of the document's shingles that several components have come no earlier in the order (itself
+    included).  A link needs 75 % of n in common, so a shingle with fewer behind it can not be the first common one.
     """
-    comp = components.select(F.col("id").alias("rep"), "component")
-    labelled = step(members.select("bucket", "rep").join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
-    open_ = (labelled.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .filter("lo <> hi").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("g")))
-    rows = step(labelled.join(open_, "bucket"), "open")
+    ids = step(rows.select(F.col("rep").alias("doc_id"), "component").distinct(), "open-ids")
 
     def make():
         def work(batch):
-            half = [np.unique((s & _U(0xFFFFFFFF)).astype(np.uint32)) for s in shingle_hashes(batch.column(1))]
-            return {"rep": batch.column(0), "half": [h.tobytes() for h in half]}
+            sets = shingle_hashes(batch.column(1))
+            at = runs(np.fromiter(map(len, sets), np.int64, len(sets)))
+            flat = np.concatenate([*sets, np.zeros(0, _U)]).view(np.int64)
+            return {"rep": batch.column(0), "component": batch.column(2), "n": np.diff(at), "shingles": list_of(flat, at, pa.int64())}
         return work
 
-    ids = step(rows.select(F.col("rep").alias("doc_id")).distinct(), "open-ids")
-    halves = map_slices(docs_of(docs).join(ids, "doc_id", "left_semi"), make, "rep long, half binary")
-    facts = step(classes.select("rep", "n", "bands").join(halves, "rep"), "halves")
-    dealt = (rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
+    texts = docs_of(docs).join(ids, "doc_id").select("doc_id", "text", "component")
+    sets = step(map_slices(texts, make, "rep long, component long, n long, shingles array<long>"), "open-sets")
+    if not sets.groupBy("rep").count().filter("count > 1").isEmpty():  # repeated rows
+        sets = sets.dropDuplicates(["rep"])
+    each = sets.select("rep", "component", "n", F.explode("shingles").alias("shingle"))
+    across = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle", "c")
+    last_first = Window.partitionBy("rep").orderBy(F.desc("c"), F.desc("shingle"))
+    return (each.join(across, "shingle").withColumn("after", F.row_number().over(last_first).cast("long"))
+            .filter(100 * F.col("after") >= PERCENT * F.col("n")).select("shingle", "rep", "component", "n", "after"))
+
+
+def rest_pairs(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Distinct pairs of open documents from different components that a prefix filter can not rule out; no link is missing.
+
+    The first shingle in the order that a pair has in common has at least the whole intersection behind it in both
+    sets, so a linked pair passes in that shingle's group.
+    """
+    front = step(prefixes(rows, docs), "prefixes")
+    groups = (front.groupBy("shingle").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+              .filter("lo <> hi").select("shingle", F.ceil(F.col("m") / BLOCK).cast("int").alias("g")))
+    dealt = (front.join(groups, "shingle").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-             .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
-             .join(facts, "rep").select("bucket", "i", "j", "own", "rep", "component", "n", "bands", "half"))
+             .select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n", "after"))
 
     def pairs_of(group: pa.Table):
-        own, rep, comp, n = (np.asarray(group.column(c)) for c in ("own", "rep", "component", "n"))
-        bands = np.asarray(group.column("bands").combine_chunks().flatten()).reshape(len(n), BANDS)
-        band = int(np.flatnonzero(bands[0] == group.column("bucket")[0].as_py())[0])
+        own, rep, comp, n, after = (np.asarray(group.column(c)) for c in ("own", "rep", "component", "n", "after"))
         same_block = group.column("i")[0] == group.column("j")[0]
-        sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("half")]
-        starts = runs(np.fromiter(map(len, sets), np.int64, len(sets)))
-        code = None
         src, dst = [], []
         for k in range(len(rep) - 1):
             rest = slice(k + 1, None)
-            other = np.flatnonzero((comp[rest] != comp[k]) & (same_block | (own[rest] != own[k]))
-                                   & (100 * np.minimum(n[rest], n[k]) >= PERCENT * np.maximum(n[rest], n[k]))
-                                   & ~(bands[rest, :band] == bands[k, :band]).any(axis=1)) + k + 1
-            if not len(other):
-                continue
-            if code is None:
-                values, code = np.unique(np.concatenate(sets), return_inverse=True)
-            mark = np.zeros(len(values), bool)
-            mark[code[starts[k]:starts[k + 1]]] = True
-            slack = 2 + collisions(int(n[k]))
-            common = np.fromiter((np.count_nonzero(mark[code[starts[o]:starts[o + 1]]]) for o in other.tolist()), np.int64, len(other)) + slack
-            near = other[100 * common >= PERCENT * (n[k] + n[other] - common)]
-            src.append(np.minimum(rep[k], rep[near]))
-            dst.append(np.maximum(rep[k], rep[near]))
+            near = (comp[rest] != comp[k]) & ((100 + PERCENT) * np.minimum(after[rest], after[k]) >= PERCENT * (n[rest] + n[k]))
+            if not same_block:
+                near &= own[rest] != own[k]
+            if near.any():
+                other = rep[rest][near]
+                src.append(np.minimum(rep[k], other))
+                dst.append(np.maximum(rep[k], other))
         return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst)}) if src else None
 
-    return map_groups(dealt, ["bucket", "i", "j"], pairs_of, "src long, dst long").distinct()
+    return map_groups(dealt, ["shingle", "i", "j"], pairs_of, "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -268,8 +285,9 @@ def classified(docs: DataFrame) -> DataFrame:
     classes = step(linked.groupBy("set_key").agg(
         F.min(F.struct("doc_id", "digest")).alias("own"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
         .select("set_key", F.col("own.doc_id").alias("rep"), "own", "n", "sig", "bands"), "classes")
-    texts, shared_ids = docs, not classes.groupBy("rep").count().filter("count > 1").isEmpty()
-    if shared_ids:  # texts that share their least id: all but one of their classes get numbers of their own
+    text_hash = F.xxhash64("digest")
+    texts, shared_ids = docs, not linked.groupBy("doc_id").agg(F.min(text_hash).alias("lo"), F.max(text_hash).alias("hi")).filter("lo <> hi").isEmpty()
+    if shared_ids:  # of texts that share their least id, all but one of their classes get numbers of their own
         place = F.row_number().over(Window.partitionBy("rep").orderBy("set_key"))
         number = F.lit(-2**62) - F.pmod(F.xxhash64("set_key"), F.lit(2**61))
         classes = step(classes.withColumn("place", place).withColumn("rep", F.when(F.col("place") == 1, F.col("rep")).otherwise(number)).drop("place"), "classes")
@@ -281,10 +299,15 @@ def classified(docs: DataFrame) -> DataFrame:
     pairs = step(star_pairs(members, classes), "stars")
     links = step(confirm(pairs, texts), "links")
     components = step(connected_components(links), "components")
-    rest = step(rest_pairs(members, classes, components, texts).join(pairs, ["src", "dst"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(step(confirm(rest, texts), "links"))
-        components = step(connected_components(links), "components")
+    for turn in range(RESTARS + 1):
+        rows = open_members(members, components)
+        if rows.isEmpty():
+            break
+        more = star_pairs(new_stars(rows, turn), classes) if turn < RESTARS else likely(rest_pairs(rows, texts), classes)
+        more = step(more.join(pairs, ["src", "dst"], "left_anti"), "rest")
+        if not more.isEmpty():
+            pairs, links = pairs.unionByName(more), links.unionByName(step(confirm(more, texts), "links"))
+            components = step(connected_components(links), "components")
     # every document: its class, the class's component
     by_class = classes.select("set_key", "rep", "own.doc_id").join(components.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "set_key", "doc_id", F.coalesce("component", "rep").alias("component_id"))

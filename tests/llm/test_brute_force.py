@@ -16,6 +16,38 @@ def test_near_duplicates(odd_docs, odd_rows):
     assert got == brute.near_dup(odd_rows)
 
 
+@pytest.mark.parametrize("block", [8, 512])
+def test_open_buckets_lose_no_link_and_meet_few_pairs(spark, monkeypatch, block):
+    """One bucket of texts that share more than half of their words, among them planted pairs about the limit."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    shared = [f"s{i}" for i in range(70)]
+    rows = []
+    for i in range(600):
+        own = [f"w{x}" for x in rng.integers(0, 10**9, 50)]
+        rows.append((i, " ".join(shared + own)))
+        if i % 20 == 0:  # 0.72 to 0.9 alike
+            rows.append((1000 + i, " ".join(shared + own[:50 - i // 30] + [f"x{i}y{k}" for k in range(i // 30)])))
+            rows.append((2000 + i, " ".join(own + shared)))
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    members = spark.createDataFrame([(7, i, i) for i, _ in rows], "bucket long, rep long, component long")
+    got = {(r.src, r.dst) for r in near_dup.rest_pairs(members, docs).collect()}
+    sets = {i: brute.shingles(t) for i, t in rows}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(links) > 20 and links <= got
+    assert len(got) < 100 < len(rows) ** 2 / 2 / 1000
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(docs).distinct().collect()}
+    assert found == brute.near_dup(rows)
+
+
+def test_near_duplicates_of_ids_that_name_several_texts(spark):
+    """A text under an id that leads another text's class neither lends nor takes that class's links."""
+    words = [[f"{c}{i}" for i in range(60)] for c in "abc"]
+    rows = [(3, " ".join(words[1])), (5, " ".join(words[0])), (5, " ".join(words[1])), (7, " ".join(words[1][:58] + ["z", "y"])), (9, " ".join(words[0][:58])), (9, " ".join(words[2]))]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 3, False), (9, 5, False), (9, 9, True)]
+
+
 def test_quality_base(odd_docs, odd_rows):
     got = {r[0]: tuple(r)[1:] for r in quality_rules.judge(odd_docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()}
