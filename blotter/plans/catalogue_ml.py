@@ -15,6 +15,7 @@ from blotter.operators import neighbours as nb
 from blotter.operators import reduce as rd
 from blotter.operators.dbscan import dbscan
 from blotter.operators.ward import CELLS, ward, ward_tree
+from blotter.plans import catalogue_quality as cq
 from blotter.plans import sqlparts as sq
 from blotter.plans import tables as T
 from blotter.plans.registry import query
@@ -423,7 +424,38 @@ def hierarchical_zones(spark, sf):
     return model.transform(vec).select(F.col("id").alias("vec_id"), F.col("cluster").cast("int"))
 
 
-# --- R1-R4 (rows-only: eigenvectors are not SQL) --------------------------------------------
+# --- R1-R4 ----------------------------------------------------------------------------------
+
+#: Embedding rows, and rows of the stage-3 feature matrix, as x(id, v).
+_EMBEDDING_X = "x AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+_FEATURE_X = "feats AS (" + cq.feature_matrix_sql().strip() + "),\nx AS (SELECT row_key AS id, [" + ", ".join(
+    f'CAST("{c}" AS DOUBLE)' for c in fe.FEATURE_COLS) + "] AS v FROM feats)"
+
+
+def _pca_sql(x: str, k: int, out: str) -> str:
+    return f"WITH RECURSIVE {x},{sq.principal_components(k)}\n{out}"
+
+
+_SCREE_SQL = """, s AS (SELECT CAST(k AS INTEGER) AS component, lam / total AS ratio, sum(lam / total) OVER (ORDER BY k) AS cum FROM eig)
+SELECT component, round_even(ratio, 6) AS variance_ratio, round_even(cum, 6) AS cumulative,
+       min(CASE WHEN cum >= 0.7 THEN component END) OVER () AS n70, min(CASE WHEN cum >= 0.8 THEN component END) OVER () AS n80
+FROM s"""
+_LOADINGS_SQL = "SELECT name AS feature, " + ", ".join(
+    f"round_even((SELECT v FROM eig WHERE k = {j})[pos], 6) AS \"PC{j}\"" for j in (1, 2, 3)) + f"""
+FROM (SELECT unnest({fe.FEATURE_COLS}) AS name, unnest(range(1, {len(fe.FEATURE_COLS)} + 1)) AS pos)"""
+_TOP_LOADINGS_SQL = f""", l AS ({_LOADINGS_SQL}),
+t AS (SELECT feature, unnest(['PC1', 'PC2', 'PC3']) AS component, unnest(["PC1", "PC2", "PC3"]) AS loading FROM l)
+SELECT feature, component, loading, abs(loading) AS abs_loading,
+       CAST(row_number() OVER (PARTITION BY component ORDER BY abs(loading) DESC, feature) AS INTEGER) AS rank
+FROM t QUALIFY rank <= 5"""
+
+
+def _scores_sql(k: int) -> str:
+    return ", ".join(f"round_even(list_dot_product(z.z, (SELECT v FROM eig WHERE k = {j})), 6) AS \"PC{j}\"" for j in range(1, k + 1))
+
+
+def _rounded(df, k: int):
+    return df.withColumns({f"PC{j}": F.bround(f"PC{j}", 6) for j in range(1, k + 1)})
 
 
 def _incident_pca(spark, sf, k=None):
@@ -432,13 +464,13 @@ def _incident_pca(spark, sf, k=None):
     return rd.PcaFit(X, fe.FEATURE_COLS, k=k), X, meta
 
 
-@query("pca_scree")
+@query("pca_scree", _pca_sql(_FEATURE_X, len(fe.FEATURE_COLS), _SCREE_SQL))
 def pca_scree(spark, sf):
     fit, _, _ = _incident_pca(spark, sf)
     return rd.pca_scree(spark, fit)
 
 
-@query("pca_scree_embeddings")
+@query("pca_scree_embeddings", _pca_sql(_EMBEDDING_X, 64, _SCREE_SQL))
 def pca_scree_embeddings(spark, sf):
     fit = rd.PcaFit(T.embedding_vectors(spark, sf), array_col="features")
     return rd.pca_scree(spark, fit)
@@ -454,25 +486,27 @@ def embedding_correlation(spark, sf):
     return rd.correlation_table(spark, rd.PcaFit(T.embedding_vectors(spark, sf), array_col="features"))
 
 
-@query("pca_loadings")
+@query("pca_loadings", _pca_sql(_FEATURE_X, 3, _LOADINGS_SQL))
 def pca_loadings(spark, sf):
     fit, _, _ = _incident_pca(spark, sf)
     return rd.pca_loadings(spark, fit, 3)
 
 
-@query("pca_top_loadings")
+@query("pca_top_loadings", _pca_sql(_FEATURE_X, 3, _TOP_LOADINGS_SQL))
 def pca_top_loadings(spark, sf):
     fit, _, _ = _incident_pca(spark, sf)
     return rd.pca_top_loadings(rd.pca_loadings(spark, fit, 3), 5)
 
 
-@query("pca_project")
+@query("pca_project", _pca_sql(_FEATURE_X, 3, f"""SELECT z.id AS row_key, upper(e.event_type) AS "Primary_Type",
+       {sq.severity_case('upper(e.event_type)')} AS "Crime_Severity_Score", {sq.season_case('month(e.ts)')} AS "Season", {_scores_sql(3)}
+FROM z JOIN events e ON CAST(e.event_id AS VARCHAR) = z.id"""))
 def pca_project(spark, sf):
     from blotter.plans.catalogue_quality import engineered_incidents
     eng = engineered_incidents(spark, sf)
     wide = fe.feature_rows(eng).withColumn("Primary_Type", F.col("Primary Type"))
     fit = rd.PcaFit(wide, fe.FEATURE_COLS, k=3)
-    return fit.project(["row_key", "Primary_Type", "Crime_Severity_Score", "Season"], "PC", 3)
+    return _rounded(fit.project(["row_key", "Primary_Type", "Crime_Severity_Score", "Season"], "PC", 3), 3)
 
 
 @query("geo_result_roundtrip", _dbscan_sql(0.1, 10).replace(
@@ -502,7 +536,9 @@ def kmeans_positions(spark, sf):
     return cl.cluster_positions(vec, k=5, n=5_000, silhouette_n=2_000)
 
 
-@query("pca_reduce10")
+@query("pca_reduce10", _pca_sql(_EMBEDDING_X, 10, f"""SELECT e.vec_id, e.label, {_scores_sql(10)},
+       round_even((SELECT sum(lam) / max(total) FROM eig), 6) AS retained_variance
+FROM z JOIN embeddings e ON e.vec_id = z.id"""))
 def pca_reduce10(spark, sf):
     """10-component pre-reduction with the variance it retains."""
     emb = T.embedding_vectors(spark, sf)
@@ -511,7 +547,7 @@ def pca_reduce10(spark, sf):
     path = scratch_dir(spark, "pca10")
     io.write_table(proj, path)
     retained = float(sum(fit.ratio))
-    return io.read_table(spark, path).withColumn("retained_variance", F.lit(round(retained, 6)))
+    return _rounded(io.read_table(spark, path), 10).withColumn("retained_variance", F.lit(round(retained, 6)))
 
 
 # --- whole clustering stage (K11 with S11 / S12) ---------------------------------------------

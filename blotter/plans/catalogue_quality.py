@@ -278,7 +278,7 @@ def engineered_incidents(spark, sf):
     return io.with_row_key(eng, "ID")
 
 
-def _feature_matrix_sql():
+def feature_matrix_sql():
     enc = "CAST(dense_rank() OVER (ORDER BY COALESCE({c}, 'nan')) - 1 AS INTEGER)"
     lat_step, lon_step = "((s.la1 - s.la0) / 20.0)", "((s.lo1 - s.lo0) / 20.0)"
     lat_bin = f"COALESCE({sq.bin_sum('c.\"Latitude\"', 's.la0', lat_step, 20)}, 0)"
@@ -317,13 +317,13 @@ SELECT * FROM f WHERE "Hour" IS NOT NULL AND "Month" IS NOT NULL AND "Beat" IS N
   AND "Lat_Scaled" IS NOT NULL AND "Lon_Scaled" IS NOT NULL"""
 
 
-@query("feature_matrix", _feature_matrix_sql())
+@query("feature_matrix", feature_matrix_sql())
 def feature_matrix(spark, sf):
     X, _ = fe.feature_matrix(engineered_incidents(spark, sf))
     return X
 
 
-@query("feature_pipeline_saved", _feature_matrix_sql())
+@query("feature_pipeline_saved", feature_matrix_sql())
 def feature_pipeline_saved(spark, sf):
     """The feature matrix by a pipeline that was fitted, saved and loaded again."""
     from blotter.operators import feature_pipeline as fp
