@@ -44,10 +44,11 @@ def _fit_input(vec: DataFrame, sample_size: int | None, seed: int) -> DataFrame:
 
 
 def fit_best(vec: DataFrame, k: int, n_init: int = 10, seed: int = fixed.RANDOM_STATE,
-             max_iter: int = 300, tol: float = 1e-4, sample_size: int | None = None):
+             max_iter: int = 300, tol: float = 1e-4, sample_size: int | None = None, seeding: str = "oversampled"):
     """Least-inertia centres over ``n_init`` seeded restarts, all restarts in
-    the same passes (K1).  Returns (centres, inertia)."""
-    fits = fit_many(_fit_input(vec, sample_size, seed), [(k, seed + i) for i in range(n_init)], max_iter, tol)
+    the same passes (K1).  Returns (centres, inertia).  ``farthest`` seeding has one start."""
+    starts = 1 if seeding == "farthest" else n_init
+    fits = fit_many(_fit_input(vec, sample_size, seed), [(k, seed + i) for i in range(starts)], max_iter, tol, seeding)
     centres, inertia, _, _ = min(fits.values(), key=lambda f: f[1])
     return centres, inertia
 
@@ -65,17 +66,19 @@ def kmeans_labels(vec: DataFrame, centres) -> DataFrame:
 
 def kmeans_sweep(vec: DataFrame, ks: list[int], n_init: int = 10, seed: int = fixed.RANDOM_STATE,
                  sample_size: int = fixed.SILHOUETTE_SAMPLE, max_iter: int = 300,
-                 tol: float = 1e-4, fit_sample: int | None = None) -> tuple[DataFrame, dict]:
+                 tol: float = 1e-4, fit_sample: int | None = None,
+                 seeding: str = "oversampled") -> tuple[DataFrame, dict]:
     """Table (k, inertia, silhouette) over ``ks`` and the best centres per k (K2, K3).
 
     All k x n_init fits share their passes over the data; the silhouettes of
     all k use one seeded sample (as the reference: same random state for
     every k) and one Spark job.  ``fit_sample`` fits on a seeded exact sample
-    of that many rows instead of all rows.
+    of that many rows instead of all rows; ``farthest`` seeding has one start per k.
     """
     spark = vec.sparkSession
     pts = _fit_input(vec, fit_sample, seed)
-    fits = fit_many(pts, [(k, seed + i) for k in ks for i in range(n_init)], max_iter, tol)
+    starts = 1 if seeding == "farthest" else n_init
+    fits = fit_many(pts, [(k, seed + i) for k in ks for i in range(starts)], max_iter, tol, seeding)
     best = {}
     for (k, _), (centres, inertia, _, _) in fits.items():
         if k not in best or inertia < best[k][1]:
@@ -94,13 +97,14 @@ def kmeans_sweep(vec: DataFrame, ks: list[int], n_init: int = 10, seed: int = fi
 
 
 def cluster_positions(vec: DataFrame, k: int, n: int, seed: int = fixed.RANDOM_STATE, n_init: int = 10,
-                      silhouette_n: int = 2_000) -> DataFrame:
+                      silhouette_n: int = 2_000, max_iter: int = 300, tol: float = 1e-4,
+                      seeding: str = "oversampled") -> DataFrame:
     """Seeded exact sample of n rows, K-Means with restarts, evaluation with
     a silhouette sample of ``silhouette_n`` rows (K4)."""
     from blotter.operators.sampling import sample_exact
 
     pts = sample_exact(vec.select("id", "v"), n, "id", seed)
-    centres, _ = fit_best(pts, k, n_init, seed)
+    centres, _ = fit_best(pts, k, n_init, seed, max_iter, tol, seeding=seeding)
     labels = kmeans_labels(pts, centres)
     return metrics.evaluate(labels, "id", "v", "cluster", f"KMeans_k{k}", sample_size=silhouette_n, seed=seed)
 

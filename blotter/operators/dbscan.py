@@ -74,7 +74,8 @@ def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02
     cells = (pts.groupBy("cx", "cy").agg(F.count("*").alias("n"))
              .withColumn("ns", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(salt_rows))).cast("int"))
              .transform(_cut))
-    n_cells = cells.count()
+    extent = cells.agg(F.count("*").alias("n"), F.max(F.greatest(F.abs("cx"), F.abs("cy"))).alias("far")).first()
+    n_cells, packed = extent["n"], (extent["far"] or 0) < 2**31
     cells_b = _maybe_broadcast(cells, n_cells)
     pts = pts.join(cells_b, ["cx", "cy"]).transform(_cut)
 
@@ -180,7 +181,9 @@ def dbscan(df: DataFrame, id_col: str, x_col: str, y_col: str, eps: float = 0.02
     edges = sure.unionByName(checked)
 
     # 4. components of the cell graph: label = smallest core order key in the component
-    def key(cx, cy):  # one number per cell
+    def key(cx, cy):  # one number per cell; where numbers of 32 bits do not reach, the pair itself
+        if not packed:
+            return F.struct(F.col(cx).alias("x"), F.col(cy).alias("y"))
         return F.shiftleft(F.col(cx), 32) + F.col(cy).bitwiseAND((1 << 32) - 1)
 
     components = connected_components(edges.select(key("a_cx", "a_cy").alias("src"), key("b_cx", "b_cy").alias("dst")))

@@ -14,6 +14,9 @@ costs one scan per iteration:
 * Convergence as the reference: squared centre shift <= tol * mean feature variance; at most ``max_iter`` iterations; inertia
   from a final pass.
 
+``seeding="farthest"`` starts from the row with the least id and adds the farthest row each time (ties: the least id): no chance
+in it, so a sweep needs one fit for each k and any other tool can follow it; one pass per centre of the largest k.
+
 A table of at most ``SMALL_VALUES`` numbers is shipped to the tasks instead, and each task runs whole fits: the same steps on the
 same random numbers, without a job per step.  Larger tables are cached once (MEMORY_AND_DISK) for all passes.
 
@@ -105,6 +108,9 @@ class Rows:
         order = np.argsort(ids, kind="stable")
         self.ids, self.X = ids[order], X[order]
 
+    def first(self) -> np.ndarray:
+        return self.X[0]
+
     def race(self, candidates: dict, step: int, most: dict) -> dict:
         return {s: self.X[_race(self.ids, self.X, C, s, step, most[s])[1]] for s, C in candidates.items()}
 
@@ -150,6 +156,9 @@ class Table:
             out[row["r"]].append((np.array(row["v"]), row["extra"]))
         return out
 
+    def first(self) -> np.ndarray:
+        return np.array(self.pts.orderBy("id").select("v").first()["v"], float)
+
     def race(self, candidates: dict, step: int, most: dict) -> dict:
         def work(value, batches):
             cand, step, most = value
@@ -238,8 +247,19 @@ def recluster(C: np.ndarray, w: np.ndarray, k: int, seed: int) -> np.ndarray:
     return centres
 
 
-def seed_centres(source, specs: list[tuple[int, int]], dim: int) -> list[np.ndarray]:
-    """Starting centres of every (k, seed): k-means|| in ROUNDS + 2 passes for all of them."""
+def farthest_first(source, specs: list[tuple[int, int]]) -> list[np.ndarray]:
+    """Starting centres of every (k, seed): the first k of one sequence; rows that are all used up repeat the last."""
+    C = source.first()[None, :]
+    while len(C) < max(k for k, _ in specs):
+        got = source.far([C], {0: 1}).get(0)
+        C = np.vstack([C, got[0][0][None, :] if got else C[-1:]])
+    return [C[:k].copy() for k, _ in specs]
+
+
+def seed_centres(source, specs: list[tuple[int, int]], dim: int, seeding: str = "oversampled") -> list[np.ndarray]:
+    """Starting centres of every (k, seed): k-means|| in ROUNDS + 2 passes for all of them, or ``farthest``."""
+    if seeding == "farthest":
+        return farthest_first(source, specs)
     most: dict[int, int] = {}
     for k, seed in specs:
         most[seed] = max(most.get(seed, 0), k)
@@ -272,9 +292,9 @@ def moved(source, centres: list, result: dict) -> dict:
     return out
 
 
-def fit_source(source, specs: list[tuple[int, int]], dim: int, tol_abs: float, max_iter: int) -> dict:
+def fit_source(source, specs: list[tuple[int, int]], dim: int, tol_abs: float, max_iter: int, seeding: str = "oversampled") -> dict:
     """{spec: (centres, inertia, iterations, converged)} of all restarts, advancing together."""
-    centres = seed_centres(source, specs, dim)
+    centres = seed_centres(source, specs, dim, seeding)
     iters, active = [0] * len(specs), list(range(len(specs)))
     for _ in range(max_iter):
         if not active:
@@ -301,7 +321,7 @@ def lloyd(points: DataFrame, centres: np.ndarray, iterations: int) -> np.ndarray
     return centres
 
 
-def _fit_in_tasks(pts: DataFrame, specs, dim: int, tol_abs: float, max_iter: int) -> dict:
+def _fit_in_tasks(pts: DataFrame, specs, dim: int, tol_abs: float, max_iter: int, seeding: str) -> dict:
     """Whole fits inside tasks, a seed each; the rows are broadcast (SMALL_VALUES numbers at most)."""
     spark = pts.sparkSession
     got = pts.toArrow()
@@ -311,7 +331,7 @@ def _fit_in_tasks(pts: DataFrame, specs, dim: int, tol_abs: float, max_iter: int
         for b in batches:
             for seed in b.column(0).to_pylist():
                 mine = [s for s in specs if s[1] == seed]
-                fits = fit_source(Rows(*shared.value), mine, dim, tol_abs, max_iter)
+                fits = fit_source(Rows(*shared.value), mine, dim, tol_abs, max_iter, seeding)
                 rows = [(k, seed, c.ravel().tolist(), inertia, n, done) for (k, _), (c, inertia, n, done) in fits.items()]
                 kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.int32(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)],
@@ -324,12 +344,15 @@ def _fit_in_tasks(pts: DataFrame, specs, dim: int, tol_abs: float, max_iter: int
     return {(r["k"], r["seed"]): (np.array(r["c"]).reshape(r["k"], dim), r["inertia"], r["iterations"], r["done"]) for r in rows}
 
 
-def fit_many(points: DataFrame, specs: list[tuple[int, int]], max_iter: int = 300, tol: float = 1e-4):
+def fit_many(points: DataFrame, specs: list[tuple[int, int]], max_iter: int = 300, tol: float = 1e-4,
+             seeding: str = "oversampled"):
     """Fit K-Means for every (k, seed) in ``specs`` over (id, v) points.
 
     Returns {(k, seed): (centres ndarray k x d, inertia, iterations, converged)}; a fit that still moves after
     ``max_iter`` iterations is not converged, as the reference's would not be.  Of no rows there are no centres.
     """
+    if seeding not in ("oversampled", "farthest"):
+        raise ValueError(f"unknown seeding: {seeding}")
     pts = usable(points)
     first = pts.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     if first is None or not first["d"]:
@@ -342,8 +365,8 @@ def fit_many(points: DataFrame, specs: list[tuple[int, int]], max_iter: int = 30
         var = pts.select(*[F.var_pop(F.col("v")[i]).alias(f"v{i}") for i in range(dim)]).first()
         tol_abs = tol * float(np.mean([x or 0.0 for x in var]))
         if small:
-            return _fit_in_tasks(pts, specs, dim, tol_abs, max_iter)
-        return fit_source(Table(pts), specs, dim, tol_abs, max_iter)
+            return _fit_in_tasks(pts, specs, dim, tol_abs, max_iter, seeding)
+        return fit_source(Table(pts), specs, dim, tol_abs, max_iter, seeding)
     finally:
         if not small:
             pts.unpersist()

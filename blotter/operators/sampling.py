@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from blotter.functions import fixed
 from blotter.operators.explore import frequency
 
+#: Keys up to which a key set is broadcast.
+BROADCAST_KEYS = 1_000_000
 _HEX_DIGITS = 15  # 60 bits fit a signed long
 _SPACE = 16 ** _HEX_DIGITS
 
@@ -58,6 +60,8 @@ def top_k_bucket(df: DataFrame, col: str, k: int = fixed.TOP_CATEGORIES, other:
 
 def align_semi(df: DataFrame, keys: DataFrame, key: str, keys_bounded: bool = False) -> DataFrame:
     """Rows of ``df`` whose key appears in ``keys`` (J4).  ``keys_bounded``
-    marks a key set of known small size (a sample), which is broadcast."""
+    marks a key set expected to be small (a sample): it is counted, and
+    broadcast if it has at most ``BROADCAST_KEYS`` keys."""
     k = keys.select(key).distinct()
-    return df.join(F.broadcast(k) if keys_bounded else k, key, "left_semi")
+    small = keys_bounded and k.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(k) if small else k, key, "left_semi")

@@ -417,6 +417,61 @@ def kmeans_fixed_start(spark, sf):
     return cl.assign(vec, cl.lloyd(vec, start, 8)).select(F.col("id").alias("vec_id"), "cluster")
 
 
+def _farthest_fit_sql(ks: range, iterations: int, rows: int | None = None) -> str:
+    """CTEs: pts(id, x, y) on the unit square, fin(k, j, x, y) centres of K-Means from farthest-first starts, lab(k, id, j, x, y, d2)."""
+    pick = f" ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id LIMIT {rows}" if rows else ""
+    d2 = "(p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)"
+    near = f"row_number() OVER (PARTITION BY c.k, p.id ORDER BY {d2}, c.j) AS r"
+    return f"""pl AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+st AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pl),
+pts AS (SELECT * FROM (SELECT vec_id AS id, (x - x0) / (x1 - x0) AS x, (y - y0) / (y1 - y0) AS y FROM pl, st){pick}),
+starts(n, xs, ys) AS (
+  SELECT 1, [x], [y] FROM (SELECT * FROM pts ORDER BY id LIMIT 1)
+  UNION ALL
+  SELECT n + 1, list_append(xs, x), list_append(ys, y) FROM (
+    SELECT s.*, p.x, p.y, row_number() OVER (ORDER BY list_min(list_transform(range(1, s.n + 1),
+             lambda i: (p.x - s.xs[i]) * (p.x - s.xs[i]) + (p.y - s.ys[i]) * (p.y - s.ys[i]))) DESC, p.id) AS r
+    FROM starts s, pts p WHERE s.n < {max(ks)}) WHERE r = 1),
+lloyd(it, k, j, x, y) AS (
+  SELECT 0, k, j - 1, xs[j], ys[j] FROM starts, range({min(ks)}, {max(ks)} + 1) a(k), range(1, {max(ks)} + 1) b(j) WHERE n = {max(ks)} AND j <= k
+  UNION ALL
+  SELECT it + 1, k, j, avg(x), avg(y) FROM (
+    SELECT c.it, c.k, c.j, p.x, p.y, {near} FROM pts p, lloyd c WHERE c.it < {iterations}) WHERE r = 1 GROUP BY it, k, j),
+fin AS (SELECT k, j, x, y FROM lloyd WHERE it = {iterations}),
+lab AS (SELECT * FROM (SELECT c.k, p.id, c.j, p.x, p.y, {d2} AS d2, {near} FROM pts p, fin c) WHERE r = 1)"""
+
+
+@query("kmeans_sweep_farthest", f"""
+WITH RECURSIVE {_farthest_fit_sql(range(2, 11), 25)},
+s AS (SELECT lab.* FROM lab JOIN (SELECT id FROM pts ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id LIMIT 3000) USING (id)),
+n AS (SELECT k, j, count(*) AS n FROM s GROUP BY ALL),
+pr AS (SELECT a.k, a.id, a.j, b.j AS other, sum(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d
+       FROM s a JOIN s b ON a.k = b.k AND a.id <> b.id GROUP BY ALL),
+ab AS (SELECT pr.k, id, max(CASE WHEN other = pr.j THEN d / (n - 1) END) AS a, min(CASE WHEN other <> pr.j THEN d / n END) AS b
+       FROM pr JOIN n ON n.k = pr.k AND n.j = pr.other GROUP BY ALL),
+sil AS (SELECT k, avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM ab GROUP BY k),
+inn AS (SELECT k, sum(d2) AS inertia FROM lab GROUP BY k)
+SELECT CAST(k AS INTEGER) AS k, round_even(inertia, 6) AS inertia, round_even(silhouette, 6) AS silhouette FROM inn JOIN sil USING (k)""")
+def kmeans_sweep_farthest(spark, sf):
+    """The sweep of k with farthest-first starts and at most 25 iterations (K2): no chance in it, so SQL can follow it."""
+    table, _ = cl.kmeans_sweep(_plane_vectors(spark, sf), list(range(2, 11)), max_iter=25, tol=0.0, seeding="farthest")
+    return table.select("k", F.bround("inertia", 6).alias("inertia"), F.bround("silhouette", 6).alias("silhouette"))
+
+
+@query("kmeans_positions_farthest", f"""
+WITH RECURSIVE {_farthest_fit_sql(range(5, 6), 25, 5_000)},
+p AS (SELECT id, j AS label, [x, y] AS v FROM lab),
+q AS (SELECT * FROM p),
+{_SIL_SQL.replace("LIMIT 3000", "LIMIT 2000")}, {_CENT_SQL}
+SELECT 'KMeans_k5' AS algorithm, CAST(kk.k AS INTEGER) AS n_clusters, round_even(sil.silhouette, 6) AS silhouette,
+       round_even(db.davies_bouldin, 6) AS davies_bouldin, round_even(ch.calinski_harabasz, 6) AS calinski_harabasz,
+       CAST(0 AS DOUBLE) AS noise_pct, (SELECT count(*) FROM s) AS silhouette_rows
+FROM sil, db, ch, kk""")
+def kmeans_positions_farthest(spark, sf):
+    """K4 with farthest-first starts: a seeded sample of rows, fit, evaluation."""
+    return cl.cluster_positions(_plane_vectors(spark, sf), k=5, n=5_000, silhouette_n=2_000, max_iter=25, tol=0.0, seeding="farthest")
+
+
 @query("hierarchical_zones")
 def hierarchical_zones(spark, sf):
     vec = _plane_vectors(spark, sf)

@@ -302,6 +302,47 @@ def test_fits_in_tasks_and_over_tables_agree(spark, monkeypatch):
             assert np.allclose(big[spec][0], small[spec][0]) and np.isclose(big[spec][1], small[spec][1]) and big[spec][2:] == small[spec][2:]
 
 
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_farthest_first_seeding(spark, monkeypatch, limit):
+    """Against a plain loop: farthest-first starts (ties: the least id), then Lloyd; rows used up repeat the last centre."""
+    monkeypatch.setattr(kmeans_batch, "SMALL_VALUES", limit)
+    X = np.concatenate([blobs(1, 60), blobs(2, 60) + 3])
+    fits = kmeans_batch.fit_many(points_frame(spark, X).repartition(4), [(2, 0), (5, 0)], 30, 0.0, "farthest")
+    for k in (2, 5):
+        C = X[[0]]
+        while len(C) < k:
+            d2 = ((X[:, None] - C[None]) ** 2).sum(2).min(1)
+            C = np.vstack([C, X[[d2.argmax()]]])
+        for _ in range(30):
+            lab = ((X[:, None] - C[None]) ** 2).sum(2).argmin(1)
+            C = np.stack([X[lab == j].mean(0) for j in range(k)])
+        inertia = ((X[:, None] - C[None]) ** 2).sum(2).min(1).sum()
+        assert np.allclose(fits[k, 0][0], C) and np.isclose(fits[k, 0][1], inertia)
+    two = points_frame(spark, np.array([[0.0, 0.0], [1.0, 1.0], [0.0, 0.0]]))
+    C, inertia, _, _ = kmeans_batch.fit_many(two, [(3, 0)], 5, 0.0, "farthest")[3, 0]
+    assert len(C) == 3 and inertia == 0 and {tuple(c) for c in C} == {(0.0, 0.0), (1.0, 1.0)}
+    with pytest.raises(ValueError, match="seeding"):
+        kmeans_batch.fit_many(two, [(3, 0)], seeding="nearest")
+
+
+def test_dbscan_cells_far_from_the_origin(spark):
+    """Cells 2^32 steps apart are not one cell."""
+    side = 0.1 / np.sqrt(2) * (1 - 1e-12)
+    near = np.array([[0.5 * side + i * 1e-4, 0.5 * side] for i in range(6)])
+    X = np.concatenate([near, near + [side * 2**32, 0], near - [0, side * 2**33], [[1e12, -1e12]]])
+    got = dbscan(frame(spark, X), "id", "x", "y", 0.1, 4).orderBy("id").toPandas()["cluster"]
+    assert got.tolist() == [0] * 6 + [1] * 6 + [2] * 6 + [-1]
+
+
+def test_semi_join_on_more_keys_than_are_broadcast(spark, monkeypatch):
+    from blotter.operators import sampling
+
+    monkeypatch.setattr(sampling, "BROADCAST_KEYS", 3)
+    keys = spark.range(0, 8, 2)
+    assert sorted(r.id for r in sampling.align_semi(spark.range(10), keys, "id", keys_bounded=True).collect()) == [0, 2, 4, 6]
+    assert sorted(r.id for r in sampling.align_semi(spark.range(10), keys.limit(1), "id", keys_bounded=True).collect()) == [0]
+
+
 def test_seeding_is_at_least_as_good_as_plain_draws():
     """Oversampled seeding against k-means++ without trials, both followed by Lloyd, over 20 seeds."""
     rng = np.random.default_rng(0)
