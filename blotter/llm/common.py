@@ -115,6 +115,31 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
             begin = end
 
 
+#: What a worker process holds on to between tasks, and the names that the running task asked for.
+KEPT: dict[str, object] = {}
+WANTED: set[str] = set()
+
+
+def kept(name: str, make: Callable):
+    """``make()``, held by the worker process as long as its tasks ask for it when they start."""
+    WANTED.add(name)
+    if name not in KEPT:
+        KEPT[name] = make()
+    return KEPT[name]
+
+
+def started(make: Callable):
+    """``make()``; what the worker holds from tasks of another kind goes before a row is read."""
+    WANTED.clear()
+    work = make()
+    others = KEPT.keys() - WANTED
+    for name in others:
+        del KEPT[name]
+    if others:
+        release()
+    return work
+
+
 def map_slices(df: DataFrame, make: Callable, schema: str, column: str = "text") -> DataFrame:
     """``make()`` is called once per task and returns a function from a slice to a dict of columns (or None).
 
@@ -123,7 +148,7 @@ def map_slices(df: DataFrame, make: Callable, schema: str, column: str = "text")
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        work = make()
+        work = started(make)
         try:
             yield from rows(work, batches)
         finally:

@@ -17,10 +17,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from blotter.llm.common import runs
+from blotter.llm.common import kept, runs
 
 #: Words in a worker's table of ids (Arrow, some 30 bytes each) and parts of words in its dictionary (some 250 bytes each).
 CACHE_WORDS, CACHE_PARTS = 400_000, 150_000
+#: Parts that go through the library in one call; each has some hundred bytes of tokens, offsets and masks until its ids are read.
+CALL = 4_096
 
 
 def default_vocabulary(name: str) -> str:
@@ -112,8 +114,10 @@ class WordEncoder:
             if parts[-1] not in get:
                 wanted[parts[-1]] = None
         new = list(wanted)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            get[p] = e.ids
+        for i in range(0, len(new), CALL):
+            some = new[i:i + CALL]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                get[p] = e.ids
         return [get[x[0]] if len(x) == 1 else get[x[0]] + get[x[1]] for x in split]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -122,11 +126,6 @@ class WordEncoder:
         return joined(self.table.lookup(words.flatten()), np.asarray(words.offsets) - words.offsets[0].as_py())
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def word_encoder(path: str) -> WordEncoder:
-    """One per worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """One per worker process and vocabulary, while its tasks encode."""
+    return kept(f"words:{path}", lambda: WordEncoder(path))

@@ -48,6 +48,23 @@ def test_near_duplicates_of_ids_that_name_several_texts(spark):
     assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 3, False), (9, 5, False), (9, 9, True)]
 
 
+def test_workers_let_go_of_tables_that_no_task_asks_for(spark):
+    """A worker keeps an encoder for tasks that want it and drops it when a task of another kind starts."""
+    from blotter.llm import common
+
+    def asks(name):
+        def make():
+            if name:
+                common.kept(name, lambda: [name])
+            return lambda batch: {"held": [",".join(sorted(common.KEPT))] * batch.num_rows}
+        return make
+
+    docs = spark.range(1).selectExpr("id AS doc_id", "'t' AS text").coalesce(1)
+    for name in ("one", "one", "two", None):
+        held = [r.held for r in common.map_slices(docs, asks(name), "held string").collect()]
+        assert held == [name or ""]
+
+
 def test_quality_base(odd_docs, odd_rows):
     got = {r[0]: tuple(r)[1:] for r in quality_rules.judge(odd_docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()}
