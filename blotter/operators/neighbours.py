@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from blotter.functions import fixed
 from blotter.operators.grouped import map_groups
-from blotter.operators.reduce import _distances, _matrix, top_k_per_group
+from blotter.operators.pairs import matrix
+from blotter.operators.reduce import _distances, top_k_per_group
 from blotter.operators.sampling import sample_exact
 from blotter.session import materialize
 
@@ -65,7 +66,7 @@ class Tree:
 
 def _nearest_in(group: pa.Table, k: int) -> pa.Table | None:
     """k nearest of each row within the group; a last row without src holds the number of pairs compared."""
-    ids, v = np.asarray(group.column("id")), _matrix(group.column("v"))
+    ids, v = np.asarray(group.column("id")), matrix(group.column("v"))
     n = len(ids)
     if n < 2:
         return None
@@ -111,7 +112,7 @@ def _introduced(group: pa.Table) -> pa.Table | None:
     first = np.unique(ids, return_index=True)[1]  # a row that is named in both directions: fresh if one naming is
     fresh = np.asarray(group.column("fresh").combine_chunks().to_numpy(zero_copy_only=False), bool)
     fresh = np.array([fresh[ids == ids[i]].any() for i in first])
-    ids, v, worst = ids[first], _matrix(group.column("v"))[first], np.asarray(group.column("worst"))[first]
+    ids, v, worst = ids[first], matrix(group.column("v"))[first], np.asarray(group.column("worst"))[first]
     need = np.triu(fresh[:, None] | fresh[None, :], 1)
     a, b = np.nonzero(need)
     if not len(a):
@@ -135,7 +136,7 @@ def knn_graph_descent(points: DataFrame, id_col: str, vec_col: str, k: int = fix
     if not n:
         return spark.createDataFrame([], f"{_EDGE}, rank int")
     sample = sample_exact(pts, fit_sample, "id", seed).orderBy("id").toArrow() if n > fit_sample else pts.toArrow().sort_by("id")
-    X = _matrix(sample.column("v"))
+    X = matrix(sample.column("v"))
     small = max(2, leaf * len(X) // n)
     forest = spark.sparkContext.broadcast([Tree(X, small, seed + t) for t in range(trees)])
 
@@ -143,7 +144,7 @@ def knn_graph_descent(points: DataFrame, id_col: str, vec_col: str, k: int = fix
         for b in batches:
             if not b.num_rows:
                 continue
-            V = _matrix(b.column(1))
+            V = matrix(b.column(1))
             for t, tree in enumerate(forest.value):
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(len(V), t, np.int32)), pa.array(tree.leaves(V))],
                                                  ["id", "v", "tree", "place"])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blotter.functions import fixed
-from blotter.operators.grouped import map_groups
+from blotter.operators.pairs import HELD, PASSING, block_rows, held_side, matrix, pair_distances, passing_side, slack, stream_groups
 from blotter.operators.sampling import sample_exact
 from blotter.session import materialize
 
@@ -212,24 +212,109 @@ def _distances(q: np.ndarray, ref: np.ndarray) -> np.ndarray:
     return out
 
 
-def _matrix(column) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten()).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+class _Nearest:
+    """The k nearest of all rows that pass by, for each row of a held block; ties go to the smaller id."""
+
+    def __init__(self, k: int, centre: np.ndarray):
+        self.k, self.centre, self.held, self.parts = k, centre, [], None
+
+    def add(self, b: pa.RecordBatch) -> None:
+        """Rows (role, id, v): those of role 0 are held and come first."""
+        role, ids, v = (b.column(b.schema.get_field_index(c)) for c in ("role", "id", "v"))
+        role, ids, v = np.asarray(role), np.asarray(ids), matrix(v)
+        mine = role == 0
+        if mine.any():
+            self.held.append((ids[mine], v[mine]))
+        if not mine.all() and self.parts is None:
+            self.parts = self.split()
+        ids, v = ids[~mine], v[~mine]
+        for s in range(0, len(ids) if self.parts else 0, PASSING):
+            near_ids, near = ids[s:s + PASSING], v[s:s + PASSING]
+            right, norms = passing_side(near, self.centre)
+            for p in self.parts:
+                p.meet(near_ids, near, right, norms)
+
+    def split(self) -> list[_HeldRows]:
+        if not self.held:
+            return []
+        ids, v = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        return [_HeldRows(self.k, ids[s:s + HELD], v[s:s + HELD], self.centre) for s in range(0, len(ids), HELD)]
+
+    def end(self) -> pa.Table:
+        names = ["src", "dst", "distance", "rank"]
+        parts = [p.merged() for p in self.parts or []] or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))]
+        return pa.table(dict(zip(names, (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True)))
+
+
+class _HeldRows:
+    """Up to HELD rows and what is nearest to them so far: flat (row, id, distance), sorted, and hits not merged yet."""
+
+    def __init__(self, k: int, ids: np.ndarray, v: np.ndarray, centre: np.ndarray):
+        self.k, self.ids, self.v = k, ids, v
+        self.left, self.norms = held_side(v, centre)
+        self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        self.waiting = 0
+        self.worst, self.worst_id = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64)
+
+    def meet(self, ids: np.ndarray, v: np.ndarray, right: np.ndarray, norms: np.ndarray) -> None:
+        with np.errstate(over="ignore", invalid="ignore"):
+            d = self.left @ right
+            off = slack(self.norms, norms, v.shape[1])
+            if not np.isfinite(off).all():
+                d[~np.isfinite(d)] = -np.inf  # squares beyond double: differences decide
+            limit = self.worst ** 2 * (1 + 1e-12) + off
+        new = np.isinf(self.worst)
+        if new.any() and len(ids) >= self.k:  # the k-th of these rows bounds what can count
+            some = d[new]
+            some[self.ids[new][:, None] == ids[None, :]] = np.inf
+            kth = np.partition(some, self.k - 1, axis=1)[:, self.k - 1] + 2 * off[new]
+            limit[new] = np.where(np.isfinite(kth), kth, np.inf)
+        i, j = np.nonzero(d <= limit[:, None])
+        other = self.ids[i] != ids[j]  # a row is not its own neighbour
+        i, j = i[other], j[other]
+        with np.errstate(over="ignore"):
+            dist = pair_distances(self.v, i, v, j)
+        worst = self.worst[i]
+        closer = np.isfinite(dist) & ((dist < worst) | ((dist == worst) & (ids[j] < self.worst_id[i])))
+        self.best.append((i[closer], ids[j[closer]], dist[closer]))
+        self.waiting += int(closer.sum())
+        if self.waiting and (new.any() or self.waiting >= self.k * len(self.ids)):
+            self.merge()
+
+    def merge(self) -> np.ndarray:
+        row, ids, dist = (np.concatenate(x) for x in zip(*self.best, strict=True))
+        order = np.lexsort((ids, dist, row))
+        row, ids, dist = row[order], ids[order], dist[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = rank < self.k
+        row, ids, dist, rank = row[kept], ids[kept], dist[kept], rank[kept]
+        last = rank == self.k - 1
+        self.worst[row[last]], self.worst_id[row[last]] = dist[last], ids[last]
+        self.best, self.waiting = [(row, ids, dist)], 0
+        return rank
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        rank = self.merge()
+        row, ids, dist = self.best[0]
+        return self.ids[row], ids, dist, (rank + 1).astype(np.int32)
 
 
 def knn_graph(points: DataFrame, id_col: str, vec_col: str, k: int = fixed.KNN_NEIGHBOURS, pivots: int = 32,
-              block: int = 1_024, seed: int = fixed.RANDOM_STATE) -> DataFrame:
+              block: int = 65_536, seed: int = fixed.RANDOM_STATE) -> DataFrame:
     """Exact k nearest neighbours of every row among all rows: (src, dst, distance, rank); ties go to the smaller id.
 
     Rows belong to the nearest of ``pivots`` sampled rows.  The triangle inequality bounds the distance to the k-th
     neighbour for a whole cell from the cells' radii and their k + 1 rows nearest to the pivot, and thereby which
-    rows a cell can need at all; only those are sent to it.  Cells and what they need are dealt in blocks of about
-    ``block`` rows, two blocks meet in one task, a task passes on k rows per query row, and those are merged by a
-    grouped top-k.  The driver sees the pivots and k + 1 numbers per pivot.  Rows without a vector have no neighbours.
+    rows a cell can need at all; only those are sent to it.  Cells are cut into blocks, some two per core and at most
+    ``block`` rows each; a task holds one, the rows that its cell needs pass by, the cell's own first, and the task
+    returns the k best of each row.  So a row is sent once per block that may need it: the rows sent grow with the
+    table until blocks reach their bound, the pairs compared grow quadratically where the bounds leave all.  Squared
+    distances come from matrix products; what these do not rule out is taken from differences.
+    The driver sees the pivots and k + 1 numbers per pivot.  Rows without a vector of finite numbers have no neighbours.
     """
     spark = points.sparkSession
     pts = materialize(points.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-                      .filter("v is not null"), "knn")
+                      .filter("v is not null and forall(v, x -> coalesce(abs(x) < double('Infinity'), false))"), "knn")
     chosen = sample_exact(pts, pivots, "id", seed).orderBy("id").collect()
     schema = "src long, dst long, distance double, rank int"
     if not chosen:
@@ -239,7 +324,7 @@ def knn_graph(points: DataFrame, id_col: str, vec_col: str, k: int = fixed.KNN_N
 
     def assign(batches):
         for b in batches:
-            d = _distances(_matrix(b.column(1)), bc.value) if b.num_rows else np.zeros((0, len(bc.value)))
+            d = _distances(matrix(b.column(1)), bc.value) if b.num_rows else np.zeros((0, len(bc.value)))
             cell = d.argmin(axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell), pa.array(d[np.arange(len(d)), cell])], ["id", "cell", "own"])
 
@@ -260,39 +345,24 @@ def knn_graph(points: DataFrame, id_col: str, vec_col: str, k: int = fixed.KNN_N
         pv, lim = own_of.value
         for b in batches:
             if b.num_rows:
-                d = _distances(_matrix(b.column(1)), pv)
+                d = _distances(matrix(b.column(1)), pv)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d.argmin(axis=1).astype(np.int32)), b.column(1),
                                                   pa.array([np.flatnonzero(x <= lim).astype(np.int32).tolist() for x in d], pa.list_(pa.int32()))],
                                                  ["id", "home", "v", "cells"])
 
     sent = materialize(pts.mapInArrow(needed, "id long, home int, v array<double>, cells array<int>"), "knn-sent")
-    blocks = lambda c: F.ceil(F.count("*") / block).cast("int").alias(c)
-    queries = sent.groupBy(F.col("home").alias("cell")).agg(blocks("nq"))
-    wanted = sent.select(F.explode("cells").alias("cell")).groupBy("cell").agg(blocks("nc"))
-    sizes = F.broadcast(queries.join(wanted, "cell"))  # at most one row per pivot
-    at = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    ask = (sent.select("id", "v", F.col("home").alias("cell")).join(sizes, "cell")
-           .select("cell", at("nq", 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("cb"), F.lit(0).alias("role"), "id", "v"))
-    give = (sent.select("id", "v", F.explode("cells").alias("cell")).join(sizes, "cell")
-            .select("cell", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), at("nc", 2).alias("cb"), F.lit(1).alias("role"), "id", "v"))
-
-    def meet(group: pa.Table):
-        role, ids, v = np.asarray(group.column("role")), np.asarray(group.column("id")), _matrix(group.column("v"))
-        q, c = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        if not len(q) or not len(c):
-            return None
-        d = _distances(v[q], v[c])
-        d[ids[q][:, None] == ids[c][None, :]] = np.inf  # a row is not its own neighbour
-        src, dst, dist = [], [], []
-        for i in range(len(q)):
-            m = min(k, len(c))
-            near = np.flatnonzero(d[i] <= np.partition(d[i], m - 1)[m - 1])
-            near = near[np.isfinite(d[i][near])]
-            near = near[np.lexsort((ids[c][near], d[i][near]))][:m]
-            src.append(np.full(len(near), ids[q[i]]))
-            dst.append(ids[c][near])
-            dist.append(d[i][near])
-        return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst), "distance": np.concatenate(dist)})
-
-    pairs = map_groups(ask.unionByName(give), ["cell", "qb", "cb"], meet, "src long, dst long, distance double")
-    return top_k_per_group(pairs, "src", ["distance", "dst"], k).select("src", "dst", "distance", F.col("rank").cast("int").alias("rank"))
+    homes = {r["home"]: r["n"] for r in sent.groupBy("home").agg(F.count("*").alias("n")).collect()}  # at most one row per pivot
+    rows = block_rows(sum(homes.values()), block, spark.sparkContext.defaultParallelism)
+    placed, groups = [], 0
+    for cell, n in sorted(homes.items()):
+        placed.append((cell, groups, -(-n // rows)))
+        groups += -(-n // rows)
+    placed = F.broadcast(spark.createDataFrame(placed, "cell int, first int, blocks int"))
+    ask = sent.join(placed, F.col("home") == F.col("cell")).select(
+        (F.col("first") + F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks"))).cast("int").alias("block"), F.lit(0).alias("role"), "id", "v")
+    give = sent.select("id", "v", "home", F.explode("cells").alias("cell")).join(placed, "cell").select(
+        F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("block"),
+        F.when(F.col("home") == F.col("cell"), 1).otherwise(2).alias("role"), "id", "v")
+    centre = P.mean(axis=0)
+    centre = np.where(np.isfinite(centre), centre, 0.0)
+    return stream_groups(ask.unionByName(give), "block", groups, ["role"], lambda: _Nearest(k, centre), schema)

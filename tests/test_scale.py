@@ -54,6 +54,47 @@ def test_knn_over_more_rows_than_a_block(spark):
         assert np.allclose(np.sort(d)[:4], mine[i]["distance"]) and (np.lexsort((np.arange(len(X)), d))[:4] == mine[i]["dst"]).all()
 
 
+def _sent(monkeypatch, module):
+    """Rows that tasks of ``module`` are sent, by call."""
+    seen, plain = [], module.stream_groups
+
+    def counted(df, *args):
+        seen.append(df.count())
+        return plain(df, *args)
+
+    monkeypatch.setattr(module, "stream_groups", counted)
+    return seen
+
+
+def test_rows_sent_for_neighbours_grow_with_the_table(spark, monkeypatch):
+    seen = _sent(monkeypatch, rd)
+    for n in (4_000, 16_000):
+        df = spark.range(n).select("id", F.array(*[F.rand(s) for s in range(12)]).alias("v"))
+        assert rd.knn_graph(df, "id", "v", k=3, pivots=8).count() == 3 * n
+    assert seen[1] <= 4.5 * seen[0] and seen[1] <= 40 * 16_000, seen
+
+
+@pytest.mark.parametrize("block", [70, 65_536])
+def test_neighbours_far_from_the_origin_close_together_and_copied(spark, block):
+    rng = np.random.default_rng(8)
+    X = np.concatenate([1e6 + rng.normal(size=(700, 6)), 1e6 + 1e-7 * rng.normal(size=(300, 6)), np.full((150, 6), 1e6),
+                        1e160 * rng.normal(size=(3, 6)), [[np.nan] * 6, [np.inf] * 6]])
+    ids = rng.permutation(len(X)) * 3
+    frame = spark.createDataFrame(pd.DataFrame({"id": ids, "v": list(X)}), "id long, v array<double>")
+    got = rd.knn_graph(frame, "id", "v", k=6, pivots=5, block=block).toPandas()
+    mine = {k: g.sort_values("rank") for k, g in got.groupby("src")}
+    with np.errstate(all="ignore"):
+        for i in range(len(X)):
+            d = np.sqrt(((X - X[i]) ** 2).sum(axis=1))
+            d[i] = np.inf
+            want = np.lexsort((ids, d))[:6]
+            want = want[np.isfinite(d[want])]
+            assert len(want) == len(mine.get(ids[i], ())), i
+            if len(want):
+                assert np.allclose(mine[ids[i]]["distance"], d[want], rtol=1e-9, atol=0) and mine[ids[i]]["rank"].tolist() == list(range(1, len(want) + 1))
+                assert len(set(mine[ids[i]]["dst"])) == len(want) and (d[want][-1] > 0 or mine[ids[i]]["dst"].tolist() == ids[want].tolist())
+
+
 def test_pca_refuses_nulls_and_keeps_rows(spark):
     df = spark.range(3_001).select("id", F.rand(1).alias("a"), (F.rand(2) + 1e6).alias("b"), F.lit(3.0).alias("c"))
     fit = rd.PcaFit(df, ["a", "b", "c"])
