@@ -8,8 +8,8 @@
   an exact seeded sample (3,000 rows by default).  The sample is checked
   against its bound and broadcast; tasks hold query rows and compute
   per-cluster distance sums with numpy: no cross join, no pair rows.
-* ``silhouette_rows`` takes it of every row: blocks of rows meet blocks of those clusters that centroids and mean
-  radii do not rule out, and pass on one sum per row and block.  No row reaches the driver and none is broadcast.
+* ``silhouette_rows`` takes it of every row: the clusters that centroids and mean radii do not rule out pass by
+  blocks of rows that tasks hold.  No row reaches the driver and none is broadcast.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 import pyarrow as pa
 
 from blotter.functions import fixed
-from blotter.operators.grouped import map_groups
+from blotter.operators.pairs import HELD, PASSING, block_rows, held_side, matrix, pair_distances, passing_side, slack, stream_groups
 from blotter.operators.sampling import sample_exact
 from blotter.session import materialize
 
@@ -122,77 +122,151 @@ def silhouette(df: DataFrame, id_col: str, vec_col: str, label_col: str,
     return None if val is None else (round(val, decimals) if decimals is not None else val)
 
 
-def silhouette_rows(df: DataFrame, id_col: str, vec_col: str, label_col: str, block: int = 1_024) -> DataFrame:
+class _Silhouettes:
+    """a and b of each row of a held block, from the members of one cluster after the other that pass by."""
+
+    def __init__(self, names: np.ndarray, c: np.ndarray, size: np.ndarray, centre: np.ndarray):
+        self.names, self.c, self.size, self.centre = names, c, size, centre
+        self.held, self.target = [], None
+
+    def add(self, b: pa.RecordBatch) -> None:
+        """Rows (role, label, id, v, reach): those of role 0 are held and come first, then members by label."""
+        role, label, ids, v, reach = (b.column(b.schema.get_field_index(c)) for c in ("role", "label", "id", "v", "reach"))
+        role, label, ids, v, reach = np.asarray(role), np.asarray(label), np.asarray(ids), matrix(v), np.asarray(reach)
+        mine = int((role == 0).sum())
+        if mine:
+            self.held.append((ids[:mine], label[:mine], v[:mine], reach[:mine]))
+        edges = [mine, *(np.flatnonzero(np.diff(label[mine:])) + 1 + mine).tolist(), len(label)] if mine < len(label) else []
+        for s, e in zip(edges, edges[1:], strict=False):
+            if label[s] != self.target:
+                self.finish()
+                self.begin(int(label[s]))
+            self.meet(v[s:e])
+
+    def settle(self) -> None:
+        if isinstance(self.held, list):
+            self.held = tuple(np.concatenate(x) for x in zip(*self.held, strict=True))
+            self.left, self.norms = held_side(self.held[2], self.centre)
+            self.a, self.b = np.full(len(self.left), np.nan), np.full(len(self.left), np.inf)
+
+    def begin(self, target: int) -> None:
+        """The rows that the bounds do not keep from this cluster."""
+        self.settle()
+        at = np.searchsorted(self.names, target)
+        _, label, v, reach = self.held
+        far = np.empty(len(v))
+        for s in range(0, len(v), 16_384):
+            diff = v[s:s + 16_384] - self.c[at]
+            far[s:s + 16_384] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+        self.rows = np.flatnonzero((label == target) | (far <= reach))
+        self.target, self.n = target, int(self.size[at])
+        self.of = self.left[self.rows], self.norms[self.rows], v[self.rows]
+        self.sums = np.zeros(len(self.rows))
+
+    def meet(self, members: np.ndarray) -> None:
+        left, norms, v = self.of
+        for s in range(0, len(members), PASSING):
+            some = members[s:s + PASSING]
+            right, theirs = passing_side(some, self.centre)
+            for i in range(0, len(left), HELD):
+                with np.errstate(over="ignore", invalid="ignore"):
+                    d = left[i:i + HELD] @ right
+                    off = slack(norms[i:i + HELD], theirs, v.shape[1])
+                close = ~(d > 1e7 * off[:, None])  # the product keeps fewer than seven digits
+                if close.any():
+                    q, m = np.nonzero(close)
+                    d[q, m] = pair_distances(v[i:i + HELD], q, some, m) ** 2
+                self.sums[i:i + HELD] += np.sqrt(d, out=d).sum(axis=1)
+
+    def finish(self) -> None:
+        if self.target is None:
+            return
+        own = self.held[1][self.rows] == self.target
+        if self.n > 1:
+            self.a[self.rows[own]] = self.sums[own] / (self.n - 1)
+        others = self.rows[~own]
+        self.b[others] = np.minimum(self.b[others], self.sums[~own] / self.n)
+        self.target = None
+
+    def end(self) -> pa.Table:
+        self.settle()
+        self.finish()
+        ids, label, _, _ = self.held
+        alone, none = np.isnan(self.a), np.isinf(self.b)
+        a = np.where(alone, 0.0, self.a)
+        wider = np.maximum(a, self.b)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = np.where(alone | (wider == 0), 0.0, (self.b - a) / wider)
+        return pa.table({"id": ids, "label": label, "a": a, "b": pa.array(self.b, mask=none), "silhouette": pa.array(value, mask=none)})
+
+
+def silhouette_rows(df: DataFrame, id_col: str, vec_col: str, label_col: str, block: int = 65_536) -> DataFrame:
     """(id, label, a, b, silhouette) of every row that is no noise, Euclidean and exact (K7); ids are unique.
 
     a: mean distance to the other rows of the own cluster, b: least mean distance to another cluster.  The mean distance
     to a cluster lies between the distance to its centroid and that plus the cluster's mean radius, so a row only meets
-    clusters whose lower bound is below the least upper bound.  Row blocks and cluster blocks of about ``block`` rows meet in one
-    task, which passes on a sum per row.  The work is that of all pairs that the bounds leave; the driver sees a row per cluster.
+    clusters whose lower bound is below the least upper bound.  Rows are held in blocks of one large or several small
+    clusters, some two blocks per core and at most ``block`` rows each; the clusters that a block's rows may need pass by
+    in its task, which keeps two numbers per row.  The work is that of all pairs that the bounds leave, by matrix
+    products (close pairs by differences); the driver sees a row per cluster.
     Singletons have silhouette 0; with fewer than two clusters b and the silhouette are null.
     """
     spark = df.sparkSession
-    pts = materialize(_points(df, id_col, vec_col, label_col).where(F.col("label").isNotNull() & (F.col("label") != -1) & F.col("v").isNotNull()), "silhouette")
-    clusters, _ = centroid_pass(pts, "id", "v", "label")  # at most MAX_CLUSTERS
+    pts = materialize(_points(df, id_col, vec_col, label_col).where(F.col("label").isNotNull() & (F.col("label") != -1) & F.col("v").isNotNull())
+                      .withColumn("id", F.col("id").cast("long")), "silhouette")
+    clusters, grand = centroid_pass(pts, "id", "v", "label")  # at most MAX_CLUSTERS
     schema = "id long, label long, a double, b double, silhouette double"
     if not clusters:
         return spark.createDataFrame([], schema)
+    rows = block_rows(sum(r["n"] for r in clusters), block, spark.sparkContext.defaultParallelism)
+    first, slices, groups, room = [], [], 0, 0
+    for r in clusters:  # a large cluster has blocks of its own, small ones share a block
+        n = -(-r["n"] // rows)
+        if n == 1 and r["n"] <= room:
+            room -= r["n"]
+            first.append(groups - 1)
+        else:
+            room = rows - r["n"] if n == 1 else 0
+            first.append(groups)
+            groups += n
+        slices.append(n)
     shared = spark.sparkContext.broadcast((np.array([r["label"] for r in clusters]), np.array([r["c"] for r in clusters], float),
-                                           np.array([r["mean_dist"] for r in clusters], float), np.array([r["n"] for r in clusters])))
+                                           np.array([r["mean_dist"] for r in clusters], float), np.array([r["n"] for r in clusters]),
+                                           np.array(first), np.array(slices), grand))
 
     def wanted(batches):
-        names, c, radius, size = shared.value
+        names, c, radius, size, first, slices, _ = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            X = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
-            own = np.searchsorted(names, np.asarray(b.column(2)))
-            rows, targets = [], []
-            for s in range(0, len(X), max(1, 4_000_000 // c.size)):
-                part = slice(s, s + max(1, 4_000_000 // c.size))
-                d = np.sqrt(((X[part, None, :] - c[None, :, :]) ** 2).sum(axis=2))
-                mine = np.arange(len(d)), own[part]
+            X, at = matrix(b.column(1)), np.searchsorted(names, np.asarray(b.column(2)))
+            targets, reaches = [], []
+            step = max(1, 4_000_000 // c.size)
+            for s in range(0, len(X), step):
+                d = np.sqrt(((X[s:s + step, None, :] - c[None, :, :]) ** 2).sum(axis=2))
+                mine = np.arange(len(d)), at[s:s + step]
                 upper = d + radius
                 upper[mine] = np.inf
-                hit = d <= upper.min(axis=1, keepdims=True) * (1 + 1e-9) if len(names) > 1 else np.zeros(d.shape, bool)
-                hit[mine] = size[own[part]] > 1
-                i, j = np.nonzero(hit)
-                rows.append(i + s)
-                targets.append(names[j])
-            at = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(targets)), b.column(0).take(at), b.column(1).take(at)], ["target", "id", "v"])
-
-    asked = materialize(pts.mapInArrow(wanted, "target long, id long, v array<double>"), "silhouette-asked")
-    blocks = lambda name: F.ceil(F.count("*") / block).cast("int").alias(name)
-    sizes = asked.groupBy("target").agg(blocks("nq")).join(pts.groupBy(F.col("label").alias("target")).agg(blocks("nm"), F.count("*").alias("n")), "target")
-    sizes = F.broadcast(materialize(sizes, "silhouette-sizes"))  # a row per cluster
-    at = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    ask = asked.join(sizes, "target").select("target", at("nq", 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"),
-                                             F.lit(0).alias("role"), "id", "v")
-    give = pts.withColumnRenamed("label", "target").join(sizes, "target").select(
-        "target", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), at("nm", 2).alias("mb"), F.lit(1).alias("role"), "id", "v")
-
-    def meet(group: pa.Table):
-        role, ids = np.asarray(group.column("role")), np.asarray(group.column("id"))
-        v = np.asarray(group.column("v").combine_chunks().flatten()).reshape(len(ids), -1)
-        q, m = v[role == 0], v[role == 1]
-        if not len(q) or not len(m):
-            return None
-        s = np.zeros(len(q))
-        step = max(1, 4_000_000 // m.size)
-        for i in range(0, len(q), step):
-            diff = q[i:i + step, None, :] - m[None, :, :]
-            s[i:i + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff)).sum(axis=1)
-        return pa.table({"target": np.full(len(q), group.column("target")[0].as_py()), "id": ids[role == 0], "s": s})
-
-    sums = map_groups(ask.unionByName(give), ["target", "qb", "mb"], meet, "target long, id long, s double")
-    per = sums.groupBy("id", "target").agg(F.sum("s").alias("s")).join(sizes.select("target", "n"), "target")
-    own = F.col("target") == F.col("label")
-    both = pts.select("id", "label").join(per, "id", "left").groupBy("id", "label").agg(
-        F.min(F.when(own, F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"))
-    wider = F.greatest("a", "b")
-    value = F.when(F.col("b").isNull(), F.lit(None)).when(F.col("a").isNull() | (wider == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / wider)
-    return both.select("id", "label", F.coalesce("a", F.lit(0.0)).alias("a"), "b", value.alias("silhouette"))
+                reach = upper.min(axis=1) * (1 + 1e-9) if len(names) > 1 else np.full(len(d), -1.0)
+                hit = d <= reach[:, None]
+                hit[mine] = size[at[s:s + step]] > 1
+                targets += [names[h].tolist() for h in hit]
+                reaches.append(reach)
+            block = first[at] + (np.asarray(b.column(3)).astype(np.uint64) % slices[at].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), b.column(2), b.column(0), b.column(1), pa.array(np.concatenate(reaches)),
+                                              pa.array(targets, pa.list_(pa.int64()))], ["block", "label", "id", "v", "reach", "targets"])
+
+    asked = materialize(pts.select("id", "v", "label", F.xxhash64("id").alias("salt")).mapInArrow(
+        wanted, "block int, label long, id long, v array<double>, reach double, targets array<long>"), "silhouette-asked")
+    ask = asked.select("block", F.lit(0).alias("role"), "label", "id", "v", "reach")
+    pairs = materialize(asked.select("block", F.explode("targets").alias("label")).distinct(), "silhouette-pairs")
+    give = pts.join(pairs, "label").select("block", F.lit(1).alias("role"), "label", "id", "v", F.lit(0.0).alias("reach"))
+
+    def start():
+        names, c, _, size, _, _, centre = shared.value
+        return _Silhouettes(names, c, size, centre)
+
+    return stream_groups(ask.unionByName(give), "block", groups, ["role", "label"], start, schema)
 
 
 def silhouette_all_rows(df: DataFrame, vec_col: str, label_col: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from blotter import session
 from blotter.operators import cluster as cl
 from blotter.operators import features as fe
+from blotter.operators import metrics as me
 from blotter.operators import reduce as rd
 from blotter.operators.components import connected_components
 from blotter.operators.dbscan import dbscan
@@ -74,6 +75,14 @@ def test_rows_sent_for_neighbours_grow_with_the_table(spark, monkeypatch):
     assert seen[1] <= 4.5 * seen[0] and seen[1] <= 40 * 16_000, seen
 
 
+def test_rows_sent_for_silhouettes_grow_with_the_table(spark, monkeypatch):
+    seen = _sent(monkeypatch, me)
+    for n in (4_000, 16_000):
+        df = spark.range(n).select("id", F.array(*[F.rand(s) for s in range(12)]).alias("v"), (F.col("id") % 3).alias("c"))
+        assert me.silhouette_rows(df, "id", "v", "c").count() == n
+    assert seen[1] <= 4.5 * seen[0] and seen[1] <= 40 * 16_000, seen
+
+
 @pytest.mark.parametrize("block", [70, 65_536])
 def test_neighbours_far_from_the_origin_close_together_and_copied(spark, block):
     rng = np.random.default_rng(8)
@@ -95,6 +104,22 @@ def test_neighbours_far_from_the_origin_close_together_and_copied(spark, block):
                 assert len(set(mine[ids[i]]["dst"])) == len(want) and (d[want][-1] > 0 or mine[ids[i]]["dst"].tolist() == ids[want].tolist())
 
 
+@pytest.mark.parametrize("block", [70, 65_536])
+def test_silhouettes_far_from_the_origin_and_copied(spark, block):
+    rng = np.random.default_rng(9)
+    X = 1e5 + np.concatenate([rng.normal(size=(400, 5)), np.zeros((200, 5)), 1e-4 * rng.normal(size=(200, 5)) + 3, [[9.0] * 5]])
+    lab = np.array([4] * 400 + [-7] * 200 + [12] * 200 + [13])
+    frame = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(X)), "v": list(X), "c": lab}), "id long, v array<double>, c int")
+    got = me.silhouette_rows(frame, "id", "v", "c", block).toPandas().set_index("id").sort_index()
+    assert len(got) == len(X)
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(axis=2))
+    for i in range(len(X)):
+        n = (lab == lab[i]).sum()
+        a = D[i, lab == lab[i]].sum() / (n - 1) if n > 1 else 0.0
+        b = min(D[i, lab == c].mean() for c in set(lab.tolist()) - {lab[i]})
+        assert np.allclose([got.a[i], got.b[i], got.silhouette[i]], [a, b, (b - a) / max(a, b) if n > 1 else 0.0], rtol=1e-7, atol=1e-12), i
+
+
 def test_pca_refuses_nulls_and_keeps_rows(spark):
     df = spark.range(3_001).select("id", F.rand(1).alias("a"), (F.rand(2) + 1e6).alias("b"), F.lit(3.0).alias("c"))
     fit = rd.PcaFit(df, ["a", "b", "c"])
