@@ -140,8 +140,8 @@ def started(make: Callable):
     return work
 
 
-def map_slices(df: DataFrame, make: Callable, schema: str, column: str = "text") -> DataFrame:
-    """``make()`` is called once per task and returns a function from a slice to a dict of columns (or None).
+def map_slices(df: DataFrame, make: Callable, schema: str, column: str = "text", size: int = SLICE_BYTES) -> DataFrame:
+    """``make()`` is called once per task and returns a function from a slice (of about ``size`` bytes) to a dict of columns (or None).
 
     Columns come as numpy arrays, lists or Arrow arrays; they are cast to ``schema``.
     """
@@ -157,7 +157,7 @@ def map_slices(df: DataFrame, make: Callable, schema: str, column: str = "text")
 
     def rows(work, batches):
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, size):
                 out = work(part)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays(

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blotter.llm.common import docs_of, list_of, map_slices, runs
-from blotter.llm.tokens import default_vocabulary, word_encoder
+from blotter.llm.tokens import ENCODE_BYTES, default_vocabulary, word_encoder
 
 ROW_STRIDE = 2_000
 STRIPE_BYTES = 16 << 20
@@ -56,7 +56,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
         return work
 
     rows = map_slices(ranged.sortWithinPartitions("doc_id", "tie").drop("tie"), make,
-                      "doc_id long, n_tokens long, first long, ids array<int>")
+                      "doc_id long, n_tokens long, first long, ids array<int>", size=ENCODE_BYTES)
     (rows.write.mode("overwrite").option("compression", "zstd")
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
      .option("orc.row.index.stride", str(ROW_STRIDE)).option("orc.stripe.size", str(STRIPE_BYTES))

@@ -48,6 +48,27 @@ def test_near_duplicates_of_ids_that_name_several_texts(spark):
     assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 3, False), (9, 5, False), (9, 9, True)]
 
 
+def test_word_encoder_equals_the_library_whatever_its_tables_hold():
+    import pyarrow as pa
+
+    from blotter.llm import tokens
+
+    letters = "".join(chr(i) for i in range(256) if chr(i).isalpha())
+    texts = [letters, " ".join(letters), "don't DON'T dogs' it's, I'm. x's'", "", "  \t\n ", "a1b2 3.14 --- !?! (see) \"Quote,\"", "Stra\u00dfe STRASSE \u00aa\u00b5\u00ba\u00d7\u00f7",
+             "e\u0301 \u0130stanbul \ufb00 \u4e2d\u6587 \u00c9A\u0300 na\u00efve. NA\u00cfVE! \u00e9", "a\u00a0b\u2003c\x1cd\x85e", "<|endoftext|> <|startoftext|>", "word\u2019s \u201cx\u201d", "\\[]^_`{|}~ a\\ b] c^ d_ e`"]
+    texts += [f"{w}{p}" for w in ("House", "hOUSE", "\u00c9t\u00e9") for p in ("", ",", "...", "!?", "'", "\\", "]", "`")]
+    encoder = tokens.WordEncoder(tokens.default_vocabulary("word_bpe_49k.json"))
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    small = tokens.WordEncoder(tokens.default_vocabulary("word_bpe_49k.json"))
+    small.runs, small.rests = (tokens.IdTable(f, 4, True, 3) for f in (small.new_runs, small.new_rests))
+    for e in (encoder, small):
+        for n in (len(texts), 1, 5):
+            for i in range(0, len(texts), n):
+                ids, at = e.encode(pa.array(texts[i:i + n]))
+                assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want[i:i + n], texts[i:i + n]
+    assert sum(w in ("house", "\u00e9t\u00e9") for w in encoder.runs.words.to_pylist()) == 2  # one entry, whatever the case and what follows
+
+
 def test_workers_let_go_of_tables_that_no_task_asks_for(spark):
     """A worker keeps an encoder for tasks that want it and drops it when a task of another kind starts."""
     from blotter.llm import common
