@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blotter.llm.common import binary_of, docs_of, map_slices, runs, step
-from blotter.llm.tokens import default_vocabulary, word_encoder
+from blotter.llm.tokens import ENCODE_BYTES, default_vocabulary, word_encoder
 
 CAPACITY = 2048
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  # sequences, then (length, pieces) of each
@@ -256,7 +256,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = C
                     "part": np.full(len(row), part, np.int32), "nth": nth}
         return work
 
-    out = map_slices(docs_of(docs), make, "doc_id long, piece int, start long, length long, ids binary, part int, nth long")
+    out = map_slices(docs_of(docs), make, "doc_id long, piece int, start long, length long, ids binary, part int, nth long", size=ENCODE_BYTES)
     return step(out, "pieces")
 
 

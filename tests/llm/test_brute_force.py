@@ -69,6 +69,23 @@ def test_word_encoder_equals_the_library_whatever_its_tables_hold():
     assert sum(w in ("house", "\u00e9t\u00e9") for w in encoder.runs.words.to_pylist()) == 2  # one entry, whatever the case and what follows
 
 
+def test_word_encoder_makes_few_python_objects_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from blotter.llm import tokens
+
+    encoder = tokens.WordEncoder(tokens.default_vocabulary("word_bpe_49k.json"))
+    rng = np.random.default_rng(5)
+    words = pa.array([" ".join("".join(chr(97 + c) for c in w) for w in rng.integers(26, size=(100_000, 7)))])
+    tracemalloc.start()
+    encoder.encode(words)
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert most < 20, most
+
+
 def test_workers_let_go_of_tables_that_no_task_asks_for(spark):
     """A worker keeps an encoder for tasks that want it and drops it when a task of another kind starts."""
     from blotter.llm import common
