@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,9 @@ from blotter.session import materialize, settle
 BLOOM_WORDS = 1 << 20
 #: Text bytes handled at once inside a task; bounds the working set of a worker.
 SLICE_BYTES = 6 << 20
+#: Bytes of an Arrow batch and rows of a Parquet batch while operators write tables (Spark: 64 MB and 10,000 rows; 4,096 rows).
+#: Texts are long: a task holds such a batch in the JVM, outside the heap, and in its Python worker, whose slices are cut from it.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(3 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -43,14 +47,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Queries that run inside move texts in ``BATCHES``; what the session sets itself stays."""
+    own = [k for k in BATCHES if spark.conf.get(k, None) is None]
+    for k in own:
+        spark.conf.set(k, BATCHES[k])
+    try:
+        yield
+    finally:
+        for k in own:
+            spark.conf.unset(k)
+
+
 def step(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    return materialize(df, f"llm-{name}")
+    with small_batches(df.sparkSession):
+        return materialize(df, f"llm-{name}")
 
 
 def verdict(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """What ``make()`` decides, written; the tables it wrote on the way are deleted, for nothing reads them any more."""
-    return settle(spark, make, f"llm-{name}")
+    with small_batches(spark):
+        return settle(spark, make, f"llm-{name}")
 
 
 def text_digest(text: str | Column = "text", blank: bool = False) -> Column:
