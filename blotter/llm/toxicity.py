@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blotter.llm.common import crc_mod3, docs_of, drop_rows, keyed_docs, map_slices, pick, step, verdict
+from blotter.llm.common import crc_mod3, docs_of, drop_rows, keyed_docs, map_slices, pick, release, step, verdict
 
 MAX_EXAMPLES, MAX_TERMS = 6_000, 4_096
 #: Least documents with a term, and least log-likelihood ratio of its counts by label.
@@ -79,12 +79,16 @@ class BlockMaxIndex:
         self.n_terms = n_terms
         # whole vectors, for exact scores
         self.begin = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
-        self.term = np.concatenate([t for t, _ in pairs]).astype(np.int32) if pairs else np.zeros(0, np.int32)
-        self.exact = np.concatenate([w for _, w in pairs]).astype(float) if pairs else np.zeros(0)
-        example = np.repeat(np.arange(len(vectors), dtype=np.int32), size)
-        held = np.bincount(self.term, minlength=n_terms)
+        self.term = np.concatenate([t for t, _ in pairs]).astype(np.int32, copy=False) if pairs else np.zeros(0, np.int32)
+        self.exact = np.concatenate([w for _, w in pairs]).astype(float, copy=False) if pairs else np.zeros(0)
+        self.look = None
+
+    def _build(self) -> None:
+        """The dense part and the postings, several times the vectors' size: made by the process that searches."""
+        example = np.repeat(np.arange(self.count, dtype=np.int32), np.diff(self.begin))
+        held = np.bincount(self.term, minlength=self.n_terms)
         frequent = np.sort(np.argsort(-held, kind="stable")[:HEAD])
-        self.column = np.full(n_terms, -1, np.int32)
+        self.column = np.full(self.n_terms, -1, np.int32)
         self.column[frequent] = np.arange(len(frequent))
         column = self.column[self.term]
         head = column >= 0
@@ -99,11 +103,12 @@ class BlockMaxIndex:
         self.at = np.append(begin, len(term)).astype(np.int32)
         self.block = (cell % max(1, self.blocks)).astype(np.int32)
         self.top = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0, np.float32)
-        self.first = np.searchsorted(cell // max(1, self.blocks), np.arange(n_terms + 1)).astype(np.int32)
-        self.look = None
+        self.first = np.searchsorted(cell // max(1, self.blocks), np.arange(self.n_terms + 1)).astype(np.int32)
+        self.look = np.zeros(self.n_terms)
 
     def __getstate__(self):
-        return self.__dict__ | {"look": None}
+        """The vectors alone, whatever this process has built from them."""
+        return {k: getattr(self, k) for k in ("count", "blocks", "n_terms", "begin", "term", "exact")} | {"look": None}
 
     def search(self, queries: list, k: int, without: list | None = None, ties: bool = False) -> list[list[tuple[float, int]]]:
         """For each (terms, weights) the k best (score, example) with a positive score, best first; of equal scores at the end
@@ -117,6 +122,9 @@ class BlockMaxIndex:
         width = self.blocks * BLOCK
         if not width:
             return [[] for _ in queries]
+        if self.look is None:
+            self._build()
+            release()
         dense = np.zeros((len(queries), len(self.head)), np.float32)
         for r, (t, w) in enumerate(queries):
             column = self.column[t]
@@ -146,8 +154,6 @@ class BlockMaxIndex:
         who = np.flatnonzero((row >= np.partition(row, best)[best] - MARGIN) & (row > 0))
         if not len(who):
             return []
-        if self.look is None:
-            self.look = np.zeros(self.n_terms)
         self.look[terms] = weights
         size = self.begin[who + 1] - self.begin[who]
         at = _ranges(self.begin[who].astype(np.int32), size)
@@ -316,6 +322,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
     # examples with the same strongest terms lie together, which makes block maxima tight
     found = sorted((r for r in got if len(r[2])), key=lambda r: (r[2][np.argsort(-r[3], kind="stable")[:3]].tolist(), r[0]))
     index = BlockMaxIndex([(t, w) for _, _, t, w in found], len(idf))
+    del sent, got
+    found = [r[:2] for r in found]
     model = Model(terms, words, idf, index, np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], float), base, ((), ()))
     model.shared = blank, rows.sparkSession.sparkContext.broadcast((index, model.doc_id, model.toxic))
     model.curve = isotonic(*_votes(rows, model)) if found else ((), ())
@@ -351,6 +359,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES
     examples without a telling term.
     """
     get = fit(docs, labels, most).ship()
+    release()  # the driver keeps the base and the curve only
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     def make():

@@ -1,5 +1,7 @@
 """Neighbours against brute force, scores on held-out rows, labels and odd texts."""
 
+import pickle
+
 import numpy as np
 import pytest
 from blotter.llm import toxicity
@@ -94,3 +96,16 @@ def test_odd_rows(spark, odd_docs):
 def test_empty_documents(spark, empty_docs):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert toxicity.judge(empty_docs, labels).collect() == []
+
+
+def test_an_index_is_sent_as_its_vectors():
+    rng = np.random.default_rng(5)
+    n, size, terms = 2_000, 30, 5_000
+    vectors = [(np.sort(rng.choice(terms, size, replace=False)).astype(np.int32), np.full(size, size**-0.5)) for _ in range(n)]
+    index = toxicity.BlockMaxIndex(vectors, terms)
+    fresh = pickle.dumps(index)
+    got = index.search(vectors[:50], 10)
+    assert len(fresh) < 2 * sum(t.nbytes + w.nbytes for t, w in vectors)  # before: the dense part too, 4 bytes * HEAD * n
+    assert pickle.dumps(index) == fresh  # a search leaves nothing that is sent
+    assert pickle.loads(fresh).search(vectors[:50], 10) == got
+    assert [r[0][1] for r in got] == list(range(50))
